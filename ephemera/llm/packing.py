@@ -17,7 +17,7 @@ from ephemera.llm.common import flushes, offsets_of, ragged, texts_of
 FLUSH_BYTES = 8 << 20
 SENTENCE = 1.0  # cost of a cut after a sentence inside a document, in padded tokens
 TRUNCATION = 4.0  # cost of a cut elsewhere
-GAP = 256  # where no sentence ends for longer, cuts may fall at this distance
+GAP = 24  # where no sentence ends for longer, cuts may fall at this distance
 _SPACE_RUN = re.compile(r" \s")
 
 
