@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ephemera.llm.decontaminate import decontaminate
 from ephemera.llm.jaccard_join import jaccard_components
 from ephemera.llm.packing import pack
+from ephemera.llm.pii import find_pii
 from ephemera.llm.token_counts import count_tokens
 
 
@@ -33,6 +34,15 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *(count(k) for k in ("email", "ip", "card", "phone")), F.sha2(joined("base_spans"), 256).alias("base_sha256"), joined("spans").alias("spans")
+    )
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
@@ -49,6 +59,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op4_pii": op4_pii,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op8_packing": op8_packing,
     "op10_token_counts": op10_token_counts,
