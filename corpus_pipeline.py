@@ -1,13 +1,66 @@
-"""Corpus pipeline: quality classifier, near-duplicate join, decontamination, PII, packing."""
+"""Corpus pipeline: quality classifier, near-duplicate join, decontamination, PII, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of ``docs``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ephemera.llm.decontaminate import decontaminate
+from ephemera.llm.importance import importance_resample
+from ephemera.llm.jaccard_join import keep_representatives
+from ephemera.llm.packing import pack
+from ephemera.llm.pii import find_pii
+from ephemera.llm.queries import tokenizer_path
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling keeps."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return importance_resample(docs, labels).where("kept").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the least id, of each group of near copies."""
+    return keep_representatives(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated with benchmark items."""
+    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where(~F.col("contaminated")).select(*docs.columns)
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with personal data replaced by the name of its kind; n_chars follows."""
+    found = find_pii(docs, redact=True).select(*docs.columns)
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences, with their ids and a checksum of them."""
+    return pack(docs, tokenizer_path("byte_bpe_50k.json")).withColumn("ids_crc32", F.crc32("ids"))
+
+
+STAGES = [
+    ("quality_classifier", quality),
+    ("ngram_jaccard_join", near_duplicates),
+    ("benchmark_decontamination", decontamination),
+    ("pii", pii),
+    ("packing", packing),
+]
+
+#: SQL cannot express the trained stages; tests compare each stage with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written to the shared checkpoint folder and read again."""
+    from ephemera.llm.common import stored
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

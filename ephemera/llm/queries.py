@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ephemera.llm.decontaminate import decontaminate
+from ephemera.llm.importance import importance_resample
 from ephemera.llm.jaccard_join import jaccard_components
+from ephemera.llm.lpf_dedup import remove_repeats
 from ephemera.llm.packing import pack
 from ephemera.llm.pii import find_pii
 from ephemera.llm.token_counts import count_tokens
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return str(public_tokenizers.path(name))
@@ -47,20 +49,33 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return importance_resample(docs, _table(spark, sf_dir, "labels")).select("doc_id", "score", "kept")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = pack(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    pieces = pack(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return count_tokens(docs, _tokenizer("word_bpe_49k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+    return count_tokens(docs, tokenizer_path("word_bpe_49k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op4_pii": op4_pii,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_packing": op8_packing,
     "op10_token_counts": op10_token_counts,
 }
