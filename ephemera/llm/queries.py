@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from ephemera.llm.decontaminate import decontaminate
 from ephemera.llm.importance import importance_resample
 from ephemera.llm.jaccard_join import jaccard_components
+from ephemera.llm.license_scan import scan_licenses
 from ephemera.llm.lpf_dedup import remove_repeats
 from ephemera.llm.packing import pack
 from ephemera.llm.pii import find_pii
 from ephemera.llm.quality_rules import quality_rules
 from ephemera.llm.token_counts import count_tokens
+from ephemera.llm.url_filter import filter_urls
 
 
 def tokenizer_path(name: str) -> str:
@@ -42,6 +44,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -71,6 +77,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files source/lang/doc_id, so that a source and its languages are directories."""
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    return scan_licenses(_table(spark, sf_dir, "documents"), path).select("doc_id", "path", "license", F.round("cosine", 6).alias("cosine"), "origin")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return count_tokens(docs, tokenizer_path("word_bpe_49k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -79,11 +91,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_quality_rules": op2_quality_rules,
+    "op3_url_filters": op3_url_filters,
     "op4_pii": op4_pii,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_packing": op8_packing,
+    "op9_license_scans": op9_license_scans,
     "op10_token_counts": op10_token_counts,
 }
 
