@@ -29,7 +29,7 @@ class Encoder:
     with special strings are encoded whole.
     """
 
-    limit = 600_000
+    limit = 1_000_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -37,6 +37,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.closing: np.ndarray | None = None
         self.clear()
 
     def clear(self) -> None:
@@ -70,12 +71,24 @@ class Encoder:
 
     def sentence_ends(self) -> np.ndarray:
         """Flags of the ids whose text ends with a full stop, question or exclamation mark or a line break."""
+        if self.closing is not None:
+            return self.closing
         vocabulary = self.tokenizer.get_vocab()
         out = np.zeros(max(vocabulary.values()) + 1, bool)
         out[[i for t, i in vocabulary.items() if t.endswith((".", "!", "?", "Ċ"))]] = True
+        self.closing = out
         return out
 
 
+_ENCODERS: dict[str, Encoder] = {}  # by path, kept while a worker process lives, so that its tasks share the cache
+
+
+def encoder_of(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 class _Units(dict):
     def __init__(self):
         self.fresh: list[str] = []
@@ -170,7 +183,7 @@ def cut_stream(ends: np.ndarray, sentences: np.ndarray, total: int, size: int, l
 
 def _pack(path: str, size: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         closes = encoder.sentence_ends()
         number = TaskContext.get().partitionId() << 36
         held = np.empty(0, np.uint32)
