@@ -8,7 +8,8 @@ document leave as rows and are joined to the table by a shuffle, so the result i
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import types as T
 from ephemera.llm.common import checkpointed, flushes, free_name, offsets_of, texts_of
 
 HEAD = 400_000  # pre-tokens that are broadcast
-FLUSH_BYTES = 16 << 20
+FLUSH_BYTES = 8 << 20
 #: Latin-1 characters whose lower case, composition and white space are the same in Python and in the library.
 _PLAIN = bytes([9, 10, 13, *range(32, 127), *range(0xA1, 0x100)])
 
@@ -32,7 +33,7 @@ class PreTokens:
     white space may use this short cut (``by_word``).
     """
 
-    limit = 500_000
+    limit = 600_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -47,52 +48,67 @@ class PreTokens:
             text = self.tokenizer.normalizer.normalize_str(text)
         return [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
-    def of_word(self, word: str) -> list[str]:
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) >= self.limit:
-                self.known.clear()
-            found = self.known[word] = self.split(word)
-        return found
-
-    def frequencies(self, raw: bytes) -> tuple[dict[str, int], int]:
-        """(pre-token or word -> times), and how many special tokens stand in the text.  Keys with a leading
-        space are words still to be split by ``of_word``."""
+    def learn(self, keys: Iterable[str]) -> None:
+        """Make the pre-tokens of all ``keys`` known, with one call of the library for all words that are new.
+
+        Words joined by blanks split as they do alone, and plain words keep their length when lower-cased, so offsets
+        tell which pre-token is whose.
+        """
+        new = [k for k in keys if k not in self.known]
+        if len(self.known) + len(new) > self.limit:
+            self.known.clear()
+            new = list(keys)
+        words = [k for k in new if k[0] != "\0"]
+        self.known.update((k, [k[1:]]) for k in new if k[0] == "\0")
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
+            text = " ".join(part)
+            if self.tokenizer.normalizer is not None:
+                text = self.tokenizer.normalizer.normalize_str(text)
+            own: list[list[str]] = [[] for _ in part]
+            starts = np.cumsum([0, *(len(w) + 1 for w in part[:-1])])
+            found = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
+            for k, (piece, _) in zip((np.searchsorted(starts, [o[0] for _, o in found], side="right") - 1).tolist(), found, strict=True):
+                own[k].append(piece)
+            self.known.update(zip(part, own, strict=True))
+
+    def frequencies(self, raw: bytes) -> tuple[Counter[str], int]:
+        """(key -> times), and how many special tokens stand in the text.  A key is a word, or a pre-token behind a NUL."""
         text = raw.decode("utf-8", "replace")
         parts, special = [text], 0
         if self.splitter is not None and any(s in text for s in self.special):
             parts = self.splitter.split(text)
             special = len(parts) - 1
-        counts: dict[str, int] = {}
+        counts: Counter[str] = Counter()
         for part in parts:
             try:
                 plain = not part.encode("latin-1").translate(None, _PLAIN)
             except UnicodeEncodeError:
                 plain = False
-            if plain:
-                for w in part.split():
-                    counts[w] = counts.get(w, 0) + 1
-            else:
-                for p in self.split(part):
-                    counts["\0" + p] = counts.get("\0" + p, 0) + 1
+            counts.update(part.split() if plain else ["\0" + p for p in self.split(part)])
         return counts, special
 
-    def expand(self, key: str) -> list[str]:
-        """Pre-tokens of a key of ``frequencies``."""
-        return [key[1:]] if key[0] == "\0" else self.of_word(key)
+
+_SOURCES: dict[str, PreTokens] = {}  # by path, kept while a worker process lives
+
+
+def _source(path: str) -> PreTokens:
+    if path not in _SOURCES:
+        _SOURCES[path] = PreTokens(path)
+    return _SOURCES[path]
 
 
 def _distinct(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        source = PreTokens(path)
+        source = _source(path)
         for table in flushes(batches, "text", FLUSH_BYTES):
-            words: dict[str, int] = {}
+            words: Counter[str] = Counter()
             for raw in texts_of(table["text"]):
-                for key, n in source.frequencies(raw)[0].items():
-                    words[key] = words.get(key, 0) + n
+                words.update(source.frequencies(raw)[0])
+            source.learn(words)
             found: dict[str, int] = {}
             for key, n in words.items():
-                for p in source.expand(key):
+                for p in source.known[key]:
                     found[p] = found.get(p, 0) + n
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["piece", "n"])
 
@@ -117,35 +133,30 @@ def _counts(path: str, text: str, head, names: list[str]):
     rest_kind = pa.list_(pa.struct([("piece", pa.string()), ("times", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        source, (pieces, sizes) = PreTokens(path), head.value
+        source, (pieces, sizes) = _source(path), head.value
         known = dict(zip(pieces.to_pylist(), sizes.tolist(), strict=True))
-        of_key: dict[str, int] = {}  # tokens of a key, -1 if a pre-token of it is not in the head
-
-        def total(key: str) -> int:
-            found = of_key.get(key)
-            if found is None:
-                if len(of_key) >= source.limit:
-                    of_key.clear()
-                each = [known.get(p, -1) for p in source.expand(key)]
-                found = of_key[key] = -1 if -1 in each else sum(each)
-            return found
-
         for table in flushes(batches, text, FLUSH_BYTES):
-            n_bytes, n_tokens, rest = [], [], []
-            for raw in texts_of(table[text]):
-                counts, tokens = source.frequencies(raw)
-                sizes = np.fromiter(map(total, counts), np.int64, len(counts))
+            raws = texts_of(table[text])
+            counted = [source.frequencies(raw) for raw in raws]
+            of_key: dict[str, int] = {}  # tokens of a key, -1 if a pre-token of it is not in the head
+            every = set().union(*(c for c, _ in counted))
+            source.learn(every)
+            for key in every:
+                each = [known.get(p, -1) for p in source.known[key]]
+                of_key[key] = -1 if -1 in each else sum(each)
+            n_tokens, rest = [], []
+            for counts, special in counted:
+                per = np.fromiter(map(of_key.__getitem__, counts), np.int64, len(counts))
                 times = np.fromiter(counts.values(), np.int64, len(counts))
-                tokens += int((sizes * times)[sizes >= 0].sum())
+                n_tokens.append(special + int((per * times)[per >= 0].sum()))
                 own: dict[str, int] = {}
-                if (sizes < 0).any():
-                    for key, size, n in zip(counts, sizes.tolist(), times.tolist(), strict=True):
+                if (per < 0).any():
+                    for key, size, n in zip(counts, per.tolist(), times.tolist(), strict=True):
                         if size < 0:
-                            for p in source.expand(key):
+                            for p in source.known[key]:
                                 own[p] = own.get(p, 0) + n
-                n_bytes.append(len(raw))
-                n_tokens.append(tokens)
                 rest.append([{"piece": p, "times": n} for p, n in own.items()])
+            n_bytes = list(map(len, raws))
             yield pa.RecordBatch.from_arrays(
                 [*(c.combine_chunks() for c in table.columns), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(rest, rest_kind)], names=names
             )
