@@ -98,8 +98,8 @@ def _emit_anchors(length: int, buckets: int):
     """Packed (hash, document key) of all anchors; the second and later in one document say so themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in flushes(batches, "text", FLUSH_BYTES):
-            row, _, _, _, h = _all_anchors(texts_of(table["text"]), length)
+        for table in flushes(batches, "body", FLUSH_BYTES):
+            row, _, _, _, h = _all_anchors(texts_of(table["body"]), length)
             keys = np.array(table["key"].to_pylist(), np.int64)
             order = np.lexsort((row, h))
             h, row = h[order], row[order]
@@ -157,8 +157,8 @@ def _emit_contexts(length: int, buckets: int):
     """Packed contexts of shared anchors, and the starts already settled here, as ranges by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in flushes(batches, "text", FLUSH_BYTES):
-            texts = texts_of(table["text"])
+        for table in flushes(batches, "body", FLUSH_BYTES):
+            texts = texts_of(table["body"])
             keys = np.array(table["key"].to_pylist(), np.int64)
             row, place, lo, hi, h = _all_anchors(texts, length)
             shared = [np.array([] if s is None else s, np.int64).view(U64) for s in table["shared"].to_pylist()]
@@ -319,21 +319,21 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
         raise ValueError(f"length must be {2 * GRAM} at least")
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("body"))
     known = rows.where("key is not null")
     most = known.groupBy("key").count().agg(F.max("count")).first()[0] or 1
     if most > 1:  # the order of documents needs a place for each row
-        order = F.row_number().over(Window.partitionBy("key").orderBy("text"))
+        order = F.row_number().over(Window.partitionBy("key").orderBy("body"))
         known = known.withColumn("key", F.col("key") * most + order - 1)
     known = known.repartition(parts, "key")
-    packed = known.mapInArrow(_emit_anchors(length, 8 * parts), "bucket int, h binary, key binary, times binary")
-    shared = packed.repartition(parts, "bucket").select("h", "key", "times").mapInArrow(_shared_anchors, "key long, shared array<long>")
+    packed = known.mapInArrow(_emit_anchors(length, parts), "bucket int, h binary, key binary, times binary")
+    shared = packed.repartitionById(parts, "bucket").select("h", "key", "times").mapInArrow(_shared_anchors, "key long, shared array<long>")
     shared = shared.groupBy("key").agg(F.flatten(F.collect_list("shared")).alias("shared"))
-    contexts = known.join(shared, "key").select("key", "text", "shared").mapInArrow(_emit_contexts(length, 8 * parts), "bucket int, meta binary, context binary")
-    spread = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("meta"), F.lit(8 * parts)).cast("int")).otherwise(F.col("bucket"))
-    found = contexts.repartition(parts, spread).mapInArrow(_find_repeats(length), "key long, ranges binary")
+    contexts = known.join(shared, "key").select("key", "body", "shared").mapInArrow(_emit_contexts(length, parts), "bucket int, meta binary, context binary")
+    spread = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("meta"), F.lit(parts)).cast("int")).otherwise(F.col("bucket"))
+    found = contexts.withColumn("to", spread).repartitionById(parts, "to").drop("to").mapInArrow(_find_repeats(length), "key long, ranges binary")
     found = found.groupBy("key").agg(F.collect_list("ranges").alias("ranges"))
-    joined = known.join(found, "key", "left").select("key", "text", "ranges")
+    joined = known.join(found, "key", "left").select("key", "body", "ranges")
     joined = joined.unionByName(rows.where("key is null").withColumn("ranges", F.lit(None).cast("array<binary>")))
     names = ["doc_id", "n_bytes", "n_removed", "spans", "kept"]
     cut = joined.mapInArrow(_cut(length, names), "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
