@@ -60,7 +60,7 @@ def lower_ascii(c: Column) -> Column:
 class WordHash(dict):
     """Cache of 64-bit word hashes; emptied when it holds ``limit`` words, so its memory is bounded."""
 
-    limit = 1_000_000
+    limit = 250_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
@@ -103,9 +103,12 @@ def sequence_hash(ids: np.ndarray) -> int:
 
 def shingle_sets(texts: list[bytes], n: int, cache: WordHash) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text: words are runs without ASCII white space, A-Z lower-cased."""
-    parts = [t.lower().split() for t in texts]
+    parts = []
+    for t in texts:  # words are hashed text by text: as objects they take many times the memory of the text
+        words = t.lower().split()
+        parts.append(word_ids(words, cache, len(words)))
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-    ids = np.concatenate([word_ids(p, cache, len(p)) for p in parts]) if len(parts) else np.empty(0, U64)
+    ids = np.concatenate(parts) if parts else np.empty(0, U64)
     windows = window_hashes(ids, n)
     starts = np.cumsum(sizes) - sizes
     out = []

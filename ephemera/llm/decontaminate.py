@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from ephemera.llm.common import flushes, free_name, offsets_of, ragged, texts_of
 from ephemera.llm.fm_index import FMIndex
 
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 BLOCK_BYTES = 16 << 20  # benchmark text that is broadcast at once
 _FOLD = bytes(b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -51,12 +51,13 @@ class Phrases:
 
 def shard_hits(texts: list[bytes], phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words per text, each text's first word in the shard, flags of the shard's hit words, and (text, item) pairs."""
-    words = [words_of(t) for t in texts]
-    n_words = np.fromiter(map(len, words), np.int64, len(words))
+    parts, end = [], np.zeros(1, np.int32)
+    for t in texts:  # words become numbers text by text: as objects they take many times the memory of the text
+        w = words_of(t)
+        parts += [np.fromiter(map(phrases.vocabulary.get, w, repeat(0)), np.int32, len(w)), end]
+    n_words = np.fromiter(map(len, parts[::2]), np.int64, len(texts))
     starts = offsets_of(n_words)
-    ids = np.zeros(starts[-1] + len(texts), np.int32)  # a 0 after each text
-    for k, w in enumerate(words):
-        ids[starts[k] + k : starts[k + 1] + k] = np.fromiter(map(phrases.vocabulary.get, w, repeat(0)), np.int32, len(w))
+    ids = np.concatenate(parts) if parts else end
     word_at = np.arange(len(ids)) - np.repeat(np.arange(len(texts)), n_words + 1)
     # runs of known words; other words occur in no window, and a run shorter than the shortest window holds none
     edge = np.flatnonzero(np.diff(np.concatenate([[False], ids > 0, [False]]).astype(np.int8)))

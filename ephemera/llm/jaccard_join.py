@@ -37,9 +37,9 @@ from ephemera.llm.common import (
 )
 from ephemera.llm.components import connected_components
 
-FLUSH_BYTES = 16 << 20
+FLUSH_BYTES = 8 << 20
 PREFIX_SHARE = 10  # l(n) = n // PREFIX_SHARE, at least 1
-BLOCK = 20_000  # documents in a block of a tile
+BLOCK = 5_000  # documents in a block of a tile
 
 
 def _extra(n):

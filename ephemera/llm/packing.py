@@ -29,7 +29,7 @@ class Encoder:
     with special strings are encoded whole.
     """
 
-    limit = 1_000_000
+    limit = 200_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -46,8 +46,6 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, joined, and the number of ids of each text."""
-        if len(self.units) > self.limit:
-            self.clear()
         parts, known = [], self.units.__getitem__
         for raw in texts:
             text = raw.decode("utf-8", "replace")
@@ -64,11 +62,30 @@ class Encoder:
             self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(counts)])
             self.units.fresh = []
         keys = np.concatenate(parts)
+        if len(self.units) > self.limit:
+            keys = self._shrink(keys)
         counts = self.start[keys + 1] - self.start[keys]
         of_text = offsets_of(np.fromiter(map(len, parts), np.int64, len(parts)))
         before = np.concatenate([[0], np.cumsum(counts)])
         return self.flat[ragged(self.start[keys], counts)], before[of_text[1:]] - before[of_text[:-1]]
 
+    def _shrink(self, keys: np.ndarray) -> np.ndarray:
+        """Forget all units but those of the texts at hand; of these, what occurs once is forgotten at the next call."""
+        used, new, times = np.unique(keys, return_inverse=True, return_counts=True)
+        names = dict(zip(self.units.values(), self.units, strict=True))
+        counts = self.start[used + 1] - self.start[used]
+        # those that occur again stay; the others keep their ids for this call, but no name finds them
+        order = np.argsort(times == 1, kind="stable")
+        flat = self.flat[ragged(self.start[used[order]], counts[order])]
+        self.units = _Units()
+        for k in used[order[: int((times > 1).sum())]].tolist():
+            self.units[names[k]] = len(self.units)
+        self.units.offset = len(used)
+        self.flat, self.start = flat, offsets_of(counts[order])
+        place = np.empty(len(used), np.int64)
+        place[order] = np.arange(len(used))
+        return place[new]
+
     def sentence_ends(self) -> np.ndarray:
         """Flags of the ids whose text ends with a full stop, question or exclamation mark or a line break."""
         if self.closing is not None:
@@ -92,9 +109,11 @@ def encoder_of(path: str) -> Encoder:
 class _Units(dict):
     def __init__(self):
         self.fresh: list[str] = []
+        self.offset = 0  # units without a name before the fresh ones
 
     def __missing__(self, unit: str) -> int:
-        k = self[unit] = len(self)
+        k = self[unit] = self.offset
+        self.offset += 1
         self.fresh.append(unit)
         return k
 

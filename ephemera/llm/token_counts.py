@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from ephemera.llm.common import checkpointed, flushes, free_name, offsets_of, texts_of
 
-HEAD = 400_000  # pre-tokens that are broadcast
+HEAD = 250_000  # pre-tokens that are broadcast
 FLUSH_BYTES = 8 << 20
 #: Latin-1 characters whose lower case, composition and white space are the same in Python and in the library.
 _PLAIN = bytes([9, 10, 13, *range(32, 127), *range(0xA1, 0x100)])
@@ -33,7 +33,7 @@ class PreTokens:
     white space may use this short cut (``by_word``).
     """
 
-    limit = 600_000
+    limit = 250_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
