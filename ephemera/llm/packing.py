@@ -19,17 +19,19 @@ SENTENCE = 1.0  # cost of a cut after a sentence inside a document, in padded to
 TRUNCATION = 4.0  # cost of a cut elsewhere
 GAP = 24  # where no sentence ends for longer, cuts may fall at this distance
 _SPACE_RUN = re.compile(r" \s")
+#: A comma or full stop before white space that does not follow a letter or digit: it may belong to a longer mark.
+_MARK_RUN = re.compile(r"(?:^|[\W_])[.,][ \n]")
 
 
 class Encoder:
     """Token ids by the library, one call for each distinct unit of a text.
 
-    Byte-level splitters start a pre-token at a space that precedes a word, so a text without runs of white space
-    after a space is the concatenation of its units (a space and what follows up to the next); other texts and texts
-    with special strings are encoded whole.
+    Byte-level splitters start a pre-token at a space that precedes a word, and between a word and the mark behind it,
+    so a text without runs of white space after a space is the concatenation of its units (a space and what follows
+    up to the next, commas and full stops apart); other texts and texts with special strings are encoded whole.
     """
 
-    limit = 200_000
+    limit = 500_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -52,8 +54,14 @@ class Encoder:
             if _SPACE_RUN.search(text) or any(s in text for s in self.special):
                 parts.append(np.array([self.units[text]], np.int64))
                 continue
-            units = text.split(" ")
-            units[1:] = [" " + u for u in units[1:]]
+            # marks after a word are pre-tokens of their own
+            if "\0" not in text and not _MARK_RUN.search(text):
+                text = text.replace(", ", "\0,\0 ").replace(". ", "\0.\0 ").replace(".\n", "\0.\0\n")
+                text = text.replace("\0 ", " ")
+                units = text.replace(" ", "\0 ").split("\0")
+            else:
+                units = text.split(" ")
+                units[1:] = [" " + u for u in units[1:]]
             parts.append(np.fromiter(map(known, units), np.int64, len(units)))
         if self.units.fresh:
             ids = [x.ids for x in self.tokenizer.encode_batch_fast(self.units.fresh, add_special_tokens=False)]
