@@ -1,12 +1,687 @@
-"""Queries by name, each with the SQL that must give the same rows."""
+"""Queries over the driver's tables by name, each with SQL that must give the same rows.
+
+``events`` stands for a series (user_id is the satellite, ts the time, value the error); its nulls come from an
+expression that both engines share.  Doubles are rounded to six places in both.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ephemera.functions import errors as E
+from ephemera.functions.orbit import eccentric_anomaly, with_clock_correction, with_position
+from ephemera.functions.scalars import finite_or, gps_seconds
+from ephemera.operators import asof, evaluate, filters, forecast, prep, profile, sequences, windows
+from ephemera.sources import clk, nav, sp3
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events")
+
+
+def gappy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events with x: value, null where event_id is a multiple of 7."""
+    return events(spark, sf_dir).withColumn("x", F.when(F.col("event_id") % 7 != 0, F.col("value")))
+
+
+GAPPY = "(SELECT *, CASE WHEN event_id % 7 <> 0 THEN value END AS x FROM events)"
+ON = ["ts", "event_id"]
+
+
+def rounded(df: DataFrame, *cols: str, places: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, places) for c in cols})
+
+
+# as-of joins
+
+_PAIR = """
+v AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'view'),
+c AS (SELECT user_id, ts, min(value) AS value FROM events WHERE event_type = 'click' GROUP BY ALL)"""
+
+
+def _pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    e = events(spark, sf_dir)
+    return e.where("event_type = 'view'").select("event_id", "user_id", "ts"), e.where("event_type = 'click'").select("user_id", "ts", "value")
+
+
+def _nearest_sql(how: str) -> str:
+    return f"""WITH {_PAIR}
+SELECT v.event_id, v.user_id, v.ts, c.ts AS ts_right, c.value, CASE WHEN c.ts IS NOT NULL THEN epoch_us(greatest(v.ts, c.ts)) / 1e6 - epoch_us(least(v.ts, c.ts)) / 1e6 END AS age_s
+FROM v {how} JOIN c ON v.user_id = c.user_id AND c.ts BETWEEN v.ts - INTERVAL 2 HOUR AND v.ts + INTERVAL 2 HOUR
+QUALIFY row_number() OVER (PARTITION BY v.event_id ORDER BY abs(epoch_us(v.ts) - epoch_us(c.ts)), c.ts) = 1"""
+
+
+@query("nearest_asof", f"SELECT * REPLACE (round(age_s, 3) AS age_s) FROM ({_nearest_sql('INNER')})")
+def _(spark, sf_dir):
+    return rounded(asof.nearest_asof(*_pair(spark, sf_dir), "user_id", "ts", 7200), "age_s", places=3)
+
+
+@query("nearest_asof_left_bucketed", f"SELECT * REPLACE (round(age_s, 3) AS age_s) FROM ({_nearest_sql('LEFT')})")
+def _(spark, sf_dir):
+    return rounded(asof.nearest_asof(*_pair(spark, sf_dir), "user_id", "ts", 7200, how="left", bucket="day"), "age_s", places=3)
+
+
+def _interpolate_sql(edge: str, samples: str = "c") -> str:
+    line = "CASE WHEN v.ts = b.ts THEN b.value WHEN b.ts IS NOT NULL AND a.ts IS NOT NULL THEN b.value + (a.value - b.value) * (epoch_us(v.ts) - epoch_us(b.ts)) / (epoch_us(a.ts) - epoch_us(b.ts))"
+    clamp = " WHEN a.ts IS NULL THEN b.value WHEN b.ts IS NULL THEN a.value" if edge == "clamp" else ""
+    where = "WHERE b.ts IS NOT NULL AND (a.ts IS NOT NULL OR v.ts = b.ts)" if edge == "drop" else ""
+    return f"""WITH {_PAIR},
+n AS (SELECT user_id, ts, min(value) AS value, count(*) OVER (PARTITION BY user_id) AS k FROM events WHERE event_type = 'click' AND event_id % 7 <> 0 GROUP BY user_id, ts)
+SELECT v.event_id, v.user_id, v.ts, round({"CASE WHEN coalesce(b.k, a.k) >= 2 THEN " if samples == "n" else ""}{line}{clamp} END{" END" if samples == "n" else ""}, 6) AS value
+FROM v ASOF LEFT JOIN {samples} b ON v.user_id = b.user_id AND v.ts >= b.ts ASOF LEFT JOIN {samples} a ON v.user_id = a.user_id AND v.ts < a.ts {where}"""
+
+
+def _interpolate(edge: str) -> Query:
+    return lambda spark, sf_dir: rounded(asof.interpolate_asof(*_pair(spark, sf_dir), "user_id", "ts", ["value"], edge), "value")
+
+
+for _edge in ("drop", "null", "clamp"):
+    query(f"interpolate_{_edge}", _interpolate_sql(_edge))(_interpolate(_edge))
+
+
+@query("interpolate_valid_samples", _interpolate_sql("null", "n"))
+def _(spark, sf_dir):
+    left, _ = _pair(spark, sf_dir)
+    right = gappy(spark, sf_dir).where("event_type = 'click'").select("user_id", "ts", F.col("x").alias("value"))
+    return rounded(asof.interpolate_asof(left, right, "user_id", "ts", ["value"], "null", skip_null=True, min_points=2, bucket="week"), "value")
+
+
+@query(
+    "snap_to_grid",
+    """WITH b AS (SELECT user_id, date_trunc('minute', min(ts)) - INTERVAL 1 MINUTE * (minute(min(ts)) % 15) AS lo, max(ts) AS hi FROM events GROUP BY 1),
+d AS (SELECT e.user_id, e.event_id, e.value, e.ts, lo, hi, CAST(floor((epoch_us(ts) - epoch_us(lo)) / 900000000.0 + 0.5) AS BIGINT) AS k FROM events e JOIN b USING (user_id)),
+g AS (SELECT *, epoch_us(ts) - epoch_us(lo) - k * 900000000 AS off FROM d)
+SELECT user_id, lo + INTERVAL 15 MINUTE * k AS ts, event_id, value FROM g
+WHERE abs(off) <= 60000000 AND epoch_us(lo) + k * 900000000 <= epoch_us(hi)
+QUALIFY row_number() OVER (PARTITION BY user_id, k ORDER BY abs(off), off, event_id, value) = 1""",
+)
+def _(spark, sf_dir):
+    return asof.snap_to_grid(events(spark, sf_dir).select("user_id", "ts", "event_id", "value"), "user_id", "ts", 15, 60)
+
+
+@query("cross_times", "SELECT d AS day, c_mktsegment AS segment FROM (SELECT DISTINCT date_trunc('month', o_orderdate) AS d FROM orders), (SELECT DISTINCT c_mktsegment FROM customer)")
+def _(spark, sf_dir):
+    days = table(spark, sf_dir, "orders").select(F.date_trunc("month", "o_orderdate").cast("timestamp_ntz").alias("day"))
+    return asof.cross_times(days, table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("segment")), "day", "segment")
+
+
+# orbit mechanics on elements made from lineitem
+
+_ELEMENTS = {
+    "satellite": "concat('G', lpad(cast(l_linenumber AS string), 2, '0'))",
+    "a": "26560000.0 + l_quantity * 100",
+    "e": "0.005 + l_discount / 10",
+    "i0": "0.9 + l_tax",
+    "omega0": "l_extendedprice / 30000.0",
+    "omega": "l_quantity / 20.0",
+    "m0": "l_extendedprice / 40000.0 - 1",
+    "toe": "cast(l_orderkey % 84 AS double) * 7200.0",
+    "delta_n": "4.5e-9",
+    "omega_dot": "-8.0e-9",
+    "idot": "1.0e-10",
+    "cuc": "1.0e-6",
+    "cus": "8.0e-6",
+    "crc": "200.0",
+    "crs": "20.0",
+    "cic": "1.0e-7",
+    "cis": "-5.0e-8",
+    "af0": "l_discount * 1e-4",
+    "af1": "l_tax * 1e-11",
+    "af2": "0.0",
+}
+
+
+def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = {k: F.expr(v) for k, v in _ELEMENTS.items()}
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_shipdate").alias("timestamp"), *(F.coalesce(c.cast("string" if k == "satellite" else "double")).alias(k) for k, c in e.items()))
+
+
+_E_SQL = ", ".join(f"CAST({v.replace('AS string', 'AS VARCHAR')} AS {'VARCHAR' if k == 'satellite' else 'DOUBLE'}) AS {k}" for k, v in _ELEMENTS.items())
+_WRAP = "CASE WHEN {0} > 302400 THEN {0} - 604800 WHEN {0} < -302400 THEN {0} + 604800 ELSE {0} END"
+_DT = "((epoch_us(timestamp) - epoch_us(TIMESTAMP '1980-01-06 00:00:00')) / 1e6) % 604800.0 - toe"
+
+
+def _kepler_ctes(source: str, mean: str, steps: int = 12) -> str:
+    out = f"k0 AS (SELECT *, {mean} AS mean, {mean} AS x0 FROM {source})"
+    for k in range(steps):
+        out += f",\nk{k + 1} AS (SELECT * EXCLUDE (x{k}), x{k} - (x{k} - e * sin(x{k}) - mean) / (1 - e * cos(x{k})) AS x{k + 1} FROM k{k})"
+    return out
+
+
+@query(
+    "kepler",
+    f"""WITH s AS (SELECT l_orderkey, l_linenumber, {_E_SQL} FROM lineitem),
+{_kepler_ctes("s", "m0")}
+SELECT l_orderkey, l_linenumber, round(x12, 9) AS ecc_anom FROM k12""",
+)
+def _(spark, sf_dir):
+    return _elements(spark, sf_dir).select("l_orderkey", "l_linenumber", F.round(eccentric_anomaly(F.col("m0"), F.col("e")), 9).alias("ecc_anom"))
+
+
+@query(
+    "broadcast_position",
+    f"""WITH s AS (SELECT l_orderkey, l_linenumber, l_shipdate AS timestamp, {_E_SQL} FROM lineitem),
+t AS (SELECT *, {_WRAP.format("(" + _DT + ")")} AS tk FROM s),
+{_kepler_ctes("t", "m0 + (sqrt(3.986005e14 / pow(a, 3.0)) + delta_n) * tk")},
+p AS (SELECT *, atan2(sqrt(1 - e * e) * sin(x12), cos(x12) - e) + omega AS phi FROM k12),
+u AS (SELECT *, phi + cus * sin(2 * phi) + cuc * cos(2 * phi) AS uk, a * (1 - e * cos(x12)) + crs * sin(2 * phi) + crc * cos(2 * phi) AS rk,
+  i0 + cis * sin(2 * phi) + cic * cos(2 * phi) + idot * tk AS ik, omega0 + (omega_dot - 7.2921151467e-5) * tk - 7.2921151467e-5 * toe AS node FROM p)
+SELECT l_orderkey, l_linenumber, round(rk * cos(uk) * cos(node) - rk * sin(uk) * cos(ik) * sin(node), 2) AS x_broadcast,
+  round(rk * cos(uk) * sin(node) + rk * sin(uk) * cos(ik) * cos(node), 2) AS y_broadcast, round(rk * sin(uk) * sin(ik), 2) AS z_broadcast FROM u""",
+)
+def _(spark, sf_dir):
+    d = with_position(_elements(spark, sf_dir)).select("l_orderkey", "l_linenumber", "x_broadcast", "y_broadcast", "z_broadcast")
+    return rounded(d, "x_broadcast", "y_broadcast", "z_broadcast", places=2)
+
+
+@query(
+    "broadcast_clock",
+    f"""WITH s AS (SELECT l_orderkey, l_linenumber, l_shipdate AS timestamp, {_E_SQL} FROM lineitem),
+t AS (SELECT *, {_WRAP.format("(" + _DT + ")")} AS dt FROM s),
+{_kepler_ctes("t", "m0 + sqrt(3.986005e14 / pow(a, 3.0)) * dt")}
+SELECT l_orderkey, l_linenumber, round((af0 + af1 * dt + af2 * dt * dt + -4.442807633e-10 * e * sqrt(a) * sin(x12)) * 1e9, 4) AS clock_ns FROM k12""",
+)
+def _(spark, sf_dir):
+    d = with_clock_correction(_elements(spark, sf_dir))
+    return d.select("l_orderkey", "l_linenumber", F.round(F.col("clock_broadcast") * 1e9, 4).alias("clock_ns"))
+
+
+def _vectors() -> tuple[tuple[Column, ...], ...]:
+    c = F.col
+    b = (c("l_extendedprice"), c("l_quantity") * 100, c("l_orderkey").cast("double"))
+    p = (c("l_extendedprice") - c("l_quantity"), c("l_quantity") * 99, c("l_orderkey") + c("l_tax"))
+    v = (c("l_quantity"), c("l_discount") + 1, c("l_tax") - 2)
+    return b, p, v
+
+
+@query(
+    "rac_errors",
+    """WITH s AS (SELECT l_orderkey, l_linenumber, l_quantity AS dx, l_quantity * 100 - l_quantity * 99 AS dy, l_orderkey - (l_orderkey + l_tax) AS dz,
+ l_extendedprice - l_quantity AS px, l_quantity * 99 AS py, l_orderkey + l_tax AS pz, l_quantity AS vx, l_discount + 1 AS vy, l_tax - 2 AS vz FROM lineitem),
+c AS (SELECT *, py * vz - pz * vy AS cx, pz * vx - px * vz AS cy, px * vy - py * vx AS cz FROM s)
+SELECT l_orderkey, l_linenumber, round(sqrt(dx * dx + dy * dy + dz * dz), 5) AS orbit_error, round((dx * px + dy * py + dz * pz) / sqrt(px * px + py * py + pz * pz), 5) AS radial,
+ round((dx * vx + dy * vy + dz * vz) / sqrt(vx * vx + vy * vy + vz * vz), 5) AS along, round((dx * cx + dy * cy + dz * cz) / sqrt(cx * cx + cy * cy + cz * cz), 5) AS across FROM c""",
+)
+def _(spark, sf_dir):
+    b, p, v = _vectors()
+    along, across = E.along_cross_errors(b, p, v)
+    d = table(spark, sf_dir, "lineitem")
+    return d.select("l_orderkey", "l_linenumber", *(F.round(c, 5).alias(n) for c, n in ((E.orbit_error(b, p), "orbit_error"), (E.radial_error(b, p), "radial"), (along, "along"), (across, "across"))))
+
+
+@query("clock_error_join", "SELECT l_orderkey, l_linenumber, round((l_discount - o_totalprice / 1e6) * 1e9, 3) AS clock_error_ns, round(l_tax, 6) AS tax FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'F') ON l_orderkey = o_orderkey")
+def _(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("l_orderkey"), "o_totalprice")
+    d = table(spark, sf_dir, "lineitem").join(o, "l_orderkey", "left")
+    return d.select("l_orderkey", "l_linenumber", F.round(E.clock_error_ns(F.col("l_discount"), F.col("o_totalprice") / 1e6), 3).alias("clock_error_ns"), F.round("l_tax", 6).alias("tax"))
+
+
+# text products written from rows and parsed back
+
+
+@query("parse_clk_lines", "SELECT CASE WHEN event_id % 3 = 0 THEN 'AR' ELSE 'AS' END AS type, concat('U', user_id) AS id, date_trunc('second', ts) AS timestamp, round(round(value, 9), 6) AS clock_bias, CASE WHEN event_id % 5 = 0 THEN 0e0 ELSE 5e-1 END AS std_dev, 2 AS num_values FROM events WHERE event_id % 11 <> 0")
+def _(spark, sf_dir):
+    kind = F.when(F.col("event_id") % 11 == 0, "XX").when(F.col("event_id") % 3 == 0, "AR").otherwise("AS")
+    tail = F.when(F.col("event_id") % 5 == 0, "").otherwise("5.0D-01")
+    line = F.format_string("%s U%d  %s %f  2  %.9f  %s", kind, "user_id", F.date_format(F.col("ts"), "yyyy MM dd HH mm"), F.second("ts").cast("double"), "value", tail)
+    return rounded(clk.parse_clk_lines(events(spark, sf_dir).select(line.alias("value"))), "clock_bias").select("type", "id", "timestamp", "clock_bias", "std_dev", "num_values")
+
+
+@query("parse_sp3", "SELECT date_trunc('second', ts) AS timestamp, concat('G', lpad(CAST(user_id % 100 AS VARCHAR), 2, '0')) AS satellite, round(round(value, 6) * 1000, 3) AS x, round(event_id * 1e3, 3) AS y, -1e3 AS z, CASE WHEN event_id % 4 <> 0 THEN round(0.25e-6 * event_id, 9) END AS clock_bias FROM events WHERE event_id % 13 <> 0")
+def _(spark, sf_dir):
+    clock = F.when(F.col("event_id") % 13 == 0, "bad").when(F.col("event_id") % 4 == 0, "999999.999999").otherwise(F.format_string("%.6f", 0.25 * F.col("event_id")))
+    epoch = F.format_string("*  %s %d.00000000", F.date_format("ts", "yyyy M d H m"), F.second("ts"))
+    text = F.format_string("#cP2025\n%s\nPG%02d %.6f %.6f -1.0 %s\nEOF\n", epoch, F.col("user_id") % 100, "value", F.col("event_id").cast("double"), clock)
+    orbit, bias = sp3.parse_sp3(events(spark, sf_dir).select(F.col("event_id").cast("string").alias("file"), text.alias("value")))
+    d = orbit.join(bias.withColumn("n", F.round("clock_bias", 9)), ["timestamp", "satellite"], "left").dropDuplicates(["timestamp", "satellite", "y"])
+    d = d.where(F.col("n").isNull() | (F.abs(F.col("n") - F.col("y") * 0.25e-9) < 1e-9))
+    return d.select("timestamp", "satellite", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), "z", F.col("n").alias("clock_bias"))
+
+
+@query("parse_nav", f"SELECT satellite, date_trunc('second', l_shipdate) AS timestamp, l_orderkey * 1e0 AS iode, round(a, 0) AS a, round(e, 9) AS e, round(m0, 9) AS m0, toe, round(af0 * 1e9, 6) AS af0_ns, l_linenumber * 1e0 AS iodc FROM (SELECT l_orderkey, l_linenumber, l_shipdate, {_E_SQL} FROM lineitem) WHERE l_linenumber <> 3")
+def _(spark, sf_dir):
+    d = _elements(spark, sf_dir)
+    num = lambda c: F.regexp_replace(F.format_string("%19.12e", c.cast("double")), "e", "D")
+    c, zero = F.col, F.lit(0.0)
+    rows = [
+        [c("l_orderkey"), c("crs"), c("delta_n"), c("m0")], [c("cuc"), c("e"), c("cus"), F.sqrt("a")], [c("toe"), c("cic"), c("omega0"), c("cis")], [c("i0"), c("crc"), c("omega"), c("omega_dot")],
+        [c("idot"), zero, zero, zero], [zero, zero, zero, c("l_linenumber")], [zero, zero],
+    ]
+    head = F.concat(c("satellite"), F.date_format("timestamp", " yyyy MM dd HH mm ss"), *(num(c(f"af{k}")) for k in range(3)))
+    lines = [head, *(F.concat(F.lit("    "), *map(num, r)) for r in rows)]
+    short = F.when(c("l_linenumber") == 3, F.concat_ws("\n", *lines[:5])).otherwise(F.concat_ws("\n", *lines))
+    text = F.concat(F.lit("header END OF HEADER\n"), short, F.lit("\n"))
+    got = nav.parse_nav(d.select(F.lit("f").alias("file"), text.alias("value")))
+    return got.select("satellite", "timestamp", "iode", F.round("a", 0).alias("a"), F.round("e", 9).alias("e"), F.round("m0", 9).alias("m0"), "toe", F.round(F.col("af0") * 1e9, 6).alias("af0_ns"), "iodc")
+
+
+# filters and scalars
+
+
+@query("finite_or", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 0.0 WHEN event_id % 4 = 1 THEN 1.0 WHEN event_id % 4 = 2 THEN -1.0 ELSE value END AS x FROM events")
+def _(spark, sf_dir):
+    k = F.col("event_id") % 4
+    x = F.when(k == 0, float("nan")).when(k == 1, float("inf")).when(k == 2, float("-inf")).otherwise(F.col("value"))
+    return events(spark, sf_dir).select("event_id", finite_or(x).alias("x"))
+
+
+@query("min_rows", "SELECT event_id, user_id FROM events QUALIFY count(*) OVER (PARTITION BY user_id) >= 67")
+def _(spark, sf_dir):
+    return filters.min_rows(events(spark, sf_dir).select("event_id", "user_id"), "user_id", 67)
+
+
+@query("retention", f"SELECT count(*) AS n_before, count(x) AS n_after, count(*) - count(x) AS n_removed, round(100.0 * count(x) / count(*), 6) AS retention_pct FROM {GAPPY}")
+def _(spark, sf_dir):
+    return rounded(filters.retention_report(gappy(spark, sf_dir), ["x"]), "retention_pct")
+
+
+@query("convert_units", "SELECT event_id, round(value / 1000, 9) AS pos_error_km, round(value * 2 / 1000, 9) AS clk_error_us FROM events")
+def _(spark, sf_dir):
+    d = events(spark, sf_dir).select("event_id", F.col("value").alias("pos_error_m"), (F.col("value") * 2).alias("clk_error_ns"))
+    return rounded(filters.convert_units(d), "pos_error_km", "clk_error_us", places=9)
+
+
+@query("bad_clock", "SELECT event_id FROM events WHERE event_id % 6 <> 0")
+def _(spark, sf_dir):
+    d = events(spark, sf_dir).withColumn("clock_bias", F.when(F.col("event_id") % 6 == 0, 0.999999999999).otherwise(F.col("value") * 1e-6 + 2))
+    return filters.drop_bad_clock(d).select("event_id")
+
+
+@query("time_features", "SELECT event_id, round((epoch_us(ts) - epoch_us(TIMESTAMP '1980-01-06 00:00:00')) / 1e6, 3) AS gps_s, CAST(hour(ts) AS INT) AS hour, CAST(day(ts) AS INT) AS day, CAST(dayofyear(ts) AS INT) AS day_of_year, CAST(hour(ts) * 60 + minute(ts) AS INT) AS minute_of_day, round(sin(hour(ts) * 2 * pi() / 24), 9) + 0e0 AS day_sin, round(cos(hour(ts) * 2 * pi() / 24), 9) + 0e0 AS day_cos, CAST((user_id % 100) // 8 AS INT) AS satellite_block FROM events")
+def _(spark, sf_dir):
+    d = events(spark, sf_dir).withColumn("sat", F.format_string("G%02d", F.col("user_id") % 100)).withColumn("gps_s", F.round(gps_seconds(F.col("ts")), 3))
+    d = windows.time_features(d, "ts", "sat")
+    return d.select("event_id", "gps_s", "hour", "day", "day_of_year", "minute_of_day", (F.round("day_sin", 9) + 0.0).alias("day_sin"), (F.round("day_cos", 9) + 0.0).alias("day_cos"), "satellite_block")
+
+
+# profiles
+
+
+@query("dataset_statistics", f"""SELECT count(*) AS total_records, count(DISTINCT user_id) AS unique_keys, min(ts) AS start, max(ts) AS "end", round((epoch_us(max(ts)) - epoch_us(min(ts))) / 3.6e9, 6) AS duration_hours,
+ round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std, min(x) AS min, max(x) AS max, round(quantile_cont(x, 0.5), 6) AS median, round(quantile_cont(x, 0.95), 6) AS percentile_95 FROM {GAPPY}""")
+def _(spark, sf_dir):
+    d = profile.dataset_statistics(gappy(spark, sf_dir), "user_id", "ts", ["x"])
+    return rounded(d.select("total_records", "unique_keys", "start", "end", "duration_hours", "x.*"), "duration_hours", "mean", "std", "median", "percentile_95")
+
+
+@query("key_statistics", f"SELECT user_id, count(*) AS records, round(avg(x), 6) AS x_mean, round(avg(value), 6) AS value_mean FROM {GAPPY} GROUP BY 1")
+def _(spark, sf_dir):
+    return rounded(profile.key_statistics(gappy(spark, sf_dir), "user_id", ["x", "value"]), "x_mean", "value_mean")
+
+
+@query("counts_by", "SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL")
+def _(spark, sf_dir):
+    return profile.counts_by(events(spark, sf_dir), "event_type", F.to_date("ts").alias("day"))
+
+
+_CELLS = "(SELECT 'l_quantity' AS \"column\", l_quantity AS value FROM lineitem UNION ALL SELECT 'l_extendedprice', l_extendedprice FROM lineitem UNION ALL SELECT 'l_discount', CASE WHEN l_linenumber <> 3 THEN l_discount END FROM lineitem)"
+_CELL_COLS = ["l_quantity", "l_extendedprice", "l_discount"]
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").withColumn("l_discount", F.when(F.col("l_linenumber") != 3, F.col("l_discount")))
+
+
+@query("describe", f'SELECT "column", count(value) AS count, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, min(value) AS min, round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.5), 6) AS q50, round(quantile_cont(value, 0.75), 6) AS q75, max(value) AS max FROM {_CELLS} GROUP BY 1')
+def _(spark, sf_dir):
+    return rounded(profile.describe(_cells(spark, sf_dir), _CELL_COLS), "mean", "std", "q25", "q50", "q75")
+
+
+@query("missing", f'SELECT "column", count(*) - count(value) AS n_null, round(100.0 * (count(*) - count(value)) / count(*), 6) AS pct FROM {_CELLS} GROUP BY 1')
+def _(spark, sf_dir):
+    return rounded(profile.missing(_cells(spark, sf_dir), _CELL_COLS), "pct")
+
+
+@query("infinite", "SELECT 'a' AS \"column\", count(*) FILTER (event_id % 9 = 0) AS n_infinite FROM events UNION ALL SELECT 'b', count(*) FILTER (event_id < 0) FROM events")
+def _(spark, sf_dir):
+    d = events(spark, sf_dir).select(F.when(F.col("event_id") % 9 == 0, float("-inf")).otherwise(F.col("value")).alias("a"), F.col("value").alias("b"))
+    return profile.infinite(d, ["a", "b"])
+
+
+@query("ranges", f'SELECT "column", min(value) AS min, max(value) AS max FROM {_CELLS} GROUP BY 1')
+def _(spark, sf_dir):
+    return profile.ranges(_cells(spark, sf_dir), _CELL_COLS)
+
+
+@query("histogram", f"""WITH c AS (SELECT * FROM {_CELLS} WHERE value IS NOT NULL), b AS (SELECT "column", min(value) AS lo, max(value) AS hi FROM c GROUP BY 1),
+k AS (SELECT "column", lo AS l, (hi - lo) / 50 AS w, CAST(least(49, floor((value - lo) / ((hi - lo) / 50))) AS INT) AS bin FROM c JOIN b USING ("column"))
+SELECT "column", bin, round(l + bin * w, 6) AS lo, round(l + (bin + 1) * w, 6) AS hi, count(*) AS n FROM k GROUP BY "column", bin, l, w""")
+def _(spark, sf_dir):
+    return rounded(profile.histogram(_cells(spark, sf_dir), _CELL_COLS), "lo", "hi")
+
+
+@query("correlation", " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS corr FROM (SELECT l_quantity, l_extendedprice, CASE WHEN l_linenumber <> 3 THEN l_discount END AS l_discount FROM lineitem)" for a in _CELL_COLS for b in _CELL_COLS))
+def _(spark, sf_dir):
+    return rounded(profile.correlation(_cells(spark, sf_dir), _CELL_COLS), "corr")
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
 
+_IQR = f'(SELECT "column", quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.75) AS q75 FROM {_CELLS} GROUP BY 1)'
 
+
+@query("iqr_outliers", f"""WITH b AS (SELECT *, q25 - 0.6 * (q75 - q25) AS lower, q75 + 0.6 * (q75 - q25) AS upper FROM {_IQR}),
+c AS (SELECT b.*, value, value < lower OR value > upper AS o FROM {_CELLS} JOIN b USING ("column") WHERE value IS NOT NULL)
+SELECT "column", round(q25, 6) AS q25, round(q75, 6) AS q75, round(lower, 6) AS lower, round(upper, 6) AS upper, count(*) FILTER (o) AS n_outliers, round(100.0 * count(*) FILTER (o) / count(*), 6) AS pct, min(value) AS min, max(value) AS max,
+ min(value) FILTER (o) AS outlier_min, max(value) FILTER (o) AS outlier_max FROM c GROUP BY ALL""")
+def _(spark, sf_dir):
+    return rounded(profile.iqr_report(_cells(spark, sf_dir), _CELL_COLS, 0.6), "q25", "q75", "lower", "upper", "pct")
+
+
+@query("flag_outliers", """WITH q AS (SELECT quantile_cont(l_quantity, 0.25) AS a, quantile_cont(l_quantity, 0.75) AS b, quantile_cont(l_extendedprice, 0.25) AS c, quantile_cont(l_extendedprice, 0.75) AS d FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_quantity < a - 0.4 * (b - a) OR l_quantity > b + 0.4 * (b - a) OR l_extendedprice < c - 0.4 * (d - c) OR l_extendedprice > d + 0.4 * (d - c) AS has_outlier FROM lineitem, q""")
+def _(spark, sf_dir):
+    d = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    return profile.flag_outliers(d, ["l_quantity", "l_extendedprice"], 0.4).select("l_orderkey", "l_linenumber", "has_outlier")
+
+
+@query("bucket_share", """SELECT CASE WHEN l_tax = 0 THEN '0' WHEN l_tax <= 0.02 THEN '(0, 0.02]' WHEN l_tax <= 0.04 THEN '(0.02, 0.04]' WHEN l_tax <= 0.06 THEN '(0.04, 0.06]' ELSE '> 0.06' END AS bucket, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM lineitem GROUP BY 1""")
+def _(spark, sf_dir):
+    return rounded(profile.bucket_share(table(spark, sf_dir, "lineitem"), "l_tax", [0.02, 0.04, 0.06]), "pct")
+
+
+@query("sample_per_value", """WITH f AS (SELECT l_tax, min((l_orderkey, l_linenumber)) AS k FROM lineitem GROUP BY 1 ORDER BY k LIMIT 5)
+SELECT l_tax, l_orderkey, l_linenumber FROM lineitem WHERE l_tax IN (SELECT l_tax FROM f) QUALIFY row_number() OVER (PARTITION BY l_tax ORDER BY l_orderkey, l_linenumber) <= 2""")
+def _(spark, sf_dir):
+    d = table(spark, sf_dir, "lineitem").select("l_tax", "l_orderkey", "l_linenumber")
+    return profile.sample_per_value(d, "l_tax", ["l_orderkey", "l_linenumber"], 5, 2)
+
+
+@query("file_line_counts", "SELECT source AS file, count(*) AS n_lines, count(*) FILTER (regexp_matches(text, '^[A-E]')) AS early, count(*) FILTER (regexp_matches(text, '[0-9]')) AS digits FROM documents GROUP BY 1")
+def _(spark, sf_dir):
+    return profile.file_line_counts(table(spark, sf_dir, "documents").select(F.col("source").alias("file"), F.col("text").alias("value")), {"early": "^[A-E]", "digits": "[0-9]"})
+
+
+@query("utilisation", """WITH u AS (SELECT count(*) AS rows, count(DISTINCT user_id) AS n_keys, count(DISTINCT CAST(ts AS DATE)) AS n_days FROM events)
+SELECT rows, n_keys, n_days, round(rows / n_days, 6) AS rows_per_day, round(rows / n_days / n_keys, 6) AS rows_per_key_day, round(100 * rows / n_days / n_keys / 96.0, 6) AS pct_of_expected FROM u""")
+def _(spark, sf_dir):
+    return rounded(profile.utilisation(events(spark, sf_dir), "user_id", "ts"), "rows_per_day", "rows_per_key_day", "pct_of_expected")
+
+
+@query("coverage", """WITH w AS (SELECT * FROM (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events), (SELECT DISTINCT event_type AS product FROM events))
+SELECT day, product, EXISTS (SELECT 1 FROM events e WHERE CAST(e.ts AS DATE) = w.day AND e.event_type = w.product AND e.value > 190) AS present FROM w""")
+def _(spark, sf_dir):
+    e = events(spark, sf_dir).select(F.to_date("ts").alias("day"), F.col("event_type").alias("product"), "value")
+    return profile.coverage(e.where("value > 190"), asof.cross_times(e, e, "day", "product"))
+
+
+@query("quality_report", f"SELECT count(*) AS n_rows, CAST(7 AS INT) AS n_columns, count(DISTINCT user_id) AS n_keys, count(x) = count(*) AS critical_complete, count(DISTINCT (user_id, ts)) = count(*) AS monotonic FROM {GAPPY}")
+def _(spark, sf_dir):
+    return profile.quality_report(gappy(spark, sf_dir), "user_id", "ts", ["x"])
+
+
+@query("same_keys", "SELECT user_id, 'left' AS side FROM (SELECT user_id FROM events WHERE event_type = 'view' EXCEPT SELECT user_id FROM events WHERE event_type = 'error') UNION ALL SELECT user_id, 'right' FROM (SELECT user_id FROM events WHERE event_type = 'error' EXCEPT SELECT user_id FROM events WHERE event_type = 'view')")
+def _(spark, sf_dir):
+    e = events(spark, sf_dir)
+    return profile.same_keys(e.where("event_type = 'view'"), e.where("event_type = 'error'"), "user_id")
+
+
+# windows
+
+_W = "OVER (PARTITION BY user_id ORDER BY ts, event_id"
+_ROLL = f"""SELECT event_id, round(avg(value) {_W} ROWS BETWEEN 11 PRECEDING AND CURRENT ROW), 6) AS value_ma, round(coalesce(stddev_samp(value) {_W} ROWS BETWEEN 11 PRECEDING AND CURRENT ROW), 0), 6) AS value_std,
+ round(coalesce(value - lag(value) {_W}), 0), 6) AS value_diff FROM events"""
+
+
+def _rolling(bucket: str | None) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        d = windows.rolling_stats(events(spark, sf_dir), "user_id", ON, ["value"], 12, bucket)
+        return rounded(d.select("event_id", "value_ma", "value_std", "value_diff"), "value_ma", "value_std", "value_diff")
+
+    return run
+
+
+query("rolling_stats", _ROLL)(_rolling(None))
+query("rolling_stats_bucketed", _ROLL)(_rolling("week"))
+
+
+@query("adaptive_rolling", f"""WITH n AS (SELECT *, greatest(1, least(12, count(*) OVER (PARTITION BY user_id) // 4)) AS k, list(value) {_W} ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS l FROM events)
+SELECT event_id, round(list_avg(list_slice(l, greatest(1, len(l) - k + 1), len(l))), 6) AS value_ma, round(coalesce(list_stddev_samp(list_slice(l, greatest(1, len(l) - k + 1), len(l))), 0), 6) AS value_std FROM n""")
+def _(spark, sf_dir):
+    d = windows.adaptive_rolling(events(spark, sf_dir), "user_id", ON, ["value"])
+    return rounded(d.select("event_id", "value_ma", "value_std"), "value_ma", "value_std")
+
+
+@query("fill_gaps", f"""WITH d AS (SELECT event_id, user_id, min(ts) OVER (PARTITION BY user_id, ts) AS ts, x FROM {GAPPY} QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id) = 1),
+p AS (SELECT *, last_value(CASE WHEN x IS NOT NULL THEN ts END IGNORE NULLS) OVER a AS t0, last_value(x IGNORE NULLS) OVER a AS v0, first_value(CASE WHEN x IS NOT NULL THEN ts END IGNORE NULLS) OVER b AS t1, first_value(x IGNORE NULLS) OVER b AS v1 FROM d
+ WINDOW a AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT event_id, round(CASE WHEN x IS NOT NULL THEN x WHEN v0 IS NULL THEN v1 WHEN v1 IS NULL THEN v0 ELSE v0 + (v1 - v0) * (epoch_us(ts) - epoch_us(t0)) / (epoch_us(t1) - epoch_us(t0)) END, 6) AS x FROM p""")
+def _(spark, sf_dir):
+    one = gappy(spark, sf_dir).groupBy("user_id", "ts").agg(F.min_by(F.struct("event_id", "x"), "event_id").alias("r")).select("user_id", "ts", "r.*")
+    return rounded(windows.fill_gaps(one, "user_id", "ts", ["x"]).select("event_id", "x"), "x")
+
+
+@query("tail", "SELECT event_id, user_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5")
+def _(spark, sf_dir):
+    return windows.tail(events(spark, sf_dir).select("event_id", "user_id", "ts", "value"), "user_id", ON, 5).select("event_id", "user_id", "value")
+
+
+@query("not_monotonic", "SELECT user_id, n FROM (SELECT user_id, count(*) FILTER (ts <= before) AS n FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) GROUP BY 1) WHERE n > 0")
+def _(spark, sf_dir):
+    return windows.not_monotonic(events(spark, sf_dir), "user_id", "ts", ["event_id"])
+
+
+def _window_sql(lookback: int, horizon: int, stride: int) -> str:
+    ahead = f"ROWS BETWEEN {lookback} FOLLOWING AND {lookback + horizon - 1} FOLLOWING"
+    here = f"ROWS BETWEEN CURRENT ROW AND {lookback - 1} FOLLOWING"
+    return f"""SELECT user_id, window_start, n_x, round(sum_x, 4) AS sum_x, n_y, round(sum_y, 4) AS sum_y FROM (SELECT user_id, ts AS window_start, row_number() {_W}) AS k, CAST(2 * count(*) {_W} {here}) AS INT) AS n_x,
+ sum(value + event_id) {_W} {here}) AS sum_x, CAST(count(*) {_W} {ahead}) AS INT) AS n_y, sum(value) {_W} {ahead}) AS sum_y FROM events) WHERE (k - 1) % {stride} = 0 AND n_y = {horizon}"""
+
+
+def _windows(lookback: int, horizon: int, stride: int) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        d = sequences.make_windows(events(spark, sf_dir), "user_id", ON, ["value", "event_id"], ["value"], lookback, horizon, stride)
+        total = lambda c: F.round(F.aggregate(F.flatten(c), F.lit(0.0), lambda a, v: a + v), 4)
+        return d.select("user_id", "window_start", F.size(F.flatten("x")).alias("n_x"), total("x").alias("sum_x"), F.size(F.flatten("y")).alias("n_y"), total("y").alias("sum_y"))
+
+    return run
+
+
+for _l, _h, _s in ((36, 4, 2), (12, 1, 1)):
+    query(f"windows_{_l}_{_h}_{_s}", _window_sql(_l, _h, _s))(_windows(_l, _h, _s))
+
+
+@query("nested_windows", f"SELECT user_id, ts AS window_start, CAST(120 AS INT) AS n, round(s, 4) AS sum_x FROM (SELECT user_id, ts, row_number() {_W}) AS k, count(*) OVER (PARTITION BY user_id) AS n, " + " + ".join(f"sum(value) {_W} ROWS BETWEEN {j} FOLLOWING AND {j + 11} FOLLOWING)" for j in range(10)) + " AS s FROM events) WHERE k <= n - 12 - 9")
+def _(spark, sf_dir):
+    w = sequences.make_windows(events(spark, sf_dir), "user_id", ON, ["value"], ["value"], 12, 1)
+    d = sequences.flat(sequences.nested_windows(w, "user_id", 10))
+    return d.select("user_id", "window_start", F.size("x").alias("n"), F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + v), 4).alias("sum_x"))
+
+
+@query("windows_complete", f"SELECT user_id, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM (SELECT user_id, count(*) {_W} ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS n_all, count(x) {_W} ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS n_x FROM {GAPPY}) WHERE n_all = 6 AND n_x = 6 GROUP BY 1")
+def _(spark, sf_dir):
+    w = sequences.make_windows(gappy(spark, sf_dir), "user_id", ON, ["x"], ["x"], 5, 1)
+    return rounded(sequences.windows_per_key(sequences.drop_incomplete(w), "user_id"), "pct")
+
+
+# preparation
+
+_SCALE = {
+    "standard": ("avg(value)", "stddev_pop(value)"),
+    "minmax": ("min(value)", "max(value) - min(value)"),
+    "robust": ("quantile_cont(value, 0.5)", "quantile_cont(value, 0.75) - quantile_cont(value, 0.25)"),
+}
+
+
+def _scaler(kind: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = events(spark, sf_dir).withColumn("one", F.lit(1.0))
+        params = prep.fit_scaler(e, ["value", "one"], kind)
+        scaled = prep.transform(e, params, ["value", "one"], "_s")
+        return rounded(scaled.select("event_id", "value_s", "one_s"), "value_s", "one_s")
+
+    return run
+
+
+for _kind, (_c, _d) in _SCALE.items():
+    query(f"scaler_{_kind}", f"SELECT event_id, round((value - c) / CASE WHEN s = 0 THEN 1 ELSE s END, 6) AS value_s, 0e0 AS one_s FROM events, (SELECT {_c} AS c, {_d} AS s FROM events)")(_scaler(_kind))
+
+
+@query("scaler_inverse", "SELECT event_id, round(value, 6) AS value FROM events")
+def _(spark, sf_dir):
+    e = events(spark, sf_dir)
+    params = prep.fit_scaler(e, ["value"], "robust")
+    return rounded(prep.inverse(prep.transform(e, params, ["value"]), params, ["value"]).select("event_id", "value"), "value")
+
+
+@query("scaling_check", "SELECT 0e0 AS mean, 1e0 AS std, round(min(z), 6) AS min, round(max(z), 6) AS max, CAST(0 AS BIGINT) AS n_nan, CAST(0 AS BIGINT) AS n_infinite, true AS ok FROM (SELECT (value - avg(value) OVER ()) / stddev_pop(value) OVER () AS z FROM events)")
+def _(spark, sf_dir):
+    e = events(spark, sf_dir)
+    d = prep.scaling_check(prep.transform(e, prep.fit_scaler(e, ["value"]), ["value"]), ["value"])
+    return rounded(d, "std", "min", "max").withColumn("mean", F.round("mean", 6) + 0.0)
+
+
+@query("label_encoding", "SELECT event_id, CAST(dense_rank() OVER (ORDER BY event_type) - 1 AS INT) AS type_id, CASE WHEN event_type = 'view' THEN 1e0 ELSE 0e0 END AS type_view FROM events")
+def _(spark, sf_dir):
+    e = events(spark, sf_dir)
+    labels = prep.fit_labels(e, "event_type")
+    return prep.one_hot(prep.encode_labels(e, labels, "event_type", "type_id"), labels, "event_type", "type_").select("event_id", "type_id", "type_view")
+
+
+@query("split_fraction", "SELECT event_id, CASE WHEN k <= floor(n * 0.7 + 1e-9) THEN 'train' WHEN k <= floor(n * 0.85 + 1e-9) THEN 'val' ELSE 'test' END AS split FROM (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS k, count(*) OVER () AS n FROM events)")
+def _(spark, sf_dir):
+    return prep.split_fraction(events(spark, sf_dir), "ts", "event_id", [0.7, 0.15, 0.15], ["train", "val", "test"]).select("event_id", "split")
+
+
+@query("split_last_day", "SELECT event_id, CASE WHEN CAST(ts AS DATE) = (SELECT max(CAST(ts AS DATE)) FROM events) THEN 'test' ELSE 'train' END AS split FROM events")
+def _(spark, sf_dir):
+    return prep.split_last_day(events(spark, sf_dir), "ts").select("event_id", "split")
+
+
+@query("split_random")
+def _(spark, sf_dir):
+    return prep.split_random(events(spark, sf_dir), ["event_id"], 0.2, 42).select("event_id", "split")
+
+
+@query("augment_noise")
+def _(spark, sf_dir):
+    return prep.augment_noise(events(spark, sf_dir).select("event_id", "value"), ["value"], 0.005, keys=["event_id"])
+
+
+# evaluation: a value is forecast by the one before it
+
+
+def _forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = forecast.persistence(events(spark, sf_dir), "user_id", ON, "value")
+    return d.select("event_id", F.col("event_type").alias("feature"), (F.col("event_id") % 5 + 1).cast("int").alias("step"), "y", "y_hat")
+
+
+_F = f"(SELECT event_id, event_type AS feature, CAST(event_id % 5 + 1 AS INT) AS step, value AS y, lag(value) {_W}) AS y_hat FROM events QUALIFY y_hat IS NOT NULL)"
+_M = """count(*) AS n, round(avg(abs(y_hat - y)), 6) AS mae, round(avg((y_hat - y) ** 2), 5) AS mse, round(sqrt(avg((y_hat - y) ** 2)), 6) AS rmse, round(1 - sum((y_hat - y) ** 2) / (var_pop(y) * count(*)), 6) AS r2,
+ round(100 * avg(abs(y_hat - y) / greatest(abs(y), 1.0)), 5) AS mape, round((var_pop(y) - avg((y_hat - y) ** 2)) / var_pop(y) * 100, 5) AS gain_pct"""
+
+
+def _metric_columns(d: DataFrame, by: list[str]) -> DataFrame:
+    d = d.select(*by, "n", "mae", "mse", "rmse", "r2", "mape", "gain_pct")
+    return rounded(rounded(d, "mae", "rmse", "r2"), "mse", "mape", "gain_pct", places=5)
+
+
+@query("metrics", f"SELECT feature, {_M} FROM {_F} GROUP BY 1")
+def _(spark, sf_dir):
+    return _metric_columns(evaluate.metrics(_forecasts(spark, sf_dir), ["feature"], eps=1.0), ["feature"])
+
+
+@query("horizon_metrics", f"SELECT CASE step WHEN 1 THEN '15min' WHEN 2 THEN '30min' WHEN 4 THEN '1hr' END AS horizon, feature, round(avg(abs(y_hat - y)), 6) AS mae, round(sqrt(avg((y_hat - y) ** 2)), 6) AS rmse, round(coalesce(1 - sum((y_hat - y) ** 2) / nullif(var_pop(y) * count(*), 0), 0), 6) AS r2 FROM {_F} WHERE step IN (1, 2, 4) GROUP BY 1, 2")
+def _(spark, sf_dir):
+    return rounded(evaluate.horizon_metrics(_forecasts(spark, sf_dir)).select("horizon", "feature", "mae", "rmse", "r2"), "mae", "rmse", "r2")
+
+
+@query("residual_moments", f"""WITH r AS (SELECT feature, y_hat - y AS r, avg(y_hat - y) OVER (PARTITION BY feature) AS m FROM {_F})
+SELECT feature, count(*) AS n, round(avg(r), 6) AS mean, round(sqrt(avg((r - m) ** 2)), 6) AS std, round(avg((r - m) ** 3) / pow(avg((r - m) ** 2), 1.5), 5) AS skewness, round(avg((r - m) ** 4) / pow(avg((r - m) ** 2), 2) - 3, 5) AS kurtosis FROM r GROUP BY 1""")
+def _(spark, sf_dir):
+    return rounded(rounded(evaluate.residual_moments(_forecasts(spark, sf_dir), ["feature"]), "mean", "std"), "skewness", "kurtosis", places=5)
+
+
+@query("anderson_darling")
+def _(spark, sf_dir):
+    return evaluate.anderson_darling(_forecasts(spark, sf_dir).withColumn("r", F.col("y_hat") - F.col("y")), ["feature"])
+
+
+@query("shapiro_wilk")
+def _(spark, sf_dir):
+    return evaluate.shapiro_wilk(_forecasts(spark, sf_dir).withColumn("r", F.col("y_hat") - F.col("y")), ["feature"], ["event_id"])
+
+
+_T = f"""q AS (SELECT feature, quantile_cont(y, 0.33) AS a, quantile_cont(y, 0.66) AS b FROM {_F} GROUP BY 1),
+t AS (SELECT f.feature, CASE WHEN y <= a THEN 'low' WHEN y <= b THEN 'medium' ELSE 'high' END AS t, CASE WHEN y_hat <= a THEN 'low' WHEN y_hat <= b THEN 'medium' ELSE 'high' END AS p FROM {_F} f JOIN q USING (feature))"""
+
+
+@query("confusion", f"WITH {_T} SELECT feature, t AS true_class, count(*) FILTER (p = 'low') AS low, count(*) FILTER (p = 'medium') AS medium, count(*) FILTER (p = 'high') AS high FROM t GROUP BY 1, 2")
+def _(spark, sf_dir):
+    return evaluate.confusion(evaluate.tercile_classes(_forecasts(spark, sf_dir), ["feature"]), ["feature"])
+
+
+@query("class_report", f"""WITH {_T}, c AS (SELECT feature, t AS class, count(*) AS support, count(*) FILTER (t = p) AS hit FROM t GROUP BY 1, 2), s AS (SELECT feature, p AS class, count(*) AS said FROM t GROUP BY 1, 2)
+SELECT feature, class, round(hit / said, 6) AS precision, round(hit / support, 6) AS recall, round(2.0 * hit / (said + support), 6) AS f1, support FROM c JOIN s USING (feature, class)
+UNION ALL SELECT feature, 'accuracy', round(sum(hit) / sum(support), 6), round(sum(hit) / sum(support), 6), round(sum(hit) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM c GROUP BY 1""")
+def _(spark, sf_dir):
+    d = evaluate.class_report(evaluate.tercile_classes(_forecasts(spark, sf_dir), ["feature"]), ["feature"])
+    return rounded(d.where("class not in ('macro avg', 'weighted avg')"), "precision", "recall", "f1")
+
+
+@query("within_tolerance", f"SELECT feature, count(*) AS n, round(100.0 * count(*) FILTER (abs(y_hat - y) <= 0.05 * abs(y)) / count(*), 6) AS pct_within FROM {_F} GROUP BY 1")
+def _(spark, sf_dir):
+    return rounded(evaluate.within_tolerance(_forecasts(spark, sf_dir), ["feature"]), "pct_within")
+
+
+# forecasts
+
+
+@query("multi_horizon_targets", f"SELECT event_id, CAST(s AS INT) AS step, target FROM (" + " UNION ALL ".join(f"SELECT event_id, {s} AS s, lead(value, {s}) {_W}) AS target FROM events" for s in (1, 2, 4, 8, 16, 32)) + ") WHERE target IS NOT NULL")
+def _(spark, sf_dir):
+    d = forecast.multi_horizon_targets(events(spark, sf_dir).select("event_id", "user_id", "ts", "value"), "user_id", ON, "value", [1, 2, 4, 8, 16, 32])
+    return d.select("event_id", "step", "target")
+
+
+def _last_value(x):
+    return x[:, -1, :1]
+
+
+@query("recursive_forecast", "SELECT user_id, h.horizon, CAST(h.n AS BIGINT) AS n, v AS first, v AS last FROM (SELECT user_id, arg_max(value, (ts, event_id)) AS v FROM events GROUP BY 1 HAVING count(*) >= 36), (VALUES ('15min', 1), ('1hr', 4), ('24hr', 96)) h(horizon, n)")
+def _(spark, sf_dir):
+    """Persistence as the model: every step repeats the last value, so SQL can tell the result."""
+    roll = forecast.recursive_forecast(events(spark, sf_dir), "user_id", ON, ["value"], 1, _last_value, 96).where("error is null")
+    d = forecast.by_horizon(roll, {"15min": 1, "1hr": 4, "24hr": 96})
+    return d.groupBy("user_id", "horizon").agg(F.count("*").alias("n"), F.min_by("y_hat", "step").alias("first"), F.max_by("y_hat", "step").alias("last"))
+
+
+@query("enough_history", "SELECT user_id, count(*) AS n, CASE WHEN count(*) < 60 THEN 'Need at least 60 data points' END AS error, round(least(0.95, 0.7 + count(*) / 100.0 * 0.25), 6) AS score, CASE WHEN least(0.95, 0.7 + count(*) / 100.0 * 0.25) > 0.85 THEN 'High' WHEN least(0.95, 0.7 + count(*) / 100.0 * 0.25) > 0.7 THEN 'Medium' ELSE 'Low' END AS level FROM events GROUP BY 1")
+def _(spark, sf_dir):
+    score, level = forecast.confidence(F.col("n"))
+    return forecast.enough_history(events(spark, sf_dir), "user_id", 60).select("user_id", "n", "error", F.round(score, 6).alias("score"), level.alias("level"))
+
+
+@query("regression_baseline")
+def _(spark, sf_dir):
+    d = forecast.lag_features(events(spark, sf_dir), "user_id", ON, "value", 3)
+    parts = prep.split_last_day(d, "ts")
+    out = forecast.regression_baseline(parts.where("split = 'train'"), parts.where("split = 'test'"), ["lag_1", "lag_2", "lag_3"], "value")
+    return out.select("event_id", "value", "y_hat")
+
+
+@query("features_and_statistics", f"SELECT user_id, count(*) AS n, round(avg(value_ma), 5) AS mean_ma, round(max(value_std), 5) AS max_std, round(avg(value), 6) AS value_mean FROM (SELECT user_id, value, avg(value) {_W} ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS value_ma, coalesce(stddev_samp(value) {_W} ROWS BETWEEN 11 PRECEDING AND CURRENT ROW), 0) AS value_std FROM events) GROUP BY 1")
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").count()
+    """Rolling features of each series and their summary by key."""
+    d = windows.rolling_stats(events(spark, sf_dir), "user_id", ON, ["value"], 12)
+    out = d.groupBy("user_id").agg(F.count("*").alias("n"), F.avg("value_ma").alias("mean_ma"), F.max("value_std").alias("max_std"), F.avg("value").alias("value_mean"))
+    return rounded(rounded(out, "mean_ma", "max_std", places=5), "value_mean")
+
