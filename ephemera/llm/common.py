@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -137,6 +138,16 @@ def flushes(batches: Iterable[pa.RecordBatch], text: str, limit: int) -> Iterato
                 held, size = [], 0
     if held:
         yield pa.Table.from_batches(held)
+    held = []
+    release_memory()
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: worker processes live on, and share an executor's memory with others."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def offsets_of(counts: np.ndarray) -> np.ndarray:

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from ephemera.llm.common import flushes, free_name, offsets_of, ragged, texts_of
 from ephemera.llm.fm_index import FMIndex
 
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 BLOCK_BYTES = 16 << 20  # benchmark text that is broadcast at once
 _FOLD = bytes(b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")

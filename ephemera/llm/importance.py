@@ -16,7 +16,7 @@ BUCKETS = 1 << 15  # of word 1-grams and 2-grams together, and again of characte
 LABELS = 20_000  # labelled rows of each kind that may be used, chosen by hash
 FALSE_REJECTS = 0.005  # of labelled good documents, at most
 TEMPERATURE = 0.02  # Gumbel noise, in standard deviations of the scores of good documents
-FLUSH_BYTES = 8 << 20
+FLUSH_BYTES = 2 << 20
 #: Character classes: letters by case, digits, white space, line ends, other ASCII marks one by one, the rest.
 _CLASS = np.array(
     [1 if 65 <= b <= 90 else 2 if 97 <= b <= 122 or b >= 0x80 else 3 if 48 <= b <= 57 else 4 if b == 10 else 5 if b in (9, 11, 12, 13, 32) else 6 + b % 32 if b >= 32 else 0 for b in range(256)],

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ephemera.llm.common import flushes, offsets_of, ragged, texts_of
 
-FLUSH_BYTES = 8 << 20
+FLUSH_BYTES = 4 << 20
 SENTENCE = 1.0  # cost of a cut after a sentence inside a document, in padded tokens
 TRUNCATION = 4.0  # cost of a cut elsewhere
 GAP = 24  # where no sentence ends for longer, cuts may fall at this distance
@@ -31,7 +31,7 @@ class Encoder:
     up to the next, commas and full stops apart); other texts and texts with special strings are encoded whole.
     """
 
-    limit = 500_000
+    limit = 350_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

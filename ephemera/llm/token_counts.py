@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from ephemera.llm.common import checkpointed, flushes, free_name, offsets_of, texts_of
 
 HEAD = 250_000  # pre-tokens that are broadcast
-FLUSH_BYTES = 8 << 20
+FLUSH_BYTES = 4 << 20
 #: Latin-1 characters whose lower case, composition and white space are the same in Python and in the library.
 _PLAIN = bytes([9, 10, 13, *range(32, 127), *range(0xA1, 0x100)])
 
