@@ -3,7 +3,7 @@
 One engine serves them all.  Samples become intervals (each with its successor), samples and targets are sorted
 together once per key, and each target takes the last interval that began at or before it.  That is one exchange and
 one sort, linear in the rows.  Keys are few and long, so ``bucket`` cuts the time line: each (key, bucket) is a task of
-its own, and the interval that is open where a bucket begins is carried in by a window over one row per bucket.
+its own, and the interval that is open where a bucket begins is carried in as a row of its own.
 """
 
 from __future__ import annotations
@@ -36,30 +36,33 @@ def bracket(left: DataFrame, right: DataFrame, by: str | list[str], on: str, val
     """
     by = [by] if isinstance(by, str) else by
     samples = _intervals(right.dropna(subset=by), by, on, values)
-    first = samples.groupBy(*by).agg(F.min(F.struct("t0", "ts0", "v0")).alias("f"))
+    whole = F.struct("t0", "ts0", "v0", "t1", "ts1", "v1")
+    kind = samples.select(whole.alias("b")).schema["b"].dataType
     null = lambda c: F.lit(None).cast(samples.schema[c].dataType)
-    seed = first.select(*by, F.lit(-(2**62)).alias("t"), F.struct(null("t0").alias("t0"), null("ts0").alias("ts0"), null("v0").alias("v0"), F.col("f.t0").alias("t1"), F.col("f.ts0").alias("ts1"), F.col("f.v0").alias("v1")).alias("b"))
-    known = samples.select(*by, F.col("t0").alias("t"), F.struct("t0", "ts0", "v0", "t1", "ts1", "v1").alias("b")).unionByName(seed)
+    before = F.struct(null("t0").alias("t0"), null("ts0").alias("ts0"), null("v0").alias("v0"), F.col("f.t0").alias("t1"), F.col("f.ts0").alias("ts1"), F.col("f.v0").alias("v1")).cast(kind)
+    edges = samples.groupBy(*by).agg(F.min(F.struct("t0", "ts0", "v0")).alias("f"), F.max_by(whole, "t0").alias("after")).select(*by, before.alias("before"), "after")
     row = F.struct(*(F.col(f"`{c}`") for c in left.columns))
-    asked = left.select(*by, micros(F.col(on)).alias("t"), row.alias("row"))
-    both = known.select(*by, "t", "b", F.lit(None).cast(asked.schema["row"].dataType).alias("row"), F.lit(0).alias("kind")).unionByName(
-        asked.select(*by, "t", F.lit(None).cast(known.schema["b"].dataType).alias("b"), "row", F.lit(1).alias("kind"))
-    )
+    asked = left.select(*by, micros(F.col(on)).alias("t"), F.lit(None).cast(kind).alias("b"), row.alias("row"), F.lit(1).alias("kind"))
+    no_row = F.lit(None).cast(asked.schema["row"].dataType).alias("row")
+    known = samples.select(*by, F.col("t0").alias("t"), whole.alias("b"), no_row, F.lit(0).alias("kind"))
     if bucket is None:
+        seed = edges.select(*by, F.lit(-(2**62)).alias("t"), F.col("before").alias("b"), no_row, F.lit(-1).alias("kind"))
+        both = known.unionByName(seed).unionByName(asked)
         w = Window.partitionBy(*by).orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
-        open_ = F.last("b", ignorenulls=True).over(w)
+        out = both.withColumn("open", F.last("b", ignorenulls=True).over(w)).where("kind = 1")
     else:
-        both = both.withColumn("k", F.floor(F.col("t") / _BUCKETS[bucket]))
-        ends = both.groupBy(*by, "k").agg(F.max_by("b", F.when(F.col("kind") == 0, F.col("t"))).alias("end"))
-        carried = ends.select(*by, "k", F.last("end", ignorenulls=True).over(Window.partitionBy(*by).orderBy("k").rowsBetween(Window.unboundedPreceding, -1)).alias("carry"))
-        carried = carried.select(*(F.col(c).alias(f"__c{i}") for i, c in enumerate([*by, "k"])), "carry")
-        same = F.lit(True)
-        for i, c in enumerate([*by, "k"]):
-            same = same & F.col(f"__c{i}").eqNullSafe(F.col(c))
-        both = both.join(carried, same)
+        # an interval is carried to the start of every period that it reaches into; what lies before the first or in
+        # periods after the last sample takes the key's first or last interval
+        size = _BUCKETS[bucket]
+        period = lambda c: F.floor(c / size)
+        reach = samples.where(period(F.col("t1")) > period(F.col("t0"))).withColumn("k", F.explode(F.sequence(period(F.col("t0")) + 1, period(F.col("t1")))))
+        carried = reach.select(*by, (F.col("k") * size).alias("t"), whole.alias("b"), no_row, F.lit(-1).alias("kind"))
+        both = known.unionByName(carried).unionByName(asked).withColumn("k", period(F.col("t")))
         w = Window.partitionBy(*by, "k").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
-        open_ = F.coalesce(F.last("b", ignorenulls=True).over(w), F.col("carry"))
-    out = both.withColumn("open", open_).where("kind = 1")
+        out = both.withColumn("open", F.last("b", ignorenulls=True).over(w)).where("kind = 1")
+        out = out.join(edges, by, "left")
+        edge = F.when(F.col("t") < F.col("before.t1"), F.col("before")).otherwise(F.col("after"))
+        out = out.withColumn("open", F.coalesce("open", edge))
     return out.select("row.*", F.when(F.col("t").isNotNull(), F.col("open")).alias("__b"))
 
 

@@ -11,9 +11,11 @@ from ephemera.operators.asof import cross_times, interpolate_asof, nearest_asof
 
 
 def ephemeris_at(nav: DataFrame, targets: DataFrame, tolerance_h: float = 2.0, how: str = "inner", bucket: str | None = None) -> DataFrame:
-    """(satellite, timestamp) rows with the nearest ephemeris within ``tolerance_h`` and its age in hours."""
-    nav = nav.dropDuplicates(["satellite", "timestamp"]) if "epoch" not in nav.columns else nav.drop("epoch").dropDuplicates(["satellite", "timestamp"])
-    found = nearest_asof(targets, nav, "satellite", "timestamp", tolerance_h * 3600, how, bucket=bucket)
+    """(satellite, timestamp) rows with the nearest ephemeris within ``tolerance_h`` and its age in hours.
+
+    Daily files repeat ephemerides: of several for one satellite and time the one with the least values is taken.
+    """
+    found = nearest_asof(targets, nav.drop("epoch"), "satellite", "timestamp", tolerance_h * 3600, how, bucket=bucket)
     return found.withColumn("ephemeris_age", F.col("age_s") / 3600).drop("age_s", "timestamp_right")
 
 

@@ -15,6 +15,7 @@ from ephemera.functions import errors as E
 from ephemera.functions.orbit import eccentric_anomaly, with_clock_correction, with_position
 from ephemera.functions.scalars import finite_or, gps_seconds
 from ephemera.operators import asof, evaluate, filters, forecast, prep, profile, sequences, windows
+from ephemera.operators.states import broadcast_states, error_dataset
 from ephemera.sources import clk, nav, sp3
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -237,6 +238,39 @@ def _(spark, sf_dir):
     return d.select("l_orderkey", "l_linenumber", F.round(E.clock_error_ns(F.col("l_discount"), F.col("o_totalprice") / 1e6), 3).alias("clock_error_ns"), F.round("l_tax", 6).alias("tax"))
 
 
+def _error_frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Broadcast states at 01:00 of each day, and precise samples at 00:00 and 02:00 from slightly larger orbits."""
+    nav_rows = _elements(spark, sf_dir).drop("l_orderkey", "l_linenumber")
+    times = nav_rows.select((F.col("timestamp") + F.expr("interval 1 hour")).alias("timestamp"))
+    states = broadcast_states(nav_rows, times)
+    ends = cross_ends(nav_rows)
+    precise = with_clock_correction(with_position(ends.withColumn("a", F.col("a") + 50)))
+    orbit = precise.select("timestamp", "satellite", F.col("x_broadcast").alias("x"), F.col("y_broadcast").alias("y"), F.col("z_broadcast").alias("z"))
+    return states, orbit, precise.select("timestamp", "satellite", F.col("clock_broadcast").alias("clock_bias"))
+
+
+def cross_ends(nav_rows: DataFrame) -> DataFrame:
+    """The least ephemeris of each satellite and day, at 00:00 and at 02:00."""
+    values = [c for c in nav_rows.columns if c not in ("satellite", "timestamp")]
+    one = nav_rows.groupBy("satellite", "timestamp").agg(F.min(F.struct(*values)).alias("v")).select("satellite", "timestamp", "v.*")
+    return one.unionByName(one.withColumn("timestamp", F.col("timestamp") + F.expr("interval 2 hour")))
+
+
+@query("error_dataset")
+def _(spark, sf_dir):
+    d = error_dataset(*_error_frames(spark, sf_dir), velocity=True, bucket="week")
+    return rounded(d, "orbit_error_m", "radial_error_m", "along_track_error_m", "cross_track_error_m", "clock_error_ns", places=2)
+
+
+@query("error_statistics")
+def _(spark, sf_dir):
+    """Mean and 95th percentile of orbit and clock errors, in all and by satellite."""
+    d = error_dataset(*_error_frames(spark, sf_dir))
+    every = profile.dataset_statistics(d).select(F.lit("all").alias("satellite"), F.col("total_records").alias("records"), "orbit_error_m.mean", "orbit_error_m.percentile_95", F.col("clock_error_ns.mean").alias("clock_mean"))
+    each = d.groupBy("satellite").agg(F.count("*").alias("records"), F.avg("orbit_error_m").alias("mean"), F.percentile("orbit_error_m", F.lit(0.95)).alias("percentile_95"), F.avg("clock_error_ns").alias("clock_mean"))
+    return rounded(every.unionByName(each), "mean", "percentile_95", "clock_mean", places=2)
+
+
 # text products written from rows and parsed back
 
 
