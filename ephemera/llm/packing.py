@@ -17,10 +17,10 @@ from ephemera.llm.common import flushes, offsets_of, ragged, texts_of
 FLUSH_BYTES = 4 << 20
 SENTENCE = 1.0  # cost of a cut after a sentence inside a document, in padded tokens
 TRUNCATION = 4.0  # cost of a cut elsewhere
-GAP = 24  # where no sentence ends for longer, cuts may fall at this distance
+GAP = 40  # where no sentence ends for longer, cuts may fall at this distance
 _SPACE_RUN = re.compile(r" \s")
 #: A comma or full stop before white space that does not follow a letter or digit: it may belong to a longer mark.
-_MARK_RUN = re.compile(r"(?:^|[\W_])[.,][ \n]")
+_MARK_RUN = re.compile(r"[.,](?<![^\W_][.,])[ \n]")
 
 
 class Encoder:
