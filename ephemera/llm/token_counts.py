@@ -7,6 +7,7 @@ document leave as rows and are joined to the table by a shuffle, so the result i
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -23,12 +24,17 @@ HEAD = 250_000  # pre-tokens that are broadcast
 FLUSH_BYTES = 4 << 20
 #: Latin-1 characters whose lower case, composition and white space are the same in Python and in the library.
 _PLAIN = bytes([9, 10, 13, *range(32, 127), *range(0xA1, 0x100)])
+#: The splitting pattern for which a word of plain lower-case text is split here, and its classes in Latin-1.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LETTER, _NUMBER = "a-zA-Z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+_SPLIT = re.compile(_PATTERN.replace(r"[\p{L}]", f"[{_LETTER}]").replace(r"[\p{N}]", f"[{_NUMBER}]").replace(r"[^\s\p{L}\p{N}]", rf"[^\s{_LETTER}{_NUMBER}]"))
 
 
 class PreTokens:
     """The pre-tokens of a text as the tokenizer's own normalizer and splitter give them.
 
-    Words of plain Latin-1 text between white space are split once each and remembered; special strings, other
+    Words of plain Latin-1 text between white space are split once each and remembered (by the same pattern here, if the
+    tokenizer has the one that is known, else by the library); special strings, other
     scripts and control characters go through the library for the whole text.  Only tokenizers whose splitter drops
     white space may use this short cut (``by_word``).
     """
@@ -42,6 +48,11 @@ class PreTokens:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.splitter = re.compile("|".join(map(re.escape, self.special))) if self.special else None
         self.known: dict[str, list[str]] = {}
+        config = json.loads(self.tokenizer.to_str())
+        steps = (config["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        self.plain = steps[0].get("pattern") == {"Regex": _PATTERN} and [n["type"] for n in (config["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        # how the byte alphabet writes each character
+        self.letters = {c: "".join(p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(chr(c))) or chr(c) for c in range(33, 256)} if self.plain else {}
 
     def split(self, text: str) -> list[str]:
         if self.tokenizer.normalizer is not None:
@@ -62,6 +73,9 @@ class PreTokens:
         self.known.update((k, [k[1:]]) for k in new if k[0] == "\0")
         for at in range(0, len(words), 20_000):
             part = words[at : at + 20_000]
+            if self.plain:
+                self.known.update((w, [p.translate(self.letters) for p in _SPLIT.findall(w.lower())]) for w in part)
+                continue
             text = " ".join(part)
             if self.tokenizer.normalizer is not None:
                 text = self.tokenizer.normalizer.normalize_str(text)
