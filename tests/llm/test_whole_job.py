@@ -27,3 +27,17 @@ def test_long_secrets_are_covered_whole(spark):
 def test_parts_do_not_replace_the_whole():
     passed = [(10, 60, 0.8, "secret"), (20, 40, 0.99, "secret"), (50, 70, 0.9, "secret"), (0, 5, 0.9, "number"), (80, 90, 0.7, "number"), (80, 90, 0.9, "secret")]
     assert outermost([(0, 5, "ip"), (12, 15, "email")], passed) == [(10, 60, "secret"), (50, 70, "secret"), (80, 90, "secret")]
+
+
+def test_numbers_can_be_added(spark):
+    r = random.Random(4)
+    digits = lambda n: "".join(r.choice("23456789") for _ in range(n))
+    number = lambda k: f"{digits(3)}-{digits(3)}-{digits(4)}" if k % 2 else f"{digits(3)}-{digits(2)}-{digits(4)}"
+    named = [f"note {k} {('phone', 'SSN', 'account', 'tel.')[k % 4]} {number(k)} and more" for k in range(150)]
+    loose = [f"note {k} part {r.randrange(10**7, 10**9)} in stock, dated 20{k % 90 + 10}-{k % 3 + 10}-{k % 19 + 10} {k % 14 + 10}:30" for k in range(150)]
+    asked = ["call 555-123-4567 or 555-123-4568 now", "has 123-45-6789 on file", "card 4111 1111 1111 1112 ok", "part 8723412 in stock", "dated 2024-01-02 10:30"]
+    rows = list(enumerate(asked + named + loose))
+    got = {x.doc_id: x.text for x in find_pii(spark.createDataFrame(rows, "doc_id long, text string"), redact=True).collect()}
+    assert [got[k] for k in range(3)] == ["call <NUMBER> or <NUMBER> now", "has <NUMBER> on file", "card <NUMBER> ok"]
+    assert [got[3], got[4]] == asked[3:5]
+    assert all(got[k] == rows[k][1] for k in range(5 + 150, len(rows)))
