@@ -1,13 +1,19 @@
-"""License scans: sparse TF-IDF cosine of headers and licence files to templates, nearest-ancestor inheritance."""
+"""License scans: sparse TF-IDF cosine of headers and licence files to templates, nearest-ancestor inheritance.
+
+Lines are compared with short statements; whole files and windows of them with licence texts and standard notices.
+"""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ephemera.llm.common import checkpointed, lower_ascii
+from ephemera.llm.license_texts import TIERS, Windows, license_texts
 
 #: Short statements by which texts name their licence; parameters of the scan.
 TEMPLATES = {
@@ -22,7 +28,8 @@ TEMPLATES = {
 _HEADER = "(?i)licen[sc]e|copyright|public domain|all rights reserved|redistribution"
 THRESHOLD = 0.6
 WHOLE = 0.9  # cosine from which on a text is a licence statement and little else
-MAX_HEADER = 400  # characters; longer lines are scanned as texts, not as headers
+MAX_HEADER = 400  # characters; longer lines, and statements that go over lines, are searched in windows
+_SEARCHED = _HEADER + "|permission"  # texts searched in windows
 
 
 def _tokens(c: Column) -> Column:
@@ -54,13 +61,32 @@ def template_cosines(lines: DataFrame, key: list[str], text_col: str, templates:
     return dots.join(norm, key).select(*key, "license", (F.col("dot") / F.col("norm")).alias("cosine"))
 
 
+def _search(shared):
+    """Licence texts and notices in the whole text and its windows, else statements in windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, statements = shared.value
+        for b in batches:
+            out = []
+            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                hit = texts.best(text) or statements.best(text)
+                if hit:
+                    out.append((key, hit[0] != "statement", hit[1], hit[2], hit[2] >= WHOLE and hit[3] >= WHOLE))
+            columns = [[x[k] for x in out] for k in range(5)]
+            kinds = (pa.int64(), pa.bool_(), pa.string(), pa.float64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["key", "full", "named", "score", "all"])
+
+    return run
+
+
 def scan_licenses(
     files: DataFrame, path: Column, text_col: str = "text", id_col: str = "doc_id", templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD
 ) -> DataFrame:
     """(doc_id, path, license, cosine, origin) for every row of ``files``.
 
     Header lines (with a word such as "licence" or "copyright") are compared with the templates; the best cosine of
-    ``threshold`` or more names the licence (origin 'header').  A file whose whole text reaches WHOLE, or
+    ``threshold`` or more names the licence (origin 'header').  A licence text or standard notice (``license_texts``)
+    anywhere in a text of any length comes before that; a statement in a longer line, or over several, after it.  A file whose whole text reaches WHOLE, or
     whose base name is LICENSE, LICENCE or COPYING and that has a licence, is a licence file of its directory.
     Files without a licence take that of the nearest ancestor directory that has a licence file (origin
     'inherited'; of several the most frequent, then the first by name), else license is null and origin 'none'.
@@ -80,7 +106,18 @@ def scan_licenses(
     # a text is a licence file on its own if little else is in it: only texts as short as headers can be
     short = lines.join(own.select("key"), "key", "left_semi").where(F.char_length("text") <= 10 * MAX_HEADER)
     whole = template_cosines(short, ["key"], "text", templates).where(F.col("cosine") >= WHOLE).select("key").distinct().withColumn("whole", F.lit(True))
-    own = checkpointed(own.join(whole, "key", "left").withColumn("whole", F.coalesce("whole", F.lit(False))))
+    own = own.join(whole, "key", "left").withColumn("whole", F.coalesce("whole", F.lit(False)))
+    shared = rows.sparkSession.sparkContext.broadcast((Windows(license_texts(), TIERS), Windows([("statement", *x) for x in sorted(templates.items())], {"statement": threshold})))
+    searched = rows.where(F.col("text").rlike(_SEARCHED)).select("key", "text").dropDuplicates(["key"])
+    searched = searched.mapInArrow(_search(shared), "key long, full boolean, named string, score double, all boolean")
+    first = F.coalesce("full", F.lit(False)) | F.col("license").isNull()
+    own = own.join(searched, "key", "full_outer").select(
+        "key",
+        F.when(first, F.col("named")).otherwise(F.col("license")).alias("license"),
+        F.when(first, F.col("score")).otherwise(F.col("cosine")).alias("cosine"),
+        (F.coalesce("whole", F.lit(False)) | F.coalesce(first & F.col("all"), F.lit(False))).alias("whole"),
+    )
+    own = checkpointed(own)
     named = rows.select("doc_id", "path", "key").join(own, "key", "left")
     folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
     is_file = F.col("whole") | F.col("path").rlike("(?i)(^|/)(licen[sc]e|copying)(\\.[a-z]+)?$")

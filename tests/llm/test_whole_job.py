@@ -3,6 +3,10 @@
 import random
 import string
 
+from pyspark.sql import functions as F
+
+from ephemera.llm.license_scan import scan_licenses
+from ephemera.llm.license_texts import license_texts
 from ephemera.llm.pii import find_pii, outermost
 
 # personal data
@@ -41,3 +45,24 @@ def test_numbers_can_be_added(spark):
     assert [got[k] for k in range(3)] == ["call <NUMBER> or <NUMBER> now", "has <NUMBER> on file", "card <NUMBER> ok"]
     assert [got[3], got[4]] == asked[3:5]
     assert all(got[k] == rows[k][1] for k in range(5 + 150, len(rows)))
+
+
+# licences
+
+
+def test_licence_texts_and_notices(spark):
+    r = random.Random(6)
+    code = lambda n: " ".join(r.choice(["def", "return", "x", "value", "for", "the", "of", "and", "in", "self"]) + str(r.randrange(50)) for _ in range(n))
+    wrap = lambda t: "\n".join(f"# {' '.join(w[k:k + 9])}" for w in [t.split()] for k in range(0, len(w), 9))
+    known = license_texts()
+    rows, want = [], {}
+    for k, (tier, name, text) in enumerate(known):
+        for j, body in enumerate([wrap("Copyright 2020 The Authors. " + text) + "\n" + code(300), f"/* {text} */ {code(80)}"]):
+            rows.append((2 * k + j, f"d{k}/{j}/x.py", body))
+            want[2 * k + j] = (name, "header")
+    rows += [(900, "lic/notes", "MIT License\n\nCopyright (c) 2021 A B\n\n" + dict((n, t) for tier, n, t in known if tier == "text")["MIT"]), (901, "lic/a/x.py", code(30))]
+    rows += [(902, "long/x.js", code(100) + " Licensed under the Apache License, Version 2.0. " + code(100)), (903, "wrapped/LICENSE", "Licensed under\nthe Apache License,\nVersion 2.0."), (904, "wrapped/a.py", code(20))]
+    rows += [(905, "none/x.py", "All rights reserved, no licence. " + code(400)), (906, "none/y.py", "ask for permission to use the software " + code(40))]
+    want |= {900: ("MIT", "header"), 901: ("MIT", "inherited"), 902: ("Apache-2.0", "header"), 903: ("Apache-2.0", "header"), 904: ("Apache-2.0", "inherited"), 905: (None, "none"), 906: (None, "none")}
+    got = {x.doc_id: (x.license, x.origin) for x in scan_licenses(spark.createDataFrame(rows, "doc_id long, p string, text string"), F.col("p")).collect()}
+    assert {k: (v, want[k]) for k, v in got.items() if v != want[k]} == {}
