@@ -13,6 +13,10 @@ is dealt.  Each anchor occurrence owns the string starts that chose it; its cont
 
 Equal contexts need no suffix order: the earliest stays, later ones repeat it whole.  Tasks settle those of a flush
 before the shuffle, so a passage in a third of all documents reaches a shard once per flush.
+
+Anchors of more than ``HOT`` documents (a short phrase with different words around it) would fill one shard: their
+string starts are dealt singly, by a 128-bit hash of the whole string, and all but the first of equal ones repeat.
+A shard settles the other anchors in pieces of about ``PIECE_BYTES``.
 """
 
 from __future__ import annotations
@@ -29,18 +33,31 @@ from ephemera.llm.common import U64, flushes, list_array, mix, ragged, shuffle_p
 
 GRAM = 32
 FLUSH_BYTES = 8 << 20
+HOT = 20_000  # documents of an anchor from which on its strings are dealt singly
+PIECE_BYTES = 4 << 20  # contexts settled, or string starts compared, at once
 _BYTE = np.array([xxhash.xxh3_64_intdigest(bytes([b])) for b in range(256)], U64)
+_OTHER = np.array([xxhash.xxh3_64_intdigest(bytes([b]), seed=1) for b in range(256)], U64)
 
 
-def gram_hashes(data: np.ndarray, n: int) -> np.ndarray:
+def gram_hashes(data: np.ndarray, n: int, of_byte: np.ndarray = _BYTE) -> np.ndarray:
     """Hash of every ``n`` bytes, ``n`` a power of two, by doubling."""
-    h, k = _BYTE[data], 1
+    h, k = of_byte[data], 1
     while k < n:
         h = mix(h[:-k] * U64(0x9E3779B97F4A7C15) + h[k:] * U64(0xC2B2AE3D27D4EB4F)) if len(h) > k else h[:0]
         k *= 2
     return h
 
 
+def string_hashes(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Two 64-bit hashes of the ``length`` bytes from each of ``at``: two overlapping powers of two cover them."""
+    n = 1 << (length.bit_length() - 1)
+    out = []
+    for of_byte in (_BYTE, _OTHER):
+        g = gram_hashes(data, n, of_byte)
+        out.append(mix(g[at] * U64(0xC2B2AE3D27D4EB4F) + g[at + length - n] * U64(0x9E3779B97F4A7C15)))
+    return np.stack(out, axis=1)
+
+
 def window_minima(h: np.ndarray, w: int) -> np.ndarray:
     """Place of the least value (leftmost of equals) in each run of ``w`` values, by van Herk's two scans over blocks."""
     m = len(h) - w + 1
@@ -118,8 +135,12 @@ def _emit_anchors(length: int, buckets: int):
     return run
 
 
-def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each document the hashes of this range that occur twice or more in all."""
+def _shared_anchors(hot: int):
+    """For each document the hashes of this range that occur twice or more in all, and those in over ``hot`` documents."""
+    return lambda batches: _shared(batches, hot)
+
+
+def _shared(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
     parts = [[np.frombuffer(x, t) for x in b.column(k).to_pylist()] for b in batches for k, t in ((0, U64), (1, np.int64), (2, np.int8))]
     if not parts:
         return
@@ -128,19 +149,19 @@ def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     h, key, times = h[order], key[order], times[order]
     first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
     total = np.add.reduceat(times.astype(np.int64), first)
-    many = np.repeat(total > 1, np.diff(np.append(first, len(h))))
-    h, key = h[many], key[many]
+    size = np.diff(np.append(first, len(h)))
+    many, often = np.repeat(total > 1, size), np.repeat(size > hot, size)
+    h, key, often = h[many], key[many], often[many]
     if not len(h):
         return
     order = np.argsort(key, kind="stable")
-    h, key = h[order], key[order]
+    h, key, often = h[order], key[order], often[order]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    counts = np.diff(np.append(first, len(h)))
+    counts, n_often = np.diff(np.append(first, len(h))), np.add.reduceat(often.astype(np.int64), first)
     for a in range(0, len(first), 10_000):
         part = slice(first[a], first[a] + int(counts[a : a + 10_000].sum()))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(key[first[a : a + 10_000]]), list_array(h[part].view(np.int64), counts[a : a + 10_000], pa.int64())], names=["key", "shared"]
-        )
+        lists = [list_array(h[part].view(np.int64), counts[a : a + 10_000], pa.int64()), list_array(h[part][often[part]].view(np.int64), n_often[a : a + 10_000], pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(key[first[a : a + 10_000]]), *lists], names=["key", "shared", "hot"])
 
 
 def _copies(raw: list[bytes], keys: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,6 +174,32 @@ def _copies(raw: list[bytes], keys: np.ndarray, lo: np.ndarray) -> tuple[np.ndar
     return np.array(first, np.int64), np.array(later, np.int64)
 
 
+def _pieces(own: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """Indices cut, in order, where their sizes fill PIECE_BYTES."""
+    filled = np.cumsum(sizes[own]) // PIECE_BYTES
+    return np.split(own, np.flatnonzero(np.diff(filled)) + 1) if len(own) else []
+
+
+def _repeated(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (two hashes, document, place): the first of each string in text order, and its later copies."""
+    rows = rows[np.lexsort((rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))]
+    copy = np.concatenate([[False], (rows[1:, :2] == rows[:-1, :2]).all(axis=1)])
+    return rows[~copy], rows[copy]
+
+
+def _starts(raw: list[bytes], keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int, buckets: int) -> list[tuple[int, bytes, bytes]]:
+    """The string starts of contexts, dealt by their strings (without context), and those already settled here."""
+    n = hi - lo + 1
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    size = n + length - 1
+    hashes = string_hashes(data, ragged(np.cumsum(size) - size, n), length).view(np.int64)
+    first, later = _repeated(np.column_stack([hashes, np.repeat(keys, n), ragged(lo, n)]))
+    b = _bucket(first[:, 0].copy().view(U64), buckets)
+    by = np.argsort(b, kind="stable")
+    out = [(k, blobs[0], b"") for k, blobs in _blobs(b[by], [first[by]])]
+    return [*out, (-1, later[:, [2, 3, 3, 3]].tobytes(), b"")] if len(later) else out
+
+
 def _emit_contexts(length: int, buckets: int):
     """Packed contexts of shared anchors, and the starts already settled here, as ranges by document."""
 
@@ -161,21 +208,27 @@ def _emit_contexts(length: int, buckets: int):
             texts = texts_of(table["body"])
             keys = np.array(table["key"].to_pylist(), np.int64)
             row, place, lo, hi, h = _all_anchors(texts, length)
-            shared = [np.array([] if s is None else s, np.int64).view(U64) for s in table["shared"].to_pylist()]
             n = np.bincount(row, minlength=len(texts))
             at = np.cumsum(n) - n
-            keep = np.concatenate([np.isin(h[a : a + k], s) for a, k, s in zip(at.tolist(), n.tolist(), shared, strict=True)] or [np.empty(0, bool)])
-            row, place, lo, hi, h = (x[keep] for x in (row, place, lo, hi, h))
+
+            def among(name: str, h: np.ndarray = h, at: list[int] = at.tolist(), n: list[int] = n.tolist(), table: pa.Table = table) -> np.ndarray:
+                lists = (np.array([] if s is None else s, np.int64).view(U64) for s in table[name].to_pylist())
+                return np.concatenate([np.isin(h[a : a + k], s) for a, k, s in zip(at, n, lists, strict=True)] or [np.empty(0, bool)])
+
+            keep, hot = among("shared"), among("hot")
+            row, place, lo, hi, h, hot = (x[keep] for x in (row, place, lo, hi, h, hot))
             if not len(row):
                 continue
             raw = [texts[r][a : z + length] for r, a, z in zip(row.tolist(), lo.tolist(), hi.tolist(), strict=True)]
             first, later = _copies(raw, keys[row], lo)
             out = []
-            f = first
+            for own in _pieces(first[hot[first]], hi - lo + length):
+                out += _starts([raw[k] for k in own.tolist()], keys[row[own]], lo[own], hi[own], length, buckets)
+            f = first[~hot[first]]
             b = _bucket(h[f], buckets)
             by = np.argsort(b, kind="stable")
             f, b = f[by], b[by]
-            edges = np.concatenate([[0], np.flatnonzero(np.diff(b)) + 1, [len(b)]])
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(b)) + 1, [len(b)]]) if len(b) else np.zeros(1, np.int64)
             for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 own = f[a:z]
                 meta = np.stack([keys[row[own]], lo[own], hi[own], h[own].view(np.int64)], axis=1)
@@ -227,19 +280,33 @@ def _find_repeats(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[list[np.ndarray], list[bytes]]] = {}
+        starts: list[np.ndarray] = []
         for b in batches:
             for bucket, meta, context in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 rows = np.frombuffer(meta, np.int64).reshape(-1, 4)
                 if bucket < 0:
                     yield _ranges(rows[:, 0], rows[:, 1], rows[:, 2])
+                elif not context:
+                    starts.append(rows)
                 else:
                     own = held.setdefault(bucket, ([], []))
                     own[0].append(rows)
                     stops = np.cumsum(rows[:, 2] - rows[:, 1] + length).tolist()
                     own[1].extend(context[a:z] for a, z in zip([0, *stops[:-1]], stops, strict=True))
+        deal = 1 + sum(map(len, starts)) // PIECE_BYTES
+        for k in range(deal if starts else 0):
+            _, later = _repeated(np.concatenate([x[x[:, 1].view(U64) % U64(deal) == k] for x in starts]))
+            yield _ranges(later[:, 2], later[:, 3], later[:, 3])
         while held:
             _, (metas, raw) = held.popitem()
-            yield from settle(np.concatenate(metas), raw)
+            meta = np.concatenate(metas)
+            sizes = meta[:, 2] - meta[:, 1] + length
+            by = np.argsort(meta[:, 3], kind="stable")
+            # whole anchors: only contexts of one anchor can hold equal strings
+            anchor = np.flatnonzero(np.concatenate([[True], np.diff(meta[by, 3]) != 0]))
+            for group in _pieces(np.arange(len(anchor)), np.add.reduceat(sizes[by], anchor)):
+                own = by[anchor[group[0]] : anchor[group[-1] + 1] if group[-1] + 1 < len(anchor) else len(by)]
+                yield from settle(meta[own], [raw[k] for k in own.tolist()])
 
     def settle(meta: np.ndarray, raw: list[bytes]) -> Iterator[pa.RecordBatch]:
         first, later = _copies(raw, meta[:, 0], meta[:, 1])
@@ -304,7 +371,7 @@ def _cut(length: int, names: list[str]):
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", length: int = 100) -> DataFrame:
+def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", length: int = 100, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept): each text as UTF-8 without the bytes that repeat an earlier one.
 
     A byte goes if a string of ``length`` bytes covers it that also starts earlier: in a document of smaller id, or
@@ -313,7 +380,8 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
 
     Null text counts as empty.  Rows that repeat an id are ordered by text, equal ones anyhow (ids times the largest
     number of repeats must fit in 64 bits); rows with a null id are returned uncut.  An empty table gives an empty
-    result; other columns are ignored.
+    result; other columns are ignored.  Around anchors of more than ``hot`` documents strings are compared by 128-bit
+    hashes, elsewhere by their bytes.
     """
     if length < 2 * GRAM:
         raise ValueError(f"length must be {2 * GRAM} at least")
@@ -327,9 +395,9 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
         known = known.withColumn("key", F.col("key") * most + order - 1)
     known = known.repartition(parts, "key")
     packed = known.mapInArrow(_emit_anchors(length, parts), "bucket int, h binary, key binary, times binary")
-    shared = packed.repartitionById(parts, "bucket").select("h", "key", "times").mapInArrow(_shared_anchors, "key long, shared array<long>")
-    shared = shared.groupBy("key").agg(F.flatten(F.collect_list("shared")).alias("shared"))
-    contexts = known.join(shared, "key").select("key", "body", "shared").mapInArrow(_emit_contexts(length, parts), "bucket int, meta binary, context binary")
+    shared = packed.repartitionById(parts, "bucket").select("h", "key", "times").mapInArrow(_shared_anchors(hot), "key long, shared array<long>, hot array<long>")
+    shared = shared.groupBy("key").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("shared", "hot")))
+    contexts = known.join(shared, "key").select("key", "body", "shared", "hot").mapInArrow(_emit_contexts(length, parts), "bucket int, meta binary, context binary")
     spread = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("meta"), F.lit(parts)).cast("int")).otherwise(F.col("bucket"))
     found = contexts.withColumn("to", spread).repartitionById(parts, "to").drop("to").mapInArrow(_find_repeats(length), "key long, ranges binary")
     found = found.groupBy("key").agg(F.collect_list("ranges").alias("ranges"))

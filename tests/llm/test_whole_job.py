@@ -3,8 +3,12 @@
 import random
 import string
 
+import numpy as np
+import pytest
+from brute import repeats
 from pyspark.sql import functions as F
 
+from ephemera.llm import lpf_dedup
 from ephemera.llm.license_scan import scan_licenses
 from ephemera.llm.license_texts import license_texts
 from ephemera.llm.pii import find_pii, outermost
@@ -66,3 +70,33 @@ def test_licence_texts_and_notices(spark):
     want |= {900: ("MIT", "header"), 901: ("MIT", "inherited"), 902: ("Apache-2.0", "header"), 903: ("Apache-2.0", "header"), 904: ("Apache-2.0", "inherited"), 905: (None, "none"), 906: (None, "none")}
     got = {x.doc_id: (x.license, x.origin) for x in scan_licenses(spark.createDataFrame(rows, "doc_id long, p string, text string"), F.col("p")).collect()}
     assert {k: (v, want[k]) for k, v in got.items() if v != want[k]} == {}
+
+
+# substring deduplication
+
+
+@pytest.mark.parametrize("hot", [0, 8, 10**6])
+def test_repeats_around_a_common_phrase(spark, hot):
+    r = random.Random(8)
+    words = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 7))) for _ in range(n))
+    phrase = "this footer of forty or more bytes is in every document, with"
+    rows = [(k, f"{words(20)} {phrase} {words(20)}") for k in range(60)]
+    rows += [(100 + k, words(9) + rows[3 * k][1][k : 190 + k] + words(9)) for k in range(15)] + [(-1, rows[7][1]), (200, rows[9][1] + rows[9][1]), (201, "ab" * 200)]
+    got = lpf_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), hot=hot).select("doc_id", "n_bytes", "n_removed", F.size("spans"), F.sha2("kept", 256))
+    want = sorted(repeats(rows))
+    assert sorted(map(tuple, got.collect())) == want and sum(w[2] for w in want) > 1000
+
+
+def test_a_common_phrase_is_dealt_over_buckets_in_pieces(monkeypatch):
+    raw = [secrets(k, 40).encode() + b"p" * 40 + secrets(k + 999, 60).encode() for k in range(200)]
+    n = np.array([len(x) for x in raw])
+    out = lpf_dedup._starts(raw, np.arange(200), np.zeros(200, np.int64), n - 100, 100, 16)
+    sizes = [len(meta) // 32 for bucket, meta, context in out if bucket >= 0]
+    assert len(sizes) == 16 and max(sizes) < 2 * min(sizes) and sum(sizes) == int((n - 99).sum())
+    monkeypatch.setattr(lpf_dedup, "PIECE_BYTES", 1000)
+    most, plain = [], lpf_dedup.previous_factors
+    monkeypatch.setattr(lpf_dedup, "previous_factors", lambda data, *rest: most.append(len(data)) or plain(data, *rest))
+    meta = np.stack([np.arange(200), np.zeros(200, np.int64), n - 100, np.arange(200) // 4], axis=1).astype(np.int64)
+    batch = lpf_dedup.pa.RecordBatch.from_pydict({"bucket": [0], "meta": [meta.tobytes()], "context": [b"".join(raw)]})
+    list(lpf_dedup._find_repeats(100)(iter([batch])))
+    assert len(most) > 20 and max(most) <= 2000
