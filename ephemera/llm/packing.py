@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -17,28 +18,47 @@ from ephemera.llm.common import flushes, offsets_of, ragged, texts_of
 FLUSH_BYTES = 4 << 20
 SENTENCE = 1.0  # cost of a cut after a sentence inside a document, in padded tokens
 TRUNCATION = 4.0  # cost of a cut elsewhere
-GAP = 40  # where no sentence ends for longer, cuts may fall at this distance
-_SPACE_RUN = re.compile(r" \s")
-#: A comma or full stop before white space that does not follow a letter or digit: it may belong to a longer mark.
-_MARK_RUN = re.compile(r"[.,](?<![^\W_][.,])[ \n]")
+GAP = 24  # where no sentence ends for longer, cuts may fall at this distance
+LONGEST = 256  # characters; longer pre-tokens are not remembered
+#: Classes of letters and numbers in Latin-1 for the splitting pattern of byte-level tokenizers.
+_LETTER, _NUMBER = "a-zA-Z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+_SPLIT = re.compile(rf" ?[{_LETTER}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+")
+#: Bytes of ASCII and Latin-1 text, but for U+001C to U+001F, which are white space to Python alone.
+_PLAIN = bytes([*range(0x1C), *range(0x20, 0xC4)])
+#: Characters outside those that the pattern above classifies as the library does (Latin-1, some marks).
+_OTHER = re.compile("[^\x00-\x1b\x20-\x84\x86-\xff\u2010-\u2014\u2018-\u201e\u2022\u2026\u20ac]")
+
+
+def _byte_alphabet() -> dict[int, str]:
+    """How byte-level vocabularies write each byte: visible Latin-1 characters as they are, the others from U+0100 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
 class Encoder:
-    """Token ids by the library, one call for each distinct unit of a text.
+    """Token ids by the library: its model is asked once for each distinct pre-token.
 
-    Byte-level splitters start a pre-token at a space that precedes a word, and between a word and the mark behind it,
-    so a text without runs of white space after a space is the concatenation of its units (a space and what follows
-    up to the next, commas and full stops apart); other texts and texts with special strings are encoded whole.
+    This holds for byte-level tokenizers with the library's own splitting pattern, no normalizer and plain special
+    strings (``by_unit``).  Plain Latin-1 text is split by that pattern here, other text by the library's splitter.
+    Texts with special strings, and all texts of other tokenizers, are encoded whole.  Pre-tokens are remembered within
+    ``limit`` of them and ``limit_size`` characters and ids; whole texts and long pre-tokens never are.
     """
 
-    limit = 350_000
+    limit, limit_size = 350_000, 16_000_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        config = json.loads(self.tokenizer.to_str())
+        splitter, model = config["pre_tokenizer"] or {}, config["model"]
+        own = splitter.get("type") == "ByteLevel" and splitter.get("use_regex") and not splitter.get("add_prefix_space")
+        plain = not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in config["added_tokens"])
+        self.by_unit = bool(own and plain and not config["normalizer"] and model["type"] == "BPE" and not model["dropout"])
+        self.model, self.splitter, self.alphabet = self.tokenizer.model, self.tokenizer.pre_tokenizer, _byte_alphabet()
         self.closing: np.ndarray | None = None
         self.clear()
 
@@ -46,53 +66,55 @@ class Encoder:
         self.units = _Units()
         self.flat, self.start = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
+    def _split(self, raw: bytes) -> list[str]:
+        text = raw.decode("utf-8", "replace")
+        if (raw.translate(None, _PLAIN) or "\x85" in text) and _OTHER.search(text):
+            return [text[a:b] for _, (a, b) in self.splitter.pre_tokenize_str(text)]
+        return _SPLIT.findall(text)
+
+    def _ids(self, unit: str | list[int]) -> list[int]:
+        if isinstance(unit, list):
+            return unit
+        return [t.id for t in self.model.tokenize(unit.encode().decode("latin-1").translate(self.alphabet))]
+
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, joined, and the number of ids of each text."""
         parts, known = [], self.units.__getitem__
         for raw in texts:
-            text = raw.decode("utf-8", "replace")
-            if _SPACE_RUN.search(text) or any(s in text for s in self.special):
-                parts.append(np.array([self.units[text]], np.int64))
-                continue
-            # marks after a word are pre-tokens of their own
-            if "\0" not in text and not _MARK_RUN.search(text):
-                text = text.replace(", ", "\0,\0 ").replace(". ", "\0.\0 ").replace(".\n", "\0.\0\n")
-                text = text.replace("\0 ", " ")
-                units = text.replace(" ", "\0 ").split("\0")
+            if self.by_unit and not any(s in raw for s in self.special):
+                units = self._split(raw)
+                parts.append(np.fromiter(map(known, units), np.int64, len(units)))
             else:
-                units = text.split(" ")
-                units[1:] = [" " + u for u in units[1:]]
-            parts.append(np.fromiter(map(known, units), np.int64, len(units)))
+                ids = self.tokenizer.encode(raw.decode("utf-8", "replace"), add_special_tokens=False).ids
+                parts.append(np.array([self.units.add(ids)], np.int64))
         if self.units.fresh:
-            ids = [x.ids for x in self.tokenizer.encode_batch_fast(self.units.fresh, add_special_tokens=False)]
+            ids = [self._ids(u) for u in self.units.fresh]
             counts = np.fromiter(map(len, ids), np.int64, len(ids))
             self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(counts.sum()))])
             self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(counts)])
             self.units.fresh = []
-        keys = np.concatenate(parts)
-        if len(self.units) > self.limit:
-            keys = self._shrink(keys)
+        keys = np.concatenate(parts) if parts else np.empty(0, np.int64)
         counts = self.start[keys + 1] - self.start[keys]
         of_text = offsets_of(np.fromiter(map(len, parts), np.int64, len(parts)))
         before = np.concatenate([[0], np.cumsum(counts)])
-        return self.flat[ragged(self.start[keys], counts)], before[of_text[1:]] - before[of_text[:-1]]
-
-    def _shrink(self, keys: np.ndarray) -> np.ndarray:
-        """Forget all units but those of the texts at hand; of these, what occurs once is forgotten at the next call."""
-        used, new, times = np.unique(keys, return_inverse=True, return_counts=True)
-        names = dict(zip(self.units.values(), self.units, strict=True))
-        counts = self.start[used + 1] - self.start[used]
-        # those that occur again stay; the others keep their ids for this call, but no name finds them
-        order = np.argsort(times == 1, kind="stable")
-        flat = self.flat[ragged(self.start[used[order]], counts[order])]
+        out = self.flat[ragged(self.start[keys], counts)], before[of_text[1:]] - before[of_text[:-1]]
+        if self.units.total > self.limit or self.units.size + len(self.flat) > self.limit_size:
+            self._forget(keys)
+        return out
+
+    def _forget(self, keys: np.ndarray) -> None:
+        """Keep the pre-tokens that the texts at hand have twice or more, as far as a quarter of the limits goes."""
+        used, times = np.unique(keys, return_counts=True)
+        names = {k: u for u, k in self.units.items()}
+        stay = [k for k in used[times > 1].tolist() if k in names][: self.limit // 4]
+        size = np.cumsum([len(names[k]) + int(self.start[k + 1] - self.start[k]) for k in stay])
+        stay = np.array(stay[: int(np.searchsorted(size, self.limit_size // 4))], np.int64)
+        counts = self.start[stay + 1] - self.start[stay]
+        self.flat, self.start = self.flat[ragged(self.start[stay], counts)], offsets_of(counts)
         self.units = _Units()
-        for k in used[order[: int((times > 1).sum())]].tolist():
-            self.units[names[k]] = len(self.units)
-        self.units.offset = len(used)
-        self.flat, self.start = flat, offsets_of(counts[order])
-        place = np.empty(len(used), np.int64)
-        place[order] = np.arange(len(used))
-        return place[new]
+        for k in stay.tolist():
+            self.units[names[k]] = self.units.add(names[k])
+        self.units.fresh = []
 
     def sentence_ends(self) -> np.ndarray:
         """Flags of the ids whose text ends with a full stop, question or exclamation mark or a line break."""
@@ -115,59 +137,67 @@ def encoder_of(path: str) -> Encoder:
 
 
 class _Units(dict):
+    """Key of each unit; those that are met for the first time wait in ``fresh``."""
+
     def __init__(self):
-        self.fresh: list[str] = []
-        self.offset = 0  # units without a name before the fresh ones
+        self.fresh: list[str | list[int]] = []
+        self.total = self.size = 0
 
-    def __missing__(self, unit: str) -> int:
-        k = self[unit] = self.offset
-        self.offset += 1
+    def add(self, unit: str | list[int]) -> int:
         self.fresh.append(unit)
+        self.size += len(unit)
+        self.total += 1
+        return self.total - 1
+
+    def __missing__(self, unit: str) -> int:
+        k = self.add(unit)
+        if len(unit) <= LONGEST:
+            self[unit] = k
         return k
 
 
-def best_cuts(places: list[int], penalties: list[float], size: int, truncation: float) -> tuple[list[float], list[int]]:
+def best_cuts(places: np.ndarray, penalties: np.ndarray, size: int, truncation: float) -> tuple[np.ndarray, list[int]]:
     """Cost of the best way to cut at each place, and the place (by index) of the cut before it.
 
     A window from cut i to place j costs its padding ``size - (j - i)``; one of up to twice ``size`` is cut once more,
-    at i + size, for ``truncation``.  Both minima slide over f[i] + i in monotone queues: each place enters and
-    leaves each queue once.  ``places`` starts with 0 and its gaps are at most ``size``.
+    at i + size, for ``truncation``.  Both minima slide over cost[i] + i, the windows' ``size`` and the penalties so
+    far, in monotone queues: each place enters and leaves each queue once.  ``places`` starts with 0 and its gaps are
+    at most ``size``.
     """
     n = len(places)
-    cost, before = [0.0] * n, [0] * n
-    near, far = [0], []  # indices with ascending f[i] + i: within size, within 2 * size
+    near_from = np.searchsorted(places, places - size).tolist()  # the first place within one window
+    far_from = np.searchsorted(places, places - 2 * size).tolist()
+    extra = (penalties + size).tolist()
+    more = size + truncation
+    total, before = [0.0] * n, [0] * n
+    near, far = [0], []  # places by index, with ascending totals: within one window, within two
     near_head = far_head = 0
-    key = [0.0] * n
     late = 0  # the next index that passes from reach of one window to reach of two
     for j in range(1, n):
-        place = places[j]
-        lo = place - size
-        while near_head < len(near) and places[near[near_head]] < lo:
+        least = near_from[j]
+        while near[near_head] < least:
             near_head += 1
-        while places[late] < lo:
-            k = key[late]
-            while len(far) > far_head and key[far[-1]] >= k:
-                far.pop()
-            far.append(late)
-            late += 1
-        lo -= size
-        while far_head < len(far) and places[far[far_head]] < lo:
-            far_head += 1
-        best, frm = float("inf"), 0
-        if near_head < len(near):
-            frm = near[near_head]
-            best = key[frm] + size - place
-        if far_head < len(far):
-            other = key[far[far_head]] + 2 * size - place + truncation
-            if other < best:
-                best, frm = other, far[far_head]
-        best += penalties[j]
-        cost[j], before[j] = best, frm
-        k = key[j] = best + place
-        while len(near) > near_head and key[near[-1]] >= k:
+        frm = near[near_head]
+        t = total[frm]
+        if least:
+            while late < least:
+                x = total[late]
+                while len(far) > far_head and total[far[-1]] >= x:
+                    far.pop()
+                far.append(late)
+                late += 1
+            least = far_from[j]
+            while far[far_head] < least:
+                far_head += 1
+            other = total[far[far_head]] + more
+            if other < t:
+                t, frm = other, far[far_head]
+        before[j] = frm
+        t = total[j] = t + extra[j]
+        while len(near) > near_head and total[near[-1]] >= t:
             near.pop()
         near.append(j)
-    return cost, before
+    return np.array(total) - places, before
 
 
 def cut_stream(ends: np.ndarray, sentences: np.ndarray, total: int, size: int, last: bool) -> list[int]:
@@ -182,13 +212,13 @@ def cut_stream(ends: np.ndarray, sentences: np.ndarray, total: int, size: int, l
     penalty = np.concatenate([np.full(len(places), SENTENCE), np.full(len(extra), TRUNCATION)])
     penalty[: len(places)][np.isin(places, ends) | (places == 0) | (places == total)] = 0.0
     places, first = np.unique(np.concatenate([places, extra]), return_index=True)
+    cost, before = best_cuts(places, penalty[first], size, TRUNCATION)
     where = places.tolist()
-    cost, before = best_cuts(where, penalty[first].tolist(), size, TRUNCATION)
     j = len(where) - 1
     if not last:
         # what follows the last cut is packed with the next documents
         low = int(np.searchsorted(places, total - size + 1))
-        j = min(range(low, len(where)), key=cost.__getitem__)
+        j = low + int(np.argmin(cost[low:]))
     cuts = []
     while j > 0:
         cuts.append(where[j])
