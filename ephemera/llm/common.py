@@ -20,10 +20,12 @@ _MIX = U64(0x9E3779B97F4A7C15)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate results; a local one is made only if the session names none."""
+    """The shared folder for intermediate results; a folder of this machine is made only if none is named and all tasks run here."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-ckpt-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -41,6 +43,19 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread_left_join(left: DataFrame, right: DataFrame, key: str, hot: int = 1_000) -> DataFrame:
+    """``left`` joined to ``right`` (one row for each key): keys of more than 1 / ``hot`` of all rows by broadcast.
+
+    There are fewer than ``hot`` such keys, and their rows stay where they are; other keys are joined by a shuffle.
+    ``left`` is read three times, so it should be stored.
+    """
+    counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n_of_key"))
+    most = left.count() / hot
+    hubs = checkpointed(counts.where(F.col("n_of_key") > most).select(key))
+    known = F.broadcast(hubs.join(right, key, "left"))
+    return left.join(known, key).unionByName(left.join(F.broadcast(hubs), key, "left_anti").join(right, key, "left"))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -164,3 +179,22 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     if not total:
         return np.empty(0, np.int64)
     return np.arange(total) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
+
+
+def kth_largest(keys: DataFrame, k: int, bins: int = 4096) -> float:
+    """The k-th largest value of the one column of ``keys`` (1 <= k <= count), by counting in ever narrower bins."""
+    col = F.col(keys.columns[0])
+    lo, hi = keys.agg(F.min(col), F.max(col)).first()
+    while True:
+        width = (hi - lo) / bins
+        inside = keys.where((col >= lo) & (col <= hi))
+        if width == 0 or lo + width == lo:
+            return hi
+        counts = inside.groupBy(F.least(F.lit(bins - 1), F.floor((col - lo) / width)).alias("bin")).agg(
+            F.count("*").alias("n"), F.min(col).alias("lo"), F.max(col).alias("hi")
+        )
+        for row in sorted(counts.collect(), key=lambda r: -r.bin):
+            if row.n >= k:
+                lo, hi = row.lo, row.hi
+                break
+            k -= row.n

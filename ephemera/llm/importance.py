@@ -6,16 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ephemera.llm.common import U64, WordHash, checkpointed, flushes, free_name, offsets_of, texts_of, window_hashes, word_ids
+from ephemera.llm.common import U64, WordHash, flushes, free_name, kth_largest, offsets_of, stored, texts_of, window_hashes, word_ids
 
 BUCKETS = 1 << 15  # of word 1-grams and 2-grams together, and again of character-class 4-grams
 LABELS = 20_000  # labelled rows of each kind that may be used, chosen by hash
-FALSE_REJECTS = 0.005  # of labelled good documents, at most
-TEMPERATURE = 0.02  # Gumbel noise, in standard deviations of the scores of good documents
+FALSE_REJECTS = 0.005  # of the labelled good documents that set k, at most
+SCALE = 1 << 20  # log ratios are whole multiples of 1 / SCALE, so that sums do not depend on their order
 FLUSH_BYTES = 2 << 20
 #: Character classes: letters by case, digits, white space, line ends, other ASCII marks one by one, the rest.
 _CLASS = np.array(
@@ -56,23 +57,28 @@ def _count(target, id_col: str, text_col: str):
     return run
 
 
-def _score(ratios, text_col: str, names: list[str]):
+def _score(ratios, text_col: str, seed: int, names: list[str], at_id: int, carry_text: bool):
+    """Rows with the log importance weight of their text and their Gumbel noise."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, table_of = WordHash(), ratios.value
         for table in flushes(batches, text_col, FLUSH_BYTES):
-            score = np.zeros(table.num_rows)
-            for kind in feature_ids(texts_of(table[text_col]), cache):
-                n = np.fromiter(map(len, kind), np.int64, len(kind))
-                total = np.concatenate([[0.0], np.cumsum(table_of[np.concatenate(kind)])])
-                at = offsets_of(n)
-                score += (total[at[1:]] - total[at[:-1]]) / np.maximum(n, 1)
-            yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in table.columns), pa.array(score)], names=names)
+            weight, texts = np.zeros(table.num_rows, np.int64), texts_of(table[text_col])
+            for kind in feature_ids(texts, cache):
+                total = np.concatenate([[0], np.cumsum(table_of[np.concatenate(kind)])])
+                at = offsets_of(np.fromiter(map(len, kind), np.int64, len(kind)))
+                weight += total[at[1:]] - total[at[:-1]]
+            names_of = map(repr, table.column(at_id).to_pylist())
+            hashes = np.fromiter((xxhash.xxh3_64_intdigest(t, seed=xxhash.xxh3_64_intdigest(i, seed=seed)) for i, t in zip(names_of, texts, strict=True)), U64, len(texts))
+            u = ((hashes >> U64(12)).astype(np.float64) + 0.5) / float(1 << 52)
+            kept = [c.combine_chunks() for c, n in zip(table.columns, table.column_names, strict=True) if carry_text or n != text_col]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(weight / SCALE), pa.array(-np.log(-np.log(u)))], names=names)
 
     return run
 
 
 def log_ratios(docs: DataFrame, good_ids: set, text_col: str, id_col: str, smooth: float = 1.0) -> np.ndarray:
-    """log p(bucket | target) - log p(bucket | raw) with additive smoothing, for both kinds of n-grams.
+    """log p(bucket | target) - log p(bucket | raw) with additive smoothing, for both kinds of n-grams, times SCALE.
 
     Counts cover all documents; each task adds up its own before the shuffle.
     """
@@ -85,12 +91,14 @@ def log_ratios(docs: DataFrame, good_ids: set, text_col: str, id_col: str, smoot
     out = np.empty(2 * BUCKETS)
     for half in (slice(0, BUCKETS), slice(BUCKETS, None)):
         out[half] = np.log(target[half] / target[half].sum()) - np.log(raw[half] / raw[half].sum())
-    return out
+    return np.rint(out * SCALE).astype(np.int64)
 
 
-def _labelled(labels: DataFrame, id_col: str, label_col: str, value: int, most: int) -> list:
-    rows = labels.where((F.col(label_col) == value) & F.col(id_col).isNotNull()).select(id_col).distinct()
-    return [r[0] for r in rows.orderBy(F.xxhash64(id_col), id_col).limit(most).collect()]
+def _labelled(labels: DataFrame, id_col: str, label_col: str, most: int) -> DataFrame:
+    """(id, label) of good (1) and bad (0) rows, ``most`` of each at most, in order of a hash."""
+    rows = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).distinct()
+    order = [F.xxhash64(F.col("id").cast("string")), "id"]
+    return rows.where("label = 1").orderBy(*order).limit(most).unionByName(rows.where("label = 0").orderBy(*order).limit(most))
 
 
 def cut_score(good: np.ndarray, bad: np.ndarray, most: float) -> float:
@@ -106,25 +114,6 @@ def cut_score(good: np.ndarray, bad: np.ndarray, most: float) -> float:
     return float(cuts[np.flatnonzero(gain == gain.max())[-1] if len(bad) else 0])
 
 
-def kth_largest(keys: DataFrame, k: int, bins: int = 4096) -> float:
-    """The k-th largest value of the one column of ``keys`` (1 <= k <= count), by counting in ever narrower bins."""
-    col = F.col(keys.columns[0])
-    lo, hi = keys.agg(F.min(col), F.max(col)).first()
-    while True:
-        width = (hi - lo) / bins
-        inside = keys.where((col >= lo) & (col <= hi))
-        if width == 0 or lo + width == lo:
-            return hi
-        counts = inside.groupBy(F.least(F.lit(bins - 1), F.floor((col - lo) / width)).alias("bin")).agg(
-            F.count("*").alias("n"), F.min(col).alias("lo"), F.max(col).alias("hi")
-        )
-        for row in sorted(counts.collect(), key=lambda r: -r.bin):
-            if row.n >= k:
-                lo, hi = row.lo, row.hi
-                break
-            k -= row.n
-
-
 def importance_resample(
     docs: DataFrame,
     labels: DataFrame,
@@ -134,37 +123,48 @@ def importance_resample(
     label_id_col: str = "doc_id",
     share: float | None = None,
     false_rejects: float = FALSE_REJECTS,
-    temperature: float = TEMPERATURE,
     seed: int = 7,
+    carry_text: bool = True,
 ) -> DataFrame:
-    """``docs`` with score (mean log ratio of target to raw n-gram models) and kept (Gumbel top-k).
-
-    The target model is fitted on at most LABELS good rows, chosen by hash; the raw model on all documents.  k is
-    ``share`` of the documents, or else as many as score above the cut that labelled rows (LABELS of each kind at
-    most) support with at most ``false_rejects`` of the good below it.  Keys are score / (temperature * standard
-    deviation of good scores) plus Gumbel noise that a hash of id and text gives; the k largest stay, all of them
-    where keys tie at the end.
-
-    Null text scores as empty (0); repeated rows get the same decision; without good labels all stay with score 0;
-    an empty table gives an empty result; result columns whose names are taken get a trailing '_'.
+    """``docs`` with score, the log importance weight of each text, and kept, the choice of a Gumbel top-k.
+
+    The weight is log p(text | target) - log p(text | raw) of two bag-of-n-gram models over hashed buckets: a product
+    over the words and word pairs, and over the character classes, of the text.  The target model is fitted on half of
+    the labelled good rows (LABELS at most, chosen by hash), the raw model on all documents.  Each document's key is
+    its weight plus standard Gumbel noise, so the k largest keys are a sample of k documents without replacement in
+    proportion to their weights.  k is ``share`` of the documents, or else as many as have a key above the cut that
+    the other labelled good rows and the bad ones (LABELS of each at most) support, with at most ``false_rejects`` of
+    these good rows below it.  All documents whose key ties with the last one stay.
+
+    The noise is a hash of id and text, and weights are sums of whole numbers: repeated rows, and equal texts, get the
+    same weight whatever the partitioning.  Null text has weight 0; null and repeated labels count for nothing more; a
+    label other than 0 and 1 is left out; without good labels all stay with score 0; an empty table gives an empty
+    result.  Result columns whose names are taken get a trailing '_'.  Texts are read twice, and scored rows are stored
+    once, without the text unless ``carry_text``.
     """
     spark = docs.sparkSession
-    good = _labelled(labels, label_id_col, label_col, 1, LABELS)
-    bad = _labelled(labels, label_id_col, label_col, 0, LABELS)
-    score, kept = free_name(docs, "score"), free_name(docs, "kept")
-    if not good:
-        return docs.withColumn(score, F.lit(0.0)).withColumn(kept, F.lit(True))
-    ratios = spark.sparkContext.broadcast(log_ratios(docs, set(good), text_col, id_col))
-    schema = T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())])
-    scored = docs.mapInArrow(_score(ratios, text_col, schema.names), schema)
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    small = checkpointed(scored.select(F.col(id_col).alias("id"), F.col(score).alias("score"), (-F.log(-F.log(u))).alias("noise")))
-    known = spark.createDataFrame([(i, 1) for i in good] + [(i, 0) for i in bad], "id long, label int")
-    seen = small.join(F.broadcast(known), "id").select("score", "label").limit(4 * LABELS).toPandas()
-    own = seen.score[seen.label == 1].to_numpy()
-    scale = max(1e-9, temperature * float(own.std() if len(own) else 1.0))
-    total, above = small.agg(F.count("*"), F.count_if(F.col("score") >= cut_score(own, seen.score[seen.label == 0].to_numpy(), false_rejects))).first()
-    k = above if share is None else round(share * total)
-    key = lambda s, g: s / scale + g
-    least = kth_largest(small.select(key(F.col("score"), F.col("noise")).alias("key")), k) if 0 < k <= total else float("inf") if total else 0.0
-    return scored.withColumn(kept, key(F.col(score), -F.log(-F.log(u))) >= least)
+    score, kept, noise = (free_name(docs, x) for x in ("score", "kept", "noise"))
+    known = _labelled(labels, label_id_col, label_col, LABELS)
+    known = known.withColumn("fit", (F.col("label") == 1) & (F.pmod(F.xxhash64(F.lit("fit"), F.col("id").cast("string")), F.lit(2)) == 0))
+    rows = known.collect()  # 2 * LABELS at most
+    known, target = spark.createDataFrame(rows, known.schema), {r.id for r in rows if r.fit}
+    if not target:
+        plain = docs if carry_text else docs.drop(text_col)
+        return plain.withColumn(score, F.lit(0.0)).withColumn(kept, F.lit(True))
+    ratios = spark.sparkContext.broadcast(log_ratios(docs, target, text_col, id_col))
+    fields = [f for f in docs.schema.fields if carry_text or f.name != text_col]
+    schema = T.StructType([*fields, T.StructField(score, T.DoubleType()), T.StructField(noise, T.DoubleType())])
+    scored = stored(docs.mapInArrow(_score(ratios, text_col, seed, schema.names, docs.columns.index(id_col), carry_text), schema))
+    key = F.col(score) + F.col(noise)
+    keys = scored.select(F.col(id_col).alias("id"), key.alias("key"))
+    if share is None:
+        # of each labelled row that is not in the target model, one key; at most 2 * LABELS rows
+        seen = keys.join(F.broadcast(known.where("not fit")), "id").groupBy("id", "label").agg(F.avg("key").alias("key")).toPandas()
+        good, bad = (seen.key[seen.label == v].to_numpy() for v in (1, 0))
+        cut = cut_score(good, bad, false_rejects)
+        total, k = keys.agg(F.count("*"), F.count_if(F.col("key") >= cut)).first()
+    else:
+        total = keys.count()
+        k = round(share * total)
+    least = kth_largest(keys.select("key"), k) if k else float("inf")
+    return scored.withColumn(kept, key >= least).drop(noise)

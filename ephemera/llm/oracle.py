@@ -7,15 +7,15 @@ from ephemera.llm import license_scan, quality_rules, url_filter
 _FOLD = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
-def _rounds(kind: str, links: str) -> str:
-    """CTEs <kind>_0 .. <kind>_n of a personalised PageRank."""
+def _rounds(kind: str, seeds: str, links: str, rounds: int = url_filter.ROUNDS) -> str:
+    """CTEs <kind>_0 .. <kind>_n of a personalised PageRank; ``seeds`` selects node and n."""
     out = [
-        f"{kind}_n AS (SELECT host AS node, {kind} AS n FROM hosts WHERE 2 * {kind} > pages)",
+        f"{kind}_n AS ({seeds})",
         f"{kind}_s AS (SELECT node, n / (SELECT sum(n) FROM {kind}_n) AS share FROM {kind}_n)",
         f"{kind}_p AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS p FROM {links})",
         f"{kind}_0 AS (SELECT node, share AS score FROM {kind}_s)",
     ]
-    for k in range(url_filter.ROUNDS):
+    for k in range(rounds):
         out.append(f"{kind}_m{k} AS MATERIALIZED (SELECT dst AS node, {url_filter.DAMPING} * sum(score * p) AS got FROM {kind}_{k} JOIN {kind}_p ON node = src GROUP BY dst)")
         out.append(
             f"{kind}_{k + 1} AS MATERIALIZED (SELECT node, sum(got) AS score FROM (SELECT * FROM {kind}_m{k} UNION ALL "
@@ -24,27 +24,38 @@ def _rounds(kind: str, links: str) -> str:
     return ",\n".join(out)
 
 
+def trade_ranks_sql(rounds: int = url_filter.ROUNDS) -> str:
+    """PageRank over the graph of parts and suppliers, from the suppliers of nation 1."""
+    return f"""WITH e AS (SELECT CASE WHEN l_linenumber % 2 = 1 THEN concat('p', l_partkey) ELSE concat('s', l_suppkey) END AS src, CASE WHEN l_linenumber % 2 = 1 THEN concat('s', l_suppkey) ELSE concat('p', l_partkey) END AS dst, sum(l_quantity) AS weight FROM lineitem GROUP BY ALL),
+{_rounds("r", "SELECT concat('s', s_suppkey) AS node, 1 AS n FROM supplier WHERE s_nationkey = 1", "e", rounds)}
+SELECT node, round(score, 9) AS score FROM r_{rounds}"""
+
+
 def url_filters_sql() -> str:
     rules = sorted(url_filter.RULES, key=lambda r: -len(r[0]) - len(r[1]))
     fits = [f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')" for h, p, _ in rules]
     rule = " ".join(f"WHEN {f} THEN '{h}{p}'" for f, (h, p, _) in zip(fits, rules, strict=True))
     verdict = " ".join(f"WHEN {f} THEN '{v}'" for f, (_, _, v) in zip(fits, rules, strict=True))
-    href = "(?i)<a\\s[^>]*?href\\s*=\\s*[\"'']?((?:[a-z][a-z0-9+.-]*:)?//[^\"''\\s>]+)"
+    link = url_filter.LINK.replace("'", "''")
     n = url_filter.ROUNDS
-    host = lambda rest: _FOLD.format(f"regexp_extract({rest}, '^[^/?#]*')")
     rest = "CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END"
+    host = _FOLD.format("regexp_extract(rest, '^[^/?#]*')")
+    seeds = lambda kind: f"SELECT host AS node, {kind} AS n FROM hosts WHERE 2 * {kind} > pages"
+    some = lambda t: f"CASE WHEN {t}.score >= {url_filter.LEAST} / (SELECT count(*) FROM hosts) THEN {t}.score ELSE 0 END"
     return f"""WITH r AS (SELECT page_id, html, {rest} AS rest FROM pages),
-j AS (SELECT page_id, html, {host("rest")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+j AS (SELECT page_id, html, {host} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
 v AS (SELECT *, CASE {rule} END AS rule, CASE {verdict} END AS said FROM j),
 hosts AS (SELECT host, count(*) AS pages, count(*) FILTER (said = 'allow') AS allowed, count(*) FILTER (said = 'block') AS blocked FROM v WHERE host <> '' GROUP BY 1),
-h AS (SELECT host AS src, unnest(regexp_extract_all(html, '{href}', 1)) AS href FROM v),
-d AS (SELECT src, {host("substr(href, instr(href, '//') + 2)")} AS dst FROM h),
-fwd AS (SELECT src, dst, count(*)::DOUBLE AS weight FROM d WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL),
+h AS (SELECT host AS src, unnest(regexp_extract_all(html, '{link}', 1)) AS dst FROM v),
+l AS (SELECT src, {_FOLD.format("dst")} AS dst, 1e0 AS weight FROM h WHERE src <> '' AND dst <> '' AND src <> {_FOLD.format("dst")}),
+lab AS (SELECT string_split(host, '.') AS p FROM (SELECT host FROM hosts UNION SELECT dst FROM l)),
+up AS (SELECT DISTINCT array_to_string(p[k:], '.') AS a, array_to_string(p[k + 1:], '.') AS b FROM (SELECT p, unnest(range(1, len(p) - 1)) AS k FROM lab)),
+fwd AS (SELECT src, dst, sum(weight) AS weight FROM (SELECT * FROM l UNION ALL SELECT a, b, {url_filter.PARENT} FROM up WHERE a <> '' AND b <> '' UNION ALL SELECT b, a, {url_filter.PARENT} FROM up WHERE a <> '' AND b <> '') GROUP BY ALL),
 bwd AS (SELECT dst AS src, src AS dst, weight FROM fwd),
-{_rounds("allowed", "fwd")},
-{_rounds("blocked", "bwd")}
-SELECT page_id, host, path, rule, coalesce(said, CASE WHEN coalesce(b.score, 0) > {url_filter.LEAST} AND coalesce(b.score, 0) >= {url_filter.DISTRUST} * (coalesce(a.score, 0) + coalesce(b.score, 0)) THEN 'block' ELSE 'allow' END) AS verdict
-FROM v LEFT JOIN allowed_{n} a ON a.node = host LEFT JOIN blocked_{n} b ON b.node = host"""
+{_rounds("allowed", seeds("allowed"), "fwd")},
+{_rounds("blocked", seeds("blocked"), "bwd")},
+s AS (SELECT v.*, coalesce({some("a")}, 0) AS trust, coalesce({some("b")}, 0) AS distrust FROM v LEFT JOIN allowed_{n} a ON a.node = host LEFT JOIN blocked_{n} b ON b.node = host)
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN distrust > 0 AND distrust >= {url_filter.DISTRUST} * (trust + distrust) THEN 'block' ELSE 'allow' END) AS verdict FROM s"""
 
 
 def quality_rules_sql() -> str:

@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 from ephemera.llm.decontaminate import decontaminate
 from ephemera.llm.importance import importance_resample
-from ephemera.llm.jaccard_join import jaccard_components
+from ephemera.llm.jaccard_join import jaccard_join
 from ephemera.llm.license_scan import scan_licenses
 from ephemera.llm.lpf_dedup import remove_repeats
-from ephemera.llm.oracle import license_scans_sql, quality_rules_sql, url_filters_sql
+from ephemera.llm.oracle import license_scans_sql, quality_rules_sql, trade_ranks_sql, url_filters_sql
 from ephemera.llm.packing import pack
 from ephemera.llm.pii import find_pii
 from ephemera.llm.quality_rules import quality_rules
 from ephemera.llm.token_counts import count_tokens
-from ephemera.llm.url_filter import filter_urls
+from ephemera.llm.url_filter import filter_urls, personalised_pagerank
 
 
 def tokenizer_path(name: str) -> str:
@@ -49,6 +49,16 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def trade_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The PageRank of op3 over a graph with many links: parts and suppliers, by quantity, from the suppliers of one nation."""
+    lines = _table(spark, sf_dir, "lineitem")
+    part, supplier, odd = F.concat(F.lit("p"), "l_partkey"), F.concat(F.lit("s"), "l_suppkey"), F.col("l_linenumber") % 2 == 1
+    edges = lines.groupBy(F.when(odd, part).otherwise(supplier).alias("src"), F.when(odd, supplier).otherwise(part).alias("dst")).agg(F.sum("l_quantity").alias("weight"))
+    seeds = _table(spark, sf_dir, "supplier").where("s_nationkey = 1").select(F.concat(F.lit("s"), "s_suppkey").alias("node"))
+    share = seeds.crossJoin(F.broadcast(seeds.agg(F.count("*").alias("n")))).select("node", (1 / F.col("n")).alias("share"))  # one row
+    return personalised_pagerank(edges, share).select("node", F.round("score", 9).alias("score"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -59,7 +69,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(_table(spark, sf_dir, "documents"))
+    return jaccard_join(_table(spark, sf_dir, "documents"))
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +80,7 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return importance_resample(docs, _table(spark, sf_dir, "labels")).select("doc_id", "score", "kept")
+    return importance_resample(docs, _table(spark, sf_dir, "labels"), carry_text=False).select("doc_id", "score", "kept")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,6 +103,7 @@ QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_quality_rules": op2_quality_rules,
     "op3_url_filters": op3_url_filters,
+    "trade_ranks": trade_ranks,
     "op4_pii": op4_pii,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
@@ -106,5 +117,6 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": quality_rules_sql(),
     "op3_url_filters": url_filters_sql(),
+    "trade_ranks": trade_ranks_sql(),
     "op9_license_scans": license_scans_sql(),
 }

@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ephemera.llm.common import checkpointed, lower_ascii
+from ephemera.llm.common import checkpointed, lower_ascii, spread_left_join, stored
 
 #: (host, path, verdict): a rule fits its host and all subdomains where the path starts with its path.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 DAMPING = 0.85
 ROUNDS = 20
 DISTRUST = 0.5  # share of distrust in all evidence of a host from which on it is blocked
-LEAST = 1e-9  # evidence below this counts as none
+LEAST = 0.25  # trust and distrust of less than this part of an even share over all hosts count as none
+PARENT = 1.0  # weight of the edge between a host and its parent domain
+#: Where a host follows: after a scheme anywhere (attributes and plain text), or after // at the start of an attribute.
+LINK = "(?i)(?:[a-z][a-z0-9+.-]*:|=[ \\t\\r\\n]*[\"']?)//([^/?#\"'<>() \\t\\r\\n\\\\]+)"
 
 
 def url_host(url: Column) -> Column:
@@ -40,33 +43,52 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
 
 
 def host_links(pages: DataFrame, html_col: str, host: Column) -> DataFrame:
-    """(src, dst, weight): links between different hosts, counted; relative links stay on their host and are left out."""
-    hrefs = F.regexp_extract_all(F.col(html_col), F.lit("(?i)<a\\s[^>]*?href\\s*=\\s*[\"']?((?:[a-z][a-z0-9+.-]*:)?//[^\"'\\s>]+)"), F.lit(1))
-    links = pages.select(host.alias("src"), F.explode(hrefs).alias("href"))
-    full = F.when(F.col("href").startswith("//"), F.concat(F.lit("http:"), "href")).otherwise(F.col("href"))
-    links = links.select("src", url_host(full).alias("dst")).where("src <> '' and dst <> '' and src <> dst")
+    """(src, dst, weight): links between different hosts, counted, from every attribute and the text of a page.
+
+    Relative links, and a page's links to its own host, tie a host to itself only and are left out.
+    """
+    found = F.regexp_extract_all(F.col(html_col), F.lit(LINK), F.lit(1))
+    links = pages.select(host.alias("src"), F.explode(found).alias("dst")).withColumn("dst", lower_ascii(F.col("dst")))
+    links = links.where("src <> '' and dst <> '' and src <> dst")
     return links.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
+def parent_links(hosts: DataFrame, weight: float = PARENT) -> DataFrame:
+    """(src, dst, weight): each host and its ancestors with its own parent domain, both ways, down to two labels.
+
+    ``m.site.example`` and ``blog.site.example`` are parts of one site, whether or not their pages link to each other.
+    """
+    labels = F.split("host", "\\.")
+    tails = F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda k: F.array_join(F.slice("p", k, F.size("p")), "."))
+    chains = hosts.select(labels.alias("p")).where(F.size("p") > 2).select(F.explode(F.arrays_zip(tails.alias("a"), F.slice(tails, F.lit(2), F.size("p")).alias("b"))).alias("e"))
+    pairs = chains.where("e.b is not null and e.a <> '' and e.b <> ''").select("e.a", "e.b").distinct()
+    both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e"))
+    return both.select("e.src", "e.dst", F.lit(weight).alias("weight"))
+
+
 def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
     """(node, score) of all nodes that seeds reach; ``seeds`` has node and a share, summing to 1.
 
-    Each round is one join and one partial aggregation; scores are checkpointed every fifth round.  Nodes without
-    links give their score back to the seeds.
+    With a column kind in both tables each kind is a graph with seeds of its own, and the result has kind, too.  Each
+    round is one join and one partial aggregation, whose result is checkpointed.  Nodes without links give their
+    score back to the seeds.
     """
-    out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
-    steps = checkpointed(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p")))
-    if steps.isEmpty():
-        return seeds.select("node", F.col("share").alias("score"))
-    scores = seeds.select("node", F.col("share").alias("score"))
-    for k in range(rounds):
-        moved = scores.join(steps, scores.node == steps.src).groupBy("dst").agg((damping * F.sum(F.col("score") * F.col("p"))).alias("got"))
-        moved = checkpointed(moved) if k % 5 == 4 else moved
-        kept = moved.agg(F.coalesce(F.sum("got"), F.lit(0.0)).alias("sum"))
-        back = seeds.crossJoin(F.broadcast(kept)).select("node", (F.col("share") * (1 - F.col("sum"))).alias("got"))  # one row
-        scores = moved.select(F.col("dst").alias("node"), "got").unionByName(back).groupBy("node").agg(F.sum("got").alias("score"))
-        scores = checkpointed(scores) if k % 5 == 4 else scores
-    return checkpointed(scores)
+    kinds = ["kind"] if "kind" in edges.columns else []
+    if not kinds:
+        edges, seeds = edges.withColumn("kind", F.lit("")), seeds.withColumn("kind", F.lit(""))
+    out = edges.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
+    steps = checkpointed(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("node"), "dst", (F.col("weight") / F.col("total")).alias("p")))
+    seeds = checkpointed(seeds.select("kind", "node", "share"))
+    scores = seeds.withColumnRenamed("share", "score")
+    if not steps.isEmpty():
+        for _ in range(rounds):
+            moved = scores.join(steps, ["kind", "node"]).groupBy("kind", "dst").agg((damping * F.sum(F.col("score") * F.col("p"))).alias("got"))
+            moved = checkpointed(moved.select("kind", F.col("dst").alias("node"), "got"))
+            kept = moved.groupBy("kind").agg(F.sum("got").alias("sum"))
+            back = seeds.join(F.broadcast(kept), "kind", "left")  # a row per kind
+            back = back.select("kind", "node", (F.col("share") * (1 - F.coalesce("sum", F.lit(0.0)))).alias("got"))
+            scores = moved.unionByName(back).groupBy("kind", "node").agg(F.sum("got").alias("score"))
+    return scores.select(*kinds, "node", "score")
 
 
 def filter_urls(
@@ -83,31 +105,36 @@ def filter_urls(
 
     The longest fitting rule decides.  Elsewhere the host does: trusted seeds are hosts most of whose pages a rule
     allows, blocked seeds those most of whose pages a rule blocks, each weighted by its pages.  Trust is a personalised
-    PageRank from trusted seeds along links between hosts, distrust one from blocked seeds against them; a host is
-    blocked if distrust is ``threshold`` or more of the two.  Hosts without evidence are allowed.
+    PageRank from trusted seeds along the edges between hosts, distrust one from blocked seeds against them; edges are
+    links in the pages (``host_links``) and those between a host and its parent domain (``parent_links``).  Scores
+    under LEAST of an even share count as none; a host is blocked if distrust is ``threshold`` or more of the two.
+    Hosts without evidence are allowed.
 
     Null urls, or without ``://``, have empty host and path, fit no rule and are allowed; null html has no links;
-    repeated rows are judged alike and count as pages; an empty table gives an empty result.
+    urls and pages have any length; repeated rows are judged alike and count as pages; an empty table gives an empty
+    result; other columns, whatever their names, are ignored.
     """
     host, path = url_host(F.col(url_col)), url_path(F.col(url_col))
     judged = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    judged = judged.withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
+    judged = stored(judged.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)))
     per_host = judged.where("host <> ''").groupBy("host").agg(
         F.count("*").alias("pages"), F.count_if(F.col("r.verdict") == "allow").alias("allowed"), F.count_if(F.col("r.verdict") == "block").alias("blocked")
     )
     per_host = checkpointed(per_host)
-    edges = checkpointed(host_links(pages, html_col, host))
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    scores = []
-    for kind, links in (("allowed", edges), ("blocked", back)):
-        seeds = per_host.where(F.col(kind) * 2 > F.col("pages")).select(F.col("host").alias("node"), F.col(kind).alias("n"))
-        total = seeds.agg(F.sum("n").alias("total"))
-        seeds = checkpointed(seeds.crossJoin(F.broadcast(total)).select("node", (F.col("n") / F.col("total")).alias("share")))  # one row
-        scores.append(personalised_pagerank(links, seeds, damping, rounds))
-    trust = scores[0].select(F.col("node").alias("host"), F.col("score").alias("trust"))
-    distrust = scores[1].select(F.col("node").alias("host"), F.col("score").alias("distrust"))
-    known = trust.join(distrust, "host", "full").na.fill(0.0, ["trust", "distrust"])
-    out = judged.join(known, "host", "left").na.fill(0.0, ["trust", "distrust"])
-    bad = (F.col("distrust") > LEAST) & (F.col("distrust") >= threshold * (F.col("trust") + F.col("distrust")))
+    links = host_links(pages, html_col, host)
+    every = per_host.select("host").union(links.select("dst")).distinct()
+    edges = checkpointed(links.unionByName(parent_links(every)).groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
+    trust_edges = edges.select(F.lit("allowed").alias("kind"), "src", "dst", "weight")
+    both = trust_edges.unionByName(edges.select(F.lit("blocked").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    seeds = per_host.select("host", F.explode(F.array(F.lit("allowed"), F.lit("blocked"))).alias("kind"), "pages", "allowed", "blocked")
+    seeds = seeds.select("kind", F.col("host").alias("node"), "pages", F.when(F.col("kind") == "allowed", F.col("allowed")).otherwise(F.col("blocked")).alias("n")).where("2 * n > pages")
+    total = seeds.groupBy("kind").agg(F.sum("n").alias("total"))
+    seeds = seeds.join(F.broadcast(total), "kind").select("kind", "node", (F.col("n") / F.col("total")).alias("share"))  # a row per kind
+    scores = personalised_pagerank(both, seeds, damping, rounds)
+    known = scores.groupBy(F.col("node").alias("host")).agg(*(F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)).alias(c) for k, c in (("allowed", "trust"), ("blocked", "distrust"))))
+    least = per_host.agg((LEAST / F.count("*")).alias("least"))
+    known = known.crossJoin(F.broadcast(least)).select("host", *(F.when(F.col(c) >= F.col("least"), F.col(c)).otherwise(0.0).alias(c) for c in ("trust", "distrust")))  # one row
+    out = spread_left_join(judged, checkpointed(known), "host").na.fill(0.0, ["trust", "distrust"])
+    bad = (F.col("distrust") > 0) & (F.col("distrust") >= threshold * (F.col("trust") + F.col("distrust")))
     verdict = F.coalesce(F.col("r.verdict"), F.when(bad, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), "trust", "distrust")
