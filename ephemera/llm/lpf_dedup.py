@@ -5,11 +5,11 @@ only texts around anchors that occur twice can hold a repeat, and all occurrence
 is dealt.  Each anchor occurrence owns the string starts that chose it; its context is the bytes of those strings.
 
 1. Anchors leave as packed arrays, dealt by hash; those that occur twice return to their documents as places.
-2. Contexts of such anchors leave, dealt by anchor hash.  A shard puts its contexts in text order (document, place),
-   builds their suffix order to depth ``length`` by rank doubling, and reads the longest previous factors: in suffix
-   order, with ties in text order, the previous smaller place of a suffix is the one before it in its tie group, so a
-   factor of ``length`` bytes exists unless the suffix is the first of its group.
-3. Starts with such a factor return as ranges; documents merge them and cut the bytes covered.
+2. Contexts of such anchors leave, dealt by anchor hash.  A shard puts its contexts in text order (document, place) and
+   builds their suffix order by rank doubling, the common prefixes of neighbours in it, and from the previous and next
+   smaller places of each suffix its longest previous factor, all to depth ``length``.
+3. Starts whose longest previous factor has ``length`` bytes return as ranges; documents merge them and cut the bytes
+   covered.
 
 Equal contexts need no suffix order: the earliest stays, later ones repeat it whole.  Tasks settle those of a flush
 before the shuffle, so a passage in a third of all documents reaches a shard once per flush.
@@ -34,7 +34,8 @@ from ephemera.llm.common import U64, flushes, list_array, mix, ragged, shuffle_p
 GRAM = 32
 FLUSH_BYTES = 8 << 20
 HOT = 20_000  # documents of an anchor from which on its strings are dealt singly
-PIECE_BYTES = 4 << 20  # contexts settled, or string starts compared, at once
+PIECE_BYTES = 2 << 20  # contexts settled, or string starts compared, at once
+RANGE_BYTES = 64 << 20  # text for each partition of the shuffles, at most, as an average
 _BYTE = np.array([xxhash.xxh3_64_intdigest(bytes([b])) for b in range(256)], U64)
 _OTHER = np.array([xxhash.xxh3_64_intdigest(bytes([b]), seed=1) for b in range(256)], U64)
 
@@ -243,36 +244,74 @@ def _emit_contexts(length: int, buckets: int):
     return run
 
 
+def suffix_ranks(data: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
+    """(k, rank of the ``k`` bytes from each place) for k = 1, 2, 4, ... up to ``depth``, which is the last; by doubling."""
+    n = len(data)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    word, out = np.zeros(n, U64), []
+    for k in range(min(8, depth)):
+        word = (word << U64(8)) | padded[k : n + k].astype(U64)
+        if k + 1 in (1, 2, 4):
+            out.append((k + 1, word.astype(np.uint32)))
+    rank, k = np.unique(word, return_inverse=True)[1].astype(np.int32), min(8, depth)
+    out.append((k, rank))
+    while k < depth:
+        step = min(k, depth - k)
+        pairs = np.zeros(n, np.int64)
+        pairs[: n - step] = rank[: n - step].astype(np.int64) * n + rank[step:]
+        pairs[n - step :] = rank[n - step :].astype(np.int64) * n
+        rank, k = np.unique(pairs, return_inverse=True)[1].astype(np.int32), k + step
+        out.append((k, rank))
+    return out
+
+
+def common_prefixes(ranks: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Length, up to ``most``, of the common prefix of the suffixes at ``a`` and ``b``, by halving steps over equal ranks."""
+    out = np.zeros(len(a), np.int64)
+    n = len(ranks[0][1])
+    for k, rank in reversed(ranks):
+        fits = np.flatnonzero((out + k <= most) & (np.maximum(a, b) + out < n))
+        fits = fits[rank[a[fits] + out[fits]] == rank[b[fits] + out[fits]]]
+        out[fits] += k
+    return out
+
+
+def nearest_smaller(places: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """For each place, in suffix order, the prefix it shares with the nearest smaller place before it in that order.
+
+    ``lcp[k]`` is the common prefix of entries k - 1 and k.  All entries follow the pointers of the larger places
+    before them at once, with the least prefix on the way; each round at least halves what a falling run has left.
+    """
+    m = len(places)
+    known = np.append(places, -1)  # a pointer of -1 meets this one and stops
+    at, low = np.arange(m) - 1, lcp.copy()
+    live = np.arange(m)
+    while len(live := live[known[at[live]] > places[live]]):
+        p = at[live]
+        at[live], low[live] = at[p], np.minimum(low[live], low[p])
+    low[at < 0] = 0
+    return low
+
+
 def previous_factors(data: np.ndarray, sizes: np.ndarray, length: int) -> np.ndarray:
-    """For contexts in text order, joined in ``data``: flags of the starts that have a previous factor of ``length`` bytes.
+    """Longest previous factors, up to ``length`` bytes, of contexts in text order, joined in ``data``.
 
-    Suffix order to that depth: the rank of the next 8 bytes, doubled until it covers ``length``; only suffixes that
-    fit in their context count.  Suffixes that are still tied are sorted by place, so the previous smaller place of
-    each is the one before it in its group.
+    For each start the longest string from there that also begins earlier, among the starts from which ``length`` bytes
+    fit in their context (0 for others): the larger of the prefixes shared with the previous and the next smaller
+    place in suffix order, where equal strings stand in text order.
     """
-    n = len(data)
     ends = np.repeat(np.cumsum(sizes), sizes)
-    starts = np.flatnonzero(np.arange(n) + length <= ends)
-    flags = np.zeros(n, bool)
+    starts = np.flatnonzero(np.arange(len(data)) + length <= ends)
+    out = np.zeros(len(data), np.int64)
     if len(starts) < 2:
-        return flags
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    word = np.zeros(n, U64)
-    for k in range(8):
-        word = (word << U64(8)) | padded[k : n + k].astype(U64)
-    places = np.arange(n)
-    rank, depth = np.unique(word, return_inverse=True)[1].astype(np.int64), 8
-    while depth < length:
-        step = min(depth, length - depth)
-        pairs = np.zeros(n, np.int64)
-        pairs[: n - step] = rank[: n - step] * n + rank[step:]
-        pairs[n - step :] = rank[n - step :] * n
-        rank, depth = np.unique(pairs, return_inverse=True)[1].astype(np.int64), depth + step
-    own = rank[starts]
-    order = np.argsort(own, kind="stable")
-    tied = np.concatenate([[False], own[order][1:] == own[order][:-1]])
-    flags[places[starts[order[tied]]]] = True
-    return flags
+        return out
+    ranks = suffix_ranks(data, length)
+    order = starts[np.argsort(ranks[-1][1][starts], kind="stable")]
+    lcp = np.concatenate([[0], common_prefixes(ranks, order[:-1], order[1:], length)])
+    before = nearest_smaller(order, lcp)
+    behind = nearest_smaller(order[::-1], np.concatenate([[0], lcp[:0:-1]]))[::-1]
+    out[order] = np.maximum(before, behind)
+    return out
 
 
 def _find_repeats(length: int):
@@ -319,7 +358,7 @@ def _find_repeats(length: int):
         own = meta[first]
         sizes = own[:, 2] - own[:, 1] + length
         data = np.frombuffer(b"".join(raw[k] for k in first.tolist()), np.uint8)
-        flags = previous_factors(data, sizes, length)
+        flags = previous_factors(data, sizes, length) >= length
         edge = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8)))
         a, z = edge[::2], edge[1::2] - 1
         base = np.cumsum(sizes) - sizes
@@ -386,10 +425,12 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     if length < 2 * GRAM:
         raise ValueError(f"length must be {2 * GRAM} at least")
     spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("body"))
     known = rows.where("key is not null")
-    most = known.groupBy("key").count().agg(F.max("count")).first()[0] or 1
+    per = known.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.octet_length("body")).alias("size"))
+    most, size = (x or 0 for x in per.agg(F.max("n"), F.sum("size")).first())
+    # a partition holds the anchors of so much text, whatever the session's number of partitions
+    parts = max(shuffle_partitions(spark), -(-size // RANGE_BYTES))
     if most > 1:  # the order of documents needs a place for each row
         order = F.row_number().over(Window.partitionBy("key").orderBy("body"))
         known = known.withColumn("key", F.col("key") * most + order - 1)
