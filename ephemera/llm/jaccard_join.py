@@ -9,8 +9,10 @@ Plan (all exact, for any data):
 3. Classes with too few shared hashes have no partner and are dropped.  Of the rest only the rarest
    ``s - l + 1`` shared hashes can be the first that a pair has in common; equal ones connect *candidates*.
 4. Each connected set of candidates is cut into geometric size bands, large bands into blocks; compatible blocks
-   form tiles.  In a tile, hashed bitmaps bound each overlap from above by bit counts, and what remains is settled
-   by intersecting sorted arrays.  Pairs already in one component are skipped, so copies are not expanded.
+   form tiles of bounded size.  In a tile, hashed bitmaps bound each overlap from above by bit counts, and what remains
+   is settled by intersecting sorted arrays.
+5. A tile returns for each class how many documents its links lead to and one class that it is connected with, never
+   the pairs, and equal texts are one class, so neither copies nor groups of near copies are expanded.
 """
 
 from __future__ import annotations
@@ -28,18 +30,23 @@ from ephemera.llm.common import (
     WordHash,
     checkpointed,
     flushes,
+    free_name,
     list_array,
     mix,
     offsets_of,
+    ragged,
     shingle_sets,
     shuffle_partitions,
+    stored,
     texts_of,
 )
 from ephemera.llm.components import connected_components
 
 FLUSH_BYTES = 8 << 20
 PREFIX_SHARE = 10  # l(n) = n // PREFIX_SHARE, at least 1
-BLOCK = 5_000  # documents in a block of a tile
+BLOCK = 5_000  # classes in a block of a tile
+BLOCK_SHINGLES = 4_000_000  # shingles in a block, about
+RANGE_BYTES = 48 << 20  # packed prefixes that a reducer holds, on average
 
 
 def _extra(n):
@@ -146,83 +153,109 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
     """A row of bits for each set, as wide as the largest set needs (256 to 8,192)."""
     bits = 1 << min(13, max(8, math.ceil(math.log2(max(map(len, sets), default=1) + 1))))
-    out = np.zeros((len(sets), bits), bool)
-    for i, s in enumerate(sets):
-        out[i, (mix(s) >> U64(20)).astype(np.int64) & (bits - 1)] = True
-    return np.packbits(out, axis=1).view(U64)
+    rows = []
+    for at in range(0, len(sets), 1000):
+        part = sets[at : at + 1000]
+        out = np.zeros((len(part), bits), bool)
+        for i, s in enumerate(part):
+            out[i, (mix(s) >> U64(20)).astype(np.int64) & (bits - 1)] = True
+        rows.append(np.packbits(out, axis=1))
+    return np.concatenate(rows).view(U64)
 
 
-def _overlap(a: np.ndarray, b: np.ndarray) -> int:
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    return int((b[at] == a).sum())
+def tile_links(sets: list[np.ndarray], num: int, den: int, side: np.ndarray | None = None, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each set (ascending by size) the least index of the sets that links lead to, and the weight of those it links with.
 
-
-def tile_labels(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
-    """For each set (ascending by size) the least index of the sets that links lead to."""
-    size = np.fromiter(map(len, sets), np.int64, len(sets))
-    label = np.arange(len(sets))
+    With ``side`` only sets of different sides are compared.  Without ``weight`` pairs that are connected already are
+    passed over, and the second result is 0.
+    """
+    n = len(sets)
+    size = np.fromiter(map(len, sets), np.int64, n)
+    label, linked = np.arange(n), np.zeros(n, np.int64)
     bits = bitmaps(sets)
-    for i in range(len(sets) - 1):
-        end = int(np.searchsorted(size, size[i] * den // num, side="right"))
-        js = np.flatnonzero(label[i + 1 : end] != label[i]) + i + 1
+    # sorted arrays of places in the tile's own sorted vocabulary
+    own, every = np.unique(np.concatenate(sets), return_inverse=True)
+    start, marks = offsets_of(size), np.zeros(len(own), bool)
+    last = np.searchsorted(size, size * den // num, side="right")
+    for i in range(n - 1):
+        js = np.arange(i + 1, last[i])
+        if side is not None:
+            js = js[side[js] != side[i]]
+        if weight is None:
+            js = js[label[js] != label[i]]
         for at in range(0, len(js), 4096):
             part = js[at : at + 4096]
             only_i = np.bitwise_count(bits[i] & ~bits[part]).sum(axis=1, dtype=np.int64)
             only_j = np.bitwise_count(bits[part] & ~bits[i]).sum(axis=1, dtype=np.int64)
             most = np.minimum(size[i] - only_i, size[part] - only_j)
             # den * o >= num * (a + b - o)
-            for j in part[(den + num) * most >= num * (size[i] + size[part])].tolist():
-                if label[j] != label[i] and (den + num) * _overlap(sets[i], sets[j]) >= num * (size[i] + size[j]):
-                    a, b = sorted((label[i], label[j]))
-                    label[label == b] = a
-    return label
-
-
-def _verify(n: int, num: int, den: int):
-    """Rows sorted by tile: links of each tile as (class, least linked class of the tile)."""
-
-    def settle(rows: list[tuple[int, bytes]], cache: WordHash) -> tuple[list[int], list[int]]:
+            part = part[(den + num) * most >= num * (size[i] + size[part])]
+            if not len(part):
+                continue
+            marks[every[start[i] : start[i + 1]]] = True
+            for few in np.split(part, np.flatnonzero(np.diff(np.cumsum(size[part]) // BLOCK_SHINGLES)) + 1):
+                common = np.add.reduceat(marks[every[ragged(start[few], size[few])]].astype(np.int64), offsets_of(size[few])[:-1])
+                hits = few[(den + num) * common >= num * (size[i] + size[few])]
+                if weight is not None:
+                    linked[i] += weight[hits].sum()
+                    linked[hits] += weight[i]
+                for j in hits[label[hits] != label[i]].tolist():
+                    if label[j] != label[i]:
+                        a, b = sorted((label[i], label[j]))
+                        label[label == b] = a
+            marks[every[start[i] : start[i + 1]]] = False
+    return label, linked
+
+
+def _verify(n: int, num: int, den: int, count: bool):
+    """Rows sorted by tile: links of each tile as (class, least linked class of the tile, documents that it links with there)."""
+
+    def settle(rows: list[tuple[int, int, int, bytes]], cache: WordHash) -> list[list[int]]:
         found = {}
-        for cls, s in zip((r[0] for r in rows), shingle_sets([r[1] for r in rows], n, cache), strict=True):
-            if _class_of(s) == cls:  # a repeated id may carry another text
-                found.setdefault(cls, s)
-        items = sorted(found.items(), key=lambda x: len(x[1]))
+        for row, s in zip(rows, shingle_sets([r[3] for r in rows], n, cache), strict=True):
+            if _class_of(s) == row[0]:  # a repeated id may carry another text
+                found.setdefault(row[0], (s, row[1], row[2]))
+        items = sorted(found.items(), key=lambda x: len(x[1][0]))
         if len(items) < 2:
-            return [], []
-        label = tile_labels([s for _, s in items], num, den)
+            return [[], [], []]
+        side = np.array([v[1] for _, v in items])
+        weight = np.array([v[2] for _, v in items], np.int64) if count else None
+        label, linked = tile_links([v[0] for _, v in items], num, den, side if side.any() else None, weight)
         names = np.array([c for c, _ in items])
-        linked = np.flatnonzero(label != np.arange(len(items)))
-        return names[linked].tolist(), names[label[linked]].tolist()
+        some = np.flatnonzero((label != np.arange(len(items))) | (linked > 0))
+        return [names[some].tolist(), names[label[some]].tolist(), linked[some].tolist()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, held, tile = WordHash(), [], None
         for b in batches:
             keys = b.column(0).to_pylist()
-            out: tuple[list[int], list[int]] = ([], [])
-            for key, cls, text in zip(keys, b.column(1).to_pylist(), texts_of(b.column(2)), strict=True):
+            out: list[list[int]] = [[], [], []]
+            for key, side, cls, size, text in zip(keys, *(b.column(k).to_pylist() for k in (1, 2, 3)), texts_of(b.column(4)), strict=True):
                 if key != tile:
                     for o, x in zip(out, settle(held, cache), strict=True):
                         o += x
                     held, tile = [], key
-                held.append((cls, text))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["u", "v"])
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in settle(held, cache)], names=["u", "v"])
+                held.append((cls, side, size, text))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["u", "v", "linked"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in settle(held, cache)], names=["u", "v", "linked"])
 
     return run
 
 
 def _tiles(members: DataFrame, num: int, den: int, block: int) -> DataFrame:
-    """(cls, n, tile): candidates of one component meet in a tile if their size bands are compatible."""
-    total = members.groupBy("component").agg(F.count("*").alias("total"))
+    """(cls, tile, side): candidates of one component meet in a tile if their size bands are compatible; each pair meets once.
+
+    Small components are one tile.  The bands of others are cut into blocks; a tile is a block alone (side 0) or two
+    blocks (sides 0 and 1), whose classes are compared across only.
+    """
+    blocks_of = lambda rows: F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias(rows)
+    total = members.groupBy("component").agg(blocks_of("total"))
     bands = members.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(den / num) + 1e-9))
-    blocks = bands.groupBy("component", "band").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    small = members.join(total.where(F.col("total") <= block), "component").select(
-        "cls", F.struct("component", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("a"), F.lit(0).alias("b")).alias("tile")
+    blocks = bands.groupBy("component", "band").agg(blocks_of("blocks"))
+    small = members.join(total.where("total <= 1"), "component").select(
+        "cls", F.struct("component", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("a"), F.lit(0).alias("b")).alias("tile"), F.lit(0).alias("side")
     )
-    large = bands.join(total.where(F.col("total") > block), "component").join(blocks, ["component", "band"])
+    large = bands.join(total.where("total > 1"), "component").join(blocks, ["component", "band"])
     mine = large.withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("blocks")))
     near = blocks.select("component", F.col("band").alias("other"), F.col("blocks").alias("others"))
     met = mine.join(near, "component").where(F.abs(F.col("band") - F.col("other")) <= 1)
@@ -232,26 +265,34 @@ def _tiles(members: DataFrame, num: int, den: int, block: int) -> DataFrame:
     met = met.select(
         "cls",
         F.struct("component", lo["k"].cast("int").alias("i"), hi["k"].cast("int").alias("j"), lo["m"].cast("int").alias("a"), hi["m"].cast("int").alias("b")).alias("tile"),
+        (x > y).cast("int").alias("side"),
     )
-    return small.unionByName(met).select("cls", F.xxhash64("tile").alias("tile")).distinct()
+    return small.unionByName(met).select("cls", F.xxhash64("tile").alias("tile"), "side")
 
 
-def jaccard_components(
-    docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", n: int = 5, threshold: tuple[int, int] = (3, 4), block: int = BLOCK
+def jaccard_join(
+    docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", n: int = 5, threshold: tuple[int, int] = (3, 4), block: int = BLOCK, links: bool = True
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row: components under Jaccard >= num / den of word n-gram sets.
+    """(doc_id, n_shingles, component_id, n_links) for every row: the join of all texts with Jaccard >= num / den of word n-gram sets.
 
+    n_links is the number of other rows that a row links with, and component_id the smallest id reachable by links.
     Words are runs without ASCII white space, A-Z lower-cased.  A text of fewer than ``n`` words has its whole
-    sequence as one shingle.  Null or wordless text: n_shingles 0, component_id its own id.  Repeated rows give
-    repeated results; rows with a null id are compared with nothing and get a null component.  component_id is the
-    smallest id reachable by links.  An empty table gives an empty result; other columns are ignored, whatever
-    their names.  Sets are compared by 64-bit hashes of their shingles.
+    sequence as one shingle.  Null or wordless text: n_shingles 0, component_id its own id, no links.  Repeated rows
+    link with each other; rows with a null id are compared with nothing and get a null component.  An empty table gives
+    an empty result; other columns are ignored, whatever their names.  Sets are compared by 64-bit hashes of their
+    shingles.  Without ``links`` links are followed only until components are known, and n_links is left out.
     """
     spark, (num, den) = docs.sparkSession, threshold
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    parts = shuffle_partitions(spark)
-    classes = checkpointed(rows.mapInArrow(_sets(n), "doc_id long, n_shingles long, cls long"))
+    classes = stored(rows.mapInArrow(_sets(n), "doc_id long, n_shingles long, cls long"))
     named = rows.where(F.col("doc_id").isNotNull())
+    # rows without words or id belong to no one
+    alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
+    sources = classes.where(~alone).groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("size"), F.max("n_shingles").alias("n"))
+    sources = checkpointed(sources)
+    # a reducer holds the prefixes of a range of hashes, whatever the session's number of partitions
+    prefix = sources.agg(F.sum(F.col("n") * (den - num) / den + F.greatest(F.lit(1), F.col("n") / PREFIX_SHARE))).first()[0] or 0
+    parts = max(shuffle_partitions(spark), math.ceil(8 * prefix / RANGE_BYTES))
     packed = named.select("text").mapInArrow(_prefixes(n, num, den, 8 * parts), "bucket int, owners binary, hashes binary")
     shared = packed.repartition(parts, "bucket").select("owners", "hashes").mapInArrow(_shared, "cls long, n long, h array<long>, df array<long>")
     # of the first floor((1-t)n) + l(n) hashes, l of the least size a partner can have are in common at least
@@ -263,33 +304,33 @@ def jaccard_components(
     pivot = rare.groupBy("h").agg(F.min("cls").alias("p"))
     star = rare.join(pivot, "h").where("cls <> p").select("cls", "p").distinct()
     members = connected_components(star).select(F.col("id").alias("cls"), "component")
-    members = members.join(rare.groupBy("cls").agg(F.first("n").alias("n")), "cls")
-    tiles = _tiles(members, num, den, block)
-    sources = classes.where("doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    wanted = tiles.join(sources, "cls")
-    texts = wanted.join(named, "doc_id").select("tile", "cls", "text").repartition(parts, "tile").sortWithinPartitions("tile")
-    links = checkpointed(texts.mapInArrow(_verify(n, num, den), "u long, v long"))
-    found = connected_components(links).select(F.col("id").alias("cls"), F.col("component").alias("root"))
-    joined = classes.join(found, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    least_id = joined.groupBy("root").agg(F.min("doc_id").alias("least"))
-    # rows without words or id belong to no one; a salted key keeps them from meeting in one task
-    alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
-    return (
-        joined.where(~alone).join(least_id, "root").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
-    ).unionByName(classes.where(alone).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    members = checkpointed(members.join(sources.select("cls", "n"), "cls"))
+    wanted = _tiles(members, num, den, block).join(sources.select("cls", "doc_id", "size"), "cls")
+    texts = wanted.join(named, "doc_id").select("tile", "side", "cls", "size", "text").repartition(parts, "tile").sortWithinPartitions("tile")
+    found = checkpointed(texts.mapInArrow(_verify(n, num, den, links), "u long, v long, linked long"))
+    root = connected_components(found.select("u", "v")).select(F.col("id").alias("cls"), F.col("component").alias("root"))
+    linked = found.groupBy(F.col("u").alias("cls")).agg(F.sum("linked").alias("linked"))
+    per = sources.join(root, "cls", "left").join(linked, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    least_id = per.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    n_links = (F.coalesce("linked", F.lit(0)) + F.col("size") - 1).alias("n_links")
+    per = per.join(least_id, "root").select("cls", "component_id", n_links)
+    names = ["doc_id", "n_shingles", "component_id", *(["n_links"] if links else [])]
+    none = classes.where(alone).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    return classes.where(~alone).join(per, "cls").select(*names).unionByName(none.select(*names))
 
 
 def keep_representatives(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without near copies: of each component the row with the smallest id stays; of exact repeats of that id one row.
+    """``docs`` without near copies: of each component the row with the smallest id stays; of repeats of that id the first by its columns.
 
     Rows with a null id all stay.
     """
-    found = jaccard_components(docs, text_col, id_col, **options).where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    found = jaccard_join(docs, text_col, id_col, links=False, **options).where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
     kept = docs.join(found, id_col, "left_semi")
     return _one_per_id(kept, id_col).unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def _one_per_id(docs: DataFrame, id_col: str) -> DataFrame:
-    order = [F.col(f"`{c}`") for c in docs.columns if c != id_col]
-    ranked = docs.withColumn("__rank", F.row_number().over(Window.partitionBy(id_col).orderBy(*order)))
-    return ranked.where("__rank = 1").drop("__rank")
+    rank = free_name(docs, "rank")
+    order = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema.fields if f.name != id_col]
+    ranked = docs.withColumn(rank, F.row_number().over(Window.partitionBy(id_col).orderBy(*order, F.lit(0))))
+    return ranked.where(F.col(rank) == 1).drop(rank)
