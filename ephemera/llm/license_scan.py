@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ephemera.llm.common import checkpointed, lower_ascii
+from ephemera.llm.common import checkpointed, lower_ascii, spread_left_join, stored
 from ephemera.llm.license_texts import TIERS, Windows, license_texts
 
 #: Short statements by which texts name their licence; parameters of the scan.
@@ -118,17 +118,17 @@ def scan_licenses(
         (F.coalesce("whole", F.lit(False)) | F.coalesce(first & F.col("all"), F.lit(False))).alias("whole"),
     )
     own = checkpointed(own)
-    named = rows.select("doc_id", "path", "key").join(own, "key", "left")
     folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
+    named = stored(rows.select("doc_id", "path", "key").join(own, "key", "left").withColumn("own", folder))
     is_file = F.col("whole") | F.col("path").rlike("(?i)(^|/)(licen[sc]e|copying)(\\.[a-z]+)?$")
     of_folder = named.where(F.col("license").isNotNull() & F.coalesce(is_file, F.lit(False))).groupBy(folder.alias("folder"), "license").agg(F.count("*").alias("n"))
     of_folder = of_folder.groupBy("folder").agg(F.max(F.struct("n", _before("license"))).alias("b")).select("folder", _name("b").alias("theirs"))
     # a folder and its ancestors, nearest first
-    folders = named.where(F.col("license").isNull() & F.col("path").isNotNull()).select(folder.alias("own")).distinct()
+    folders = named.where(F.col("license").isNull() & F.col("path").isNotNull()).select("own").distinct()
     up = folders.select("own", F.split("own", "/").alias("p")).select("own", F.explode(F.sequence(F.lit(0), F.size("p"))).alias("depth"), "p")
     up = up.select("own", "depth", F.when(F.col("depth") == 0, "").otherwise(F.array_join(F.slice("p", F.lit(1), F.col("depth")), "/")).alias("folder"))
-    nearest = up.join(of_folder, "folder").groupBy("own").agg(F.max_by("theirs", "depth").alias("theirs"))
-    out = named.withColumn("own", folder).join(nearest, "own", "left")
+    nearest = checkpointed(up.join(of_folder, "folder").groupBy("own").agg(F.max_by("theirs", "depth").alias("theirs")))
+    out = spread_left_join(named, nearest, "own")
     inherits = F.col("license").isNull() & F.col("theirs").isNotNull()
     return out.select(
         "doc_id",
