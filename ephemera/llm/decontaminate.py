@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -13,11 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ephemera.llm.common import flushes, free_name, offsets_of, ragged, texts_of
+from ephemera.llm.common import _PLACES, U64, flushes, free_name, offsets_of, ragged, stored, texts_of
 from ephemera.llm.fm_index import FMIndex
 
 SHARD_BYTES = 4 << 20
-BLOCK_BYTES = 16 << 20  # benchmark text that is broadcast at once
+BLOCK_BYTES = 4 << 20  # benchmark text that is broadcast at once; takes about 30 times as much on the driver
+BLOCKS = 4  # blocks that are searched in one stage
 _FOLD = bytes(b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -28,25 +28,36 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class Phrases:
-    """Windows of benchmark items as integer rows by length, and the items of each window."""
+    """Windows of benchmark items as integer rows by length, and the items of each window, as arrays.
+
+    A window may have two rows; each then has some of its items.
+    """
 
     def __init__(self, items: list[tuple[str, bytes]], n: int):
         self.vocabulary: dict[bytes, int] = {}
-        by_window: dict[tuple[int, ...], set[str]] = defaultdict(set)
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            for k in range(max(1, len(ids) - n + 1) if ids else 0):
-                by_window[tuple(ids[k : k + n])].add(item)
-        self.names = sorted({x for found in by_window.values() for x in found})
+        self.names = sorted({item for item, _ in items})
         number = {x: i for i, x in enumerate(self.names)}
-        lengths = sorted({len(w) for w in by_window})
-        self.least = lengths[0] if lengths else 0
+        rows: dict[int, list[np.ndarray]] = {}
+        owners: dict[int, list[np.ndarray]] = {}
+        for item, text in items:
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)], np.int32)
+            if len(ids):
+                size = min(n, len(ids))
+                windows = np.lib.stride_tricks.sliding_window_view(ids, size)
+                rows.setdefault(size, []).append(windows)
+                owners.setdefault(size, []).append(np.full(len(windows), number[item], np.int32))
+        self.least = min(rows, default=0)
         self.groups = []
-        for length in lengths:
-            own = [w for w in by_window if len(w) == length]
-            items_of = [sorted(number[x] for x in by_window[w]) for w in own]
-            counts = np.array([len(x) for x in items_of])
-            self.groups.append((np.array(own, np.int64).reshape(-1, length), counts, np.array([y for x in items_of for y in x], np.int64)))
+        for length in sorted(rows):
+            every, owner = np.concatenate(rows.pop(length)), np.concatenate(owners.pop(length))
+            hashes = (every.astype(U64) * _PLACES[:length]).sum(axis=1, dtype=U64) if length <= len(_PLACES) else every[:, 0].astype(U64)
+            order = np.lexsort((owner, hashes))
+            every, owner = every[order], owner[order]
+            fresh = np.concatenate([[True], (every[1:] != every[:-1]).any(axis=1)])
+            one = np.concatenate([[True], fresh[1:] | (owner[1:] != owner[:-1])])  # an item once for each window
+            first = np.flatnonzero(fresh)
+            counts = np.add.reduceat(one.astype(np.int64), first)
+            self.groups.append((every[first].astype(np.int64), counts, owner[one].astype(np.int64)))
 
 
 def shard_hits(texts: list[bytes], phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -171,6 +182,8 @@ def decontaminate(
     schema = T.StructType([*docs.schema.fields, *(T.StructField(a, b) for a, b in zip(names, kinds.values(), strict=True))])
     out = docs
     for k, phrases in enumerate(_phrases(benchmark, item_text_col, item_col, n, block_bytes)):
+        if k and k % BLOCKS == 0:
+            out = stored(out)
         shared = docs.sparkSession.sparkContext.broadcast(phrases)
         out = out.mapInArrow(_pass(shared, text_col, schema.names, shard_bytes, k > 0), schema)
     bad = (F.col(names[1]) > 0) & (F.col(names[1]) * share[1] >= F.col(names[0]) * share[0])

@@ -86,6 +86,11 @@ def components(docs):
     return sorted((i, len(s), least[root(k)] if s else i) for k, (i, s) in enumerate(sets))
 
 
+def links(docs):
+    sets = [(i, shingles(t)) for i, t in docs]
+    return [(i, sum(1 for b, (_, y) in enumerate(sets) if a != b and x and y and 100 * len(x & y) >= 75 * len(x | y))) for a, (i, x) in enumerate(sets)]
+
+
 def repeats(docs, length=100):
     seen, out = set(), []
     for i, t in sorted(docs, key=lambda x: (x[0], x[1] or "")):
