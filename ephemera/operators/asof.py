@@ -2,8 +2,8 @@
 
 One engine serves them all.  Samples become intervals (each with its successor), samples and targets are sorted
 together once per key, and each target takes the last interval that began at or before it.  That is one exchange and
-one sort, linear in the rows.  Keys are few and long, so ``bucket`` cuts the time line: each (key, bucket) is a task of
-its own, and the interval that is open where a bucket begins is carried in as a row of its own.
+one sort, linear in the rows.  Keys are few and long, so ``bucket`` cuts the time line: samples find their successor
+and targets their interval within (key, period), and the interval that is open where a period begins is a row of it.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ephemera.functions.names import quoted
 from ephemera.functions.scalars import micros
 
 _BUCKETS = {"hour": 3_600_000_000, "day": 86_400_000_000, "week": 604_800_000_000}
@@ -21,49 +22,69 @@ def cross_times(times: DataFrame, keys: DataFrame, on: str = "timestamp", by: st
     return times.select(on).distinct().crossJoin(keys.select(by).distinct())
 
 
-def _intervals(right: DataFrame, by: list[str], on: str, values: list[str]) -> DataFrame:
-    """One row per (key, time) of the samples, with the next sample in ``t1`` and ``v1``; of repeats the least values."""
-    here = right.where(F.col(on).isNotNull()).groupBy(*by, on).agg(F.min(F.struct(*values)).alias("v0")) if values else right.select(*by, on).distinct().withColumn("v0", F.struct(F.lit(1).alias("one")))
-    here = here.select(*by, micros(F.col(on)).alias("t0"), F.col(on).alias("ts0"), "v0")
-    w = Window.partitionBy(*by).orderBy("t0")
-    return here.withColumns({"t1": F.lead("t0").over(w), "ts1": F.lead("ts0").over(w), "v1": F.lead("v0").over(w)})
+def _samples(right: DataFrame, by: list[str], on: str, values: list[str], size: int | None) -> DataFrame:
+    """(k0, k1, ..., p, t, s): one row per key and time with its period and the sample (t, ts, v); of repeats the least values."""
+    v = F.struct(*map(quoted, values)) if values else F.struct(F.lit(1).alias("one"))
+    d = right.select(*_keys(by), quoted(on).alias("ts"), v.alias("v")).dropna(subset=[*_names(by), "ts"])
+    d = d.groupBy(*_names(by), "ts").agg(F.min("v").alias("v")).withColumn("t", micros(F.col("ts")))
+    return d.select(*_names(by), _period(size).alias("p"), "t", F.struct("t", "ts", "v").alias("s"))
+
+
+def _names(by: list[str]) -> list[str]:
+    return [f"k{i}" for i in range(len(by))]
+
+
+def _keys(by: list[str]) -> list[Column]:
+    return [quoted(c).alias(n) for c, n in zip(by, _names(by), strict=True)]
+
+
+def _period(size: int | None) -> Column:
+    return F.lit(0).cast("long") if size is None else F.floor(F.col("t") / size)
 
 
 def bracket(left: DataFrame, right: DataFrame, by: str | list[str], on: str, values: list[str], bucket: str | None = None) -> DataFrame:
-    """``left`` with struct ``__b``: the samples around each row, (t0, ts0, v0) at or before it and (t1, ts1, v1) after it.
+    """(row, b): the rows of ``left`` as structs, and the samples around each.
+
+    b.s0 is the sample (t, ts, v) at or before the row, b.s1 the next one; either is null where there is none, and b is
+    null for keys without samples, null keys and null times.  All other columns are inside structs, so no name of
+    either table can meet one of this function's own.
 
-    Rows before the first sample have null t0 and the first sample as t1; keys without samples have a null struct.
+    With ``bucket`` each (key, period) is worked on alone.  Only the table of periods, one row for each (key, period)
+    with samples or rows, is put in order by key: it tells each period the last sample before it and the first behind.
     """
     by = [by] if isinstance(by, str) else by
-    samples = _intervals(right.dropna(subset=by), by, on, values)
-    whole = F.struct("t0", "ts0", "v0", "t1", "ts1", "v1")
-    kind = samples.select(whole.alias("b")).schema["b"].dataType
-    null = lambda c: F.lit(None).cast(samples.schema[c].dataType)
-    before = F.struct(null("t0").alias("t0"), null("ts0").alias("ts0"), null("v0").alias("v0"), F.col("f.t0").alias("t1"), F.col("f.ts0").alias("ts1"), F.col("f.v0").alias("v1")).cast(kind)
-    edges = samples.groupBy(*by).agg(F.min(F.struct("t0", "ts0", "v0")).alias("f"), F.max_by(whole, "t0").alias("after")).select(*by, before.alias("before"), "after")
-    row = F.struct(*(F.col(f"`{c}`") for c in left.columns))
-    asked = left.select(*by, micros(F.col(on)).alias("t"), F.lit(None).cast(kind).alias("b"), row.alias("row"), F.lit(1).alias("kind"))
-    no_row = F.lit(None).cast(asked.schema["row"].dataType).alias("row")
-    known = samples.select(*by, F.col("t0").alias("t"), whole.alias("b"), no_row, F.lit(0).alias("kind"))
-    if bucket is None:
-        seed = edges.select(*by, F.lit(-(2**62)).alias("t"), F.col("before").alias("b"), no_row, F.lit(-1).alias("kind"))
-        both = known.unionByName(seed).unionByName(asked)
-        w = Window.partitionBy(*by).orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
-        out = both.withColumn("open", F.last("b", ignorenulls=True).over(w)).where("kind = 1")
+    size = None if bucket is None else _BUCKETS[bucket]
+    ks = _names(by)
+    samples = _samples(right, by, on, values, size)
+    row = F.struct(*map(quoted, left.columns))
+    asked = left.select(*_keys(by), micros(quoted(on)).alias("t"), row.alias("row")).select(*ks, _period(size).alias("p"), "t", "row")
+    inside = Window.partitionBy(*ks, "p").orderBy("t")
+    if size is None:
+        known = samples.withColumn("next", F.lead("s").over(inside))
+        first = samples.groupBy(*ks).agg(F.min_by("s", "t").alias("next"))
+        seeds = first.select(*ks, F.lit(0).cast("long").alias("p"), F.lit(None).cast(samples.schema["s"].dataType).alias("s"), "next")
     else:
-        # an interval is carried to the start of every period that it reaches into; what lies before the first or in
-        # periods after the last sample takes the key's first or last interval
-        size = _BUCKETS[bucket]
-        period = lambda c: F.floor(c / size)
-        reach = samples.where(period(F.col("t1")) > period(F.col("t0"))).withColumn("k", F.explode(F.sequence(period(F.col("t0")) + 1, period(F.col("t1")))))
-        carried = reach.select(*by, (F.col("k") * size).alias("t"), whole.alias("b"), no_row, F.lit(-1).alias("kind"))
-        both = known.unionByName(carried).unionByName(asked).withColumn("k", period(F.col("t")))
-        w = Window.partitionBy(*by, "k").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
-        out = both.withColumn("open", F.last("b", ignorenulls=True).over(w)).where("kind = 1")
-        out = out.join(edges, by, "left")
-        edge = F.when(F.col("t") < F.col("before.t1"), F.col("before")).otherwise(F.col("after"))
-        out = out.withColumn("open", F.coalesce("open", edge))
-    return out.select("row.*", F.when(F.col("t").isNotNull(), F.col("open")).alias("__b"))
+        per = samples.groupBy(*ks, "p").agg(F.min_by("s", "t").alias("first"), F.max_by("s", "t").alias("last"))
+        none = F.lit(None).cast(samples.schema["s"].dataType)
+        per = per.unionByName(asked.select(*ks, "p").distinct().select(*ks, "p", none.alias("first"), none.alias("last")))
+        per = per.groupBy(*ks, "p").agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("first", "last")))
+        up, down = (Window.partitionBy(*ks).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.col("p").asc(), F.col("p").desc()))
+        per = per.withColumns({"before": F.last("last", ignorenulls=True).over(up), "behind": F.last("first", ignorenulls=True).over(down)})
+        known = samples.withColumn("next", F.lead("s").over(inside)).join(per.select(*ks, "p", "behind"), [*ks, "p"])
+        known = known.withColumn("next", F.coalesce("next", "behind"))
+        seeds = per.select(*ks, "p", F.col("before").alias("s"), F.coalesce("first", "behind").alias("next")).where("s is not null or next is not null")
+    pair = F.struct(F.col("s").alias("s0"), F.col("next").alias("s1"))
+    kind, empty = known.select(pair.alias("b")).schema["b"].dataType, F.lit(None).cast(asked.schema["row"].dataType)
+    both = known.select(*ks, "p", "t", pair.alias("b"), empty.alias("row"), F.lit(0).alias("kind"))
+    both = both.unionByName(seeds.select(*ks, "p", F.lit(-(2**62)).alias("t"), pair.alias("b"), empty.alias("row"), F.lit(-1).alias("kind")))
+    both = both.unionByName(asked.select(*ks, "p", "t", F.lit(None).cast(kind).alias("b"), "row", F.lit(1).alias("kind")))
+    so_far = Window.partitionBy(*ks, "p").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("open", F.last("b", ignorenulls=True).over(so_far)).where("kind = 1")
+    return out.select("row", F.when(F.col("t").isNotNull(), F.col("open")).alias("b"))
+
+
+def _of(struct: str, name: str) -> Column:
+    return F.col(struct).getField(name)
 
 
 def nearest_asof(
@@ -71,27 +92,25 @@ def nearest_asof(
 ) -> DataFrame:
     """Rows of ``left`` with the sample of ``right`` that is nearest in time, within ``tolerance_s`` (inclusive).
 
-    Of two equally near samples the earlier is taken.  Adds the sample's columns (names that ``left`` has get
-    ``suffix``), its time as on + ``suffix`` and ``age_s``, the distance in seconds.  ``how="left"`` keeps rows without
+    Of two equally near samples the earlier is taken.  Adds the sample's columns, its time as on + ``suffix`` and
+    ``age_s``, the distance in seconds; names that ``left`` has get ``suffix``.  ``how="left"`` keeps rows without
     a sample, with nulls.  Null times and null keys match nothing.
     """
     keys = [by] if isinstance(by, str) else by
     values = [c for c in right.columns if c not in (*keys, on)]
     d = bracket(left, right, keys, on, values, bucket)
-    t = micros(F.col(on))
-    before, after = t - F.col("__b.t0"), F.col("__b.t1") - t
-    earlier = F.col("__b.t0").isNotNull() & (F.col("__b.t1").isNull() | (before <= after))
+    t = micros(_of("row", on))
+    before, after = t - F.col("b.s0.t"), F.col("b.s1.t") - t
+    earlier = F.col("b.s0").isNotNull() & (F.col("b.s1").isNull() | (before <= after))
     age = F.when(earlier, before).otherwise(after)
     ok = age <= int(round(tolerance_s * 1e6))
-    pick = lambda a, b: F.when(ok & earlier, a).when(ok, b)
-    names = {c: c if c not in left.columns else c + suffix for c in values}
-    out = d.select(
-        *left.columns,
-        pick(F.col("__b.ts0"), F.col("__b.ts1")).alias(on + suffix),
-        *(pick(F.col(f"__b.v0.`{c}`"), F.col(f"__b.v1.`{c}`")).alias(n) for c, n in names.items()),
-        F.when(ok, age / 1e6).alias("age_s"),
-    )
-    return out.where(F.col("age_s").isNotNull()) if how == "inner" else out
+    taken = {c.lower() for c in left.columns}
+    name = lambda c: c + suffix if c.lower() in taken else c
+    pick = lambda c: F.when(ok & earlier, F.col(f"b.s0.{c}")).when(ok, F.col(f"b.s1.{c}"))
+    if how == "inner":
+        d = d.where(ok)
+    d = d.select("row", pick("ts").alias("ts"), pick("v").alias("v"), F.when(ok, age / 1e6).alias("age"))
+    return d.select(*(_of("row", c).alias(c) for c in left.columns), F.col("ts").alias(on + suffix), *(_of("v", c).alias(name(c)) for c in values), F.col("age").alias(name("age_s")))
 
 
 def interpolate_asof(
@@ -112,27 +131,40 @@ def interpolate_asof(
     samples gives null.
     """
     keys = [by] if isinstance(by, str) else by
-    samples = right.select(*keys, on, *values)
+    samples = right.select(*map(quoted, [*keys, on, *values]))
     if skip_null:
         samples = samples.dropna(subset=values)
     d = bracket(left, samples, keys, on, values, bucket)
+    ok = F.lit(True)
     if min_points > 1:
-        enough = samples.select(*keys, on).distinct().groupBy(*keys).count().where(F.col("count") >= min_points).select(*keys, F.lit(True).alias("__ok"))
-        d = d.join(enough, keys, "left")
-    t = micros(F.col(on))
-    t0, t1 = F.col("__b.t0"), F.col("__b.t1")
+        enough = samples.select(*_keys(keys), quoted(on).alias("ts")).where("ts is not null").distinct().groupBy(*_names(keys)).count()
+        enough = enough.where(F.col("count") >= min_points).select(*_names(keys), F.lit(True).alias("ok"))
+        d = d.select(*(_of("row", c).alias(n) for c, n in zip(keys, _names(keys), strict=True)), "row", "b").join(enough, _names(keys), "left")
+        ok = F.coalesce("ok", F.lit(False))
+    t = micros(_of("row", on))
+    t0, t1 = F.col("b.s0.t"), F.col("b.s1.t")
     inside = t0.isNotNull() & (t1.isNotNull() | (t == t0))
     share = (t - t0) / (t1 - t0)
 
     def value(c: str) -> Column:
-        a, b = F.col(f"__b.v0.`{c}`"), F.col(f"__b.v1.`{c}`")
+        a, b = F.col("b.s0.v").getField(c), F.col("b.s1.v").getField(c)
         line = F.when(t == t0, a).when(inside, a + (b - a) * share)
         if edge == "clamp":
             line = F.when(t0.isNull(), b).when(t1.isNull(), a).otherwise(line)
-        return (F.when(F.col("__ok"), line) if min_points > 1 else line).alias(c)
+        return F.when(ok, line).alias(c)
 
     kept = d.where(inside) if edge == "drop" else d
-    return kept.select(*(c for c in left.columns if c not in values), *map(value, values))
+    return kept.select(*(_of("row", c).alias(c) for c in left.columns if c not in values), *map(value, values))
+
+
+def at_every_time(samples: DataFrame, times: DataFrame, by: str, on: str, values: list[str], keys: DataFrame | None = None, bucket: str | None = None) -> DataFrame:
+    """(on, by, ``values``): every key at every time of ``times``, interpolated, the end values outside a key's samples.
+
+    ``keys`` has the keys wanted, else all keys of ``samples`` are.  Samples with a null value are left out if there is
+    one value column; keys without samples give null.
+    """
+    wanted = cross_times(times, samples if keys is None else keys, on, by)
+    return interpolate_asof(wanted, samples, by, on, values, "clamp", skip_null=len(values) == 1, bucket=bucket)
 
 
 def snap_to_grid(df: DataFrame, by: str, on: str, every_min: int = 15, tolerance_s: float = 60.0) -> DataFrame:
@@ -142,19 +174,19 @@ def snap_to_grid(df: DataFrame, by: str, on: str, every_min: int = 15, tolerance
     last time.  Points without a sample within ``tolerance_s`` are left out; of equally near samples the earlier is
     taken.  With a tolerance below half a step each sample has one point, so no grid is built.
     """
-    t = micros(F.col(on))
     step = every_min * 60_000_000
-    start = F.timestamp_add("MINUTE", -(F.minute("first") % every_min), F.date_trunc("MINUTE", "first").cast("timestamp_ntz"))
-    bounds = df.groupBy(by).agg(F.min(on).alias("first"), F.max(on).alias("last"))
-    bounds = bounds.select(by, micros(start).alias("__from"), micros(F.col("last")).alias("__to"), start.alias("__start"))
     values = [c for c in df.columns if c not in (by, on)]
+    rows = df.select(quoted(by).alias("k"), quoted(on).alias("ts"), micros(quoted(on)).alias("t"), (F.struct(*map(quoted, values)) if values else F.struct(F.lit(1).alias("one"))).alias("v"))
+    start = F.timestamp_add("MINUTE", -(F.minute("first") % every_min), F.date_trunc("MINUTE", "first").cast("timestamp_ntz"))
+    bounds = rows.groupBy("k").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    bounds = bounds.select("k", micros(start).alias("from"), micros(F.col("last")).alias("to"), start.alias("start"))
+    at = F.timestamp_add("MINUTE", F.col("n") * every_min, F.col("start")).alias("at")
     if tolerance_s * 2e6 < step:
-        d = df.join(bounds, by).withColumn("__k", F.floor((t - F.col("__from")) / step + F.lit(0.5)).cast("long"))
-        d = d.withColumn("__off", t - F.col("__from") - F.col("__k") * step)
-        ok = (F.abs("__off") <= tolerance_s * 1e6) & (F.col("__from") + F.col("__k") * step <= F.col("__to"))
-        best = F.row_number().over(Window.partitionBy(by, "__k").orderBy(F.abs("__off"), "__off", *values))
-        d = d.where(ok).withColumn("__best", best).where("__best = 1")
-        return d.select(by, F.timestamp_add("MINUTE", F.col("__k") * every_min, F.col("__start")).alias(on), *values)
-    grid = bounds.select(by, "__start", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__to") - F.col("__from")) / step))).alias("__k"))
-    grid = grid.select(by, F.timestamp_add("MINUTE", F.col("__k") * every_min, F.col("__start")).alias(on))
-    return nearest_asof(grid, df, by, on, tolerance_s).select(by, on, *values)
+        d = rows.join(bounds, "k").withColumn("n", F.floor((F.col("t") - F.col("from")) / step + F.lit(0.5)).cast("long"))
+        d = d.withColumn("off", F.col("t") - F.col("from") - F.col("n") * step)
+        ok = (F.abs("off") <= tolerance_s * 1e6) & (F.col("from") + F.col("n") * step <= F.col("to"))
+        best = d.where(ok).groupBy("k", "n", "start").agg(F.min(F.struct(F.abs("off").alias("far"), "off", "v")).alias("best"))
+        return best.select(F.col("k").alias(by), at.alias(on), *(F.col("best.v").getField(c).alias(c) for c in values))
+    grid = bounds.select("k", "start", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("to") - F.col("from")) / step))).alias("n"))
+    grid = grid.select(F.col("k").alias(by), at.alias(on))
+    return nearest_asof(grid, df, by, on, tolerance_s).select(*map(quoted, [by, on, *values]))

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ephemera.functions.names import quoted
+
 #: Steps of 15 minutes ahead.
 HORIZONS = {"15min": 1, "30min": 2, "1hr": 4, "2hr": 8, "24hr": 96}
 
@@ -65,38 +67,52 @@ def residual_moments(df: DataFrame, by: list[str], y: str = "y", y_hat: str = "y
     return d.groupBy(*by).agg(F.count("*").alias("n"), F.avg("r").alias("mean"), F.stddev_pop("r").alias("std"), F.skewness("r").alias("skewness"), F.kurtosis("r").alias("kurtosis"))
 
 
-def log_normal_cdf(z: Column) -> Column:
-    """log of the standard normal distribution function, in built-in functions.
+def log_normal_tails(x: Column) -> Column:
+    """(below, above): logs of the standard normal distribution function at -x and x, for x >= 0, in built-in functions.
 
-    Between -5 and 5 it is 1/2 + pdf * (z + z^3/3 + z^5/15 + ...), a series of positive terms; beyond, the tail is the
-    continued fraction pdf / (x + 1 / (x + 2 / (x + ...))).
+    Up to 3 it is 1/2 -+ pdf * (x + x^3/3 + x^5/15 + ...), a series of positive terms; beyond, the tail is the continued
+    fraction pdf / (x + 1 / (x + 2 / (x + ...))).
     """
-    x = F.abs(z)
     pdf = F.exp(-0.5 * x * x) / math.sqrt(2 * math.pi)
     start = F.struct(x.alias("term"), x.alias("total"))
-    odd = F.array(*(F.lit(2.0 * k + 1) for k in range(1, 70)))
-    series = F.aggregate(odd, start, lambda a, m: F.struct((a["term"] * x * x / m).alias("term"), (a["total"] + a["term"] * x * x / m).alias("total")), lambda a: a["total"])
+    odd = F.array(*(F.lit(2.0 * k + 1) for k in range(1, 40)))
+    series = F.aggregate(odd, start, lambda a, m: F.struct((a["term"] * x * x / m).alias("term"), (a["total"] + a["term"] * x * x / m).alias("total")), lambda a: pdf * a["total"])
     fraction = F.aggregate(F.array(*(F.lit(float(k)) for k in range(40, 0, -1))), x, lambda a, k: x + k / a)
-    log_tail = -0.5 * x * x - 0.5 * math.log(2 * math.pi) - F.log(fraction)
-    lower = F.when(x < 5, F.log(F.lit(0.5) - pdf * series)).otherwise(log_tail)
-    lower = F.when((x >= 3) & (x < 5), log_tail).otherwise(lower)
-    upper = F.when(x < 3, F.log(F.lit(0.5) + pdf * series)).otherwise(F.log1p(-F.exp(log_tail)))
-    return F.when(z < 0, lower).otherwise(upper)
+    part = F.when(x < 3, series).otherwise(-0.5 * x * x - 0.5 * math.log(2 * math.pi) - F.log(fraction))
+    # one higher-order step binds the part, so that it is computed once for both tails
+    return F.transform(F.array(part), lambda v: F.struct(F.when(x < 3, F.log(F.lit(0.5) - v)).otherwise(v).alias("below"), F.when(x < 3, F.log(F.lit(0.5) + v)).otherwise(F.log1p(-F.exp(v))).alias("above")))[0]
+
+
+def log_normal_cdf(z: Column) -> Column:
+    """log of the standard normal distribution function."""
+    tails = log_normal_tails(F.abs(z))
+    return F.when(z < 0, tails["below"]).otherwise(tails["above"])
 
 
-def anderson_darling(df: DataFrame, by: list[str], value: str = "r") -> DataFrame:
+def anderson_darling(df: DataFrame, by: list[str], value: str = "r", slots: int = 4096) -> DataFrame:
     """Per group: n, a2, critical (5 %, mean and deviation estimated) and normal.
 
-    One window ranks the residuals; the weights of each rank need no second pass or self-join.
+    A group is never sorted whole: equal residuals are counted, ``slots`` ranges of the standardised residual are
+    summed up (the only window over a group, of ``slots`` rows at most), and ranks are found within (group, range).
     """
-    d = df.where(F.col(value).isNotNull())
-    stats = d.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("__m"), F.stddev_samp(value).alias("__s")).where("n > 1 and __s > 0")
-    ranked = d.select(*by, value).join(stats, by).withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy(value)))
-    z = (F.col(value) - F.col("__m")) / F.col("__s")
-    term = (2 * F.col("i") - 1) * log_normal_cdf(z) + (2 * (F.col("n") - F.col("i")) + 1) * log_normal_cdf(-z)
-    out = ranked.select(*by, "n", term.alias("t")).groupBy(*by, "n").agg(F.sum("t").alias("s"))
-    n = F.col("n").cast("double")
-    out = out.select(*by, "n", (-n - F.col("s") / n).alias("a2"), (F.lit(0.787) / (1 + 4 / n - 25 / (n * n))).alias("critical"))
+    d = df.select(*map(quoted, by), quoted(value).cast("double").alias("__r")).where("__r is not null")
+    stats = d.groupBy(*by).agg(F.count("*").alias("__n"), F.avg("__r").alias("__m"), F.stddev_samp("__r").alias("__s")).where("__n > 1 and __s > 0")
+    z = (F.col("__r") - F.col("__m")) / F.col("__s")
+    # ranges of equal width within 4 deviations, where nearly all rows are, and one beyond on each side
+    spread = F.least(F.lit(slots - 1), F.greatest(F.lit(0), F.floor((z + 4) * (slots / 8))))
+    counted = d.groupBy(*by, "__r").agg(F.count("*").alias("__c")).join(stats, by).select(*by, "__n", z.alias("__z"), spread.alias("__slot"), "__c")
+    per = counted.groupBy(*by, "__slot").agg(F.sum("__c").alias("__in"))
+    per = per.withColumn("__upto", F.coalesce(F.sum("__in").over(Window.partitionBy(*by).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inside = Window.partitionBy(*by, "__slot").orderBy("__z").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumn("__k", F.sum("__c").over(inside)).join(per.select(*by, "__slot", "__upto"), [*by, "__slot"])
+    # ranks a + 1 .. b have the weights 2 i - 1, which sum to b^2 - a^2, and 2 (n - i) + 1
+    n, b, c = F.col("__n").cast("double"), (F.col("__upto") + F.col("__k")).cast("double"), F.col("__c").cast("double")
+    low = b * b - (b - c) * (b - c)
+    ranked = ranked.select(*by, "__n", "__z", low.alias("__low"), (2 * n * c - low).alias("__high"), log_normal_tails(F.abs("__z")).alias("__t"))
+    below, above = F.col("__t.below"), F.col("__t.above")
+    term = F.when(F.col("__z") < 0, F.col("__low") * below + F.col("__high") * above).otherwise(F.col("__low") * above + F.col("__high") * below)
+    out = ranked.select(*by, "__n", term.alias("__t")).groupBy(*by, "__n").agg(F.sum("__t").alias("__s"))
+    out = out.select(*by, F.col("__n").alias("n"), (-n - F.col("__s") / n).alias("a2"), (F.lit(0.787) / (1 + 4 / n - 25 / (n * n))).alias("critical"))
     return out.withColumn("normal", F.col("a2") < F.col("critical"))
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ephemera.functions.names import quoted
 from ephemera.operators.windows import series, tail
 
 STEPS = {"15min": 1, "30min": 2, "1hr": 4, "2hr": 8, "4hr": 16, "8hr": 32, "24hr": 96}
@@ -26,35 +27,50 @@ def recursive_forecast(
 ) -> DataFrame:
     """(by, step, feature, y_hat, error): each key rolled forward ``steps`` times from its last ``lookback`` rows.
 
-    ``predict`` maps (keys, lookback, features) to (keys, n_targets); each forecast is appended with the other
-    features 0.  Shorter horizons are prefixes of the one roll.  Keys with fewer than ``lookback`` rows give one row
-    with ``error``.  The last rows are chosen before the group shuffle, so a group has ``lookback`` rows at most.
+    ``predict`` maps (keys, lookback, features) to (keys, n_targets) and is called once a step for each batch of keys;
+    each forecast is appended with the other features 0.  Shorter horizons are prefixes of the one roll.  Keys with
+    fewer than ``lookback`` rows give one row with ``error``.  The last rows are chosen before the shuffle, so a key has
+    ``lookback`` rows at most.
     """
     order = [on] if isinstance(on, str) else list(on)
-    last = tail(df, by, order, lookback).select(by, *order, *features)
-
-    def roll(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = pdf[by].iloc[0]
-        if len(pdf) < lookback:
-            return pd.DataFrame([[key, None, None, None, f"Need at least {lookback} data points"]], columns=["key", "step", "feature", "y_hat", "error"])
-        x = pdf.sort_values(order)[features].to_numpy(float)[None]
-        rows = []
-        for step in range(1, steps + 1):
-            y = np.asarray(predict(x), float).reshape(1, n_targets)
-            rows += [[key, step, features[k], float(y[0, k]), None] for k in range(n_targets)]
-            new = np.zeros((1, 1, len(features)))
-            new[0, 0, :n_targets] = y
-            x = np.concatenate([x[:, 1:], new], axis=1)
-        return pd.DataFrame(rows, columns=["key", "step", "feature", "y_hat", "error"])
+    last = tail(df, by, order, lookback)
+    row = F.struct(*(quoted(c).alias(f"o{i}") for i, c in enumerate(order)), F.array(*(quoted(c).cast("double") for c in features)).alias("x"))
+    rows = last.groupBy(quoted(by).alias("key")).agg(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["x"]).alias("x"))
+    ready, short = rows.where(F.size("x") == lookback), rows.where(F.size("x") < lookback)
+
+    def roll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = b.num_rows
+            if not keys:
+                continue
+            x = np.array(b.column(1).to_pylist(), float).reshape(keys, lookback, len(features))
+            found = np.empty((keys, steps, n_targets))
+            for step in range(steps):
+                found[:, step] = np.asarray(predict(x), float).reshape(keys, n_targets)
+                new = np.zeros((keys, 1, len(features)))
+                new[:, 0, :n_targets] = found[:, step]
+                x = np.concatenate([x[:, 1:], new], axis=1)
+            flat = pa.array(found.reshape(-1))
+            inner = pa.ListArray.from_arrays(pa.array(np.arange(0, keys * steps * n_targets + 1, n_targets), pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, keys * steps + 1, steps), pa.int32()), inner)], names=["key", "y"])
 
     kind = df.schema[by].dataType.simpleString()
-    return last.groupBy(by).applyInPandas(roll, f"key {kind}, step int, feature string, y_hat double, error string").withColumnRenamed("key", by)
+    names = F.array(*map(F.lit, features[:n_targets]))
+    rolled = ready.mapInArrow(roll, f"key {kind}, y array<array<double>>").select("key", F.posexplode("y").alias("step", "y"))
+    rolled = rolled.select("key", (F.col("step") + 1).alias("step"), F.explode(F.arrays_zip(names.alias("feature"), F.col("y").alias("y_hat"))).alias("r"))
+    rolled = rolled.select(F.col("key").alias(by), "step", "r.feature", "r.y_hat", F.lit(None).cast("string").alias("error"))
+    none = short.select(F.col("key").alias(by), F.lit(None).cast("int").alias("step"), F.lit(None).cast("string").alias("feature"), F.lit(None).cast("double").alias("y_hat"), F.lit(too_short(lookback)).alias("error"))
+    return rolled.unionByName(none)
+
+
+def too_short(lookback: int) -> str:
+    return f"fewer than {lookback} rows of history"
 
 
 def enough_history(df: DataFrame, by: str, lookback: int = 36) -> DataFrame:
     """(by, n, error): error says which keys have too few rows."""
     n = df.groupBy(by).agg(F.count("*").alias("n"))
-    return n.withColumn("error", F.when(F.col("n") < lookback, F.lit(f"Need at least {lookback} data points")))
+    return n.withColumn("error", F.when(F.col("n") < lookback, F.lit(too_short(lookback))))
 
 
 def confidence(n: Column) -> tuple[Column, Column]:

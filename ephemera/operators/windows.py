@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ephemera.functions.names import free_name, quoted
 from ephemera.functions.scalars import day_cycle, micros, satellite_block
 
 
@@ -18,24 +19,28 @@ def series(by: str | list[str], on: str | list[str]):
     return Window.partitionBy(*keys).orderBy(*order)
 
 
-def with_halo(df: DataFrame, by: str, on: str | list[str], rows: int, bucket: str) -> DataFrame:
-    """``df`` with __bucket and __own: each period also holds the last ``rows`` rows before it (own false).
+def with_halo(df: DataFrame, by: str, on: str | list[str], rows: int, bucket: str) -> tuple[DataFrame, str, str]:
+    """``df`` with two columns, and their names: the period, and whether the row is its own; each period also holds the last ``rows`` rows before it.
 
-    The rows to copy are the last of their period; a period with fewer rows reaches further back, so copies go to
-    every later period that still lacks rows before it.
+    The rows to copy are the last of their period; a period with fewer rows reaches further back.  The table of
+    periods tells each which later ones lack how many rows before them (``rows`` of them at most), so a row is joined
+    to its own period alone and copied from there.
     """
     order = [on] if isinstance(on, str) else list(on)
-    d = df.withColumn("__bucket", F.date_trunc(bucket, F.col(order[0])))
-    w = Window.partitionBy(by, "__bucket").orderBy(*(F.col(c).desc() for c in order))
-    counts = d.groupBy(by, "__bucket").agg(F.count("*").alias("__n"))
-    seen = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy(by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    last = d.withColumn("__back", F.row_number().over(w)).where(F.col("__back") <= rows)
-    # a row that is __back from the end of its period is needed by a later one if fewer than ``rows`` rows lie between
-    later = seen.select(F.col(by).alias("__k"), F.col("__bucket").alias("__to"), F.col("__before").alias("__upto"))
-    here = last.join(seen.withColumn("__end", F.col("__before") + F.col("__n")).select(by, "__bucket", "__end"), [by, "__bucket"])
-    halo = here.join(later, (F.col(by) == F.col("__k")) & (F.col("__to") > F.col("__bucket")) & (F.col("__upto") - F.col("__end") + F.col("__back") <= rows))
-    halo = halo.select(*df.columns, F.col("__to").alias("__bucket"), F.lit(False).alias("__own"))
-    return d.withColumn("__own", F.lit(True)).unionByName(halo)
+    period, own = free_name(df, "period"), free_name(df, "own")
+    d = df.select(quoted(by).alias("k"), F.date_trunc(bucket, quoted(order[0])).alias("p"), F.struct(*map(quoted, df.columns)).alias("row"))
+    n = d.groupBy("k", "p").agg(F.count("*").alias("n"))
+    so_far = Window.partitionBy("k").orderBy("p")
+    ends = n.withColumn("end", F.sum("n").over(so_far.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = ends.withColumn("later", F.collect_list(F.struct("p", (F.col("end") - F.col("n")).alias("start"))).over(so_far.rowsBetween(1, rows)))
+    # a row that is ``back`` from the end of its period is needed by a later one if fewer than ``rows`` rows lie between
+    needs = F.transform("later", lambda x: F.struct(x["p"].alias("p"), (rows - (x["start"] - F.col("end"))).alias("most")))
+    needs = ends.select("k", "p", F.filter(needs, lambda x: x["most"] > 0).alias("needs"))
+    back = F.row_number().over(Window.partitionBy("k", "p").orderBy(*(F.col("row").getField(c).desc() for c in order)))
+    last = d.withColumn("back", back).where(F.col("back") <= rows)
+    halo = last.join(needs, ["k", "p"]).select("row", "back", F.explode("needs").alias("to")).where("back <= to.most")
+    both = d.select("row", "p", F.lit(True).alias("own")).unionByName(halo.select("row", F.col("to.p").alias("p"), F.lit(False).alias("own")))
+    return both.select(*(F.col("row").getField(c).alias(c) for c in df.columns), F.col("p").alias(period), F.col("own").alias(own)), period, own
 
 
 def rolling_stats(df: DataFrame, by: str, on: str | list[str], cols: list[str], n: int = 12, bucket: str | None = None) -> DataFrame:
@@ -43,8 +48,8 @@ def rolling_stats(df: DataFrame, by: str, on: str | list[str], cols: list[str],
 
     Deviations are sample deviations, 0 for a single row; the first difference is 0.
     """
-    d = df if bucket is None else with_halo(df, by, on, max(1, n - 1), bucket)
-    w = series(by if bucket is None else [by, "__bucket"], on)
+    d, period, own = (df, "", "") if bucket is None else with_halo(df, by, on, max(1, n - 1), bucket)
+    w = series(by if bucket is None else [by, period], on)
     frame = w.rowsBetween(-(n - 1), 0)
     new: dict[str, Column] = {}
     for c in cols:
@@ -52,7 +57,7 @@ def rolling_stats(df: DataFrame, by: str, on: str | list[str], cols: list[str],
         new[f"{c}_std"] = F.coalesce(F.stddev_samp(c).over(frame), F.lit(0.0))
         new[f"{c}_diff"] = F.coalesce(F.col(c) - F.lag(c).over(w), F.lit(0.0))
     d = d.withColumns(new)
-    return d if bucket is None else d.where("__own").drop("__own", "__bucket")
+    return d if bucket is None else d.where(F.col(own)).drop(own, period)
 
 
 def adaptive_rolling(df: DataFrame, by: str, on: str | list[str], cols: list[str], most: int = 12, share: int = 4) -> DataFrame:
@@ -116,7 +121,20 @@ def tail(df: DataFrame, by: str, on: str | list[str], k: int = 1) -> DataFrame:
     """The last ``k`` rows of each key."""
     order = [on] if isinstance(on, str) else list(on)
     w = Window.partitionBy(by).orderBy(*(F.col(c).desc() for c in order))
-    return df.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= k).drop("__k")
+    place = free_name(df, "place")
+    return df.withColumn(place, F.row_number().over(w)).where(F.col(place) <= k).drop(place)
+
+
+def head(df: DataFrame, by: str, on: str | list[str], k: int = 1) -> DataFrame:
+    """The first ``k`` rows of each key."""
+    place = free_name(df, "place")
+    return df.withColumn(place, F.row_number().over(series(by, on))).where(F.col(place) <= k).drop(place)
+
+
+def first_rows(df: DataFrame, on: str | list[str], k: int = 5, last: bool = False) -> DataFrame:
+    """The first (or ``last``) ``k`` rows of the table in order: each task offers its own ``k``, so nothing is sorted whole."""
+    order = [on] if isinstance(on, str) else list(on)
+    return df.orderBy(*(F.col(c).desc() if last else F.col(c).asc() for c in order)).limit(k)
 
 
 def not_monotonic(df: DataFrame, by: str, on: str, order: list[str]) -> DataFrame:

@@ -698,7 +698,7 @@ def _(spark, sf_dir):
     return d.groupBy("user_id", "horizon").agg(F.count("*").alias("n"), F.min_by("y_hat", "step").alias("first"), F.max_by("y_hat", "step").alias("last"))
 
 
-@query("enough_history", "SELECT user_id, count(*) AS n, CASE WHEN count(*) < 60 THEN 'Need at least 60 data points' END AS error, round(least(0.95, 0.7 + count(*) / 100.0 * 0.25), 6) AS score, CASE WHEN least(0.95, 0.7 + count(*) / 100.0 * 0.25) > 0.85 THEN 'High' WHEN least(0.95, 0.7 + count(*) / 100.0 * 0.25) > 0.7 THEN 'Medium' ELSE 'Low' END AS level FROM events GROUP BY 1")
+@query("enough_history", "SELECT user_id, count(*) AS n, CASE WHEN count(*) < 60 THEN 'fewer than 60 rows of history' END AS error, round(least(0.95, 0.7 + count(*) / 100.0 * 0.25), 6) AS score, CASE WHEN least(0.95, 0.7 + count(*) / 100.0 * 0.25) > 0.85 THEN 'High' WHEN least(0.95, 0.7 + count(*) / 100.0 * 0.25) > 0.7 THEN 'Medium' ELSE 'Low' END AS level FROM events GROUP BY 1")
 def _(spark, sf_dir):
     score, level = forecast.confidence(F.col("n"))
     return forecast.enough_history(events(spark, sf_dir), "user_id", 60).select("user_id", "n", "error", F.round(score, 6).alias("score"), level.alias("level"))
