@@ -122,10 +122,15 @@ def split_fraction(df: DataFrame, on: str, ties: str, fractions: list[float], na
     return d.withColumn("__place", place).withColumn("split", split).select(*df.columns, "split")
 
 
+def hashed_unit(*parts: Column | str | int) -> Column:
+    """A number between 0 and 1 from a hash (MD5) of ``parts``: the same in any engine and at any partitioning."""
+    text = F.concat_ws("|", *(F.lit(str(p)) if isinstance(p, int) else F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("")) for p in parts))
+    return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+
+
 def split_random(df: DataFrame, keys: list[str], test_share: float = 0.2, seed: int = 42) -> DataFrame:
     """``df`` with ``split``, decided by a hash of the key: the same at any partitioning."""
-    u = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1_000_000)) / 1e6
-    return df.withColumn("split", F.when(u < test_share, "test").otherwise("train"))
+    return df.withColumn("split", F.when(hashed_unit(seed, *keys) < test_share, "test").otherwise("train"))
 
 
 def split_last_day(df: DataFrame, on: str, day: str | None = None) -> DataFrame:
@@ -144,8 +149,7 @@ def augment_noise(train: DataFrame, cols: list[str], sigma: float = 0.005, seed:
     def noise(k: int) -> Column:
         if keys is None:
             return F.randn(seed + k)
-        u = lambda s: (F.pmod(F.xxhash64(F.lit(seed), F.lit(2 * k + s), *keys), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-        return F.sqrt(-2 * F.log(u(0))) * F.cos(2 * math.pi * u(1))
+        return F.sqrt(-2 * F.log(hashed_unit(seed, 2 * k, *keys))) * F.cos(2 * math.pi * hashed_unit(seed, 2 * k + 1, *keys))
 
     noisy = train.withColumns({c: F.col(c) + sigma * noise(k) for k, c in enumerate(cols)})
     return train.withColumn("augmented", F.lit(False)).unionByName(noisy.withColumn("augmented", F.lit(True)))

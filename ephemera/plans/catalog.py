@@ -287,10 +287,9 @@ def _(spark, sf_dir):
     clock = F.when(F.col("event_id") % 13 == 0, "bad").when(F.col("event_id") % 4 == 0, "999999.999999").otherwise(F.format_string("%.6f", 0.25 * F.col("event_id")))
     epoch = F.format_string("*  %s %d.00000000", F.date_format("ts", "yyyy M d H m"), F.second("ts"))
     text = F.format_string("#cP2025\n%s\nPG%02d %.6f %.6f -1.0 %s\nEOF\n", epoch, F.col("user_id") % 100, "value", F.col("event_id").cast("double"), clock)
-    orbit, bias = sp3.parse_sp3(events(spark, sf_dir).select(F.col("event_id").cast("string").alias("file"), text.alias("value")))
-    d = orbit.join(bias.withColumn("n", F.round("clock_bias", 9)), ["timestamp", "satellite"], "left").dropDuplicates(["timestamp", "satellite", "y"])
-    d = d.where(F.col("n").isNull() | (F.abs(F.col("n") - F.col("y") * 0.25e-9) < 1e-9))
-    return d.select("timestamp", "satellite", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), "z", F.col("n").alias("clock_bias"))
+    orbit, bias = sp3.parse_sp3(events(spark, sf_dir).select(F.col("event_id").cast("string").alias("file"), text.alias("value")), keep_file=True)
+    d = orbit.join(bias, ["file", "timestamp", "satellite"], "left")
+    return d.select("timestamp", "satellite", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), "z", F.round("clock_bias", 9).alias("clock_bias"))
 
 
 @query("parse_nav", f"SELECT satellite, date_trunc('second', l_shipdate) AS timestamp, l_orderkey * 1e0 AS iode, round(a, 0) AS a, round(e, 9) AS e, round(m0, 9) AS m0, toe, round(af0 * 1e9, 6) AS af0_ns, l_linenumber * 1e0 AS iodc FROM (SELECT l_orderkey, l_linenumber, l_shipdate, {_E_SQL} FROM lineitem) WHERE l_linenumber <> 3")
@@ -463,12 +462,18 @@ def _(spark, sf_dir):
     return profile.quality_report(gappy(spark, sf_dir), "user_id", "ts", ["x"])
 
 
-@query("same_keys", "SELECT user_id, 'left' AS side FROM (SELECT user_id FROM events WHERE event_type = 'view' EXCEPT SELECT user_id FROM events WHERE event_type = 'error') UNION ALL SELECT user_id, 'right' FROM (SELECT user_id FROM events WHERE event_type = 'error' EXCEPT SELECT user_id FROM events WHERE event_type = 'view')")
+@query("same_keys", "WITH v AS (SELECT user_id FROM events WHERE event_type = 'view' AND value > 150), e AS (SELECT user_id FROM events WHERE event_type = 'error' AND value > 150) SELECT user_id, 'left' AS side FROM (SELECT * FROM v EXCEPT SELECT * FROM e) UNION ALL SELECT user_id, 'right' FROM (SELECT * FROM e EXCEPT SELECT * FROM v)")
 def _(spark, sf_dir):
-    e = events(spark, sf_dir)
+    e = events(spark, sf_dir).where("value > 150")
     return profile.same_keys(e.where("event_type = 'view'"), e.where("event_type = 'error'"), "user_id")
 
 
+@query("no_overlap", "SELECT max(ts) FILTER (CAST(ts AS DATE) < d) AS train_end, min(ts) FILTER (CAST(ts AS DATE) >= d) AS test_start, max(ts) FILTER (CAST(ts AS DATE) < d) < min(ts) FILTER (CAST(ts AS DATE) >= d) AS disjoint FROM events, (SELECT max(CAST(ts AS DATE)) AS d FROM events)")
+def _(spark, sf_dir):
+    parts = prep.split_last_day(events(spark, sf_dir), "ts")
+    return profile.no_overlap(parts.where("split = 'train'"), parts.where("split = 'test'"), "ts")
+
+
 # windows
 
 _W = "OVER (PARTITION BY user_id ORDER BY ts, event_id"
@@ -509,9 +514,9 @@ def _(spark, sf_dir):
     return windows.tail(events(spark, sf_dir).select("event_id", "user_id", "ts", "value"), "user_id", ON, 5).select("event_id", "user_id", "value")
 
 
-@query("not_monotonic", "SELECT user_id, n FROM (SELECT user_id, count(*) FILTER (ts <= before) AS n FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) GROUP BY 1) WHERE n > 0")
+@query("not_monotonic", "SELECT user_id, n FROM (SELECT user_id, count(*) FILTER (ts <= before) AS n FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY value, event_id) AS before FROM events) GROUP BY 1) WHERE n > 0")
 def _(spark, sf_dir):
-    return windows.not_monotonic(events(spark, sf_dir), "user_id", "ts", ["event_id"])
+    return windows.not_monotonic(events(spark, sf_dir), "user_id", "ts", ["value", "event_id"])
 
 
 def _window_sql(lookback: int, horizon: int, stride: int) -> str:
@@ -601,14 +606,19 @@ def _(spark, sf_dir):
     return prep.split_last_day(events(spark, sf_dir), "ts").select("event_id", "split")
 
 
-@query("split_random")
+def _unit_sql(text: str) -> str:
+    return f"(('0x' || substr(md5({text}), 1, 12))::BIGINT + 0.5) / 281474976710656.0"
+
+
+@query("split_random", f"SELECT event_id, CASE WHEN {_unit_sql("concat_ws('|', 42, event_id)")} < 0.2 THEN 'test' ELSE 'train' END AS split FROM events")
 def _(spark, sf_dir):
     return prep.split_random(events(spark, sf_dir), ["event_id"], 0.2, 42).select("event_id", "split")
 
 
-@query("augment_noise")
+@query("augment_noise", f"SELECT event_id, value, false AS augmented FROM events UNION ALL SELECT event_id, round(value + 0.005 * sqrt(-2 * ln({_unit_sql("concat_ws('|', 42, 0, event_id)")})) * cos(2 * pi() * {_unit_sql("concat_ws('|', 42, 1, event_id)")}), 6), true FROM events")
 def _(spark, sf_dir):
-    return prep.augment_noise(events(spark, sf_dir).select("event_id", "value"), ["value"], 0.005, keys=["event_id"])
+    d = prep.augment_noise(events(spark, sf_dir).select("event_id", "value"), ["value"], 0.005, keys=["event_id"])
+    return d.withColumn("value", F.when(F.col("augmented"), F.round("value", 6)).otherwise(F.col("value")))
 
 
 # evaluation: a value is forecast by the one before it
@@ -624,14 +634,39 @@ _M = """count(*) AS n, round(avg(abs(y_hat - y)), 6) AS mae, round(avg((y_hat -
  round(100 * avg(abs(y_hat - y) / greatest(abs(y), 1.0)), 5) AS mape, round((var_pop(y) - avg((y_hat - y) ** 2)) / var_pop(y) * 100, 5) AS gain_pct"""
 
 
-def _metric_columns(d: DataFrame, by: list[str]) -> DataFrame:
-    d = d.select(*by, "n", "mae", "mse", "rmse", "r2", "mape", "gain_pct")
+def _metric_columns(d: DataFrame, by: list[str], *more: str) -> DataFrame:
+    d = d.select(*by, "n", "mae", "mse", "rmse", "r2", "mape", "gain_pct", *more)
     return rounded(rounded(d, "mae", "rmse", "r2"), "mse", "mape", "gain_pct", places=5)
 
 
-@query("metrics", f"SELECT feature, {_M} FROM {_F} GROUP BY 1")
+_RANGES = "min(y) AS y_min, max(y) AS y_max, min(y_hat) AS y_hat_min, max(y_hat) AS y_hat_max, count(*) FILTER (isnan(y_hat)) AS n_nan, count(*) FILTER (isinf(y_hat)) AS n_infinite"
+
+
+@query("metrics", f"SELECT feature, {_M}, {_RANGES} FROM {_F} GROUP BY 1")
+def _(spark, sf_dir):
+    d = evaluate.metrics(_forecasts(spark, sf_dir), ["feature"], eps=1.0)
+    return _metric_columns(d, ["feature"], "y_min", "y_max", "y_hat_min", "y_hat_max", "n_nan", "n_infinite")
+
+
+@query("overall", f"SELECT round(avg(r2), 6) AS mean_r2, round(avg(mae), 6) AS mean_mae, round(avg(rmse), 6) AS mean_rmse, CASE WHEN avg(r2) >= 0.95 THEN 'excellent' WHEN avg(r2) >= 0.85 THEN 'good' WHEN avg(r2) >= 0.75 THEN 'fair' ELSE 'poor' END AS grade FROM (SELECT avg(abs(y_hat - y)) AS mae, sqrt(avg((y_hat - y) ** 2)) AS rmse, 1 - sum((y_hat - y) ** 2) / (var_pop(y) * count(*)) AS r2 FROM {_F} GROUP BY feature)")
 def _(spark, sf_dir):
-    return _metric_columns(evaluate.metrics(_forecasts(spark, sf_dir), ["feature"], eps=1.0), ["feature"])
+    return rounded(evaluate.overall(evaluate.metrics(_forecasts(spark, sf_dir), ["feature"])), "mean_r2", "mean_mae", "mean_rmse")
+
+
+@query("horizon_averages", f"""WITH h AS (SELECT CASE step WHEN 1 THEN '15min' WHEN 2 THEN '30min' WHEN 4 THEN '1hr' END AS horizon, avg(abs(y_hat - y)) AS mae, sqrt(avg((y_hat - y) ** 2)) AS rmse, coalesce(1 - sum((y_hat - y) ** 2) / nullif(var_pop(y) * count(*), 0), 0) AS r2 FROM {_F} WHERE step IN (1, 2, 4) GROUP BY step, feature)
+SELECT horizon, round(avg(mae), 6) AS mae, round(avg(rmse), 6) AS rmse, round(avg(r2), 6) AS r2, CASE WHEN avg(r2) >= 0.7 THEN 'excellent' WHEN avg(r2) >= 0.5 THEN 'good' WHEN avg(r2) >= 0 THEN 'fair' ELSE 'poor' END AS grade FROM h GROUP BY 1""")
+def _(spark, sf_dir):
+    return rounded(evaluate.horizon_averages(evaluate.horizon_metrics(_forecasts(spark, sf_dir))), "mae", "rmse", "r2")
+
+
+@query("original_units", "WITH p AS (SELECT avg(value) AS c, stddev_pop(value) AS s FROM events) SELECT event_id, 'value' AS feature, round(value, 6) AS y, round((value / 2 - c) + c, 6) AS y_hat FROM events, p")
+def _(spark, sf_dir):
+    """Scaled forecasts (here half the value, less the mean, in deviations) taken back to original units."""
+    e = events(spark, sf_dir)
+    params = prep.fit_scaler(e, ["value"])
+    half = prep.transform(e.withColumn("half", F.col("value") / 2), params.withColumn("column", F.lit("half")).unionByName(params), ["value", "half"])
+    rows = half.select("event_id", F.lit("value").alias("feature"), F.col("value").alias("y"), F.col("half").alias("y_hat"))
+    return rounded(prep.inverse_long(rows, params, ["y", "y_hat"]).select("event_id", "feature", "y", "y_hat"), "y", "y_hat")
 
 
 @query("horizon_metrics", f"SELECT CASE step WHEN 1 THEN '15min' WHEN 2 THEN '30min' WHEN 4 THEN '1hr' END AS horizon, feature, round(avg(abs(y_hat - y)), 6) AS mae, round(sqrt(avg((y_hat - y) ** 2)), 6) AS rmse, round(coalesce(1 - sum((y_hat - y) ** 2) / nullif(var_pop(y) * count(*), 0), 0), 6) AS r2 FROM {_F} WHERE step IN (1, 2, 4) GROUP BY 1, 2")
@@ -645,9 +680,25 @@ def _(spark, sf_dir):
     return rounded(rounded(evaluate.residual_moments(_forecasts(spark, sf_dir), ["feature"]), "mean", "std"), "skewness", "kurtosis", places=5)
 
 
-@query("anderson_darling")
+def _tails_sql() -> str:
+    """(below, above) of |z| = x: a series of 60 terms up to 3, then a continued fraction."""
+    series = "exp(-0.5 * x * x) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 60), lambda k: exp((2 * k + 1) * ln(greatest(x, 1e-300)) - lgamma(2 * k + 2) + k * ln(2) + lgamma(k + 1))))"
+    fraction = "x"
+    for k in range(40, 0, -1):
+        fraction = f"(x + {k} / {fraction})"
+    return f"CASE WHEN x < 3 THEN ln(0.5 - {series}) ELSE -0.5 * x * x - 0.5 * ln(2 * pi()) - ln({fraction}) END AS below, CASE WHEN x < 3 THEN ln(0.5 + {series}) ELSE ln(1 - exp(-0.5 * x * x - 0.5 * ln(2 * pi()) - ln({fraction}))) END AS above"
+
+
+_AD = f"""WITH r AS (SELECT feature, y_hat - y AS r FROM {_F}), m AS (SELECT feature, count(*)::DOUBLE AS n, avg(r) AS m, stddev_samp(r) AS s FROM r GROUP BY 1),
+z AS (SELECT feature, n, (r - m) / s AS z, abs((r - m) / s) AS x, row_number() OVER (PARTITION BY feature ORDER BY r) AS i FROM r JOIN m USING (feature)), t AS (SELECT *, {_tails_sql()} FROM z),
+a AS (SELECT feature, n, -n - sum((2 * i - 1) * CASE WHEN z < 0 THEN below ELSE above END + (2 * (n - i) + 1) * CASE WHEN z < 0 THEN above ELSE below END) / n AS a2, 0.787 / (1 + 4 / n - 25 / (n * n)) AS critical FROM t GROUP BY feature, n)
+SELECT feature, n::BIGINT AS n, round(a2, 5) AS a2, round(critical, 9) AS critical, a2 < critical AS normal FROM a"""
+
+
+@query("anderson_darling", _AD)
 def _(spark, sf_dir):
-    return evaluate.anderson_darling(_forecasts(spark, sf_dir).withColumn("r", F.col("y_hat") - F.col("y")), ["feature"])
+    d = evaluate.anderson_darling(_forecasts(spark, sf_dir).withColumn("r", F.col("y_hat") - F.col("y")), ["feature"])
+    return rounded(rounded(d, "a2", places=5), "critical", places=9)
 
 
 @query("shapiro_wilk")
@@ -666,10 +717,12 @@ def _(spark, sf_dir):
 
 @query("class_report", f"""WITH {_T}, c AS (SELECT feature, t AS class, count(*) AS support, count(*) FILTER (t = p) AS hit FROM t GROUP BY 1, 2), s AS (SELECT feature, p AS class, count(*) AS said FROM t GROUP BY 1, 2)
 SELECT feature, class, round(hit / said, 6) AS precision, round(hit / support, 6) AS recall, round(2.0 * hit / (said + support), 6) AS f1, support FROM c JOIN s USING (feature, class)
-UNION ALL SELECT feature, 'accuracy', round(sum(hit) / sum(support), 6), round(sum(hit) / sum(support), 6), round(sum(hit) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM c GROUP BY 1""")
+UNION ALL SELECT feature, 'accuracy', round(sum(hit) / sum(support), 6), round(sum(hit) / sum(support), 6), round(sum(hit) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM c GROUP BY 1
+UNION ALL SELECT feature, 'macro avg', round(avg(hit / said), 6), round(avg(hit / support), 6), round(avg(2.0 * hit / (said + support)), 6), CAST(sum(support) AS BIGINT) FROM c JOIN s USING (feature, class) GROUP BY 1
+UNION ALL SELECT feature, 'weighted avg', round(sum(hit / said * support) / sum(support), 6), round(sum(hit) / sum(support), 6), round(sum(2.0 * hit / (said + support) * support) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM c JOIN s USING (feature, class) GROUP BY 1""")
 def _(spark, sf_dir):
     d = evaluate.class_report(evaluate.tercile_classes(_forecasts(spark, sf_dir), ["feature"]), ["feature"])
-    return rounded(d.where("class not in ('macro avg', 'weighted avg')"), "precision", "recall", "f1")
+    return rounded(d, "precision", "recall", "f1")
 
 
 @query("within_tolerance", f"SELECT feature, count(*) AS n, round(100.0 * count(*) FILTER (abs(y_hat - y) <= 0.05 * abs(y)) / count(*), 6) AS pct_within FROM {_F} GROUP BY 1")

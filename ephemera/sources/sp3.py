@@ -10,22 +10,24 @@ from ephemera.operators.filters import drop_bad_clock
 from ephemera.sources.text import parts, read_files
 
 
-def parse_sp3(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(orbit, clock) of (file, value) rows: metres and seconds per satellite and epoch.
+def parse_sp3(files: DataFrame, keep_file: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(orbit, clock) of (file, value) rows: metres and seconds per satellite and epoch, with ``keep_file`` also the file.
 
     An epoch line starts a block; position lines of the block take its time.  A line with a missing or malformed
     coordinate or clock is left out of both tables, a clock with the bad-clock value out of the second.
     """
-    blocks = files.select(F.explode(F.slice(F.split("value", "(?m)^\\*"), 2, 1_000_000)).alias("block"))
-    lines = blocks.select(F.split("block", "\n").alias("lines"))
-    head = lines.select(parts(F.col("lines")[0]).alias("t"), F.explode(F.filter("lines", lambda x: x.startswith("P"))).alias("line"))
+    file = ["file"] if keep_file else []
+    blocks = files.select(*file, F.explode(F.slice(F.split("value", "(?m)^\\*"), 2, 1_000_000)).alias("block"))
+    lines = blocks.select(*file, F.split("block", "\n").alias("lines"))
+    head = lines.select(*file, parts(F.col("lines")[0]).alias("t"), F.explode(F.filter("lines", lambda x: x.startswith("P"))).alias("line"))
     p = parts(F.substring("line", 5, 200))
     num = lambda k: F.get(p, F.lit(k)).try_cast("double")
     rows = head.select(
+        *file,
         epoch_timestamp(*(F.get("t", F.lit(k)) for k in range(6))).alias("timestamp"), F.trim(F.substring("line", 2, 3)).alias("satellite"),
         (num(0) * 1000).alias("x"), (num(1) * 1000).alias("y"), (num(2) * 1000).alias("z"), (num(3) * 1e-6).alias("clock_bias"),
     ).dropna()
-    return rows.drop("clock_bias"), drop_bad_clock(rows.select("timestamp", "satellite", "clock_bias"))
+    return rows.drop("clock_bias"), drop_bad_clock(rows.select(*file, "timestamp", "satellite", "clock_bias"))
 
 
 def parse_sp3_header(files: DataFrame) -> DataFrame:
