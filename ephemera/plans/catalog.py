@@ -6,6 +6,7 @@ expression that both engines share.  Doubles are rounded to six places in both.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,8 +16,9 @@ from ephemera.functions import errors as E
 from ephemera.functions.orbit import eccentric_anomaly, with_clock_correction, with_position
 from ephemera.functions.scalars import finite_or, gps_seconds
 from ephemera.operators import asof, evaluate, filters, forecast, prep, profile, sequences, windows
-from ephemera.operators.states import broadcast_states, error_dataset
-from ephemera.sources import clk, nav, sp3
+from ephemera.operators.states import broadcast_states, error_dataset, published
+from ephemera.sources import clk, nav, sp3, tables
+from ephemera.sources.text import find_files, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -163,10 +165,10 @@ _WRAP = "CASE WHEN {0} > 302400 THEN {0} - 604800 WHEN {0} < -302400 THEN {0} +
 _DT = "((epoch_us(timestamp) - epoch_us(TIMESTAMP '1980-01-06 00:00:00')) / 1e6) % 604800.0 - toe"
 
 
-def _kepler_ctes(source: str, mean: str, steps: int = 12) -> str:
-    out = f"k0 AS (SELECT *, {mean} AS mean, {mean} AS x0 FROM {source})"
-    for k in range(steps):
-        out += f",\nk{k + 1} AS (SELECT * EXCLUDE (x{k}), x{k} - (x{k} - e * sin(x{k}) - mean) / (1 - e * cos(x{k})) AS x{k + 1} FROM k{k})"
+def _kepler_ctes(source: str, mean: str, steps: int = 12, k: str = "k", x: str = "x") -> str:
+    out = f"{k}0 AS (SELECT *, {mean} AS mean_{k}, {mean} AS {x}0 FROM {source})"
+    for n in range(steps):
+        out += f",\n{k}{n + 1} AS (SELECT * EXCLUDE ({x}{n}), {x}{n} - ({x}{n} - e * sin({x}{n}) - mean_{k}) / (1 - e * cos({x}{n})) AS {x}{n + 1} FROM {k}{n})"
     return out
 
 
@@ -256,19 +258,53 @@ def cross_ends(nav_rows: DataFrame) -> DataFrame:
     return one.unionByName(one.withColumn("timestamp", F.col("timestamp") + F.expr("interval 2 hour")))
 
 
-@query("error_dataset")
+_ORDERED = ", ".join(k for k in _ELEMENTS if k != "satellite")
+_ERRORS_SQL = f"""WITH raw AS (SELECT {_E_SQL}, l_shipdate AS day FROM lineitem),
+one AS (SELECT * FROM raw QUALIFY row_number() OVER (PARTITION BY satellite, day ORDER BY {_ORDERED}) = 1),
+src AS (SELECT 'b' AS kind, day + INTERVAL 1 HOUR AS timestamp, * FROM one UNION ALL SELECT 'p', day, * REPLACE (a + 50 AS a) FROM one UNION ALL SELECT 'p', day + INTERVAL 2 HOUR, * REPLACE (a + 50 AS a) FROM one),
+t AS (SELECT *, {_WRAP.format("(" + _DT + ")")} AS tk FROM src),
+{_kepler_ctes("t", "m0 + (sqrt(3.986005e14 / pow(a, 3.0)) + delta_n) * tk")},
+ph AS (SELECT *, atan2(sqrt(1 - e * e) * sin(x12), cos(x12) - e) + omega AS phi FROM k12),
+u AS (SELECT *, phi + cus * sin(2 * phi) + cuc * cos(2 * phi) AS uk, a * (1 - e * cos(x12)) + crs * sin(2 * phi) + crc * cos(2 * phi) AS rk,
+  i0 + cis * sin(2 * phi) + cic * cos(2 * phi) + idot * tk AS ik, omega0 + (omega_dot - 7.2921151467e-5) * tk - 7.2921151467e-5 * toe AS node FROM ph),
+pos AS (SELECT *, rk * cos(uk) * cos(node) - rk * sin(uk) * cos(ik) * sin(node) AS x, rk * cos(uk) * sin(node) + rk * sin(uk) * cos(ik) * cos(node) AS y, rk * sin(uk) * sin(ik) AS z FROM u),
+{_kepler_ctes("pos", "m0 + sqrt(3.986005e14 / pow(a, 3.0)) * tk", k="c", x="w")},
+every AS (SELECT *, af0 + af1 * tk + af2 * tk * tk + -4.442807633e-10 * e * sqrt(a) * sin(w12) AS clock FROM c12),
+g AS (SELECT satellite, timestamp, x, y, z, clock, coalesce(lag(x) OVER w, x) AS x1, coalesce(lead(x) OVER w, x) AS x2, coalesce(lag(y) OVER w, y) AS y1, coalesce(lead(y) OVER w, y) AS y2,
+  coalesce(lag(z) OVER w, z) AS z1, coalesce(lead(z) OVER w, z) AS z2, (epoch_us(coalesce(lead(timestamp) OVER w, timestamp)) - epoch_us(coalesce(lag(timestamp) OVER w, timestamp))) / 1e6 AS span
+  FROM every WHERE kind = 'p' WINDOW w AS (PARTITION BY satellite ORDER BY timestamp)),
+v AS (SELECT *, (x2 - x1) / span AS vx, (y2 - y1) / span AS vy, (z2 - z1) / span AS vz FROM g),
+j AS (SELECT b.timestamp, b.satellite, b.clock, b.x - (p.x + q.x) / 2 AS dx, b.y - (p.y + q.y) / 2 AS dy, b.z - (p.z + q.z) / 2 AS dz, (p.x + q.x) / 2 AS px, (p.y + q.y) / 2 AS py, (p.z + q.z) / 2 AS pz,
+  (p.vx + q.vx) / 2 AS vx, (p.vy + q.vy) / 2 AS vy, (p.vz + q.vz) / 2 AS vz, (p.clock + q.clock) / 2 AS precise FROM every b JOIN v p ON p.satellite = b.satellite AND p.timestamp = b.day
+  JOIN v q ON q.satellite = b.satellite AND q.timestamp = b.day + INTERVAL 2 HOUR WHERE b.kind = 'b'),
+cr AS (SELECT *, py * vz - pz * vy AS cx, pz * vx - px * vz AS cy, px * vy - py * vx AS cz FROM j),
+d AS (SELECT timestamp, satellite, sqrt(dx * dx + dy * dy + dz * dz) AS orbit_error_m, (dx * px + dy * py + dz * pz) / sqrt(px * px + py * py + pz * pz) AS radial_error_m, (dx * vx + dy * vy + dz * vz) / sqrt(vx * vx + vy * vy + vz * vz) AS along_track_error_m,
+  (dx * cx + dy * cy + dz * cz) / sqrt(cx * cx + cy * cy + cz * cz) AS cross_track_error_m, (clock - precise) * 1e9 AS clock_error_ns, 1e0 AS ephemeris_age_hours FROM cr)"""
+
+
+def _whole_metres(d: DataFrame, *cols: str) -> DataFrame:
+    """Rounded values, with no sign on zero."""
+    return d.withColumns({c: F.round(c) + 0.0 for c in cols})
+
+
+_LENGTHS = ["orbit_error_m", "radial_error_m", "along_track_error_m", "cross_track_error_m", "clock_error_ns"]
+
+
+@query("error_dataset", _ERRORS_SQL + " SELECT timestamp, satellite, ephemeris_age_hours, " + ", ".join(f"round({c}) + 0e0 AS {c}" for c in _LENGTHS) + " FROM d")
 def _(spark, sf_dir):
-    d = error_dataset(*_error_frames(spark, sf_dir), velocity=True, bucket="week")
-    return rounded(d, "orbit_error_m", "radial_error_m", "along_track_error_m", "cross_track_error_m", "clock_error_ns", places=2)
+    return _whole_metres(error_dataset(*_error_frames(spark, sf_dir), velocity=True, bucket="week"), *_LENGTHS)
 
 
-@query("error_statistics")
+_STATISTICS = "count(*) AS records, round(avg(orbit_error_m)) + 0e0 AS mean, round(quantile_cont(orbit_error_m, 0.95)) + 0e0 AS percentile_95, round(avg(clock_error_ns)) + 0e0 AS clock_mean FROM d"
+
+
+@query("error_statistics", f"{_ERRORS_SQL} SELECT 'all' AS satellite, {_STATISTICS} UNION ALL SELECT satellite, {_STATISTICS} GROUP BY satellite")
 def _(spark, sf_dir):
     """Mean and 95th percentile of orbit and clock errors, in all and by satellite."""
     d = error_dataset(*_error_frames(spark, sf_dir))
     every = profile.dataset_statistics(d).select(F.lit("all").alias("satellite"), F.col("total_records").alias("records"), "orbit_error_m.mean", "orbit_error_m.percentile_95", F.col("clock_error_ns.mean").alias("clock_mean"))
     each = d.groupBy("satellite").agg(F.count("*").alias("records"), F.avg("orbit_error_m").alias("mean"), F.percentile("orbit_error_m", F.lit(0.95)).alias("percentile_95"), F.avg("clock_error_ns").alias("clock_mean"))
-    return rounded(every.unionByName(each), "mean", "percentile_95", "clock_mean", places=2)
+    return _whole_metres(every.unionByName(each), "mean", "percentile_95", "clock_mean")
 
 
 # text products written from rows and parsed back
@@ -348,6 +384,199 @@ def _(spark, sf_dir):
     return d.select("event_id", "gps_s", "hour", "day", "day_of_year", "minute_of_day", (F.round("day_sin", 9) + 0.0).alias("day_sin"), (F.round("day_cos", 9) + 0.0).alias("day_cos"), "satellite_block")
 
 
+@query("keep_prefix", "SELECT o_orderkey FROM orders WHERE starts_with(o_orderpriority, '2')")
+def _(spark, sf_dir):
+    return filters.keep_prefix(table(spark, sf_dir, "orders"), "o_orderpriority", "2").select("o_orderkey")
+
+
+def _clock_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("event_id") % 3 == 0, "AR").otherwise("AS")
+    return events(spark, sf_dir).select("event_id", kind.alias("type"), F.col("event_type").alias("id"), "value")
+
+
+@query("satellite_clocks", "SELECT event_id, event_type AS satellite, value FROM events WHERE event_id % 3 <> 0")
+def _(spark, sf_dir):
+    return filters.satellite_clocks(_clock_rows(spark, sf_dir))
+
+
+@query("station_clocks", "SELECT event_id, event_type AS station, value FROM events WHERE event_id % 3 = 0")
+def _(spark, sf_dir):
+    return filters.station_clocks(_clock_rows(spark, sf_dir))
+
+
+@query("drop_missing", f"SELECT event_id, x FROM {GAPPY} WHERE x IS NOT NULL")
+def _(spark, sf_dir):
+    return filters.drop_missing(gappy(spark, sf_dir).select("event_id", "x"), ["x"])
+
+
+@query("keep_keys", "SELECT event_id, user_id FROM events WHERE user_id IN (3, 5, 8, 13)")
+def _(spark, sf_dir):
+    return filters.keep_keys(events(spark, sf_dir).select("event_id", "user_id"), "user_id", [3, 5, 8, 13])
+
+
+@query("replace_nonfinite", f"SELECT event_id, coalesce(x, -9) AS x FROM {GAPPY}")
+def _(spark, sf_dir):
+    return filters.replace_nonfinite(gappy(spark, sf_dir).select("event_id", "x"), ["x"], null=-9.0)
+
+
+@query("schema_inspection", "SELECT 'event_id,user_id,value' AS numbers, 'o_orderdate' AS time_column, count(*) AS n FROM events")
+def _(spark, sf_dir):
+    numbers, when = filters.numeric_columns(events(spark, sf_dir)), filters.time_column(table(spark, sf_dir, "orders"))
+    return events(spark, sf_dir).agg(F.count("*").alias("n")).select(F.lit(",".join(sorted(numbers))).alias("numbers"), F.lit(when).alias("time_column"), "n")
+
+
+@query("serving_features", f"SELECT ts AS timestamp, concat('G', user_id) AS satellite_id, coalesce(x, 0) AS orbit_error_m, value AS clock_error_ns, round(coalesce(x, 0) * 0.8, 6) AS radial_error_m, 2e0 AS ephemeris_age_hours FROM {GAPPY}")
+def _(spark, sf_dir):
+    d = gappy(spark, sf_dir).select(F.col("ts").alias("timestamp"), F.concat(F.lit("G"), "user_id").alias("satellite_id"), F.col("x").alias("pos_error_m"), F.col("value").alias("clock_error_ns"))
+    return rounded(filters.serving_features(d), "radial_error_m")
+
+
+@query("published", "SELECT concat('G', user_id) AS satellite_id, ts AS timestamp, value AS orbit_error_m, value * 2 AS radial_error_m FROM events")
+def _(spark, sf_dir):
+    d = events(spark, sf_dir).select(F.concat(F.lit("G"), "user_id").alias("satellite"), F.col("ts").alias("timestamp"), (F.col("value") * 2).alias("radial_error_m"), F.col("value").alias("orbit_error_m"), "event_type")
+    return published(d)
+
+
+@query("clocks_at_every_time", f"""WITH t AS (SELECT DISTINCT date_trunc('day', ts) AS ts FROM events), k AS (SELECT DISTINCT user_id FROM events), n AS (SELECT user_id, ts, min(x) AS value FROM {GAPPY} WHERE x IS NOT NULL GROUP BY 1, 2), g AS (SELECT * FROM t, k)
+SELECT g.user_id, g.ts, round(CASE WHEN g.ts = b.ts THEN b.value WHEN b.ts IS NULL THEN a.value WHEN a.ts IS NULL THEN b.value ELSE b.value + (a.value - b.value) * (epoch_us(g.ts) - epoch_us(b.ts)) / (epoch_us(a.ts) - epoch_us(b.ts)) END, 6) AS x
+FROM g ASOF LEFT JOIN n b ON g.user_id = b.user_id AND g.ts >= b.ts ASOF LEFT JOIN n a ON g.user_id = a.user_id AND g.ts < a.ts""")
+def _(spark, sf_dir):
+    e = gappy(spark, sf_dir)
+    times = e.select(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts"))
+    return rounded(asof.at_every_time(e.select("user_id", "ts", "x"), times, "user_id", "ts", ["x"], bucket="week"), "x")
+
+
+@query("head", "SELECT event_id, user_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 3")
+def _(spark, sf_dir):
+    return windows.head(events(spark, sf_dir), "user_id", ON, 3).select("event_id", "user_id")
+
+
+@query("first_rows", "(SELECT event_id, 'first' AS side FROM events ORDER BY ts, event_id LIMIT 7) UNION ALL (SELECT event_id, 'last' FROM events ORDER BY ts DESC, event_id DESC LIMIT 7)")
+def _(spark, sf_dir):
+    e = events(spark, sf_dir)
+    first, last = windows.first_rows(e, ON, 7), windows.first_rows(e, ON, 7, last=True)
+    return first.select("event_id", F.lit("first").alias("side")).unionByName(last.select("event_id", F.lit("last").alias("side")))
+
+
+# sources and sinks: products are written to the scratch folder from the tables and read back
+
+
+def _written(spark: SparkSession, texts: DataFrame, suffix: str) -> str:
+    """A new folder below the scratch folder with one product for each (name, value)."""
+    folder = f"{scratch(spark)}/products-{uuid.uuid4().hex}"
+    texts.select(F.concat("name", F.lit(suffix)).alias("name"), "value").repartition("name").write.partitionBy("name").text(folder)
+    return folder
+
+
+def _clk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A CLK product for each event type, with its events in order of id."""
+    line = F.format_string("AS U%03d  %s %f  2   %.9e", "user_id", F.date_format("ts", "yyyy MM dd HH mm"), F.second("ts").cast("double"), F.col("value") * 1e-6)
+    d = events(spark, sf_dir).groupBy(F.col("event_type").alias("name")).agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", line.alias("l")))), lambda x: x["l"]), "\n").alias("body"))
+    head = F.concat(
+        F.lit("     3.00           C                                       RINEX VERSION / TYPE\n"), F.format_string("%6d", "n"), F.lit(" " * 54 + "LEAP SECONDS\n"),
+        F.lit("     2    AS    AR                                          # / TYPES OF DATA\n"), F.rpad(F.upper("name"), 60, " "), F.lit("ANALYSIS CENTER\n"), F.lit(" " * 60 + "END OF HEADER\n"),
+    )
+    return d.select("name", F.concat(head, "body", F.lit("\n")).alias("value"))
+
+
+@query("find_files", "SELECT event_type AS name, true AS has_bytes FROM events GROUP BY 1")
+def _(spark, sf_dir):
+    folder = _written(spark, _clk_texts(spark, sf_dir), "")
+    found = find_files(spark, folder, "*.txt").select(F.regexp_extract("file", "name=([a-z]+)", 1).alias("name"), "size")
+    return found.groupBy("name").agg((F.sum("size") > 100).alias("has_bytes"))
+
+
+@query("read_clk_header", "SELECT upper(event_type) AS analysis_center, '3.00' AS version, CAST(count(*) AS INT) AS leap_seconds, CAST(2 AS INT) AS num_data_types, 'AS,AR' AS data_types FROM events GROUP BY 1")
+def _(spark, sf_dir):
+    d = clk.read_clk_header(spark, _written(spark, _clk_texts(spark, sf_dir), ""), "*.txt")
+    return d.select("analysis_center", "version", "leap_seconds", "num_data_types", F.array_join("data_types", ",").alias("data_types"))
+
+
+@query("read_many_clk", "SELECT concat('U', lpad(CAST(user_id AS VARCHAR), 3, '0')) AS id, date_trunc('second', ts) AS timestamp, round(value * 1e-6 * 1e9, 1) AS bias_ns FROM events WHERE event_type IN ('click', 'view')")
+def _(spark, sf_dir):
+    folder = _written(spark, _clk_texts(spark, sf_dir), "")
+    d = clk.read_clk(spark, [f"{folder}/name=click", f"{folder}/name=view"], "*.txt")
+    return d.select("id", "timestamp", F.round(F.col("clock_bias") * 1e9, 1).alias("bias_ns"))
+
+
+@query("read_sp3_header", "SELECT '#c' AS version, 'P' AS pos_vel_flag, CAST(count(*) AS INT) AS num_epochs, CAST(2300 + min(user_id) AS INT) AS gps_week, 900e0 AS epoch_interval, 'G01,G02' AS satellites FROM events GROUP BY event_type")
+def _(spark, sf_dir):
+    d = events(spark, sf_dir).groupBy(F.col("event_type").alias("name")).agg(F.count("*").alias("n"), F.min("user_id").alias("u"))
+    text = F.concat(F.format_string("#cP2025  7  6  0  0  0.00000000 %7d ORBIT IGS20 HLM  IGS\n## %d      0.00000000   900.00000000 60862 0.0\n", "n", F.col("u") + 2300), F.lit("+    2   G01G02  0  0\n*  2025  7  6  0  0  0.00000000\nPG01 1.0 2.0 3.0 4.0\nEOF\n"))
+    got = sp3.read_sp3_header(spark, _written(spark, d.select("name", text.alias("value")), ""), "*.txt")
+    return got.select("version", "pos_vel_flag", "num_epochs", "gps_week", "epoch_interval", F.array_join("satellites", ",").alias("satellites"))
+
+
+def _nav_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A navigation product for each order of the first line numbers: one record each, without a semi-major axis for line 2."""
+    d = _elements(spark, sf_dir).where("l_linenumber <= 3")
+    num = lambda c: F.regexp_replace(F.format_string("%19.12e", c.cast("double")), "e", "D")
+    c, zero = F.col, F.lit(0.0)
+    a = F.when(c("l_linenumber") == 2, zero).otherwise(F.sqrt("a"))
+    rows = [[c("l_orderkey"), c("crs"), c("delta_n"), c("m0")], [c("cuc"), c("e"), c("cus"), a], [c("toe"), c("cic"), c("omega0"), c("cis")], [c("i0"), c("crc"), c("omega"), c("omega_dot")], [c("idot"), zero, c("l_linenumber"), zero], [zero, zero, zero, zero], [zero, F.lit(4.0)]]
+    head = F.concat(c("satellite"), F.date_format("timestamp", " yyyy MM dd HH mm ss"), *(num(c(f"af{k}")) for k in range(3)))
+    record = F.concat_ws("\n", head, *(F.concat(F.lit("    "), *map(num, r)) for r in rows))
+    return d.select(F.lit("f").alias("file"), F.concat(F.lit("header END OF HEADER\n"), record, F.lit("\n")).alias("value"))
+
+
+@query("parse_nav_wide", f"SELECT satellite, timestamp, CAST(l_linenumber AS DOUBLE) AS week, 0e0 AS health, 4e0 AS fit_interval, ((epoch_us(timestamp) - epoch_us(TIMESTAMP '1980-01-06 00:00:00')) / 1e6) % 604800.0 AS toc FROM (SELECT l_linenumber, l_shipdate AS timestamp, {_E_SQL} FROM lineitem) WHERE l_linenumber IN (1, 3)")
+def _(spark, sf_dir):
+    return nav.parse_nav(_nav_texts(spark, sf_dir), wide=True).select("satellite", "timestamp", "week", "health", "fit_interval", "toc")
+
+
+@query("parse_nav_clock", f"SELECT satellite, l_shipdate AS timestamp, round(af0 * 1e9, 6) AS af0_ns, round(af1 * 1e15, 6) AS af1_fs FROM (SELECT l_linenumber, l_shipdate, {_E_SQL} FROM lineitem) WHERE l_linenumber <= 3")
+def _(spark, sf_dir):
+    d = nav.parse_nav_clock(_nav_texts(spark, sf_dir))
+    return d.select("satellite", "timestamp", F.round(F.col("af0") * 1e9, 6).alias("af0_ns"), F.round(F.col("af1") * 1e15, 6).alias("af1_fs"))
+
+
+def _error_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("value")
+    return gappy(spark, sf_dir).select(F.concat(F.lit("G"), "user_id").alias("satellite_id"), F.date_trunc("second", "ts").cast("timestamp_ntz").alias("timestamp"), F.col("x").alias("orbit_error_m"), v.alias("clock_error_ns"), v.alias("radial_error_m"), F.lit(2.0).alias("ephemeris_age_hours"))
+
+
+_ERROR_TABLE = f"SELECT concat('G', user_id) AS satellite_id, date_trunc('second', ts) AS timestamp, x AS orbit_error_m, value AS clock_error_ns, value AS radial_error_m, 2e0 AS ephemeris_age_hours FROM {GAPPY}"
+
+
+@query("errors_csv", _ERROR_TABLE)
+def _(spark, sf_dir):
+    path = f"{scratch(spark)}/errors-{uuid.uuid4().hex}"
+    tables.write_errors(_error_table(spark, sf_dir), path, "csv")
+    return tables.read_errors_csv(spark, path)
+
+
+@query("errors_parquet", _ERROR_TABLE.replace(" FROM ", ", CAST(ts AS DATE) AS date FROM ", 1))
+def _(spark, sf_dir):
+    path = f"{scratch(spark)}/errors-{uuid.uuid4().hex}"
+    tables.write_errors(_error_table(spark, sf_dir), path, sort=["satellite_id", "timestamp"])
+    return spark.read.parquet(path)
+
+
+@query("observations_json", _ERROR_TABLE)
+def _(spark, sf_dir):
+    """Request bodies, one for each satellite, written as lines and read back."""
+    path = f"{scratch(spark)}/bodies-{uuid.uuid4().hex}"
+    d = _error_table(spark, sf_dir)
+    d.groupBy("satellite_id").agg(F.collect_list(F.struct(*d.columns)).alias("data")).select(F.to_json(F.struct("data")).alias("value")).write.text(path)
+    return tables.read_observations_json(spark, path)
+
+
+@query("observations_in_a_column", _ERROR_TABLE)
+def _(spark, sf_dir):
+    d = _error_table(spark, sf_dir)
+    return tables.parse_observations(d.select(F.to_json(F.struct(F.array(F.struct(*d.columns)).alias("data"))).alias("body")))
+
+
+@query("statistics_document", f"""SELECT count(*) AS total_records, count(DISTINCT user_id) AS unique_keys, round(max(x), 6) AS most, count(DISTINCT user_id) AS keys_in_map, date_trunc('second', min(ts)) AS start FROM {GAPPY}""")
+def _(spark, sf_dir):
+    """The nested document, written, read back and taken apart again."""
+    d, path = gappy(spark, sf_dir), f"{scratch(spark)}/statistics-{uuid.uuid4().hex}"
+    tables.write_statistics_json(tables.statistics_json(profile.dataset_statistics(d, "user_id", "ts", ["x"]), profile.key_statistics(d, "user_id", ["x"]), "user_id"), path)
+    kind = "total_records long, unique_keys long, x struct<max: double>, time_span struct<start: timestamp_ntz>, per_key map<string, struct<records: long>>"
+    j = spark.read.text(path).select(F.from_json("value", kind).alias("j"))
+    return j.select("j.total_records", "j.unique_keys", F.round("j.x.max", 6).alias("most"), F.size("j.per_key").cast("long").alias("keys_in_map"), F.date_trunc("second", "j.time_span.start").cast("timestamp_ntz").alias("start"))
+
+
 # profiles
 
 
@@ -621,6 +850,18 @@ def _(spark, sf_dir):
     return d.withColumn("value", F.when(F.col("augmented"), F.round("value", 6)).otherwise(F.col("value")))
 
 
+@query("label_map", "SELECT event_type AS label, CAST(dense_rank() OVER (ORDER BY event_type) - 1 AS INT) AS index FROM (SELECT DISTINCT event_type FROM events)")
+def _(spark, sf_dir):
+    return prep.label_map(prep.fit_labels(events(spark, sf_dir), "event_type")).select(F.explode("labels").alias("label", "index"))
+
+
+@query("preparation_report", "SELECT 'standard' AS method, CAST(24 AS INT) AS lookback, CAST(4 AS INT) AS horizon, CAST(count(DISTINCT event_type) AS INT) AS n_labels, round(avg(value), 6) AS center, round(stddev_pop(value), 6) AS scale FROM events")
+def _(spark, sf_dir):
+    e = events(spark, sf_dir)
+    d = prep.preparation_report(prep.fit_scaler(e, ["value"]), prep.fit_labels(e, "event_type"), 24, 4)
+    return d.select("method", "lookback", "horizon", F.size("labels").alias("n_labels"), F.round(F.col("scalers")["value"]["center"], 6).alias("center"), F.round(F.col("scalers")["value"]["scale"], 6).alias("scale"))
+
+
 # evaluation: a value is forecast by the one before it
 
 
@@ -751,6 +992,29 @@ def _(spark, sf_dir):
     return d.groupBy("user_id", "horizon").agg(F.count("*").alias("n"), F.min_by("y_hat", "step").alias("first"), F.max_by("y_hat", "step").alias("last"))
 
 
+_HORIZONS = {"15min": 1, "1hr": 4, "2hr": 8}
+_LAST = "(SELECT user_id, arg_max(value, (ts, event_id)) AS v FROM events GROUP BY 1 HAVING count(*) >= 36), (VALUES ('15min', 1), ('1hr', 4), ('2hr', 8)) h(horizon, n)"
+
+
+def _next_half(x):
+    return x[:, -1, :1] / 2
+
+
+def _halving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model whose every step is half the step before, so that SQL can tell what each step gives."""
+    return forecast.recursive_forecast(events(spark, sf_dir), "user_id", ON, ["value"], 1, _next_half, 8).where("error is null")
+
+
+@query("horizon_ends", f"SELECT user_id, h.horizon, 'value' AS feature, round(v / pow(2, h.n), 6) AS y_hat FROM {_LAST}")
+def _(spark, sf_dir):
+    return rounded(forecast.horizon_ends(_halving(spark, sf_dir), "user_id", _HORIZONS), "y_hat")
+
+
+@query("forecast_ranges", f"SELECT user_id, h.horizon, 'value' AS feature, CAST(h.n AS BIGINT) AS n, round(least(v / 2, v / pow(2, h.n)), 6) AS min, round(greatest(v / 2, v / pow(2, h.n)), 6) AS max FROM {_LAST}")
+def _(spark, sf_dir):
+    return rounded(forecast.forecast_ranges(_halving(spark, sf_dir), "user_id", _HORIZONS), "min", "max")
+
+
 @query("enough_history", "SELECT user_id, count(*) AS n, CASE WHEN count(*) < 60 THEN 'fewer than 60 rows of history' END AS error, round(least(0.95, 0.7 + count(*) / 100.0 * 0.25), 6) AS score, CASE WHEN least(0.95, 0.7 + count(*) / 100.0 * 0.25) > 0.85 THEN 'High' WHEN least(0.95, 0.7 + count(*) / 100.0 * 0.25) > 0.7 THEN 'Medium' ELSE 'Low' END AS level FROM events GROUP BY 1")
 def _(spark, sf_dir):
     score, level = forecast.confidence(F.col("n"))

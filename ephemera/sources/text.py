@@ -6,6 +6,8 @@ split into their blocks (epochs, records) in one expression, without a window or
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,14 @@ def read_lines(spark: SparkSession, path: str | list[str], pattern: str = "*") -
     return reader.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
 
 
+def scratch(spark: SparkSession) -> str:
+    """The shared folder that spark.checkpoint.dir names; one of this machine only if none is named and all tasks run here."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return named or tempfile.mkdtemp(prefix="spark-scratch-")
+
+
 def after_header(value: Column) -> Column:
     """The text behind the line that ends the header; all of it if there is none."""
     at = F.instr(value, END_OF_HEADER)
