@@ -58,6 +58,34 @@ s AS (SELECT v.*, coalesce({some("a")}, 0) AS trust, coalesce({some("b")}, 0) AS
 SELECT page_id, host, path, rule, coalesce(said, CASE WHEN distrust > 0 AND distrust >= {url_filter.DISTRUST} * (trust + distrust) THEN 'block' ELSE 'allow' END) AS verdict FROM s"""
 
 
+def contamination_sql(n: int = 13) -> str:
+    word = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+    words = f"regexp_extract_all({_FOLD.format("coalesce(text, '')")}, '{word}')"
+    return f"""WITH d AS (SELECT doc_id, {words} AS w FROM documents), b AS (SELECT CAST(item_id AS VARCHAR) AS item, {words} AS w FROM benchmark WHERE text IS NOT NULL),
+bw AS (SELECT DISTINCT item, len, array_to_string(w[k:k + len - 1], ' ') AS s FROM (SELECT item, w, least({n}, len(w)) AS len, unnest(range(1, greatest(1, len(w) - {n} + 1) + 1)) AS k FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT len FROM bw),
+dw AS (SELECT doc_id, len, k, array_to_string(w[k:k + len - 1], ' ') AS s FROM (SELECT doc_id, w, len, unnest(range(1, len(w) - len + 2)) AS k FROM d, sizes WHERE len(w) >= len)),
+m AS (SELECT doc_id, item, k, dw.len FROM dw JOIN bw USING (len, s)),
+h AS (SELECT doc_id, count(DISTINCT k + j) AS n_hit FROM (SELECT doc_id, k, unnest(range(0, len)) AS j FROM m) GROUP BY 1),
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)"""
+
+
+def jaccard_join_sql(n: int = 5) -> str:
+    """Shingles as rows, pairs counted by shared shingles, components by following links; for tables of a few thousand texts."""
+    words = f"list_filter(regexp_split_to_array({_FOLD.format("coalesce(text, '')")}, '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '')"
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, {words} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + {n} - 1], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - {n} + 1) + 1)) AS k FROM d WHERE len(w) > 0)),
+c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN c ca ON ca.doc_id = a JOIN c cb ON cb.doc_id = b WHERE 100 * o >= 75 * (ca.n + cb.n - o)),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+least AS (SELECT a, min(b) AS b FROM r GROUP BY 1), links AS (SELECT a, count(*) AS n_links FROM l GROUP BY 1)
+SELECT d.doc_id, coalesce(c.n, 0) AS n_shingles, least(d.doc_id, coalesce(least.b, d.doc_id)) AS component_id, coalesce(n_links, 0) AS n_links
+FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN least ON least.a = d.doc_id LEFT JOIN links ON links.a = d.doc_id"""
+
+
 def quality_rules_sql() -> str:
     space, tests = "[ \\t\\n\\x0b\\f\\r]", f"(SELECT count(DISTINCT stratum) * {sum(map(len, quality_rules.GRID.values()))} FROM known)"
     values = {

@@ -10,7 +10,7 @@ from ephemera.llm.importance import importance_resample
 from ephemera.llm.jaccard_join import jaccard_join
 from ephemera.llm.license_scan import scan_licenses
 from ephemera.llm.lpf_dedup import remove_repeats
-from ephemera.llm.oracle import license_scans_sql, quality_rules_sql, trade_ranks_sql, url_filters_sql
+from ephemera.llm.oracle import contamination_sql, jaccard_join_sql, license_scans_sql, quality_rules_sql, trade_ranks_sql, url_filters_sql
 from ephemera.llm.packing import pack
 from ephemera.llm.pii import find_pii
 from ephemera.llm.quality_rules import quality_rules
@@ -113,8 +113,10 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
 }
 
-#: The others train models, follow a library's tokens or compare all texts, which SQL cannot express or not in good time; tests compare them with plain versions.
+#: The others train models, follow a library's tokens or cut texts by bytes, which SQL cannot express; tests compare them with plain versions.
 ORACLE_SQL: dict[str, str] = {
+    "op1_benchmark_decontamination": contamination_sql(),
+    "op5_ngram_jaccard_join": jaccard_join_sql(),
     "op2_quality_rules": quality_rules_sql(),
     "op3_url_filters": url_filters_sql(),
     "trade_ranks": trade_ranks_sql(),
