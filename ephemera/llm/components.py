@@ -11,15 +11,17 @@ from ephemera.llm.common import checkpointed
 HOT = 1_000  # a node with more than this part of all rows is joined by broadcast; there are fewer than HOT such nodes
 
 
-def _stars(pairs: DataFrame, most: float) -> DataFrame:
+def _stars(pairs: DataFrame, most: float | None = None) -> DataFrame:
     """Rows (u, v, m): each neighbour v of u with m, the least of u and its neighbours.
 
-    Minima are aggregated before the shuffle.  Nodes of more than ``most`` neighbours get theirs by broadcast, so the
-    rows of a hub stay where they are; the others meet theirs by a shuffle, ``most`` rows of a node at most.
+    Minima are aggregated before the shuffle.  With ``most``, nodes of more neighbours get theirs by broadcast, so the
+    rows of a hub stay where they are; the others meet theirs by a shuffle.
     """
     least = pairs.groupBy("u").agg(F.min("v").alias("m0"), F.count("*").alias("n"))
-    hubs = F.broadcast(least.where(F.col("n") > most).select("u", "m0"))  # fewer than HOT rows
     m = F.least("u", "m0").alias("m")
+    if most is None:
+        return pairs.join(least, "u").select("u", "v", m)
+    hubs = F.broadcast(least.where(F.col("n") > most).select("u", "m0"))  # fewer than HOT rows
     spread = pairs.join(hubs, "u").select("u", "v", m)
     return spread.unionByName(pairs.join(hubs, "u", "left_anti").join(least.where(F.col("n") <= most), "u").select("u", "v", m))
 
@@ -29,23 +31,19 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
 
     ``edges`` has two integer columns, in either direction; null ends and loops are left out, and repeats do
     not matter.  Every step is a partial aggregation and a join, so no component and no hub is gathered in one task;
-    the edges are checkpointed each round.  Rounds grow with the logarithm of the longest path.
+    the edges are checkpointed each round, until all are stars.  Rounds grow with the logarithm of the longest path.
     """
     a, b = edges.columns[:2]
     edges = checkpointed(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())
-    before, rows = None, edges.count()
     for _ in range(max_rounds):
-        most = 2 * rows / HOT
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _stars(both, most).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        small = _stars(down, most)
+        large = _stars(both, 2 * edges.count() / HOT).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # now a node's smaller neighbours are few: what was a hub is the end of their edges
+        small = _stars(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
         edges = checkpointed(small.where("u <> v").distinct())
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if now == before:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
-                edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-            )
-        before, rows = now, now.n
+        ends = edges.select(F.col("v").alias("u")).distinct()
+        if edges.join(ends, "u", "left_semi").isEmpty():
+            # no node is both a member and an end: each component is one star around its least node
+            return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(ends.select(F.col("u").alias("id"), F.col("u").alias("component")))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
