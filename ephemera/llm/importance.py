@@ -16,6 +16,7 @@ from ephemera.llm.common import U64, WordHash, flushes, free_name, kth_largest,
 BUCKETS = 1 << 15  # of word 1-grams and 2-grams together, and again of character-class 4-grams
 LABELS = 20_000  # labelled rows of each kind that may be used, chosen by hash
 FALSE_REJECTS = 0.005  # of the labelled good documents that set k, at most
+LENGTH = 300  # n-grams of a passage: longer texts weigh as their average passage of this length
 SCALE = 1 << 20  # log ratios are whole multiples of 1 / SCALE, so that sums do not depend on their order
 FLUSH_BYTES = 2 << 20
 #: Character classes: letters by case, digits, white space, line ends, other ASCII marks one by one, the rest.
@@ -63,16 +64,17 @@ def _score(ratios, text_col: str, seed: int, names: list[str], at_id: int, carry
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, table_of = WordHash(), ratios.value
         for table in flushes(batches, text_col, FLUSH_BYTES):
-            weight, texts = np.zeros(table.num_rows, np.int64), texts_of(table[text_col])
+            weight, texts = np.zeros(table.num_rows), texts_of(table[text_col])
             for kind in feature_ids(texts, cache):
                 total = np.concatenate([[0], np.cumsum(table_of[np.concatenate(kind)])])
-                at = offsets_of(np.fromiter(map(len, kind), np.int64, len(kind)))
-                weight += total[at[1:]] - total[at[:-1]]
+                n = np.fromiter(map(len, kind), np.int64, len(kind))
+                at = offsets_of(n)
+                weight += (total[at[1:]] - total[at[:-1]]) / SCALE * np.minimum(1.0, LENGTH / np.maximum(n, 1))
             names_of = map(repr, table.column(at_id).to_pylist())
             hashes = np.fromiter((xxhash.xxh3_64_intdigest(t, seed=xxhash.xxh3_64_intdigest(i, seed=seed)) for i, t in zip(names_of, texts, strict=True)), U64, len(texts))
             u = ((hashes >> U64(12)).astype(np.float64) + 0.5) / float(1 << 52)
             kept = [c.combine_chunks() for c, n in zip(table.columns, table.column_names, strict=True) if carry_text or n != text_col]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(weight / SCALE), pa.array(-np.log(-np.log(u)))], names=names)
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(weight), pa.array(-np.log(-np.log(u)))], names=names)
 
     return run
 
@@ -129,7 +131,8 @@ def importance_resample(
     """``docs`` with score, the log importance weight of each text, and kept, the choice of a Gumbel top-k.
 
     The weight is log p(text | target) - log p(text | raw) of two bag-of-n-gram models over hashed buckets: a product
-    over the words and word pairs, and over the character classes, of the text.  The target model is fitted on half of
+    over the words and word pairs, and over the character classes, of the text.  Models rank passages of one length, so
+    a text of more than LENGTH n-grams has the weight of its average passage of LENGTH n-grams.  The target model is fitted on three quarters of
     the labelled good rows (LABELS at most, chosen by hash), the raw model on all documents.  Each document's key is
     its weight plus standard Gumbel noise, so the k largest keys are a sample of k documents without replacement in
     proportion to their weights.  k is ``share`` of the documents, or else as many as have a key above the cut that
@@ -145,7 +148,7 @@ def importance_resample(
     spark = docs.sparkSession
     score, kept, noise = (free_name(docs, x) for x in ("score", "kept", "noise"))
     known = _labelled(labels, label_id_col, label_col, LABELS)
-    known = known.withColumn("fit", (F.col("label") == 1) & (F.pmod(F.xxhash64(F.lit("fit"), F.col("id").cast("string")), F.lit(2)) == 0))
+    known = known.withColumn("fit", (F.col("label") == 1) & (F.pmod(F.xxhash64(F.lit("fit"), F.col("id").cast("string")), F.lit(4)) > 0))
     rows = known.collect()  # 2 * LABELS at most
     known, target = spark.createDataFrame(rows, known.schema), {r.id for r in rows if r.fit}
     if not target:

@@ -45,7 +45,7 @@ class Encoder:
     ``limit`` of them and ``limit_size`` characters and ids; whole texts and long pre-tokens never are.
     """
 
-    limit, limit_size = 350_000, 16_000_000
+    limit, limit_size = 200_000, 12_000_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
