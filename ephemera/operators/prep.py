@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ephemera.operators.profile import long_form
+from ephemera.operators.profile import long_form, percentiles
 
 #: Distinct labels that one_hot may turn into columns.
 MOST_LABELS = 1000
@@ -19,13 +19,12 @@ def fit_scaler(df: DataFrame, cols: list[str], kind: str = "standard", accuracy:
     standard: mean and population deviation; minmax: minimum and range; robust: median and interquartile range.  A
     scale of 0 becomes 1.  Nulls are left out.
     """
-    q = (lambda p: F.percentile("value", F.lit(p))) if accuracy is None else (lambda p: F.percentile_approx("value", p, accuracy))
-    center, scale = {
-        "standard": (F.avg("value"), F.stddev_pop("value")),
-        "minmax": (F.min("value"), F.max("value") - F.min("value")),
-        "robust": (q(0.5), q(0.75) - q(0.25)),
-    }[kind]
-    fitted = long_form(df, cols).groupBy("column").agg(center.alias("center"), scale.alias("scale"))
+    if kind == "robust":
+        fitted = percentiles(df, cols, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, accuracy)
+        fitted = fitted.select("column", F.col("q50").alias("center"), (F.col("q75") - F.col("q25")).alias("scale"))
+    else:
+        center, scale = {"standard": (F.avg("value"), F.stddev_pop("value")), "minmax": (F.min("value"), F.max("value") - F.min("value"))}[kind]
+        fitted = long_form(df, cols).groupBy("column").agg(center.alias("center"), scale.alias("scale"))
     return fitted.select("column", "center", F.when(F.col("scale") == 0, 1.0).otherwise(F.col("scale")).alias("scale"), F.lit(kind).alias("kind"))
 
 

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ephemera.functions.names import free_name
 
-def _percentile(c: Column | str, q: float, accuracy: int | None) -> Column:
-    """Exact percentile (linear), or an approximate one with bounded memory if ``accuracy`` is given."""
-    return F.percentile(c, F.lit(q)) if accuracy is None else F.percentile_approx(c, q, accuracy)
+#: Accuracy of the sketch that brackets exact percentiles, and how far beyond its error the brackets reach.
+BRACKET_ACCURACY, BRACKET_MARGIN = 10_000, 2 / 10_000
 
 
 def long_form(df: DataFrame, cols: list[str], keep: list[str] = ()) -> DataFrame:
@@ -19,17 +21,58 @@ def long_form(df: DataFrame, cols: list[str], keep: list[str] = ()) -> DataFrame
     return df.select(*keep, pairs.alias("p")).select(*keep, "p.column", "p.value")
 
 
+def percentiles(df: DataFrame, cols: list[str], q: dict[str, float], accuracy: int | None = None, slots: int = 4096) -> DataFrame:
+    """(column, one column for each name in ``q``): linear percentiles of each of ``cols`` with a value; nulls are left out.
+
+    Exact, and no column's values meet in one task: a sketch of bounded size brackets each percentile, rows are counted
+    in ``slots`` ranges of each bracket and one beyond on each side, and only the values of the range that the wanted
+    rank falls into are put in order.  A bracket that misses costs time, not exactness.  With ``accuracy`` the sketch
+    itself answers.
+    """
+    cells = long_form(df, cols).where("value is not null")
+    if accuracy is not None:
+        return cells.groupBy("column").agg(*(F.percentile_approx("value", x, accuracy).alias(name) for name, x in q.items()))
+    near = [min(1.0, max(0.0, x + d)) for x in q.values() for d in (-BRACKET_MARGIN, BRACKET_MARGIN)]
+    brackets = cells.groupBy("column").agg(F.count("*").alias("n"), F.percentile_approx("value", near, BRACKET_ACCURACY).alias("ends"))
+
+    def slot(i: int) -> Column:
+        v, lo, hi = F.col("value"), F.col("ends")[2 * i], F.col("ends")[2 * i + 1]
+        inside = F.least(F.lit(slots - 1), F.floor((v - lo) / (hi - lo) * slots))
+        return F.when(v < lo, -1).when(v > hi, slots).when((hi - lo > 0) & (hi - lo < math.inf), inside).otherwise(0).cast("int")
+
+    # slots rise with the value, so a column has at most len(q) * (slots + 2) different arrays of them
+    placed = cells.join(F.broadcast(brackets), "column").select("column", "n", "value", F.array(*map(slot, range(len(q)))).alias("at"))  # a row per column
+    per = placed.groupBy("column", "n", "at").agg(F.count("*").alias("c")).select("column", "n", F.posexplode("at").alias("i", "slot"), "c")
+    per = per.groupBy("column", "n", "i", "slot").agg(F.sum("c").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("column", "i").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0))
+    rank = F.get(F.array(*map(F.lit, q.values())), F.col("i")) * (F.col("n") - 1)
+    wanted = per.withColumn("upto", upto).where((F.col("upto") - F.col("c") <= F.ceil(rank)) & (F.col("upto") > F.floor(rank)))
+    wanted = wanted.groupBy("column", "i").agg(F.min("slot").alias("first"), F.max("slot").alias("last"), F.min(F.col("upto") - F.col("c")).alias("before"))
+    wanted = wanted.groupBy("column").agg(F.array_sort(F.collect_list(F.struct("i", "first", "last", "before"))).alias("want"))  # len(q) entries
+    hit = [F.col("at")[i].between(F.col("want")[i]["first"], F.col("want")[i]["last"]) for i in range(len(q))]
+    few = placed.join(F.broadcast(wanted), "column").where(reduce(or_, hit)).groupBy("column", "n", "at", "want", "value").agg(F.count("*").alias("c"))
+    few = few.select("column", "n", "value", "c", "at", F.explode("want").alias("w")).where(F.get("at", F.col("w.i")).between(F.col("w.first"), F.col("w.last")))
+    upto = F.sum("c").over(Window.partitionBy("column", "w").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    few = few.select("column", "n", "value", F.col("w.i").alias("i"), (F.col("w.before") + upto).alias("upto"))
+    low, high = (F.min(F.when(F.col("upto") > place(rank), F.col("value"))) for place in (F.floor, F.ceil))
+    found = few.groupBy("column", "n", "i").agg(low.alias("low"), high.alias("high"))
+    between = (F.ceil(rank) - rank) * F.col("low") + (rank - F.floor(rank)) * F.col("high")
+    found = found.select("column", "i", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(between).alias("value"))
+    return found.groupBy("column").agg(*(F.max(F.when(F.col("i") == i, F.col("value"))).alias(name) for i, name in enumerate(q)))
+
+
 def dataset_statistics(df: DataFrame, by: str = "satellite", on: str = "timestamp", cols: list[str] = ("orbit_error_m", "clock_error_ns"), accuracy: int | None = None) -> DataFrame:
     """One row: rows, distinct keys, first and last time, hours between, and a struct of statistics for each column."""
+    q = {"median": 0.5, "percentile_95": 0.95}
+    ranked = percentiles(df, cols, q, accuracy).agg(*(F.max(F.when(F.col("column") == c, F.struct(*q))).alias(f"__q{i}") for i, c in enumerate(cols)))
+
     def stats(c: str) -> Column:
-        return F.struct(
-            F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"),
-            _percentile(c, 0.5, accuracy).alias("median"), _percentile(c, 0.95, accuracy).alias("percentile_95"),
-        ).alias(c)
+        return F.struct(F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max")).alias(c)
 
     out = df.agg(F.count("*").alias("total_records"), F.countDistinct(by).alias("unique_keys"), F.min(on).alias("start"), F.max(on).alias("end"), *map(stats, cols))
     hours = F.timestamp_diff("MICROSECOND", F.col("start"), F.col("end")) / 3.6e9
-    return out.select("total_records", "unique_keys", "start", "end", hours.alias("duration_hours"), *cols)
+    whole = (F.struct(f"{c}.*", *(F.col(f"__q{i}.{x}").alias(x) for x in q)).alias(c) for i, c in enumerate(cols))
+    return out.crossJoin(F.broadcast(ranked)).select("total_records", "unique_keys", "start", "end", hours.alias("duration_hours"), *whole)  # one row
 
 
 def key_statistics(df: DataFrame, by: str = "satellite", cols: list[str] = ("orbit_error_m", "clock_error_ns")) -> DataFrame:
@@ -42,8 +85,9 @@ def counts_by(df: DataFrame, *by: Column | str) -> DataFrame:
 
 def describe(df: DataFrame, cols: list[str], accuracy: int | None = None) -> DataFrame:
     """(column, count, mean, std, min, q25, q50, q75, max) of each column, nulls left out."""
-    q = [_percentile("value", x, accuracy).alias(f"q{round(100 * x)}") for x in (0.25, 0.5, 0.75)]
-    return long_form(df, cols).groupBy("column").agg(F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), *q, F.max("value").alias("max"))
+    q = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    out = long_form(df, cols).groupBy("column").agg(F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    return out.join(F.broadcast(percentiles(df, cols, q, accuracy)), "column", "left").select("column", "count", "mean", "std", "min", *q, "max")  # a row per column
 
 
 def missing(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -89,7 +133,7 @@ def correlation(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def iqr_bounds(df: DataFrame, cols: list[str], k: float = 1.5, accuracy: int | None = None) -> DataFrame:
     """(column, q25, q75, lower, upper) of each column."""
-    q = long_form(df, cols).groupBy("column").agg(_percentile("value", 0.25, accuracy).alias("q25"), _percentile("value", 0.75, accuracy).alias("q75"))
+    q = percentiles(df, cols, {"q25": 0.25, "q75": 0.75}, accuracy)
     iqr = F.col("q75") - F.col("q25")
     return q.select("column", "q25", "q75", (F.col("q25") - k * iqr).alias("lower"), (F.col("q75") + k * iqr).alias("upper"))
 
@@ -108,12 +152,12 @@ def iqr_report(df: DataFrame, cols: list[str], k: float = 1.5, accuracy: int | N
 
 def flag_outliers(df: DataFrame, cols: list[str], k: float = 1.5, accuracy: int | None = None) -> DataFrame:
     """``df`` with has_outlier: any of ``cols`` outside its bounds (nulls are inside)."""
-    q = df.agg(*(F.array(_percentile(c, 0.25, accuracy), _percentile(c, 0.75, accuracy)).alias(f"__q{i}") for i, c in enumerate(cols)))
+    names = [free_name(df, f"bounds{i}") for i in range(len(cols))]
+    bounds = iqr_bounds(df, cols, k, accuracy).agg(*(F.max(F.when(F.col("column") == c, F.struct("lower", "upper"))).alias(x) for c, x in zip(cols, names, strict=True)))
     flag = F.lit(False)
-    for i, c in enumerate(cols):
-        lo, hi = F.col(f"__q{i}")[0], F.col(f"__q{i}")[1]
-        flag = flag | F.coalesce((F.col(c) < lo - k * (hi - lo)) | (F.col(c) > hi + k * (hi - lo)), F.lit(False))
-    return df.crossJoin(F.broadcast(q)).select(*df.columns, flag.alias("has_outlier"))  # one row
+    for c, x in zip(cols, names, strict=True):
+        flag = flag | F.coalesce((F.col(c) < F.col(x)["lower"]) | (F.col(c) > F.col(x)["upper"]), F.lit(False))
+    return df.crossJoin(F.broadcast(bounds)).select(*df.columns, flag.alias("has_outlier"))  # one row
 
 
 def outlier_total(flagged: DataFrame) -> DataFrame:

@@ -269,3 +269,26 @@ def test_regression(errors, kind):
     out = forecast.regression_baseline(parts.where("split = 'train'"), parts.where("split = 'test'"), ["lag_1", "lag_2", "lag_3"], "clock_error_ns", kind)
     assert out.where("y_hat is not null").count() == 48
     assert forecast.persistence(errors, "satellite", "timestamp", "clock_error_ns").count() == 244
+
+
+@pytest.mark.parametrize("margin", [profile.BRACKET_MARGIN, -0.2])
+def test_percentiles_are_exact_also_where_brackets_miss(spark, monkeypatch, margin):
+    monkeypatch.setattr(profile, "BRACKET_MARGIN", margin)
+    rng = np.random.default_rng(5)
+    cols = {
+        "smooth": rng.normal(size=5000),
+        "outlier": np.concatenate([rng.normal(size=4999), [1e300]]),
+        "ties": rng.integers(0, 4, 5000).astype(float),
+        "constant": np.full(5000, 2.5),
+        "endless": np.where(rng.random(5000) < 0.4, np.inf, rng.random(5000)),
+        "few": np.array([3.0, 1.0, 2.0] + [np.nan] * 4997),
+    }
+    d = spark.createDataFrame(pd.DataFrame(cols)).replace(float("nan"), None).withColumn("none", F.lit(None).cast("double"))
+    q = {"lowest": 0.0, "q25": 0.25, "q50": 0.5, "q95": 0.95, "highest": 1.0}
+    got = {r.column: r for r in profile.percentiles(d, [*cols, "none"], q, slots=16).collect()}
+    assert set(got) == set(cols)
+    want = d.agg(*(F.percentile(c, F.lit(x)).alias(f"{c}_{n}") for c in cols for n, x in q.items())).first()
+    for c in cols:
+        for n in q:
+            assert got[c][n] == pytest.approx(want[f"{c}_{n}"], rel=1e-12), (c, n)
+    assert profile.percentiles(d.limit(0), list(cols), q).count() == 0
