@@ -42,7 +42,7 @@ def _period(size: int | None) -> Column:
     return F.lit(0).cast("long") if size is None else F.floor(F.col("t") / size)
 
 
-def bracket(left: DataFrame, right: DataFrame, by: str | list[str], on: str, values: list[str], bucket: str | None = None) -> DataFrame:
+def bracket(left: DataFrame, right: DataFrame, by: str | list[str], on: str, values: list[str], bucket: str | None = None, times: DataFrame | None = None) -> DataFrame:
     """(row, b): the rows of ``left`` as structs, and the samples around each.
 
     b.s0 is the sample (t, ts, v) at or before the row, b.s1 the next one; either is null where there is none, and b is
@@ -51,6 +51,8 @@ def bracket(left: DataFrame, right: DataFrame, by: str | list[str], on: str, val
 
     With ``bucket`` each (key, period) is worked on alone.  Only the table of periods, one row for each (key, period)
     with samples or rows, is put in order by key: it tells each period the last sample before it and the first behind.
+    The periods of rows are read from ``times``, (by, on) rows of which each row of ``left`` has one, else from ``left``
+    itself, which is then computed twice: nested joins should pass the ``times`` that they began with.
     """
     by = [by] if isinstance(by, str) else by
     size = None if bucket is None else _BUCKETS[bucket]
@@ -58,6 +60,7 @@ def bracket(left: DataFrame, right: DataFrame, by: str | list[str], on: str, val
     samples = _samples(right, by, on, values, size)
     row = F.struct(*map(quoted, left.columns))
     asked = left.select(*_keys(by), micros(quoted(on)).alias("t"), row.alias("row")).select(*ks, _period(size).alias("p"), "t", "row")
+    periods = (left if times is None else times).select(*_keys(by), micros(quoted(on)).alias("t")).select(*ks, _period(size).alias("p")).distinct()
     inside = Window.partitionBy(*ks, "p").orderBy("t")
     if size is None:
         known = samples.withColumn("next", F.lead("s").over(inside))
@@ -66,7 +69,7 @@ def bracket(left: DataFrame, right: DataFrame, by: str | list[str], on: str, val
     else:
         per = samples.groupBy(*ks, "p").agg(F.min_by("s", "t").alias("first"), F.max_by("s", "t").alias("last"))
         none = F.lit(None).cast(samples.schema["s"].dataType)
-        per = per.unionByName(asked.select(*ks, "p").distinct().select(*ks, "p", none.alias("first"), none.alias("last")))
+        per = per.unionByName(periods.select(*ks, "p", none.alias("first"), none.alias("last")))
         per = per.groupBy(*ks, "p").agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("first", "last")))
         up, down = (Window.partitionBy(*ks).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.col("p").asc(), F.col("p").desc()))
         per = per.withColumns({"before": F.last("last", ignorenulls=True).over(up), "behind": F.last("first", ignorenulls=True).over(down)})
@@ -123,18 +126,19 @@ def interpolate_asof(
     skip_null: bool = False,
     min_points: int = 1,
     bucket: str | None = None,
+    times: DataFrame | None = None,
 ) -> DataFrame:
     """``left`` with ``values`` of ``right`` interpolated linearly in time.
 
     Outside the samples: ``edge="drop"`` drops the row, ``"null"`` gives null, ``"clamp"`` gives the end value.  With
     ``skip_null`` samples with a null value are left out (one value column only); a key with fewer than ``min_points``
-    samples gives null.
+    samples gives null.  ``bucket`` and ``times``: see ``bracket``.
     """
     keys = [by] if isinstance(by, str) else by
     samples = right.select(*map(quoted, [*keys, on, *values]))
     if skip_null:
         samples = samples.dropna(subset=values)
-    d = bracket(left, samples, keys, on, values, bucket)
+    d = bracket(left, samples, keys, on, values, bucket, times)
     ok = F.lit(True)
     if min_points > 1:
         enough = samples.select(*_keys(keys), quoted(on).alias("ts")).where("ts is not null").distinct().groupBy(*_names(keys)).count()

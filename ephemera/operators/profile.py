@@ -26,8 +26,8 @@ def percentiles(df: DataFrame, cols: list[str], q: dict[str, float], accuracy: i
 
     Exact, and no column's values meet in one task: a sketch of bounded size brackets each percentile, rows are counted
     in ``slots`` ranges of each bracket and one beyond on each side, and only the values of the range that the wanted
-    rank falls into are put in order.  A bracket that misses costs time, not exactness.  With ``accuracy`` the sketch
-    itself answers.
+    rank falls into are put in order.  A bracket that misses costs time, not exactness.  ``df`` is read
+    three times, so store it if it is costly to compute; with ``accuracy`` the sketch itself answers, in one pass.
     """
     cells = long_form(df, cols).where("value is not null")
     if accuracy is not None:

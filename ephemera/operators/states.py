@@ -27,17 +27,20 @@ def broadcast_states(nav: DataFrame, times: DataFrame, week_mode: str = "week",
     return full.select("timestamp", "satellite", "x_broadcast", "y_broadcast", "z_broadcast", "clock_broadcast", "ephemeris_age")
 
 
-def error_dataset(broadcast: DataFrame, orbit: DataFrame, clock: DataFrame, velocity: bool = False, bucket: str | None = None) -> DataFrame:
+def error_dataset(broadcast: DataFrame, orbit: DataFrame, clock: DataFrame, velocity: bool = False, bucket: str | None = None, times: DataFrame | None = None) -> DataFrame:
     """Orbit, radial, along, cross and clock errors per satellite and time.
 
     Precise positions are interpolated to the broadcast times (rows outside them or without a position are dropped);
     clocks need two valid samples and are null outside those.  With ``velocity`` the precise positions' finite
-    differences give along-track and cross-track errors, else they are null.
+    differences give along-track and cross-track errors, else they are null.  With ``bucket``, ``times`` may give the
+    (satellite, timestamp) rows that ``broadcast`` was computed for, so that it is computed once.
     """
+    if times is None:
+        times = broadcast.select("satellite", "timestamp")
     precise = E.with_velocity(orbit) if velocity else orbit
     axes = ["x", "y", "z", *(["vx", "vy", "vz"] if velocity else [])]
-    d = interpolate_asof(broadcast, precise, "satellite", "timestamp", axes, "drop", bucket=bucket).dropna(subset=["x", "y", "z"])
-    d = interpolate_asof(d, clock, "satellite", "timestamp", ["clock_bias"], "null", skip_null=True, min_points=2, bucket=bucket)
+    d = interpolate_asof(broadcast, precise, "satellite", "timestamp", axes, "drop", bucket=bucket, times=times).dropna(subset=["x", "y", "z"])
+    d = interpolate_asof(d, clock, "satellite", "timestamp", ["clock_bias"], "null", skip_null=True, min_points=2, bucket=bucket, times=times)
     b, p = tuple(F.col(f"{c}_broadcast") for c in "xyz"), tuple(F.col(c) for c in "xyz")
     along, across = E.along_cross_errors(b, p, tuple(F.col(f"v{c}") for c in "xyz")) if velocity else (F.lit(None).cast("double"),) * 2
     return d.select(

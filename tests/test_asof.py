@@ -96,6 +96,7 @@ def test_bucketed_equals_plain_on_random_series(spark, bucket):
         lambda b: asof.nearest_asof(timed(left), timed(right), "k", "time", 86400 * 3, how="left", bucket=b),
         lambda b: asof.interpolate_asof(timed(left), timed(right), "k", "time", ["x"], "clamp", bucket=b),
         lambda b: asof.interpolate_asof(timed(left), timed(right), "k", "time", ["x"], "drop", bucket=b),
+        lambda b: asof.interpolate_asof(timed(left), timed(right), "k", "time", ["x"], "null", bucket=b, times=timed(left.unionByName(left.withColumn("sec", F.col("sec") + 900_000)))),
     ):
         plain, cut = f(None), f(bucket)
         assert sorted(map(str, plain.collect())) == sorted(map(str, cut.collect())) and plain.count() > 100
