@@ -16,6 +16,7 @@ from ephemera.llm.pii import find_pii
 from ephemera.llm.quality_rules import quality_rules
 from ephemera.llm.token_counts import count_tokens
 from ephemera.llm.url_filter import filter_urls, personalised_pagerank
+from ephemera.llm.whitening import whiten
 
 
 def tokenizer_path(name: str) -> str:
@@ -99,6 +100,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, tokenizer_path("word_bpe_49k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whiten(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    each = white.select("vec_id", "n", F.col("deviation").cast("long").alias("deviation"), F.posexplode("whitened").alias("at", "whitened"), "explained", "identity_error")
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "whitened", F.get("explained", "at").alias("explained"), "identity_error")
+
+
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_quality_rules": op2_quality_rules,
@@ -111,6 +118,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_license_scans": op9_license_scans,
     "op10_token_counts": op10_token_counts,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 #: The others train models, follow a library's tokens or cut texts by bytes, which SQL cannot express; tests compare them with plain versions.
