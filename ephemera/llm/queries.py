@@ -14,6 +14,7 @@ from ephemera.llm.oracle import contamination_sql, jaccard_join_sql, license_sca
 from ephemera.llm.packing import pack
 from ephemera.llm.pii import find_pii
 from ephemera.llm.quality_rules import quality_rules
+from ephemera.llm.secret_scan import find_secrets
 from ephemera.llm.token_counts import count_tokens
 from ephemera.llm.url_filter import filter_urls, personalised_pagerank
 from ephemera.llm.whitening import whiten
@@ -60,13 +61,14 @@ def trade_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personalised_pagerank(edges, share).select("node", F.round("score", 9).alias("score"))
 
 
-def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+def _span_digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select(
-        "doc_id", *(count(k) for k in ("email", "ip", "card", "phone")), F.sha2(joined("base_spans"), 256).alias("base_sha256"), joined("spans").alias("spans")
-    )
+    return found.select("doc_id", *map(count, kinds), F.sha2(joined("base_spans"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_digest(find_pii(_table(spark, sf_dir, "documents").select("doc_id", "text")), ("email", "ip", "card", "phone"))
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,6 +102,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, tokenizer_path("word_bpe_49k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op11_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_digest(find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text")), ("assign", "access", "hex"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     white = whiten(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
     each = white.select("vec_id", "n", F.col("deviation").cast("long").alias("deviation"), F.posexplode("whitened").alias("at", "whitened"), "explained", "identity_error")
@@ -118,6 +124,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_license_scans": op9_license_scans,
     "op10_token_counts": op10_token_counts,
+    "op11_secret_scans": op11_secret_scans,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
 
