@@ -124,7 +124,7 @@ def test_recall_on_random_secrets_and_no_false_ones():
     innocent = [
         "internationalization-of-documents-2020", "/usr/local/lib/python3.13/site-packages/numpy/core", "550e8400-e29b-41d4-a716-446655440000", "2024-01-02T10:30:00Z", "https://cdn.x.org/a8Fj29dkQ0s8dKf93kdls02kd/img.png",
         "abcdefghijklmnopqrstuvwxyz0123456789", "someVeryLongVariableName2WithNumbers", "1234-5678-9012-3456-7890", "sha256-47DEQpj8HBSa+/TImW+5JCeuQeRkm5NMpJWZG3hSuFU=", "file_name_2020_01_02_final_v2.txt",
-        "Donaudampfschifffahrtsgesellschaft2000", "x1y2z3" * 10, "-" * 40, "your_api_key_goes_here_a8Fj29dkQ0s8dKf93",
+        "Donaudampfschifffahrtsgesellschaft2000", "x1y2z3" * 10, "-" * 40, "example-key-a8Fj29dkQ0s8dKf93",
     ]
     _, every, _ = scan([t.encode() for t in innocent], AllowList())
     assert [t for t, spans in zip(innocent, every, strict=True) if spans] == []
