@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ephemera.llm.alignment import align_tokens, link_counts
 from ephemera.llm.decontaminate import decontaminate
 from ephemera.llm.importance import importance_resample
 from ephemera.llm.jaccard_join import jaccard_join
@@ -106,6 +107,14 @@ def op11_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_digest(find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text")), ("assign", "access", "hex"))
 
 
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    aligned = align_tokens(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    aligned = aligned.select("doc_id", "n_a", "n_b", "n_groups", digest.alias("groups_sha256"), "link_a", "link_b")
+    return link_counts(aligned).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     white = whiten(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
     each = white.select("vec_id", "n", F.col("deviation").cast("long").alias("deviation"), F.posexplode("whitened").alias("at", "whitened"), "explained", "identity_error")
@@ -125,6 +134,7 @@ QUERIES = {
     "op9_license_scans": op9_license_scans,
     "op10_token_counts": op10_token_counts,
     "op11_secret_scans": op11_secret_scans,
+    "op12_cross_tokenizer_alignment": op12_cross_tokenizer_alignment,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
 
