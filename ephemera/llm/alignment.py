@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 from ephemera.llm.common import checkpointed, flushes, free_name, kth_largest, list_array, offsets_of, stored, texts_of
 from ephemera.llm.packing import Encoder
 
-FLUSH_BYTES = 2 << 20
-CHUNK = 1 << 20  # bytes whose tokens are merged at once
+FLUSH_BYTES = 1 << 19
+CHUNK = 1 << 19  # bytes whose tokens are merged at once
 LONG = 1 << 18  # bytes; longer texts are handed to sentencepiece in parts where its pieces allow that
 HEAD = 1_000_000  # id pairs whose counts are broadcast
 _BLANK = "▁"
@@ -175,7 +175,7 @@ def group_texts(ids_a: np.ndarray, counts_a: np.ndarray, ids_b: np.ndarray, coun
 def _align(path_a: str, path_b: str, text: str, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, numerals = side_of(path_a), side_of(path_b), Numerals()
-        for table in flushes(batches, text, FLUSH_BYTES):
+        for table in flushes(batches, text, FLUSH_BYTES, 50):
             texts = texts_of(table[text])
             own = [k for k, t in enumerate(texts) if t]
             spaced = [b" " + texts[k] for k in own]

@@ -138,13 +138,13 @@ def shingle_sets(texts: list[bytes], n: int, cache: WordHash) -> list[np.ndarray
     return out
 
 
-def flushes(batches: Iterable[pa.RecordBatch], text: str, limit: int) -> Iterator[pa.Table]:
-    """Batches joined until their text exceeds ``limit`` bytes, so work is vectorised in bounded memory."""
+def flushes(batches: Iterable[pa.RecordBatch], text: str, limit: int, rows: int = 2000) -> Iterator[pa.Table]:
+    """Batches joined, ``rows`` at a time, until their text exceeds ``limit`` bytes, so work is vectorised in bounded memory."""
     held, size = [], 0
     for batch in batches:
         at = 0
         while at < batch.num_rows:
-            piece = batch.slice(at, 2000)
+            piece = batch.slice(at, rows)
             at += piece.num_rows
             held.append(piece)
             size += piece.column(batch.schema.get_field_index(text)).nbytes
