@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -12,40 +14,68 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ephemera.llm.common import checkpointed, flushes, free_name, kth_largest, list_array, offsets_of, stored, texts_of
-from ephemera.llm.packing import Encoder
+from ephemera.llm.common import checkpointed, flushes, free_name, kth_largest, list_array, offsets_of, ragged, stored, texts_of
+from ephemera.llm.packing import _OTHER, Encoder, _Units
 
 FLUSH_BYTES = 1 << 19
 CHUNK = 1 << 19  # bytes whose tokens are merged at once
-LONG = 1 << 18  # bytes; longer texts are handed to sentencepiece in parts where its pieces allow that
+LONG = 1 << 18  # bytes; longer texts go through tokenizers
 HEAD = 1_000_000  # id pairs whose counts are broadcast
 _BLANK = "▁"
+_UNIT = re.compile(r" +[^ ]*")
+#: The library's splitting pattern of byte-level tokenizers.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+MARKS = (b",", b"|", b";", b"")  # within a side of a group, between its sides, between groups, at the end
 
 
-class ByteLevel(Encoder):
-    """Ids of byte-level tokenizers, special strings as plain text, and the bytes of each id."""
+class ByteLevel:
+    """Ids of byte-level tokenizers, special strings as plain text, and the bytes of each id.
+
+    Where the file's merges make ids in rising order, the tokenizer's own splitting pattern is in use and characters
+    are of the kinds on whose classes all libraries agree, the same vocabulary is applied by tiktoken, which is faster;
+    all else goes through tokenizers.
+    """
 
     def __init__(self, path: str):
-        super().__init__(path)
-        self.special = []
+        plain = Encoder(path)
+        self.tokenizer = plain.tokenizer
         self.tokenizer.encode_special_tokens = True
-        letters = {c: b for b, c in self.alphabet.items()}
+        letters = {c: b for b, c in plain.alphabet.items()}
         vocabulary = self.tokenizer.get_vocab()
         self.bytes = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             self.bytes[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
+        model = json.loads(self.tokenizer.to_str())["model"]
+        merged = [model["vocab"]["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]] if plain.by_unit else []
+        self.fast = None
+        if merged and all(a < b for a, b in zip(merged, merged[1:], strict=False)) and all(len(self.bytes[i]) == 1 for i in model["vocab"].values() if i < merged[0]):
+            import tiktoken
+
+            special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+            ranks = {self.bytes[i]: i for t, i in model["vocab"].items() if t not in special}
+            self.fast = tiktoken.Encoding("from " + path, pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+    def _encode(self, raw: bytes) -> list[int]:
+        text = raw.decode("utf-8", "replace")
+        if self.fast is not None and len(raw) <= LONG and not _OTHER.search(text):
+            return self.fast.encode_ordinary(text)
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        return self.encode(texts)
+        found = [np.array(self._encode(t), np.int64) for t in texts]
+        return np.concatenate([*found, np.empty(0, np.int64)]), np.fromiter(map(len, found), np.int64, len(found))
 
 
 class Pieces:
     """Ids of a sentencepiece model, and the bytes of each id: U+2581 is a space, byte pieces are their byte.
 
     Where blanks stand only at the start of pieces and the model adds a blank before a text, no piece reaches over the
-    start of a run of blanks, so a long text may be cut there: each part loses the one blank that the model adds again.
+    start of a run of blanks.  So each run of blanks with what follows it is a unit of its own; the model is asked once
+    for each distinct unit, less the blank that it adds again.  Units are remembered within ``limit`` of them.
     """
 
+    limit = 150_000
+
     def __init__(self, path: str):
         import sentencepiece
 
@@ -54,45 +84,59 @@ class Pieces:
         names = [self.model.id_to_piece(i) for i in own]
         self.bytes = [bytes([int(names[i][3:5], 16)]) if self.model.is_byte(i) else names[i].replace(_BLANK, " ").encode() for i in own]
         self.adds_blank = self.model.encode("a", out_type=str)[0].startswith(_BLANK)
-        self.parts = self.adds_blank and self.model.encode("a  b ", out_type=str)[-1] == _BLANK and not any(_BLANK in n.lstrip(_BLANK) for n in names)
-
-    def _cut(self, text: bytes) -> list[bytes]:
-        out, at = [], 0
-        while self.parts and len(text) - at > LONG:
-            cut = text.find(b" ", at + LONG)
-            while 0 < cut and text[cut - 1] == 32:  # not within a run of blanks
-                cut = text.find(b" ", cut + 1)
-            if cut < 0 or cut + 1 == len(text):
-                break
-            out.append(text[at:cut])
-            at = cut + 1
-        return [*out, text[at:]]
+        self.by_unit = self.adds_blank and _BLANK in names and self.model.encode("a  b ", out_type=str)[-1] == _BLANK and not any(_BLANK in n.lstrip(_BLANK) for n in names)
+        self.blank = names.index(_BLANK) if self.by_unit else -1
+        self._clear()
+
+    def _clear(self) -> None:
+        self.units = _Units()
+        self.flat, self.start = np.empty(0, np.int64), np.zeros(1, np.int64)
 
     def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts that begin with a blank, joined, and the number of each."""
-        parts = [self._cut(t[1:] if self.adds_blank else t) for t in texts]
-        found = self.model.encode([p.decode("utf-8", "replace") for own in parts for p in own], num_threads=1)
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        before = offsets_of(sizes)
-        of_text = offsets_of(np.fromiter(map(len, parts), np.int64, len(parts)))
-        return np.fromiter(chain.from_iterable(found), np.int64, int(before[-1])), before[of_text[1:]] - before[of_text[:-1]]
+        if not self.by_unit:
+            found = self.model.encode([(t[1:] if self.adds_blank else t).decode("utf-8", "replace") for t in texts], num_threads=1)
+            return np.fromiter(chain.from_iterable(found), np.int64), np.fromiter(map(len, found), np.int64, len(found))
+        parts, known = [], self.units.__getitem__
+        for t in texts:
+            units = _UNIT.findall(t.decode("utf-8", "replace"))
+            parts.append(np.fromiter(map(known, units), np.int64, len(units)))
+        if fresh := self.units.fresh:
+            found = [x or [self.blank] for x in self.model.encode([u[1:] for u in fresh], num_threads=1)]
+            counts = np.fromiter(map(len, found), np.int64, len(found))
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.int64, int(counts.sum()))])
+            self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(counts)])
+            self.units.fresh = []
+        keys = np.concatenate([*parts, np.empty(0, np.int64)])
+        counts = self.start[keys + 1] - self.start[keys]
+        of_text, before = offsets_of(np.fromiter(map(len, parts), np.int64, len(parts))), offsets_of(counts)
+        out = self.flat[ragged(self.start[keys], counts)], before[of_text[1:]] - before[of_text[:-1]]
+        if self.units.total > self.limit:
+            self._clear()
+        return out
 
 
 class Side:
-    """One tokenizer, with the lengths of its ids in bytes and their numerals."""
+    """One tokenizer, with the bytes of all ids in a row and their numerals, each with every mark that may follow."""
 
     def __init__(self, path: str):
         self.source = Pieces(path) if path.endswith(".model") else ByteLevel(path)
-        self.bytes = self.source.bytes
-        self.lengths = np.fromiter(map(len, self.bytes), np.int64, len(self.bytes))
+        self.lengths = np.fromiter(map(len, self.source.bytes), np.int64, len(self.source.bytes))
+        self.first = np.cumsum(self.lengths) - self.lengths
+        self.letters = np.frombuffer(b"".join(self.source.bytes), np.uint8)
+        self.numerals = [b"%d%s" % (i, m) for i in range(len(self.lengths)) for m in MARKS]
 
     def tokens(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, ids of each text, and which texts the ids' bytes give back."""
         ids, counts = self.source.ids(texts)
-        ids = ids.astype(np.int64)
-        at = offsets_of(counts)
-        whole = np.fromiter((b"".join(map(self.bytes.__getitem__, ids[a:b].tolist())) == t for a, b, t in zip(at[:-1].tolist(), at[1:].tolist(), texts, strict=True)), bool, len(texts))
-        return ids, counts, whole
+        before, own = offsets_of(self.lengths[ids]), offsets_of(np.fromiter(map(len, texts), np.int64, len(texts)))
+        at = before[offsets_of(counts)]
+        joined = self.letters[ragged(self.first[ids], self.lengths[ids])].tobytes()
+        raw = b"".join(texts)
+        if joined == raw and (at == own).all():
+            return ids, counts, np.ones(len(texts), bool)
+        same = (joined[a:b] == raw[c:d] for a, b, c, d in zip(at[:-1].tolist(), at[1:].tolist(), own[:-1].tolist(), own[1:].tolist(), strict=True))
+        return ids, counts, np.fromiter(same, bool, len(texts))
 
 
 _SIDES: dict[str, Side] = {}  # by path, kept while a worker process lives
@@ -146,56 +190,59 @@ def _within(at: np.ndarray, many: int) -> np.ndarray:
     return np.cumsum(closes) - closes
 
 
-class Numerals(dict):
-    """An id's numeral and what follows it; made when first asked for."""
+class Numerals:
+    """Texts of group lists from (id, mark) codes of both sides, without a Python object for each token."""
 
-    marks = (",", "|", ";", "")
+    def __init__(self, a: Side, b: Side):
+        every = a.numerals + b.numerals
+        self.second = len(a.numerals)
+        self.size = np.fromiter(map(len, every), np.int64, len(every))
+        self.first = np.cumsum(self.size) - self.size
+        self.letters = np.frombuffer(b"".join(every), np.uint8)
 
-    def __missing__(self, code: int) -> str:
-        value = self[code] = f"{code >> 2}{self.marks[code & 3]}"
-        return value
+    def texts(self, codes: np.ndarray, at: np.ndarray) -> pa.Array:
+        """One text for the codes between each two of ``at``."""
+        size = self.size[codes]
+        data = self.letters[ragged(self.first[codes], size)]
+        return pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(offsets_of(size)[at].astype(np.int32).tobytes()), pa.py_buffer(data.tobytes()))
 
 
-def group_texts(ids_a: np.ndarray, counts_a: np.ndarray, ids_b: np.ndarray, counts_b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray, numerals: Numerals) -> list[str]:
+def group_texts(ids_a: np.ndarray, counts_a: np.ndarray, ids_b: np.ndarray, counts_b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray, numerals: Numerals) -> pa.Array:
     """``a1,a2|b1;a3|b2,b3`` for each document: groups end where the linked tokens at_a, at_b do."""
     group_a, group_b = _within(at_a, len(ids_a)), _within(at_b, len(ids_b))
     many = len(at_a)
     in_a, in_b = np.cumsum(np.bincount(group_a, minlength=many)), np.bincount(group_b, minlength=many)
     mark_a, mark_b = np.zeros(len(ids_a), np.int64), np.zeros(len(ids_b), np.int64)
     mark_a[at_a], mark_b[at_b] = 1, 2
-    ends = np.cumsum(counts_b)[counts_b > 0] - 1
-    mark_b[ends] = 3
+    mark_b[np.cumsum(counts_b)[counts_b > 0] - 1] = 3
     codes = np.empty(len(ids_a) + len(ids_b), np.int64)
     codes[np.arange(len(ids_a)) + (np.cumsum(in_b) - in_b)[group_a]] = ids_a << 2 | mark_a
-    codes[np.arange(len(ids_b)) + in_a[group_b]] = ids_b << 2 | mark_b
-    at = offsets_of(counts_a + counts_b).tolist()
-    return ["".join(map(numerals.__getitem__, codes[x:y].tolist())) for x, y in zip(at[:-1], at[1:], strict=True)]
+    codes[np.arange(len(ids_b)) + in_a[group_b]] = (ids_b << 2 | mark_b) + numerals.second
+    return numerals.texts(codes, offsets_of(counts_a + counts_b))
 
 
 def _align(path_a: str, path_b: str, text: str, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b, numerals = side_of(path_a), side_of(path_b), Numerals()
+        a, b = side_of(path_a), side_of(path_b)
+        numerals = Numerals(a, b)
         for table in flushes(batches, text, FLUSH_BYTES, 50):
             texts = texts_of(table[text])
-            own = [k for k, t in enumerate(texts) if t]
-            spaced = [b" " + texts[k] for k in own]
+            # an empty text is one blank to both sides, so its tokens are taken away with those of texts not given back
+            spaced = [b" " + t for t in texts]
             ids_a, counts_a, whole = a.tokens(spaced)
             ids_b, counts_b, also = b.tokens(spaced)
-            whole &= also
-            if not whole.all():  # texts that a side does not give back have no tokens
+            whole &= also & np.fromiter(map(bool, texts), bool, len(texts))
+            if not whole.all():
                 ids_a, ids_b = ids_a[np.repeat(whole, counts_a)], ids_b[np.repeat(whole, counts_b)]
                 counts_a, counts_b = counts_a * whole, counts_b * whole
             pairs = [p[p["end_a"] == p["end_b"]] for p in overlaps(_table(ids_a, counts_a, a.lengths), _table(ids_b, counts_b, b.lengths))]
             joined = pd.concat(pairs).sort_values("a") if pairs else pd.DataFrame({"doc": [], "a": [], "b": []}, dtype=np.int64)
             at_a, at_b = joined["a"].to_numpy(), joined["b"].to_numpy()
-            n = np.zeros((3, len(texts)), np.int64)
-            n[0, own], n[1, own], n[2, own] = counts_a, counts_b, np.bincount(joined["doc"].to_numpy(), minlength=len(own))
-            groups = [""] * len(texts)
-            for k, g in zip(own, group_texts(ids_a, counts_a, ids_b, counts_b, at_a, at_b, numerals), strict=True):
-                groups[k] = g
+            n_links = np.bincount(joined["doc"].to_numpy(), minlength=len(texts)).astype(np.int64)
+            groups = group_texts(ids_a, counts_a, ids_b, counts_b, at_a, at_b, numerals)
             rest = [table.column(c).combine_chunks() for c in range(table.num_columns) if table.column_names[c] != text]
-            links = [list_array(ids[at], n[2], pa.int32()) for ids, at in ((ids_a, at_a), (ids_b, at_b))]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(n[0]), pa.array(n[1]), pa.array(n[2]), pa.array(groups, pa.string()), *links], names=names)
+            links = [list_array(ids[at], n_links, pa.int32()) for ids, at in ((ids_a, at_a), (ids_b, at_b))]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(counts_a), pa.array(counts_b), pa.array(n_links), groups, *links], names=names)
 
     return run
 
@@ -229,11 +276,11 @@ def _known(shared, link_a: str, link_b: str, names: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, counts, best = shared.value
-        for batch in batches:
+        for batch in (b.slice(k, 200) for b in batches for k in range(0, b.num_rows, 200)):
             at = [batch.schema.get_field_index(c) for c in (link_a, link_b)]
             a, b = (batch.column(k).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for k in at)
             key = a << 32 | b
-            sizes = np.diff(batch.column(at[0]).offsets.to_numpy())
+            sizes = np.diff(batch.column(at[0]).offsets.to_numpy()).astype(np.int64)
             row = np.repeat(np.arange(batch.num_rows), sizes)
             place = np.minimum(np.searchsorted(pairs, key), max(0, len(pairs) - 1))
             found = pairs[place] == key if len(pairs) else np.zeros(len(key), bool)
@@ -250,7 +297,7 @@ def _known(shared, link_a: str, link_b: str, names: list[str]):
             items = pa.StructArray.from_arrays([pa.array(key[first], pa.int64()), pa.array(times, pa.int64())], fields=list(_REST))
             listed = pa.ListArray.from_arrays(pa.array(offsets_of(np.bincount(row[first], minlength=batch.num_rows)).astype(np.int32)), items)
             rest = [batch.column(k) for k in range(batch.num_columns) if k not in at]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(sizes.astype(np.int64)), pa.array(n_best), pa.array(total), listed], names=names)
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(sizes), pa.array(n_best), pa.array(total), listed], names=names)
 
     return run
 

@@ -10,7 +10,7 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from ephemera.llm import alignment
-from ephemera.llm.alignment import Pieces, align_tokens, link_counts
+from ephemera.llm.alignment import ByteLevel, Pieces, align_tokens, link_counts
 from ephemera.llm.queries import op12_cross_tokenizer_alignment, tokenizer_path
 
 A, B = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
@@ -81,15 +81,24 @@ def test_against_byte_ranges(spark, monkeypatch, chunk, head):
     assert {1, 2, 7, 8} <= zeros and not {0, 4, 10, 12, 18, 19} & zeros
 
 
-def test_long_texts_in_parts(monkeypatch):
-    whole = Pieces(B)
-    texts = [b" " + prose(300, k).encode() + b" " * (k % 4) for k in range(30)] + [b" " * 90, b" a" * 60, b" " + b"y" * 200]
-    want, counts = whole.ids(texts)
-    assert whole.parts
-    monkeypatch.setattr(alignment, "LONG", 40)
-    got, also = whole.ids(texts)
-    assert got.tolist() == want.tolist() and also.tolist() == counts.tolist()
-    assert max(len(whole._cut(t)) for t in texts) > 10
+def test_units_and_libraries_agree(monkeypatch):
+    r = random.Random(9)
+    kinds = ["".join(map(chr, range(1, 0x250))), "ab c\n\t '’—…€0½²ª\x85\x1c\u2028", "日本🙂é ́ا٣ǅⅷ 　x "]
+    texts = [b" " + prose(300, k).encode() + b" " * (k % 4) for k in range(30)] + [b" " * 90, b" a" * 60, b" " + b"y" * 200, b" "]
+    texts += [(" " + "".join(r.choice(k) for _ in range(r.randrange(1, 60)))).encode() for k in kinds for _ in range(1500)]
+    tokenizer, pieces = Tokenizer.from_file(A), sentencepiece.SentencePieceProcessor(model_file=B)
+    tokenizer.encode_special_tokens = True
+    monkeypatch.setattr(Pieces, "limit", 500)
+    a, b = ByteLevel(A), Pieces(B)
+    assert a.fast is not None and b.by_unit
+    for at in range(0, len(texts), 40):
+        own = texts[at : at + 40]
+        ids, counts = a.ids(own)
+        want = [tokenizer.encode(t.decode(), add_special_tokens=False).ids for t in own]
+        assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+        ids, counts = b.ids(own)
+        want = [pieces.encode(t[1:].decode()) or [b.blank] for t in own]
+        assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
 
 
 def test_empty_tables(spark):
