@@ -10,13 +10,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ephemera.functions.names import quoted
-from ephemera.operators.windows import series, tail
+from ephemera.operators.periods import with_following, within
+from ephemera.operators.windows import series, tail, with_halo
 
 STEPS = {"15min": 1, "30min": 2, "1hr": 4, "2hr": 8, "4hr": 16, "8hr": 32, "24hr": 96}
 
 
-def multi_horizon_targets(df: DataFrame, by: str, on: str | list[str], col: str, steps: list[int]) -> DataFrame:
-    """(row columns, step, target): the value ``step`` rows ahead in the key; rows without one are left out."""
+def multi_horizon_targets(df: DataFrame, by: str, on: str | list[str], col: str, steps: list[int], bucket: str | None = None) -> DataFrame:
+    """(row columns, step, target): the value ``step`` rows ahead in the key; rows without one are left out.
+
+    ``bucket`` cuts long keys into periods, which borrow the rows that the steps reach; the result is the same.
+    """
+    if bucket is not None:
+        w, row = within(on), F.col("row")
+        ahead = F.array(*(F.struct(F.lit(s).alias("step"), F.lead(row.getField(col), s).over(w).alias("target")) for s in steps))
+        d = with_following(df, by, on, max(steps), bucket, {"ahead": ahead}).select("row", F.explode("ahead").alias("a"))
+        return d.where("a.target is not null").select(*(row.getField(c).alias(c) for c in df.columns), "a.step", "a.target")
     w = series(by, on)
     ahead = F.array(*(F.struct(F.lit(s).alias("step"), F.lead(col, s).over(w).alias("target")) for s in steps))
     return df.withColumn("__a", ahead).withColumn("__p", F.explode("__a")).select(*df.columns, "__p.step", "__p.target").where("target is not null")
@@ -95,14 +104,22 @@ def forecast_ranges(forecast: DataFrame, by: str, steps: dict[str, int] = STEPS)
     return by_horizon(forecast, steps).groupBy(by, "horizon", "feature").agg(F.count("*").alias("n"), F.min("y_hat").alias("min"), F.max("y_hat").alias("max"))
 
 
-def persistence(df: DataFrame, by: str, on: str | list[str], col: str) -> DataFrame:
+def _lags(df: DataFrame, by: str, on: str | list[str], col: str, names: dict[str, int], bucket: str | None) -> DataFrame:
+    """``df`` with the values so many rows before as ``names``, where all are known; ``bucket`` cuts long keys into periods."""
+    d, period, own = (df, "", "") if bucket is None else with_halo(df, by, on, max(names.values()), bucket)
+    w = series(by if bucket is None else [by, period], on)
+    d = d.withColumns({name: F.lag(col, k).over(w) for name, k in names.items()})
+    return (d if bucket is None else d.where(F.col(own)).drop(own, period)).dropna(subset=list(names))
+
+
+def persistence(df: DataFrame, by: str, on: str | list[str], col: str, bucket: str | None = None) -> DataFrame:
     """``df`` with y (the value) and y_hat (the value before it); first rows are left out."""
-    return df.withColumn("y", F.col(col)).withColumn("y_hat", F.lag(col).over(series(by, on))).where("y_hat is not null")
+    return _lags(df.withColumn("y", F.col(col)), by, on, col, {"y_hat": 1}, bucket)
 
 
-def lag_features(df: DataFrame, by: str, on: str | list[str], col: str, lags: int) -> DataFrame:
-    w = series(by, on)
-    return df.withColumns({f"lag_{k}": F.lag(col, k).over(w) for k in range(1, lags + 1)}).dropna(subset=[f"lag_{k}" for k in range(1, lags + 1)])
+def lag_features(df: DataFrame, by: str, on: str | list[str], col: str, lags: int, bucket: str | None = None) -> DataFrame:
+    """``df`` with lag_1 .. lag_``lags``; rows that lack one are left out."""
+    return _lags(df, by, on, col, {f"lag_{k}": k for k in range(1, lags + 1)}, bucket)
 
 
 def regression_baseline(train: DataFrame, test: DataFrame, features: list[str], target: str, kind: str = "ridge", seed: int = 42) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ephemera.functions.names import free_name, quoted
 from ephemera.functions.scalars import day_cycle, micros, satellite_block
+from ephemera.operators.periods import gaps_by_period
 
 
 def series(by: str | list[str], on: str | list[str]):
@@ -89,11 +90,14 @@ def _squares(x: Column, mean: Column) -> Column:
     return F.aggregate(F.transform(x, lambda v: (v - mean) * (v - mean)), F.lit(0.0), lambda a, v: a + v)
 
 
-def fill_gaps(df: DataFrame, by: str, on: str, cols: list[str]) -> DataFrame:
+def fill_gaps(df: DataFrame, by: str, on: str, cols: list[str], bucket: str | None = None) -> DataFrame:
     """Nulls filled linearly in time between known values; before the first and after the last known value with it.
 
     The next known value comes from a descending window, whose frame grows like the ascending one, so both are linear.
+    ``bucket`` cuts long keys into periods (see ``periods.gaps_by_period``) with the same result.
     """
+    if bucket is not None:
+        return gaps_by_period(df, by, on, cols, bucket)
     up = Window.partitionBy(by).orderBy(F.col(on).asc()).rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy(by).orderBy(F.col(on).desc()).rowsBetween(Window.unboundedPreceding, 0)
     t = micros(F.col(on))

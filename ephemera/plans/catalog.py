@@ -732,13 +732,22 @@ def _(spark, sf_dir):
     return rounded(d.select("event_id", "value_ma", "value_std"), "value_ma", "value_std")
 
 
-@query("fill_gaps", f"""WITH d AS (SELECT event_id, user_id, min(ts) OVER (PARTITION BY user_id, ts) AS ts, x FROM {GAPPY} QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id) = 1),
+_FILL_SQL = f"""WITH d AS (SELECT event_id, user_id, min(ts) OVER (PARTITION BY user_id, ts) AS ts, x FROM {GAPPY} QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id) = 1),
 p AS (SELECT *, last_value(CASE WHEN x IS NOT NULL THEN ts END IGNORE NULLS) OVER a AS t0, last_value(x IGNORE NULLS) OVER a AS v0, first_value(CASE WHEN x IS NOT NULL THEN ts END IGNORE NULLS) OVER b AS t1, first_value(x IGNORE NULLS) OVER b AS v1 FROM d
  WINDOW a AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-SELECT event_id, round(CASE WHEN x IS NOT NULL THEN x WHEN v0 IS NULL THEN v1 WHEN v1 IS NULL THEN v0 ELSE v0 + (v1 - v0) * (epoch_us(ts) - epoch_us(t0)) / (epoch_us(t1) - epoch_us(t0)) END, 6) AS x FROM p""")
-def _(spark, sf_dir):
-    one = gappy(spark, sf_dir).groupBy("user_id", "ts").agg(F.min_by(F.struct("event_id", "x"), "event_id").alias("r")).select("user_id", "ts", "r.*")
-    return rounded(windows.fill_gaps(one, "user_id", "ts", ["x"]).select("event_id", "x"), "x")
+SELECT event_id, round(CASE WHEN x IS NOT NULL THEN x WHEN v0 IS NULL THEN v1 WHEN v1 IS NULL THEN v0 ELSE v0 + (v1 - v0) * (epoch_us(ts) - epoch_us(t0)) / (epoch_us(t1) - epoch_us(t0)) END, 6) AS x FROM p"""
+
+
+def _filled(bucket: str | None) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        one = gappy(spark, sf_dir).groupBy("user_id", "ts").agg(F.min_by(F.struct("event_id", "x"), "event_id").alias("r")).select("user_id", "ts", "r.*")
+        return rounded(windows.fill_gaps(one, "user_id", "ts", ["x"], bucket).select("event_id", "x"), "x")
+
+    return run
+
+
+query("fill_gaps", _FILL_SQL)(_filled(None))
+query("fill_gaps_bucketed", _FILL_SQL)(_filled("day"))
 
 
 @query("tail", "SELECT event_id, user_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5")
@@ -758,9 +767,9 @@ def _window_sql(lookback: int, horizon: int, stride: int) -> str:
  sum(value + event_id) {_W} {here}) AS sum_x, CAST(count(*) {_W} {ahead}) AS INT) AS n_y, sum(value) {_W} {ahead}) AS sum_y FROM events) WHERE (k - 1) % {stride} = 0 AND n_y = {horizon}"""
 
 
-def _windows(lookback: int, horizon: int, stride: int) -> Query:
+def _windows(lookback: int, horizon: int, stride: int, bucket: str | None = None) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        d = sequences.make_windows(events(spark, sf_dir), "user_id", ON, ["value", "event_id"], ["value"], lookback, horizon, stride)
+        d = sequences.make_windows(events(spark, sf_dir), "user_id", ON, ["value", "event_id"], ["value"], lookback, horizon, stride, bucket)
         total = lambda c: F.round(F.aggregate(F.flatten(c), F.lit(0.0), lambda a, v: a + v), 4)
         return d.select("user_id", "window_start", F.size(F.flatten("x")).alias("n_x"), total("x").alias("sum_x"), F.size(F.flatten("y")).alias("n_y"), total("y").alias("sum_y"))
 
@@ -769,13 +778,23 @@ def _windows(lookback: int, horizon: int, stride: int) -> Query:
 
 for _l, _h, _s in ((36, 4, 2), (12, 1, 1)):
     query(f"windows_{_l}_{_h}_{_s}", _window_sql(_l, _h, _s))(_windows(_l, _h, _s))
+    query(f"windows_{_l}_{_h}_{_s}_bucketed", _window_sql(_l, _h, _s))(_windows(_l, _h, _s, "week"))
 
 
-@query("nested_windows", f"SELECT user_id, ts AS window_start, CAST(120 AS INT) AS n, round(s, 4) AS sum_x FROM (SELECT user_id, ts, row_number() {_W}) AS k, count(*) OVER (PARTITION BY user_id) AS n, " + " + ".join(f"sum(value) {_W} ROWS BETWEEN {j} FOLLOWING AND {j + 11} FOLLOWING)" for j in range(10)) + " AS s FROM events) WHERE k <= n - 12 - 9")
-def _(spark, sf_dir):
-    w = sequences.make_windows(events(spark, sf_dir), "user_id", ON, ["value"], ["value"], 12, 1)
-    d = sequences.flat(sequences.nested_windows(w, "user_id", 10))
-    return d.select("user_id", "window_start", F.size("x").alias("n"), F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + v), 4).alias("sum_x"))
+_NESTED_SQL = f"SELECT user_id, ts AS window_start, CAST(120 AS INT) AS n, round(s, 4) AS sum_x FROM (SELECT user_id, ts, row_number() {_W}) AS k, count(*) OVER (PARTITION BY user_id) AS n, " + " + ".join(f"sum(value) {_W} ROWS BETWEEN {j} FOLLOWING AND {j + 11} FOLLOWING)" for j in range(10)) + " AS s FROM events) WHERE k <= n - 12 - 9"
+
+
+def _nested(bucket: str | None) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        w = sequences.make_windows(events(spark, sf_dir), "user_id", ON, ["value"], ["value"], 12, 1, bucket=bucket)
+        d = sequences.flat(sequences.nested_windows(w, "user_id", 10, bucket=bucket))
+        return d.select("user_id", "window_start", F.size("x").alias("n"), F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + v), 4).alias("sum_x"))
+
+    return run
+
+
+query("nested_windows", _NESTED_SQL)(_nested(None))
+query("nested_windows_bucketed", _NESTED_SQL)(_nested("week"))
 
 
 @query("windows_complete", f"SELECT user_id, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM (SELECT user_id, count(*) {_W} ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS n_all, count(x) {_W} ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS n_x FROM {GAPPY}) WHERE n_all = 6 AND n_x = 6 GROUP BY 1")
@@ -977,16 +996,26 @@ def _(spark, sf_dir):
 # forecasts
 
 
-@query("multi_horizon_targets", f"SELECT event_id, CAST(s AS INT) AS step, target FROM (" + " UNION ALL ".join(f"SELECT event_id, {s} AS s, lead(value, {s}) {_W}) AS target FROM events" for s in (1, 2, 4, 8, 16, 32)) + ") WHERE target IS NOT NULL")
-def _(spark, sf_dir):
-    d = forecast.multi_horizon_targets(events(spark, sf_dir).select("event_id", "user_id", "ts", "value"), "user_id", ON, "value", [1, 2, 4, 8, 16, 32])
-    return d.select("event_id", "step", "target")
+_TARGETS_SQL = f"SELECT event_id, CAST(s AS INT) AS step, target FROM (" + " UNION ALL ".join(f"SELECT event_id, {s} AS s, lead(value, {s}) {_W}) AS target FROM events" for s in (1, 2, 4, 8, 16, 32)) + ") WHERE target IS NOT NULL"
+
+
+def _targets(bucket: str | None) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        d = events(spark, sf_dir).select("event_id", "user_id", "ts", "value")
+        return forecast.multi_horizon_targets(d, "user_id", ON, "value", [1, 2, 4, 8, 16, 32], bucket).select("event_id", "step", "target")
+
+    return run
+
+
+query("multi_horizon_targets", _TARGETS_SQL)(_targets(None))
+query("multi_horizon_targets_bucketed", _TARGETS_SQL)(_targets("week"))
 
 
 def _last_value(x):
     return x[:, -1, :1]
 
 
+
 @query("recursive_forecast", "SELECT user_id, h.horizon, CAST(h.n AS BIGINT) AS n, v AS first, v AS last FROM (SELECT user_id, arg_max(value, (ts, event_id)) AS v FROM events GROUP BY 1 HAVING count(*) >= 36), (VALUES ('15min', 1), ('1hr', 4), ('24hr', 96)) h(horizon, n)")
 def _(spark, sf_dir):
     """Persistence as the model: every step repeats the last value, so SQL can tell the result."""
