@@ -56,8 +56,8 @@ def test_gaps(series, bucket):
 def test_gaps_take_one_sort_and_no_key_is_whole(series):
     plan = windows.fill_gaps(series, "unit", "row", ["x"], "day")._jdf.queryExecution().executedPlan().toString()
     sorts = [line for line in plan.splitlines() if "Sort [" in line]
-    # the rows by unit and time; the periods of each key; the units, for the join
-    assert len(sorts) == 3 and sum("Sort [unit" in x and "_w0" in x for x in sorts) == 1 and "SortAggregate" not in plan, sorts
+    # the rows by unit and time, the periods of each key and, unless they are broadcast, the units for the join
+    assert len(sorts) <= 3 and sum("Sort [unit" in x and "_w0" in x for x in sorts) == 1 and "SortAggregate" not in plan, sorts
     halo = with_forward_halo(series.where("unit = 'hot'"), "unit", "row", 10, "day")
     sizes = [r.n for r in halo.groupBy("unit").agg(F.count("*").alias("n")).collect()]
     assert max(sizes) < 250 and halo.where("place is not null").count() == 900
