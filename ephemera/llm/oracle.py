@@ -40,21 +40,24 @@ def url_filters_sql() -> str:
     n = url_filter.ROUNDS
     rest = "CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END"
     host = _FOLD.format("regexp_extract(rest, '^[^/?#]*')")
+    site = lambda c: f"regexp_replace(regexp_extract(regexp_replace({c}, '^(?:[^@]*@)+', ''), '^[^:\\[\\]]*'), '[.,;!]+\\z', '')"
+    registry = f"regexp_matches(b, '^(?:{'|'.join(url_filter.REGISTRIES)})\\.[a-z]{{2}}\\z') OR b IN ({', '.join(f"'{x}'" for x in url_filter.SHARED)})"
     seeds = lambda kind: f"SELECT host AS node, {kind} AS n FROM hosts WHERE 2 * {kind} > pages"
     some = lambda t: f"CASE WHEN {t}.score >= {url_filter.LEAST} / (SELECT count(*) FROM hosts) THEN {t}.score ELSE 0 END"
     return f"""WITH r AS (SELECT page_id, html, {rest} AS rest FROM pages),
 j AS (SELECT page_id, html, {host} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
-v AS (SELECT *, CASE {rule} END AS rule, CASE {verdict} END AS said FROM j),
-hosts AS (SELECT host, count(*) AS pages, count(*) FILTER (said = 'allow') AS allowed, count(*) FILTER (said = 'block') AS blocked FROM v WHERE host <> '' GROUP BY 1),
-h AS (SELECT host AS src, unnest(regexp_extract_all(html, '{link}', 1)) AS dst FROM v),
-l AS (SELECT src, {_FOLD.format("dst")} AS dst, 1e0 AS weight FROM h WHERE src <> '' AND dst <> '' AND src <> {_FOLD.format("dst")}),
-lab AS (SELECT string_split(host, '.') AS p FROM (SELECT host FROM hosts UNION SELECT dst FROM l)),
-up AS (SELECT DISTINCT array_to_string(p[k:], '.') AS a, array_to_string(p[k + 1:], '.') AS b FROM (SELECT p, unnest(range(1, len(p) - 1)) AS k FROM lab)),
+v AS (SELECT *, {site("host")} AS site, CASE {rule} END AS rule, CASE {verdict} END AS said FROM j),
+hosts AS (SELECT site AS host, count(*) AS pages, count(*) FILTER (said = 'allow') AS allowed, count(*) FILTER (said = 'block') AS blocked FROM v WHERE site <> '' GROUP BY 1),
+h AS (SELECT site AS src, unnest(regexp_extract_all(html, '{link}', 1)) AS dst FROM v),
+hl AS (SELECT src, {site(_FOLD.format("dst"))} AS dst, 1e0 AS weight FROM h),
+l AS (SELECT * FROM hl WHERE src <> '' AND dst <> '' AND src <> dst),
+lab AS (SELECT string_split(host, '.') AS p FROM (SELECT host FROM hosts UNION SELECT dst FROM l) WHERE NOT regexp_matches(host, '^[0-9.]+\\z')),
+up AS (SELECT * FROM (SELECT DISTINCT array_to_string(p[k:], '.') AS a, array_to_string(p[k + 1:], '.') AS b FROM (SELECT p, unnest(range(1, len(p) - 1)) AS k FROM lab)) WHERE NOT ({registry})),
 fwd AS (SELECT src, dst, sum(weight) AS weight FROM (SELECT * FROM l UNION ALL SELECT a, b, {url_filter.PARENT} FROM up WHERE a <> '' AND b <> '' UNION ALL SELECT b, a, {url_filter.PARENT} FROM up WHERE a <> '' AND b <> '') GROUP BY ALL),
 bwd AS (SELECT dst AS src, src AS dst, weight FROM fwd),
 {_rounds("allowed", seeds("allowed"), "fwd")},
 {_rounds("blocked", seeds("blocked"), "bwd")},
-s AS (SELECT v.*, coalesce({some("a")}, 0) AS trust, coalesce({some("b")}, 0) AS distrust FROM v LEFT JOIN allowed_{n} a ON a.node = host LEFT JOIN blocked_{n} b ON b.node = host)
+s AS (SELECT v.*, coalesce({some("a")}, 0) AS trust, coalesce({some("b")}, 0) AS distrust FROM v LEFT JOIN allowed_{n} a ON a.node = site LEFT JOIN blocked_{n} b ON b.node = site)
 SELECT page_id, host, path, rule, coalesce(said, CASE WHEN distrust > 0 AND distrust >= {url_filter.DISTRUST} * (trust + distrust) THEN 'block' ELSE 'allow' END) AS verdict FROM s"""
 
 

@@ -14,6 +14,12 @@ ROUNDS = 20
 DISTRUST = 0.5  # share of distrust in all evidence of a host from which on it is blocked
 LEAST = 0.25  # trust and distrust of less than this part of an even share over all hosts count as none
 PARENT = 1.0  # weight of the edge between a host and its parent domain
+# Labels under which two-letter domains register names, and domains that host many owners' sites.
+REGISTRIES = ("ac", "asn", "co", "com", "edu", "firm", "gen", "go", "gob", "gouv", "gov", "gv", "id", "ind", "info", "ltd", "me", "mil", "ne", "net", "nhs", "nic", "nom", "or", "org", "plc", "police", "sch", "school", "web")
+SHARED = (
+    "amazonaws.com", "appspot.com", "azurewebsites.net", "blogspot.com", "cloudfront.net", "firebaseapp.com", "fly.dev", "github.io", "gitlab.io", "herokuapp.com", "myshopify.com", "neocities.org", "netlify.app",
+    "onrender.com", "pages.dev", "readthedocs.io", "s3.amazonaws.com", "squarespace.com", "substack.com", "surge.sh", "tumblr.com", "vercel.app", "web.app", "weebly.com", "wixsite.com", "wordpress.com", "workers.dev",
+)
 #: Where a host follows: after a scheme anywhere (attributes and plain text), or after // at the start of an attribute.
 LINK = "(?i)(?:[a-z][a-z0-9+.-]*:|=[ \\t\\r\\n]*[\"']?)//([^/?#\"'<>() \\t\\r\\n\\\\]+)"
 
@@ -23,6 +29,12 @@ def url_host(url: Column) -> Column:
     return F.coalesce(lower_ascii(F.regexp_extract(_rest(url), "^[^/?#]*", 0)), F.lit(""))
 
 
+def site_of(host: Column) -> Column:
+    """A host without user, port and the marks that text puts behind it: what pages and links are joined by."""
+    name = F.regexp_extract(F.regexp_replace(host, "^(?:[^@]*@)+", ""), "^[^:\\[\\]]*", 0)
+    return F.regexp_replace(name, "[.,;!]+\\z", "")
+
+
 def url_path(url: Column) -> Column:
     """From the end of the host up to ``?``, ``#`` or the end; else ''."""
     return F.coalesce(F.regexp_extract(_rest(url), "^[^/?#]*([^?#]*)", 1), F.lit(""))
@@ -43,25 +55,29 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
 
 
 def host_links(pages: DataFrame, html_col: str, host: Column) -> DataFrame:
-    """(src, dst, weight): links between different hosts, counted, from every attribute and the text of a page.
+    """(src, dst, weight): links between different sites (``site_of``), counted, from every attribute and the text of a page.
 
     Relative links, and a page's links to its own host, tie a host to itself only and are left out.
     """
     found = F.regexp_extract_all(F.col(html_col), F.lit(LINK), F.lit(1))
-    links = pages.select(host.alias("src"), F.explode(found).alias("dst")).withColumn("dst", lower_ascii(F.col("dst")))
+    links = pages.select(site_of(host).alias("src"), F.explode(found).alias("dst")).withColumn("dst", site_of(lower_ascii(F.col("dst"))))
     links = links.where("src <> '' and dst <> '' and src <> dst")
     return links.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
-def parent_links(hosts: DataFrame, weight: float = PARENT) -> DataFrame:
+def parent_links(hosts: DataFrame, weight: float = PARENT, shared: tuple[str, ...] = SHARED) -> DataFrame:
     """(src, dst, weight): each host and its ancestors with its own parent domain, both ways, down to two labels.
 
     ``m.site.example`` and ``blog.site.example`` are parts of one site, whether or not their pages link to each other.
+    Registries (``co.uk``: REGISTRIES under two letters) and domains whose names belong to many owners (``shared``) are
+    nobody's parent, and addresses of numbers have none.
     """
+    hosts = hosts.where("host not rlike '^[0-9.]+\\\\z'")
+    registry = F.col("e.b").rlike(rf"^(?:{'|'.join(REGISTRIES)})\.[a-z]{{2}}\z") | F.col("e.b").isin(*shared)
     labels = F.split("host", "\\.")
     tails = F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda k: F.array_join(F.slice("p", k, F.size("p")), "."))
     chains = hosts.select(labels.alias("p")).where(F.size("p") > 2).select(F.explode(F.arrays_zip(tails.alias("a"), F.slice(tails, F.lit(2), F.size("p")).alias("b"))).alias("e"))
-    pairs = chains.where("e.b is not null and e.a <> '' and e.b <> ''").select("e.a", "e.b").distinct()
+    pairs = chains.where("e.b is not null and e.a <> '' and e.b <> ''").where(~registry).select("e.a", "e.b").distinct()
     both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e"))
     return both.select("e.src", "e.dst", F.lit(weight).alias("weight"))
 
@@ -100,13 +116,15 @@ def filter_urls(
     damping: float = DAMPING,
     rounds: int = ROUNDS,
     threshold: float = DISTRUST,
+    shared: tuple[str, ...] = SHARED,
 ) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) for every row.
 
-    The longest fitting rule decides.  Elsewhere the host does: trusted seeds are hosts most of whose pages a rule
-    allows, blocked seeds those most of whose pages a rule blocks, each weighted by its pages.  Trust is a personalised
+    The longest fitting rule decides.  Elsewhere the site does (the host without user and port): trusted seeds are sites
+    most of whose pages a rule allows, blocked seeds those most of whose pages a rule blocks, each weighted by its pages.  Trust is a personalised
     PageRank from trusted seeds along the edges between hosts, distrust one from blocked seeds against them; edges are
-    links in the pages (``host_links``) and those between a host and its parent domain (``parent_links``).  Scores
+    links in the pages (``host_links``) and those between a host and its parent domain (``parent_links``; names under a
+    domain of ``shared`` owners have no common parent).  Scores
     under LEAST of an even share count as none; a host is blocked if distrust is ``threshold`` or more of the two.
     Hosts without evidence are allowed.
 
@@ -116,14 +134,14 @@ def filter_urls(
     """
     host, path = url_host(F.col(url_col)), url_path(F.col(url_col))
     judged = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    judged = stored(judged.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)))
-    per_host = judged.where("host <> ''").groupBy("host").agg(
+    judged = stored(judged.withColumns({"r": rule_of(F.col("host"), F.col("path"), rules), "site": site_of(F.col("host"))}))
+    per_host = judged.where("site <> ''").groupBy(F.col("site").alias("host")).agg(
         F.count("*").alias("pages"), F.count_if(F.col("r.verdict") == "allow").alias("allowed"), F.count_if(F.col("r.verdict") == "block").alias("blocked")
     )
     per_host = checkpointed(per_host)
     links = host_links(pages, html_col, host)
     every = per_host.select("host").union(links.select("dst")).distinct()
-    edges = checkpointed(links.unionByName(parent_links(every)).groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
+    edges = checkpointed(links.unionByName(parent_links(every, shared=shared)).groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
     trust_edges = edges.select(F.lit("allowed").alias("kind"), "src", "dst", "weight")
     both = trust_edges.unionByName(edges.select(F.lit("blocked").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     seeds = per_host.select("host", F.explode(F.array(F.lit("allowed"), F.lit("blocked"))).alias("kind"), "pages", "allowed", "blocked")
@@ -133,8 +151,8 @@ def filter_urls(
     scores = personalised_pagerank(both, seeds, damping, rounds)
     known = scores.groupBy(F.col("node").alias("host")).agg(*(F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)).alias(c) for k, c in (("allowed", "trust"), ("blocked", "distrust"))))
     least = per_host.agg((LEAST / F.count("*")).alias("least"))
-    known = known.crossJoin(F.broadcast(least)).select("host", *(F.when(F.col(c) >= F.col("least"), F.col(c)).otherwise(0.0).alias(c) for c in ("trust", "distrust")))  # one row
-    out = spread_left_join(judged, checkpointed(known), "host").na.fill(0.0, ["trust", "distrust"])
+    known = known.crossJoin(F.broadcast(least)).select(F.col("host").alias("site"), *(F.when(F.col(c) >= F.col("least"), F.col(c)).otherwise(0.0).alias(c) for c in ("trust", "distrust")))  # one row
+    out = spread_left_join(judged, checkpointed(known), "site").na.fill(0.0, ["trust", "distrust"])
     bad = (F.col("distrust") > 0) & (F.col("distrust") >= threshold * (F.col("trust") + F.col("distrust")))
     verdict = F.coalesce(F.col("r.verdict"), F.when(bad, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), "trust", "distrust")

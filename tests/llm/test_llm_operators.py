@@ -141,7 +141,7 @@ def test_links_and_parents(spark):
     html = """<link rel=canonical href='//Canon.org/x'><img src="http://pic.net:80/i.png"> see https://plain.io, or ftp://user@files.de <a href="/own"> <a href=//bare.org> a // comment"""
     pages = spark.createDataFrame([(1, "http://a.b.site.com/", html), (2, "http://site.com/", None), (3, "http://x..y", "x" * 300_000 + "https://far.org/" + "/" * 1000)], "page_id long, url string, html string")
     got = {(r.src, r.dst) for r in host_links(pages, "html", url_host(F.col("url"))).collect()}
-    assert got == {("a.b.site.com", d) for d in ("canon.org", "pic.net:80", "plain.io,", "user@files.de", "bare.org")} | {("x..y", "far.org")}
+    assert got == {("a.b.site.com", d) for d in ("canon.org", "pic.net", "plain.io", "files.de", "bare.org")} | {("x..y", "far.org")}
     up = {(r.src, r.dst) for r in parent_links(spark.createDataFrame([("a.b.site.com",), ("c.site.com",), ("site.com",), ("",), ("x",), ("x..y",)], "host string")).collect()}
     want = {("a.b.site.com", "b.site.com"), ("b.site.com", "site.com"), ("c.site.com", "site.com"), ("x..y", ".y")}
     assert up == want | {(b, a) for a, b in want}
@@ -154,6 +154,18 @@ def test_parents_pass_on_evidence(spark):
     assert got[0] == "block" and got[9] == "block" and got[10] == "allow"
 
 
+def test_registries_numbers_and_ports(spark):
+    """Hosts of one registry, hosting domain or network are not parts of one site; a site is one with any port or user."""
+    bad = [(k, f"http://{h}/de/x", "") for k, h in enumerate(["spam.co.uk"] * 5 + ["spam.github.io"] * 5 + ["10.0.7.9"] * 5 + ["evil.com:8080"] * 5 + ["x.net.br"] * 5)]
+    good = [(100 + k, f"http://{h}/", "") for k, h in enumerate(["h1.co.uk", "www.h2.co.uk", "me.github.io", "10.1.7.9", "7.9", "y.net.br", "co.uk"])]
+    also = [(200, "http://evil.com/", ""), (201, "http://user:word@evil.com:1/", ""), (202, "http://www.evil.com/", ""), (203, "http://[::1]:80/", ""), (204, "http://:80/", "")]
+    rules = [(h, "/de/", "block") for h in ("co.uk", "github.io", "9", "com:8080", "br")] + [("good.org", "/", "allow")]
+    rows = spark.createDataFrame(bad + good + also, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in filter_urls(rows, rules=rules).collect()}
+    assert {got[k] for k in range(25)} == {"block"} and {got[100 + k] for k in range(len(good))} == {"allow"}
+    assert [got[k] for k in range(200, 205)] == ["block", "block", "block", "allow", "allow"]
+
+
 def test_pagerank_equals_dense(spark):
     edges = [("a", "b", 2.0), ("a", "c", 1.0), ("b", "c", 1.0), ("c", "a", 1.0), ("d", "a", 1.0)]
     e = spark.createDataFrame(edges, "src string, dst string, weight double")
