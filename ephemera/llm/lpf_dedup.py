@@ -26,15 +26,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ephemera.llm.common import U64, flushes, list_array, mix, ragged, shuffle_partitions, texts_of
+from ephemera.llm.common import U64, flushes, list_array, mix, ragged, shuffle_partitions, stored, texts_of
 
 GRAM = 32
 FLUSH_BYTES = 8 << 20
 HOT = 20_000  # documents of an anchor from which on its strings are dealt singly
 PIECE_BYTES = 2 << 20  # contexts settled, or string starts compared, at once
+HEAD = 64  # characters of a text by which the rows of one id are dealt out in order
 RANGE_BYTES = 64 << 20  # text for each partition of the shuffles, at most, as an average
 _BYTE = np.array([xxhash.xxh3_64_intdigest(bytes([b])) for b in range(256)], U64)
 _OTHER = np.array([xxhash.xxh3_64_intdigest(bytes([b]), seed=1) for b in range(256)], U64)
@@ -417,8 +418,8 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     in its own, before.  Matches may overlap, never cross documents, and are judged on the input.  ``spans`` are the
     maximal removed runs, in bytes; ``kept`` is what remains, as bytes (a run may begin or end within a character).
 
-    Null text counts as empty.  Rows that repeat an id are ordered by text, equal ones anyhow (ids times the largest
-    number of repeats must fit in 64 bits); rows with a null id are returned uncut.  An empty table gives an empty
+    Null text counts as empty.  Rows that repeat an id are ordered by text, equal ones anyhow: then all rows, of any
+    ids, are numbered in order by ranges, and stored once; rows with a null id are returned uncut.  An empty table gives an empty
     result; other columns are ignored.  Around anchors of more than ``hot`` documents strings are compared by 128-bit
     hashes, elsewhere by their bytes.
     """
@@ -431,19 +432,20 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     most, size = (x or 0 for x in per.agg(F.max("n"), F.sum("size")).first())
     # a partition holds the anchors of so much text, whatever the session's number of partitions
     parts = max(shuffle_partitions(spark), -(-size // RANGE_BYTES))
-    if most > 1:  # the order of documents needs a place for each row
-        order = F.row_number().over(Window.partitionBy("key").orderBy("body"))
-        known = known.withColumn("key", F.col("key") * most + order - 1)
+    doc_id = F.col("key").alias("doc_id")
+    if most > 1:  # the order of documents needs a number for each row; starts of texts deal out the rows of one id
+        known = known.withColumns({"doc_id": F.col("key"), "head": F.substring("body", 1, HEAD)}).repartitionByRange(parts, "key", "head")
+        known = stored(known.sortWithinPartitions("key", "body").select(F.monotonically_increasing_id().alias("key"), "body", "doc_id"))
+        doc_id = F.col("doc_id")
     known = known.repartition(parts, "key")
-    packed = known.mapInArrow(_emit_anchors(length, parts), "bucket int, h binary, key binary, times binary")
+    packed = known.select("key", "body").mapInArrow(_emit_anchors(length, parts), "bucket int, h binary, key binary, times binary")
     shared = packed.repartitionById(parts, "bucket").select("h", "key", "times").mapInArrow(_shared_anchors(hot), "key long, shared array<long>, hot array<long>")
     shared = shared.groupBy("key").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("shared", "hot")))
     contexts = known.join(shared, "key").select("key", "body", "shared", "hot").mapInArrow(_emit_contexts(length, parts), "bucket int, meta binary, context binary")
     spread = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("meta"), F.lit(parts)).cast("int")).otherwise(F.col("bucket"))
     found = contexts.withColumn("to", spread).repartitionById(parts, "to").drop("to").mapInArrow(_find_repeats(length), "key long, ranges binary")
     found = found.groupBy("key").agg(F.collect_list("ranges").alias("ranges"))
-    joined = known.join(found, "key", "left").select("key", "body", "ranges")
-    joined = joined.unionByName(rows.where("key is null").withColumn("ranges", F.lit(None).cast("array<binary>")))
+    joined = known.join(found, "key", "left").select(doc_id, "body", "ranges")
+    joined = joined.unionByName(rows.where("key is null").select(F.col("key").alias("doc_id"), "body", F.lit(None).cast("array<binary>").alias("ranges")))
     names = ["doc_id", "n_bytes", "n_removed", "spans", "kept"]
-    cut = joined.mapInArrow(_cut(length, names), "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
-    return cut.withColumn("doc_id", F.expr(f"(doc_id - pmod(doc_id, {most})) div {most}")) if most > 1 else cut
+    return joined.mapInArrow(_cut(length, names), "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")

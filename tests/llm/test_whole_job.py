@@ -87,6 +87,19 @@ def test_repeats_around_a_common_phrase(spark, hot):
     assert sorted(map(tuple, got.collect())) == want and sum(w[2] for w in want) > 1000
 
 
+def test_repeated_ids_at_both_ends_of_64_bits(spark):
+    r = random.Random(12)
+    words = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 7))) for _ in range(n))
+    base = words(60)
+    ids = [-(2**63), 2**63 - 1, 2**62, -(2**62), 0, 1]
+    rows = [(i, words(5) + base[10 * k : 200 + 10 * k] + words(5)) for k, i in enumerate(ids)] + [(i, base[:150] + words(8)) for i in ids[:4]] + [(ids[1], base[:150] + words(8)), (2**62, None), (2**62, base[:150])]
+    df = spark.createDataFrame(rows + [(None, base), (None, base)], "doc_id long, text string").repartition(3)
+    got = lpf_dedup.remove_repeats(df).select("doc_id", "n_bytes", "n_removed", F.size("spans"), F.sha2("kept", 256)).collect()
+    want = sorted(repeats(rows))
+    assert sorted(tuple(g) for g in got if g[0] is not None) == want and sum(w[2] for w in want) > 500
+    assert [(g[1], g[2]) for g in got if g[0] is None] == [(len(base), 0)] * 2
+
+
 def test_a_common_phrase_is_dealt_over_buckets_in_pieces(monkeypatch):
     raw = [secrets(k, 40).encode() + b"p" * 40 + secrets(k + 999, 60).encode() for k in range(200)]
     n = np.array([len(x) for x in raw])
