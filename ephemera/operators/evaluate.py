@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ephemera.functions.names import quoted
+from ephemera.functions.names import free_name, quoted
+from ephemera.operators.profile import with_percentiles
 
 #: Steps of 15 minutes ahead.
 HORIZONS = {"15min": 1, "30min": 2, "1hr": 4, "2hr": 8, "24hr": 96}
@@ -169,10 +170,14 @@ def shapiro_wilk(df: DataFrame, by: list[str], order: list[str], value: str = "r
 
 
 def tercile_classes(df: DataFrame, by: list[str], y: str = "y", y_hat: str = "y_hat", cuts: tuple[float, float] = (0.33, 0.66)) -> DataFrame:
-    """``df`` with true_class and predicted_class (low, medium, high) by percentiles of the truth in each group."""
-    bounds = df.groupBy(*by).agg(F.percentile(y, F.array(*map(F.lit, cuts))).alias("__q"))
-    name = lambda c: F.when(F.col(c) <= F.col("__q")[0], "low").when(F.col(c) <= F.col("__q")[1], "medium").when(F.col(c).isNotNull(), "high")
-    return df.join(bounds, by).select(*df.columns, name(y).alias("true_class"), name(y_hat).alias("predicted_class"))
+    """``df`` with true_class and predicted_class (low, medium, high) by exact percentiles of the truth in each group.
+
+    Groups have any number of rows: see ``profile.percentiles``; ``df`` is read several times.
+    """
+    bounds = free_name(df, "bounds")
+    d = with_percentiles(df, by, y, {"low": cuts[0], "high": cuts[1]}, bounds)
+    name = lambda c: F.when(F.col(c) <= F.col(bounds)["low"], "low").when(F.col(c) <= F.col(bounds)["high"], "medium").when(F.col(c).isNotNull(), "high")
+    return d.select(*df.columns, name(y).alias("true_class"), name(y_hat).alias("predicted_class"))
 
 
 def confusion(df: DataFrame, by: list[str], classes: tuple[str, ...] = ("low", "medium", "high")) -> DataFrame:

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import math
+import uuid
 from functools import reduce
 from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ephemera.functions.names import free_name
+from ephemera.functions.names import free_name, quoted
+from ephemera.sources.text import scratch
 
 #: Accuracy of the sketch that brackets exact percentiles, and how far beyond its error the brackets reach.
 BRACKET_ACCURACY, BRACKET_MARGIN = 10_000, 2 / 10_000
+#: Tables of up to so many groups are broadcast; beyond, those of the groups with more than 1 / HUBS of the rows each.
+MOST_GROUPS, HUBS = 100_000, 1_000
 
 
 def long_form(df: DataFrame, cols: list[str], keep: list[str] = ()) -> DataFrame:
@@ -21,44 +25,91 @@ def long_form(df: DataFrame, cols: list[str], keep: list[str] = ()) -> DataFrame
     return df.select(*keep, pairs.alias("p")).select(*keep, "p.column", "p.value")
 
 
-def percentiles(df: DataFrame, cols: list[str], q: dict[str, float], accuracy: int | None = None, slots: int = 4096) -> DataFrame:
-    """(column, one column for each name in ``q``): linear percentiles of each of ``cols`` with a value; nulls are left out.
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again; for tables with a row for each group."""
+    path = f"{scratch(df.sparkSession)}/groups-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    Exact, and no column's values meet in one task: a sketch of bounded size brackets each percentile, rows are counted
+
+class Groups:
+    """A kept table with one row (g, n, ...) for each group of n rows; joins rows to tables of groups without a hot task.
+
+    Up to MOST_GROUPS groups such tables are broadcast.  Beyond, the groups that hold more than 1 / HUBS of all rows,
+    fewer than HUBS of them, are broadcast, so their rows stay where they are, and the others are joined by a shuffle.
+    """
+
+    def __init__(self, table: DataFrame, most: int | None = None):
+        self.table = kept(table)
+        groups, total = self.table.agg(F.count("*"), F.sum("n")).first()
+        self.few = groups <= (MOST_GROUPS if most is None else most)
+        self.hubs = self.table.where(F.col("n") * HUBS > (total or 0)).select("g")
+
+    def attach(self, rows: DataFrame, groups: DataFrame) -> DataFrame:
+        if self.few:
+            return rows.join(F.broadcast(groups), "g")
+        hot = rows.join(F.broadcast(groups.join(F.broadcast(self.hubs), "g", "left_semi")), "g")
+        return hot.unionByName(rows.join(F.broadcast(self.hubs), "g", "left_anti").join(groups, "g"))
+
+
+def percentiles(df: DataFrame, cols: list[str], q: dict[str, float], accuracy: int | None = None, slots: int = 4096, by: list[str] = (), most: int | None = None) -> DataFrame:
+    """(``by``, column, one column for each name in ``q``): linear percentiles of each of ``cols`` with a value; nulls are left out.
+
+    Exact, and no group's values meet in one task: a sketch of bounded size brackets each percentile, rows are counted
     in ``slots`` ranges of each bracket and one beyond on each side, and only the values of the range that the wanted
-    rank falls into are put in order.  A bracket that misses costs time, not exactness.  ``df`` is read
-    three times, so store it if it is costly to compute; with ``accuracy`` the sketch itself answers, in one pass.
+    rank falls into are put in order.  A bracket that misses costs time, not exactness.  All groups (of ``by``; null is
+    a value of its own) and columns go through the same three readings of ``df``, so store it if it is costly to
+    compute; with ``accuracy`` the sketch itself answers, in one pass.
     """
-    cells = long_form(df, cols).where("value is not null")
+    keys = [f"k{i}" for i in range(len(by))]
+    named = df.select(*(quoted(c).alias(k) for c, k in zip(by, keys, strict=True)), *map(quoted, cols))
+    cells = long_form(named, cols, keys).where("value is not null")
+    cells = cells.select((F.struct(*keys, "column") if by else F.col("column")).alias("g"), "value")
+    names = [F.col(f"g.{k}").alias(c) for c, k in zip(by, keys, strict=True)] + [(F.col("g.column") if by else F.col("g")).alias("column")]
     if accuracy is not None:
-        return cells.groupBy("column").agg(*(F.percentile_approx("value", x, accuracy).alias(name) for name, x in q.items()))
+        return cells.groupBy("g").agg(*(F.percentile_approx("value", x, accuracy).alias(name) for name, x in q.items())).select(*names, *q)
     near = [min(1.0, max(0.0, x + d)) for x in q.values() for d in (-BRACKET_MARGIN, BRACKET_MARGIN)]
-    brackets = cells.groupBy("column").agg(F.count("*").alias("n"), F.percentile_approx("value", near, BRACKET_ACCURACY).alias("ends"))
+    brackets = cells.groupBy("g").agg(F.count("*").alias("n"), F.percentile_approx("value", near, BRACKET_ACCURACY).alias("ends"))
+    if by:
+        groups = Groups(brackets, most)
+        brackets, attach = groups.table, groups.attach
+    else:
+        attach = lambda rows, table: rows.join(F.broadcast(table), "g")  # noqa: E731  (a row per column)
 
     def slot(i: int) -> Column:
         v, lo, hi = F.col("value"), F.col("ends")[2 * i], F.col("ends")[2 * i + 1]
         inside = F.least(F.lit(slots - 1), F.floor((v - lo) / (hi - lo) * slots))
         return F.when(v < lo, -1).when(v > hi, slots).when((hi - lo > 0) & (hi - lo < math.inf), inside).otherwise(0).cast("int")
 
-    # slots rise with the value, so a column has at most len(q) * (slots + 2) different arrays of them
-    placed = cells.join(F.broadcast(brackets), "column").select("column", "n", "value", F.array(*map(slot, range(len(q)))).alias("at"))  # a row per column
-    per = placed.groupBy("column", "n", "at").agg(F.count("*").alias("c")).select("column", "n", F.posexplode("at").alias("i", "slot"), "c")
-    per = per.groupBy("column", "n", "i", "slot").agg(F.sum("c").alias("c"))
-    upto = F.sum("c").over(Window.partitionBy("column", "i").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0))
+    # slots rise with the value, so a group has at most len(q) * (slots + 2) different arrays of them
+    placed = attach(cells, brackets).select("g", "n", "value", F.array(*map(slot, range(len(q)))).alias("at"))
+    per = placed.groupBy("g", "n", "at").agg(F.count("*").alias("c")).select("g", "n", F.posexplode("at").alias("i", "slot"), "c")
+    per = per.groupBy("g", "n", "i", "slot").agg(F.sum("c").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("g", "i").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0))
     rank = F.get(F.array(*map(F.lit, q.values())), F.col("i")) * (F.col("n") - 1)
     wanted = per.withColumn("upto", upto).where((F.col("upto") - F.col("c") <= F.ceil(rank)) & (F.col("upto") > F.floor(rank)))
-    wanted = wanted.groupBy("column", "i").agg(F.min("slot").alias("first"), F.max("slot").alias("last"), F.min(F.col("upto") - F.col("c")).alias("before"))
-    wanted = wanted.groupBy("column").agg(F.array_sort(F.collect_list(F.struct("i", "first", "last", "before"))).alias("want"))  # len(q) entries
+    wanted = wanted.groupBy("g", "i").agg(F.min("slot").alias("first"), F.max("slot").alias("last"), F.min(F.col("upto") - F.col("c")).alias("before"))
+    wanted = wanted.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("i", "first", "last", "before"))).alias("want"))  # len(q) entries
     hit = [F.col("at")[i].between(F.col("want")[i]["first"], F.col("want")[i]["last"]) for i in range(len(q))]
-    few = placed.join(F.broadcast(wanted), "column").where(reduce(or_, hit)).groupBy("column", "n", "at", "want", "value").agg(F.count("*").alias("c"))
-    few = few.select("column", "n", "value", "c", "at", F.explode("want").alias("w")).where(F.get("at", F.col("w.i")).between(F.col("w.first"), F.col("w.last")))
-    upto = F.sum("c").over(Window.partitionBy("column", "w").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    few = few.select("column", "n", "value", F.col("w.i").alias("i"), (F.col("w.before") + upto).alias("upto"))
+    few = attach(placed, kept(wanted) if by else wanted).where(reduce(or_, hit)).groupBy("g", "n", "at", "want", "value").agg(F.count("*").alias("c"))
+    few = few.select("g", "n", "value", "c", "at", F.explode("want").alias("w")).where(F.get("at", F.col("w.i")).between(F.col("w.first"), F.col("w.last")))
+    upto = F.sum("c").over(Window.partitionBy("g", "w").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    few = few.select("g", "n", "value", F.col("w.i").alias("i"), (F.col("w.before") + upto).alias("upto"))
     low, high = (F.min(F.when(F.col("upto") > place(rank), F.col("value"))) for place in (F.floor, F.ceil))
-    found = few.groupBy("column", "n", "i").agg(low.alias("low"), high.alias("high"))
+    found = few.groupBy("g", "n", "i").agg(low.alias("low"), high.alias("high"))
     between = (F.ceil(rank) - rank) * F.col("low") + (rank - F.floor(rank)) * F.col("high")
-    found = found.select("column", "i", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(between).alias("value"))
-    return found.groupBy("column").agg(*(F.max(F.when(F.col("i") == i, F.col("value"))).alias(name) for i, name in enumerate(q)))
+    found = found.select("g", "i", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(between).alias("value"))
+    return found.groupBy("g").agg(*(F.max(F.when(F.col("i") == i, F.col("value"))).alias(name) for i, name in enumerate(q))).select(*names, *q)
+
+
+def with_percentiles(df: DataFrame, by: list[str], col: str, q: dict[str, float], name: str, most: int | None = None) -> DataFrame:
+    """``df`` with the struct ``name`` of the percentiles ``q`` of ``col`` in each row's group (null where the group has no value)."""
+    rows = df.select(F.struct(*(quoted(c).alias(f"k{i}") for i, c in enumerate(by))).alias("g"), F.struct(*map(quoted, df.columns)).alias("row"))
+    n = rows.groupBy("g").agg(F.count("*").alias("n"))
+    found = percentiles(df, [col], q, by=by, most=most)
+    found = found.select(F.struct(*(quoted(c).alias(f"k{i}") for i, c in enumerate(by))).alias("g"), F.struct(*q).alias("found"))
+    groups = Groups(n.join(found, "g", "left"), most)
+    return groups.attach(rows, groups.table.drop("n")).select(*(F.col("row").getField(c).alias(c) for c in df.columns), F.col("found").alias(name))
 
 
 def dataset_statistics(df: DataFrame, by: str = "satellite", on: str = "timestamp", cols: list[str] = ("orbit_error_m", "clock_error_ns"), accuracy: int | None = None) -> DataFrame:

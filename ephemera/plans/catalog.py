@@ -306,7 +306,9 @@ def _(spark, sf_dir):
     error_dataset(*_error_frames(spark, sf_dir)[:3]).write.parquet(path)
     d = spark.read.parquet(path)
     every = profile.dataset_statistics(d).select(F.lit("all").alias("satellite"), F.col("total_records").alias("records"), "orbit_error_m.mean", "orbit_error_m.percentile_95", F.col("clock_error_ns.mean").alias("clock_mean"))
-    each = d.groupBy("satellite").agg(F.count("*").alias("records"), F.avg("orbit_error_m").alias("mean"), F.percentile("orbit_error_m", F.lit(0.95)).alias("percentile_95"), F.avg("clock_error_ns").alias("clock_mean"))
+    ranked = profile.percentiles(d, ["orbit_error_m"], {"percentile_95": 0.95}, by=["satellite"]).drop("column")
+    each = d.groupBy("satellite").agg(F.count("*").alias("records"), F.avg("orbit_error_m").alias("mean"), F.avg("clock_error_ns").alias("clock_mean"))
+    each = each.join(ranked, "satellite", "left").select(every.columns)
     return _whole_metres(every.unionByName(each), "mean", "percentile_95", "clock_mean")
 
 
