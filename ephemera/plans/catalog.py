@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ephemera.functions import errors as E
 from ephemera.functions.orbit import eccentric_anomaly, with_clock_correction, with_position
 from ephemera.functions.scalars import finite_or, gps_seconds
-from ephemera.operators import asof, evaluate, filters, forecast, prep, profile, sequences, windows
+from ephemera.operators import asof, evaluate, filters, forecast, order, prep, profile, sequences, windows
 from ephemera.operators.states import broadcast_states, error_dataset, published
 from ephemera.sources import clk, nav, sp3, tables
 from ephemera.sources.text import find_files, scratch
@@ -557,6 +557,23 @@ def _(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+_RANKED = "SELECT event_id, user_id, ts, value, row_number() OVER (ORDER BY ts, user_id, event_id) AS rank FROM events"
+
+
+@query("global_rank", _RANKED)
+def _(spark, sf_dir):
+    """The whole table in the order of time, then satellite."""
+    return order.global_rank(events(spark, sf_dir).select("event_id", "user_id", "ts", "value"), ["ts", "user_id", "event_id"])
+
+
+@query("ordered_files", _RANKED)
+def _(spark, sf_dir):
+    """The same order, written as files and told from where each row stands in them."""
+    path = f"{scratch(spark)}/ordered-{uuid.uuid4().hex}"
+    order.write_ordered(events(spark, sf_dir).select("event_id", "user_id", "ts", "value"), path, ["ts", "user_id", "event_id"])
+    return order.read_ordered(spark, path)
+
+
 @query("observations_json", _ERROR_TABLE)
 def _(spark, sf_dir):
     """Request bodies, one for each satellite, written as lines and read back."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ephemera.operators.order import by_ranges, write_ordered
+
 ERRORS = "satellite_id string, timestamp timestamp_ntz, orbit_error_m double, clock_error_ns double, radial_error_m double, ephemeris_age_hours double"
 OBSERVATIONS = "timestamp timestamp_ntz, satellite_id string, orbit_error_m double, clock_error_ns double, radial_error_m double, ephemeris_age_hours double"
 _NUMBERS = ["orbit_error_m", "clock_error_ns", "radial_error_m", "ephemeris_age_hours"]
@@ -32,8 +34,15 @@ def parse_observations(df: DataFrame, col: str = "body") -> DataFrame:
 
 
 def write_errors(df: DataFrame, path: str, fmt: str = "parquet", sort: list[str] | None = None, mode: str = "error") -> None:
-    """CSV with a header, or Parquet in folders by date. ``sort`` orders within files; a total order costs a range shuffle."""
-    d = df.sortWithinPartitions(*sort) if sort else df
+    """CSV with a header, or Parquet in folders by date.
+
+    With ``sort`` the table is in a total order: CSV files one after another, and the files of each date.  Ranges of
+    the order columns are dealt out to tasks, which sort them (see ``order``).
+    """
+    if fmt == "csv" and sort:
+        write_ordered(df, path, sort, fmt, mode=mode)
+        return
+    d = by_ranges(df, sort) if sort else df
     if fmt == "csv":
         d.write.mode(mode).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path, header=True)
     else:
