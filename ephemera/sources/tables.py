@@ -41,12 +41,13 @@ def write_errors(df: DataFrame, path: str, fmt: str = "parquet", sort: list[str]
     """
     if fmt == "csv" and sort:
         write_ordered(df, path, sort, fmt, mode=mode)
-        return
-    d = by_ranges(df, sort) if sort else df
-    if fmt == "csv":
-        d.write.mode(mode).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path, header=True)
+    elif fmt == "csv":
+        df.write.mode(mode).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path, header=True)
     else:
-        d.withColumn("date", F.to_date("timestamp")).write.mode(mode).partitionBy("date").format(fmt).save(path)
+        dated = df.withColumn("date", F.to_date("timestamp"))
+        # the writer sorts by date unless rows are in that order already
+        dated = by_ranges(dated, ["date", *sort]) if sort else dated
+        dated.write.mode(mode).partitionBy("date").format(fmt).save(path)
 
 
 def statistics_json(stats: DataFrame, per_key: DataFrame, by: str, most: int = 100_000) -> DataFrame:
