@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ephemera.functions import errors as E
 from ephemera.functions.orbit import eccentric_anomaly, with_clock_correction, with_position
 from ephemera.functions.scalars import finite_or, gps_seconds
-from ephemera.operators import asof, evaluate, filters, forecast, order, prep, profile, sequences, windows
+from ephemera.operators import asof, evaluate, filters, forecast, order, prep, profile, regression, sequences, windows
 from ephemera.operators.states import broadcast_states, error_dataset, published
 from ephemera.sources import clk, nav, sp3, tables
 from ephemera.sources.text import find_files, scratch
@@ -1080,6 +1080,40 @@ def _(spark, sf_dir):
     return out.select("event_id", "value", "y_hat")
 
 
+_LAGGED = f"(SELECT event_id, user_id, value AS y, lag(value, 1) {_W}) AS x0, lag(value, 2) {_W}) AS x1, lag(value, 3) {_W}) AS x2 FROM events QUALIFY x2 IS NOT NULL)"
+#: The normal equations of three features, solved by Cholesky factors.
+_RIDGE_SQL = f"""d AS (SELECT * FROM {_LAGGED} WHERE event_id % 5 <> 0),
+g AS (SELECT user_id, count(*) AS n, avg(y) AS my, {", ".join(f"avg(x{i}) AS m{i}, covar_pop(x{i}, y) * count(*) AS b{i}" for i in range(3))}, {", ".join(f"covar_pop(x{i}, x{j}) * count(*) AS s{i}{j}" for i in range(3) for j in range(i + 1))} FROM d GROUP BY 1),
+c0 AS (SELECT *, sqrt(s00 + 1) AS l00 FROM g),
+c1 AS (SELECT *, s10 / l00 AS l10, s20 / l00 AS l20, b0 / l00 AS z0 FROM c0),
+c2 AS (SELECT *, sqrt(s11 + 1 - l10 * l10) AS l11 FROM c1),
+c3 AS (SELECT *, (s21 - l20 * l10) / l11 AS l21, (b1 - l10 * z0) / l11 AS z1 FROM c2),
+c4 AS (SELECT *, sqrt(s22 + 1 - l20 * l20 - l21 * l21) AS l22 FROM c3),
+c5 AS (SELECT *, (b2 - l20 * z0 - l21 * z1) / l22 / l22 AS k2 FROM c4),
+c6 AS (SELECT *, (z1 - l21 * k2) / l11 AS k1 FROM c5),
+m AS (SELECT *, my - m0 * k0 - m1 * k1 - m2 * k2 AS intercept FROM (SELECT *, (z0 - l10 * k1 - l20 * k2) / l00 AS k0 FROM c6))"""
+_LAG_NAMES = ["lag_1", "lag_2", "lag_3"]
+
+
+def _ridge(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    d = forecast.lag_features(events(spark, sf_dir), "user_id", ON, "value", 3)
+    return regression.ridge_by_key(d.where("event_id % 5 <> 0"), "user_id", _LAG_NAMES, "value"), d
+
+
+@query("ridge_by_key", f"WITH {_RIDGE_SQL} SELECT user_id, n, round(intercept, 6) AS intercept, round(k0, 6) AS c1, round(k1, 6) AS c2, round(k2, 6) AS c3 FROM m")
+def _(spark, sf_dir):
+    d = _ridge(spark, sf_dir)[0]
+    return rounded(d.select("user_id", "n", "intercept", *(F.col("coefficients")[i].alias(f"c{i + 1}") for i in range(3))), "intercept", "c1", "c2", "c3")
+
+
+@query("ridge_forecasts", f"WITH {_RIDGE_SQL} SELECT event_id, user_id, y AS value, round(intercept + k0 * x0 + k1 * x1 + k2 * x2, 6) AS y_hat FROM {_LAGGED} t LEFT JOIN m USING (user_id) WHERE event_id % 5 = 0")
+def _(spark, sf_dir):
+    """Forecasts of each satellite's own model for the rows that it was not fitted on."""
+    models, d = _ridge(spark, sf_dir)
+    out = regression.predict_by_key(d.where("event_id % 5 = 0"), models, "user_id", _LAG_NAMES)
+    return rounded(out.select("event_id", "user_id", "value", "y_hat"), "y_hat")
+
+
 @query("features_and_statistics", f"SELECT user_id, count(*) AS n, round(avg(value_ma), 5) AS mean_ma, round(max(value_std), 5) AS max_std, round(avg(value), 6) AS value_mean FROM (SELECT user_id, value, avg(value) {_W} ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS value_ma, coalesce(stddev_samp(value) {_W} ROWS BETWEEN 11 PRECEDING AND CURRENT ROW), 0) AS value_std FROM events) GROUP BY 1")
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rolling features of each series and their summary by key."""
