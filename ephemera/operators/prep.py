@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ephemera.functions.names import quoted
+from ephemera.operators.order import global_rank
 from ephemera.operators.profile import long_form, percentiles
 
 #: Distinct labels that one_hot may turn into columns.
@@ -46,8 +48,11 @@ def inverse(df: DataFrame, params: DataFrame, cols: list[str], suffix: str = "")
 
 def inverse_long(df: DataFrame, params: DataFrame, values: list[str], feature: str = "feature") -> DataFrame:
     """Long (feature, ...) rows with ``values`` in original units."""
-    p = params.select(F.col("column").alias(feature), "center", "scale")
-    return df.join(F.broadcast(p), feature).withColumns({v: F.col(v) * F.col("scale") + F.col("center") for v in values}).drop("center", "scale")  # a row per column
+    p = params.select(F.struct(F.col("column").alias("of"), "center", "scale").alias("p"))
+    row = F.struct(*map(quoted, df.columns))
+    d = df.select(row.alias("row")).join(F.broadcast(p), F.col("row").getField(feature) == F.col("p.of"))  # a row per column
+    cell = lambda c: F.col("row").getField(c)
+    return d.select(*((cell(c) * F.col("p.scale") + F.col("p.center") if c in values else cell(c)).alias(c) for c in df.columns))
 
 
 def scaling_check(df: DataFrame, cols: list[str], tolerance: float = 0.01) -> DataFrame:
@@ -61,18 +66,19 @@ def scaling_check(df: DataFrame, cols: list[str], tolerance: float = 0.01) -> Da
 
 
 def fit_labels(df: DataFrame, col: str) -> DataFrame:
-    """(label, index): distinct values in ascending order from 0. The window sorts distinct labels only."""
-    labels = df.select(F.col(col).alias("label")).where(F.col(col).isNotNull()).distinct()
-    return labels.select("label", (F.row_number().over(Window.orderBy("label")) - 1).alias("index"))
+    """(label, index): distinct values in ascending order from 0, ranked by ranges."""
+    labels = df.select(quoted(col).alias("label")).where("label is not null").distinct()
+    return global_rank(labels, ["label"], "index").select("label", (F.col("index") - 1).cast("int").alias("index"))
 
 
 def encode_labels(df: DataFrame, labels: DataFrame, col: str, out: str, unseen: str = "error") -> DataFrame:
-    """``df`` with the index of ``col``; a value without one is an error, or null with ``unseen="keep"``."""
-    d = df.join(labels.select(F.col("label").alias(col), F.col("index").alias(out)), col, "left")
+    """``df`` with the index of ``col`` as ``out``, in place of a column of that name; a value without one is an error, or null with ``unseen="keep"``."""
+    d = df.select(F.struct(*map(quoted, df.columns)).alias("row")).join(labels.select(F.struct("label", "index").alias("found")), F.col("row").getField(col) == F.col("found.label"), "left")
+    value, index = F.col("row").getField(col), F.col("found.index")
     if unseen == "error":
-        fail = F.raise_error(F.concat(F.lit(f"{col} has a label that was not fitted: "), F.col(col).cast("string")))
-        d = d.withColumn(out, F.when(F.col(out).isNull() & F.col(col).isNotNull(), fail).otherwise(F.col(out)))
-    return d.select(*df.columns, out)
+        fail = F.raise_error(F.concat(F.lit(f"{col} has a label that was not fitted: "), value.cast("string")))
+        index = F.when(index.isNull() & value.isNotNull(), fail).otherwise(index)
+    return d.select(*(F.col("row").getField(c).alias(c) for c in df.columns if c.lower() != out.lower()), index.alias(out))
 
 
 def label_map(labels: DataFrame) -> DataFrame:

@@ -143,8 +143,8 @@ def describe(df: DataFrame, cols: list[str], accuracy: int | None = None) -> Dat
 
 def missing(df: DataFrame, cols: list[str]) -> DataFrame:
     """(column, n_null, pct) of each column."""
-    row = df.agg(F.count("*").alias("n"), *(F.count_if(F.col(c).isNull()).alias(c) for c in cols))
-    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("n_null")) for c in cols)))
+    row = df.agg(F.count("*").alias("n"), *(F.count_if(quoted(c).isNull()).alias(f"c{i}") for i, c in enumerate(cols)))
+    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"c{i}").alias("n_null")) for i, c in enumerate(cols))))
     return row.select("n", cells.alias("p")).select("p.column", "p.n_null", (F.lit(100.0) * F.col("p.n_null") / F.col("n")).alias("pct"))
 
 
@@ -159,8 +159,11 @@ def ranges(df: DataFrame, cols: list[str], by: list[str] = ()) -> DataFrame:
 
 
 def histogram(df: DataFrame, cols: list[str], bins: int = 50) -> DataFrame:
-    """(column, bin, lo, hi, n): ``bins`` bins of equal width over each column's range, the last one closed; empty bins have no row."""
-    cells = long_form(df, cols).where("value is not null")
+    """(column, bin, lo, hi, n): ``bins`` bins of equal width over each column's range, the last one closed; empty bins have no row.
+
+    Nulls, NaN and infinities belong to no bin.
+    """
+    cells = long_form(df, cols).where("value is not null and not isnan(value)").where(F.abs("value") < math.inf)
     bounds = cells.groupBy("column").agg(F.min("value").alias("min"), F.max("value").alias("max"))
     width = (F.col("max") - F.col("min")) / bins
     at = F.when(F.col("max") == F.col("min"), 0).otherwise(F.least(F.lit(bins - 1), F.floor((F.col("value") - F.col("min")) / width)))

@@ -983,9 +983,36 @@ def _(spark, sf_dir):
     return rounded(rounded(d, "a2", places=5), "critical", places=9)
 
 
-@query("shapiro_wilk")
+def _poly_sql(coefficients: list[float], x: str) -> str:
+    out = repr(coefficients[0])
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + {c!r})"
+    return out
+
+
+def _ratio_sql(pair: tuple[list[float], list[float]], x: str) -> str:
+    return f"{_poly_sql(pair[0], x)} / {_poly_sql(pair[1], x)}"
+
+
+_SW = f"""WITH f AS (SELECT feature, y_hat - y AS r FROM {_F} QUALIFY row_number() OVER (PARTITION BY feature ORDER BY event_id) <= 5000),
+i AS (SELECT feature, r, row_number() OVER (PARTITION BY feature ORDER BY r) AS i, (count(*) OVER (PARTITION BY feature))::DOUBLE AS n FROM f),
+u AS (SELECT *, (i - 0.375) / (n + 0.25) - 0.5 AS q FROM i),
+c AS (SELECT *, 0.180625 - q * q AS c, sqrt(-ln(0.5 - abs(q))) - 1.6 AS t FROM u),
+m AS (SELECT *, CASE WHEN abs(q) <= 0.425 THEN q * {_ratio_sql(evaluate.QUANTILE_CENTRE, "c")} ELSE sign(q) * {_ratio_sql(evaluate.QUANTILE_TAIL, "t")} END AS m FROM c),
+s AS (SELECT feature, n, sum(m * m) AS ssq, sum(m * r) AS mr, var_pop(r) * n AS spread, max(m) AS mz, min(m) AS m1, max(r) AS rz, min(r) AS r1, max(CASE WHEN i = n - 1 THEN m END) AS my, max(CASE WHEN i = 2 THEN m END) AS m2,
+ max(CASE WHEN i = n - 1 THEN r END) AS ry, max(CASE WHEN i = 2 THEN r END) AS r2, 1 / sqrt(n) AS u FROM m GROUP BY feature, n),
+a AS (SELECT *, mz / sqrt(ssq) + {_poly_sql(evaluate.ROYSTON_LAST, "u")} AS l1, my / sqrt(ssq) + {_poly_sql(evaluate.ROYSTON_SECOND, "u")} AS l2 FROM s),
+w AS (SELECT feature, n, pow(l1 * (rz - r1) + l2 * (ry - r2) + (mr - mz * rz - m1 * r1 - my * ry - m2 * r2) / sqrt((ssq - 2 * mz * mz - 2 * my * my) / (1 - 2 * l1 * l1 - 2 * l2 * l2)), 2) / spread AS w FROM a),
+z AS (SELECT *, (ln(1 - w) - {_poly_sql(evaluate.ROYSTON_LARGE[0], "ln(n)")}) / exp({_poly_sql(evaluate.ROYSTON_LARGE[1], "ln(n)")}) AS z FROM w),
+t AS (SELECT *, {_tails_sql()} FROM (SELECT *, abs(z) AS x FROM z)),
+p AS (SELECT *, exp(CASE WHEN z > 0 THEN below ELSE above END) AS p FROM t)
+SELECT feature, n::BIGINT AS n, round(w, 6) AS w, round(p, 6) AS p, p > 0.05 AS normal FROM p"""
+
+
+@query("shapiro_wilk", _SW)
 def _(spark, sf_dir):
-    return evaluate.shapiro_wilk(_forecasts(spark, sf_dir).withColumn("r", F.col("y_hat") - F.col("y")), ["feature"], ["event_id"])
+    d = evaluate.shapiro_wilk(_forecasts(spark, sf_dir).withColumn("r", F.col("y_hat") - F.col("y")), ["feature"], ["event_id"])
+    return rounded(d, "w", "p")
 
 
 _T = f"""q AS (SELECT feature, quantile_cont(y, 0.33) AS a, quantile_cont(y, 0.66) AS b FROM {_F} GROUP BY 1),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ephemera.functions.scalars import epoch_timestamp
@@ -10,6 +10,12 @@ from ephemera.operators.filters import drop_bad_clock
 from ephemera.sources.text import parts, read_files
 
 
+def _from(line: str | Column, at: int) -> Column:
+    """A line from the character ``at`` (from 1) to its end."""
+    c = F.col(line) if isinstance(line, str) else line
+    return F.substring(c, F.lit(at), F.char_length(c))
+
+
 def parse_sp3(files: DataFrame, keep_file: bool = False) -> tuple[DataFrame, DataFrame]:
     """(orbit, clock) of (file, value) rows: metres and seconds per satellite and epoch, with ``keep_file`` also the file.
 
@@ -17,10 +23,10 @@ def parse_sp3(files: DataFrame, keep_file: bool = False) -> tuple[DataFrame, Dat
     coordinate or clock is left out of both tables, a clock with the bad-clock value out of the second.
     """
     file = ["file"] if keep_file else []
-    blocks = files.select(*file, F.explode(F.slice(F.split("value", "(?m)^\\*"), 2, 1_000_000)).alias("block"))
+    blocks = files.select(*file, F.split("value", "(?m)^\\*").alias("epochs")).select(*file, F.explode(F.slice(F.col("epochs"), F.lit(2), F.size("epochs"))).alias("block"))
     lines = blocks.select(*file, F.split("block", "\n").alias("lines"))
     head = lines.select(*file, parts(F.col("lines")[0]).alias("t"), F.explode(F.filter("lines", lambda x: x.startswith("P"))).alias("line"))
-    p = parts(F.substring("line", 5, 200))
+    p = parts(_from("line", 5))
     num = lambda k: F.get(p, F.lit(k)).try_cast("double")
     rows = head.select(
         *file,
@@ -36,10 +42,10 @@ def parse_sp3_header(files: DataFrame) -> DataFrame:
     d = files.select("file", lines.alias("lines"))
     one = lambda p: F.get(F.filter("lines", lambda x: x.rlike(p)), F.lit(0))
     d = d.select("file", one("^#[a-z]").alias("a"), one("^##").alias("b"), F.filter("lines", lambda x: x.rlike("^\\+ ")).alias("s"))
-    a = F.split(F.trim(F.substring("a", 4, 100)), "\\s+")
-    b = F.split(F.trim(F.substring("b", 3, 100)), "\\s+")
+    a = F.split(F.trim(_from("a", 4)), "\\s+")
+    b = F.split(F.trim(_from("b", 3)), "\\s+")
     # ids stand in groups of three characters behind the count
-    ids = F.flatten(F.transform("s", lambda x: F.regexp_extract_all(F.substring(x, 10, 100), F.lit("[A-Z ][0-9 ][0-9]"), F.lit(0))))
+    ids = F.flatten(F.transform("s", lambda x: F.regexp_extract_all(_from(x, 10), F.lit("[A-Z ][0-9 ][0-9]"), F.lit(0))))
     ids = F.filter(F.transform(ids, lambda x: F.trim(x)), lambda x: x.rlike("^[A-Z]"))
     return d.select(
         "file", F.substring("a", 1, 2).alias("version"), F.substring("a", 3, 1).alias("pos_vel_flag"), epoch_timestamp(*(F.get(a, F.lit(k)) for k in range(6))).alias("start"),
