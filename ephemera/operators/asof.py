@@ -8,12 +8,16 @@ and targets their interval within (key, period), and the interval that is open w
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ephemera.functions.names import quoted
 from ephemera.functions.scalars import micros
 
+GPS_EPOCH = datetime(1980, 1, 6)  # what ``micros`` counts from
 _BUCKETS = {"hour": 3_600_000_000, "day": 86_400_000_000, "week": 604_800_000_000}
 
 
@@ -86,6 +90,14 @@ def bracket(left: DataFrame, right: DataFrame, by: str | list[str], on: str, val
     return out.select("row", F.when(F.col("t").isNotNull(), F.col("open")).alias("b"))
 
 
+def _age_name(name: Callable[[str], str], values: list[str]) -> str:
+    """``age_s`` by ``name``, made longer until no sample's column has it."""
+    out, taken = name("age_s"), {name(c).lower() for c in values}
+    while out.lower() in taken:
+        out += "_"
+    return out
+
+
 def _of(struct: str, name: str) -> Column:
     return F.col(struct).getField(name)
 
@@ -113,7 +125,51 @@ def nearest_asof(
     if how == "inner":
         d = d.where(ok)
     d = d.select("row", pick("ts").alias("ts"), pick("v").alias("v"), F.when(ok, age / 1e6).alias("age"))
-    return d.select(*(_of("row", c).alias(c) for c in left.columns), F.col("ts").alias(on + suffix), *(_of("v", c).alias(name(c)) for c in values), F.col("age").alias(name("age_s")))
+    return d.select(*(_of("row", c).alias(c) for c in left.columns), F.col("ts").alias(on + suffix), *(_of("v", c).alias(name(c)) for c in values), F.col("age").alias(_age_name(name, values)))
+
+
+def _floor_div(a: Column, b: int) -> Column:
+    """a // b of whole numbers, exact."""
+    return ((a - F.pmod(a, F.lit(b))) / b).cast("long")
+
+
+def nearest_on_grid(
+    right: DataFrame, by: str | list[str], on: str, start: datetime, end: datetime, step_s: float, tolerance_s: float, suffix: str = "_right"
+) -> DataFrame:
+    """``nearest_asof`` of every time of a grid with every key of ``right``, without making or joining those rows.
+
+    The grid begins at ``start``, steps by ``step_s`` and ends at or before ``end``.  Each sample is valid from the
+    midpoint to its predecessor (not included: of two equally near samples the earlier is taken) to that to its
+    successor, ``tolerance_s`` away at most, and emits the times of the grid in that cell itself.  The samples are
+    exchanged once, by key; the times are never sorted, exchanged or joined.  A key's samples are put in order in one
+    task: this is for ephemerides, which are few and make many rows.
+
+    Columns: ``by``, ``on``, ``on`` + ``suffix``, the sample's other columns, ``age_s``; of samples with one key and time
+    the least values are taken, null keys and times match nothing.
+    """
+    keys = [by] if isinstance(by, str) else by
+    ks = _names(keys)
+    values = [c for c in right.columns if c not in (*keys, on)]
+    step, tolerance = int(round(step_s * 1e6)), int(round(tolerance_s * 1e6))
+    if step <= 0:
+        raise ValueError("the grid needs a step of a microsecond at least")
+    last = max(-1, round((end - start) / timedelta(microseconds=1)) // step)
+    first = round((start - GPS_EPOCH) / timedelta(microseconds=1))
+    # by key first: the samples of a time, and those of a key in order, then need no further exchange
+    w = Window.partitionBy(*ks).orderBy("t")
+    t = F.col("t") - first
+    d = _samples(right.repartition(*map(quoted, keys)), keys, on, values, None).select(*ks, t.alias("t"), "s")
+    d = d.withColumns({"before": F.lag("t").over(w), "behind": F.lead("t").over(w)})
+    low = F.greatest(F.lit(0), -_floor_div(tolerance - F.col("t"), step), _floor_div(F.col("before") + F.col("t"), 2 * step) + 1)
+    high = F.least(F.lit(last), _floor_div(F.col("t") + tolerance, step), _floor_div(F.col("t") + F.col("behind"), 2 * step))
+    d = d.select(*ks, "t", "s", low.alias("low"), high.alias("high")).where("low <= high")
+    d = d.select(*ks, "t", "s", F.explode(F.sequence("low", "high")).alias("k"))
+    at = F.timestamp_add("MICROSECOND", F.col("k") * step, F.lit(start).cast("timestamp_ntz")).cast(right.schema[on].dataType)
+    taken = {c.lower() for c in (*keys, on)}
+    name = lambda c: c + suffix if c.lower() in taken else c
+    return d.select(
+        *(F.col(k).alias(c) for k, c in zip(ks, keys, strict=True)), at.alias(on), F.col("s.ts").alias(on + suffix), *(_of("s", "v").getField(c).alias(name(c)) for c in values), (F.abs(F.col("k") * step - F.col("t")) / 1e6).alias(_age_name(name, values))
+    )
 
 
 def interpolate_asof(

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ephemera.functions import errors as E
 from ephemera.functions.orbit import with_clock_correction, with_position
-from ephemera.operators.asof import cross_times, interpolate_asof, nearest_asof
+from ephemera.operators.asof import cross_times, interpolate_asof, nearest_asof, nearest_on_grid
 
 
 def ephemeris_at(nav: DataFrame, targets: DataFrame, tolerance_h: float = 2.0, how: str = "inner", bucket: str | None = None) -> DataFrame:
@@ -27,6 +29,14 @@ def broadcast_states(nav: DataFrame, times: DataFrame, week_mode: str = "week",
     return full.select("timestamp", "satellite", "x_broadcast", "y_broadcast", "z_broadcast", "clock_broadcast", "ephemeris_age")
 
 
+def broadcast_states_on_grid(nav: DataFrame, start: datetime, end: datetime, step_s: float, tolerance_h: float = 2.0, week_mode: str = "week") -> DataFrame:
+    """``broadcast_states`` at the times of a grid: each ephemeris emits its own times, so only ephemerides are exchanged."""
+    gps = nav.where(F.col("satellite").startswith("G")).drop("epoch")
+    at = nearest_on_grid(gps, "satellite", "timestamp", start, end, step_s, tolerance_h * 3600).withColumn("ephemeris_age", F.col("age_s") / 3600)
+    full = with_clock_correction(with_position(at, week_mode=week_mode), week_mode=week_mode)
+    return full.select("timestamp", "satellite", "x_broadcast", "y_broadcast", "z_broadcast", "clock_broadcast", "ephemeris_age")
+
+
 def error_dataset(broadcast: DataFrame, orbit: DataFrame, clock: DataFrame, velocity: bool = False, bucket: str | None = None, times: DataFrame | None = None) -> DataFrame:
     """Orbit, radial, along, cross and clock errors per satellite and time.
 

@@ -123,6 +123,17 @@ def _(spark, sf_dir):
     return asof.snap_to_grid(events(spark, sf_dir).select("user_id", "ts", "event_id", "value"), "user_id", "ts", 15, 60)
 
 
+@query("nearest_on_grid", """WITH c AS (SELECT user_id, ts, min(value) AS value FROM events WHERE event_type = 'click' AND user_id IS NOT NULL GROUP BY ALL),
+g AS (SELECT unnest(generate_series((SELECT date_trunc('day', min(ts)) FROM c), (SELECT max(ts) FROM c), INTERVAL 45 MINUTE)) AS ts)
+SELECT user_id, g.ts, c.ts AS ts_right, value, round(abs(epoch_us(g.ts) - epoch_us(c.ts)) / 1e6, 3) AS age_s FROM g JOIN c ON c.ts BETWEEN g.ts - INTERVAL 6 HOUR AND g.ts + INTERVAL 6 HOUR
+QUALIFY row_number() OVER (PARTITION BY user_id, g.ts ORDER BY abs(epoch_us(g.ts) - epoch_us(c.ts)), c.ts) = 1""")
+def _(spark, sf_dir):
+    """Every satellite at every 45 minutes; the bounds of the grid are one row."""
+    clicks = events(spark, sf_dir).where("event_type = 'click'").select("user_id", "ts", "value")
+    lo, hi = clicks.agg(F.date_trunc("day", F.min("ts")).cast("timestamp_ntz"), F.max("ts")).first()
+    return rounded(asof.nearest_on_grid(clicks, "user_id", "ts", lo, hi, 2700, 6 * 3600), "age_s", places=3)
+
+
 @query("cross_times", "SELECT d AS day, c_mktsegment AS segment FROM (SELECT DISTINCT date_trunc('month', o_orderdate) AS d FROM orders), (SELECT DISTINCT c_mktsegment FROM customer)")
 def _(spark, sf_dir):
     days = table(spark, sf_dir, "orders").select(F.date_trunc("month", "o_orderdate").cast("timestamp_ntz").alias("day"))
