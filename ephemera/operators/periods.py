@@ -96,3 +96,42 @@ def gaps_by_period(df: DataFrame, by: str, on: str, cols: list[str], bucket: str
         out[c] = F.when(v.isNotNull(), v).when(p.isNull(), q["v"]).when(q.isNull(), p["v"]).otherwise(line)
     d = d.withColumn("at", t)
     return d.select(*((out[c] if c in out else F.col("row").getField(c)).alias(c) for c in df.columns))
+
+
+def rolling_by_places(df: DataFrame, by: str, on: str | list[str], cols: list[str], width: Column, bucket: str) -> DataFrame:
+    """``df`` with <col>_ma and <col>_std over the last so many rows as ``width`` says of a key of ``n`` rows.
+
+    A frame whose length depends on the data is a difference of prefix sums read at two places: at the row, and where
+    the frame begins.  Values are taken from their key's mean, sums run within units and on over the periods of a key,
+    and each row sends its sums to the place whose frame it ends before, a join on (key, place) in which no value is
+    frequent.  Nulls and NaN count for nothing but their place; a frame of one value has deviation 0.
+    """
+    x = {i: F.when(~F.isnan(F.col("row").getField(c).cast("double")), F.col("row").getField(c).cast("double")) for i, c in enumerate(cols)}
+    d = in_units(df, by, on, bucket)
+    each = [f(v).alias(f"{name}{i}") for i, v in x.items() for name, f in (("c", F.count), ("a", F.avg), ("v", F.var_pop))]
+    units = d.groupBy("unit").agg(F.count("*").alias("rows"), *each)
+    key, before = Window.partitionBy("unit.k"), _periods().rowsBetween(Window.unboundedPreceding, -1)
+    mean = {i: F.sum(F.col(f"a{i}") * F.col(f"c{i}")).over(key) / F.nullif(F.sum(f"c{i}").over(key), F.lit(0)) for i in x}
+    units = units.withColumns({"n": F.sum("rows").over(key), "start": F.coalesce(F.sum("rows").over(before), F.lit(0)), **{f"m{i}": m for i, m in mean.items()}})
+    base: dict[str, Column] = {}
+    for i in x:
+        off = F.coalesce(F.col(f"a{i}") - F.col(f"m{i}"), F.lit(0.0))
+        totals = {"c": F.col(f"c{i}"), "s": F.col(f"c{i}") * off, "q": F.col(f"c{i}") * (F.coalesce(f"v{i}", F.lit(0.0)) + off * off)}
+        base |= {f"{name}{i}": F.coalesce(F.sum(total).over(before), F.lit(0)) for name, total in totals.items()}
+    units = units.select("unit", "start", width.cast("long").alias("width"), *(f"m{i}" for i in x), *(c.alias(f"before_{name}") for name, c in base.items()))
+    so_far = within(on).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.join(units, "unit").withColumns({f"x{i}": v - F.col(f"m{i}") for i, v in x.items()})
+    sums: dict[str, Column] = {"place": F.col("start") + F.row_number().over(within(on))}
+    for i in x:
+        own = {"c": F.count(f"x{i}"), "s": F.sum(f"x{i}"), "q": F.sum(F.col(f"x{i}") * F.col(f"x{i}"))}
+        sums |= {f"{name}{i}": F.col(f"before_{name}{i}") + F.coalesce(f.over(so_far), F.lit(0)) for name, f in own.items()}
+    d = d.select("unit.k", "row", "width", *(f"m{i}" for i in x), *(c.alias(name) for name, c in sums.items()))
+    here = d.withColumn("at", F.struct("k", "place"))
+    there = d.select(F.struct("k", (F.col("place") + F.col("width")).alias("place")).alias("at"), *(F.col(f"{name}{i}").alias(f"gone_{name}{i}") for i in x for name in "csq"))
+    d = here.join(there, "at", "left")
+    out: dict[str, Column] = {}
+    for i, c in enumerate(cols):
+        n, s, q = (F.col(f"{name}{i}") - F.coalesce(f"gone_{name}{i}", F.lit(0)) for name in "csq")
+        out[f"{c}_ma"] = F.when(n > 0, F.col(f"m{i}") + s / F.nullif(n, F.lit(0)))
+        out[f"{c}_std"] = F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), q - s * s / F.nullif(n, F.lit(0))) / F.nullif(n - 1, F.lit(0)))).when(n == 1, 0.0)
+    return d.select(*(F.col("row").getField(c).alias(c) for c in df.columns), *(v.alias(name) for name, v in out.items()))

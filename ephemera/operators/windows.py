@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ephemera.functions.names import free_name, quoted
 from ephemera.functions.scalars import day_cycle, micros, satellite_block
-from ephemera.operators.periods import gaps_by_period
+from ephemera.operators.periods import gaps_by_period, rolling_by_places
 
 
 def series(by: str | list[str], on: str | list[str]):
@@ -61,11 +61,14 @@ def rolling_stats(df: DataFrame, by: str, on: str | list[str], cols: list[str],
     return d if bucket is None else d.where(F.col(own)).drop(own, period)
 
 
-def adaptive_rolling(df: DataFrame, by: str, on: str | list[str], cols: list[str], most: int = 12, share: int = 4) -> DataFrame:
+def adaptive_rolling(df: DataFrame, by: str, on: str | list[str], cols: list[str], most: int = 12, share: int = 4, bucket: str | None = None) -> DataFrame:
     """Rolling mean and deviation over min(``most``, rows of the key // ``share``) rows, one at least.
 
-    The frame is the last ``most`` rows (a literal); the key's own length cuts a slice of it.
+    The frame is the last ``most`` rows (a literal); the key's own length cuts a slice of it.  With ``bucket`` long keys
+    are cut into periods and frames of any length are differences of prefix sums (see ``periods.rolling_by_places``).
     """
+    if bucket is not None:
+        return rolling_by_places(df, by, on, cols, F.greatest(F.lit(1), F.least(F.lit(most), F.floor(F.col("n") / share))), bucket)
     w = series(by, on)
     sizes = df.groupBy(by).agg(F.greatest(F.lit(1), F.least(F.lit(most), F.floor(F.count("*") / share))).cast("int").alias("__n"))
     d = df.join(sizes, by)

@@ -755,11 +755,22 @@ query("rolling_stats", _ROLL)(_rolling(None))
 query("rolling_stats_bucketed", _ROLL)(_rolling("week"))
 
 
-@query("adaptive_rolling", f"""WITH n AS (SELECT *, greatest(1, least(12, count(*) OVER (PARTITION BY user_id) // 4)) AS k, list(value) {_W} ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS l FROM events)
-SELECT event_id, round(list_avg(list_slice(l, greatest(1, len(l) - k + 1), len(l))), 6) AS value_ma, round(coalesce(list_stddev_samp(list_slice(l, greatest(1, len(l) - k + 1), len(l))), 0), 6) AS value_std FROM n""")
-def _(spark, sf_dir):
-    d = windows.adaptive_rolling(events(spark, sf_dir), "user_id", ON, ["value"])
-    return rounded(d.select("event_id", "value_ma", "value_std"), "value_ma", "value_std")
+_ADAPTIVE_SQL = f"""WITH n AS (SELECT *, greatest(1, least(12, count(*) OVER (PARTITION BY user_id) // 4)) AS k, list(value) {_W} ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS l FROM events)
+SELECT event_id, round(list_avg(list_slice(l, greatest(1, len(l) - k + 1), len(l))), 6) AS value_ma, round(coalesce(list_stddev_samp(list_slice(l, greatest(1, len(l) - k + 1), len(l))), 0), 6) AS value_std FROM n"""
+
+
+def _adaptive(most: int, share: int, bucket: str | None, places: int = 6) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        d = windows.adaptive_rolling(events(spark, sf_dir), "user_id", ON, ["value"], most, share, bucket)
+        return rounded(rounded(d.select("event_id", "value_ma", "value_std"), "value_ma", places=places), "value_std")
+
+    return run
+
+
+query("adaptive_rolling", _ADAPTIVE_SQL)(_adaptive(12, 4, None))
+query("adaptive_rolling_bucketed", _ADAPTIVE_SQL)(_adaptive(12, 4, "week"))
+query("adaptive_rolling_wide", f"""WITH n AS (SELECT *, greatest(1, least(1000, count(*) OVER (PARTITION BY user_id) // 2)) - 1 AS k FROM events)
+SELECT event_id, round(avg(value) {_W} ROWS BETWEEN k PRECEDING AND CURRENT ROW), 9) AS value_ma, round(coalesce(stddev_samp(value) {_W} ROWS BETWEEN k PRECEDING AND CURRENT ROW), 0), 6) AS value_std FROM n""")(_adaptive(1000, 2, "day", 9))  # means of 32 values in hundredths have 7 digits
 
 
 _FILL_SQL = f"""WITH d AS (SELECT event_id, user_id, min(ts) OVER (PARTITION BY user_id, ts) AS ts, x FROM {GAPPY} QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id) = 1),

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+from statistics import fmean, stdev
 
 import pytest
 from pyspark.sql import functions as F
@@ -53,6 +54,29 @@ def test_gaps(series, bucket):
     same(*(windows.fill_gaps(series, "unit", "row", ["x", "y"], b) for b in (None, bucket)))
 
 
+@pytest.mark.parametrize("bucket", ["hour", "week"])
+@pytest.mark.parametrize(("most", "share"), [(12, 4), (500, 2), (1, 1), (10**6, 1)])
+def test_frames_that_depend_on_the_key(series, bucket, most, share):
+    known = series.where("unit is not null")
+    got = windows.adaptive_rolling(known, "unit", ["row", "place"], ["y", "x"], most, share, bucket)
+    assert got.columns == [*series.columns, "y_ma", "y_std", "x_ma", "x_std"]
+    found = {(r.unit, r.place): r for r in got.collect()}
+    rows = sorted(known.collect(), key=lambda r: (r.row, r.place))
+    assert len(found) == len(rows)
+    for key in {r.unit for r in rows}:
+        own = [r for r in rows if r.unit == key]
+        k = max(1, min(most, len(own) // share))
+        for i, r in enumerate(own):
+            for c in "yx":
+                values = [v for v in (q[c] for q in own[max(0, i - k + 1) : i + 1]) if v is not None]
+                ma, std = found[key, r.place][f"{c}_ma"], found[key, r.place][f"{c}_std"]
+                if not values:
+                    assert ma is None and std is None
+                    continue
+                assert ma == pytest.approx(fmean(values), rel=1e-9, abs=1e-9)
+                assert std == pytest.approx(stdev(values) if len(values) > 1 else 0.0, rel=1e-6, abs=1e-6)
+
+
 def test_gaps_take_one_sort_and_no_key_is_whole(series):
     plan = windows.fill_gaps(series, "unit", "row", ["x"], "day")._jdf.queryExecution().executedPlan().toString()
     sorts = [line for line in plan.splitlines() if "Sort [" in line]
