@@ -344,6 +344,18 @@ def _(spark, sf_dir):
     return d.select("timestamp", "satellite", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), "z", F.round("clock_bias", 9).alias("clock_bias"))
 
 
+@query("read_large_sp3", "SELECT DISTINCT date_trunc('minute', ts) AS timestamp, concat('G', lpad(CAST(user_id % 100 AS VARCHAR), 2, '0')) AS satellite, round(event_id * 1e3, 3) AS x, round(value * 1000, 3) AS y FROM events")
+def _(spark, sf_dir):
+    """One file of all epochs of a day, written in order and read by splits; minutes of a day are its epochs."""
+    path = f"{scratch(spark)}/sp3-{uuid.uuid4().hex}"
+    e = events(spark, sf_dir).select("event_id", F.date_trunc("minute", "ts").alias("t"), F.format_string("PG%02d %.6f %.6f -1.0 0.5", F.col("user_id") % 100, F.col("event_id").cast("double"), "value").alias("line"))
+    heads = e.select("t").distinct().select("t", F.lit(-1).cast("long").alias("event_id"), F.format_string("*  %s 0.00000000", F.date_format("t", "yyyy M d H m")).alias("line"))
+    d = e.unionByName(heads).withColumn("day", F.to_date("t"))
+    d.repartition("day").sortWithinPartitions("day", "t", "event_id").select("line", "day").write.partitionBy("day").text(path)  # a file for each day
+    orbit = sp3.read_large_sp3(spark, path, "*.txt")[0]
+    return orbit.select("timestamp", "satellite", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+
+
 @query("parse_nav", f"SELECT satellite, date_trunc('second', l_shipdate) AS timestamp, l_orderkey * 1e0 AS iode, round(a, 0) AS a, round(e, 9) AS e, round(m0, 9) AS m0, toe, round(af0 * 1e9, 6) AS af0_ns, l_linenumber * 1e0 AS iodc FROM (SELECT l_orderkey, l_linenumber, l_shipdate, {_E_SQL} FROM lineitem) WHERE l_linenumber <> 3")
 def _(spark, sf_dir):
     d = _elements(spark, sf_dir)

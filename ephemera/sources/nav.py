@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ephemera.functions.scalars import epoch_timestamp, fortran_double
+from ephemera.sources.splits import behind_header, numbered_lines, records
 from ephemera.sources.text import after_header, field, read_files
 
 #: Fixed order of the numbers on the seven orbit lines of a GPS record ("-": not used).
@@ -18,6 +19,7 @@ NAV_COLUMNS = [
     "satellite", "timestamp", "epoch", "a", "e", "i0", "omega0", "omega", "m0", "delta_n", "omega_dot", "idot", "cuc", "cus", "crc", "crs",
     "cic", "cis", "toe", "af0", "af1", "af2", "iode", "gps_week", "tgd", "iodc",
 ]
+RECORD = "^[A-Z][0-9 ][0-9] "  # how a record's first line begins
 REQUIRED = ["toe", "m0", "delta_n", "e", "a", "omega0", "i0", "omega", "omega_dot", "idot"]
 
 
@@ -32,8 +34,12 @@ def parse_orbit_line(line: Column) -> Column:
 
 def _records(files: DataFrame, constellations: tuple[str, ...]) -> DataFrame:
     """One row per record: its lines, satellite, time and clock polynomial."""
-    blocks = files.select(F.explode(F.split(after_header(F.col("value")), "(?m)^(?=[A-Z][0-9 ][0-9] )")).alias("block"))
-    d = blocks.select(F.filter(F.split("block", "\n"), lambda x: F.trim(x) != "").alias("lines"))
+    blocks = files.select(F.explode(F.split(after_header(F.col("value")), f"(?m)(?={RECORD})")).alias("block"))
+    return _heads(blocks.select(F.split("block", "\n").alias("lines")), constellations)
+
+
+def _heads(records: DataFrame, constellations: tuple[str, ...]) -> DataFrame:
+    d = records.select(F.filter("lines", lambda x: F.trim(x) != "").alias("lines"))
     d = d.where(F.substring(F.get("lines", F.lit(0)), 1, 1).isin(*constellations) & (F.size("lines") >= 8))
     first = F.get("lines", F.lit(0))
     when = epoch_timestamp(field(first, 4, 8), field(first, 9, 11), field(first, 12, 14), field(first, 15, 17), field(first, 18, 20), F.floor(field(first, 21, 23).try_cast("double")).cast("string"))
@@ -46,8 +52,22 @@ def parse_nav(files: DataFrame, wide: bool = False, constellations: tuple[str, .
 
     A record is a header line and seven orbit lines with 26 numbers at least; shorter ones are left out.
     """
+    return _elements(_records(files, constellations), wide)
+
+
+def parse_nav_lines(lines: DataFrame, wide: bool = False, constellations: tuple[str, ...] = ("G",)) -> DataFrame:
+    """``parse_nav`` of ``splits.numbered_lines``: files of any size, read in splits of any size."""
+    return _elements(_heads(records(behind_header(lines), RECORD), constellations), wide)
+
+
+def read_large_nav(spark: SparkSession, path: str | list[str], pattern: str = "*.rnx", wide: bool = False, constellations: tuple[str, ...] = ("G",)) -> DataFrame:
+    """``read_nav`` for files of any size."""
+    return parse_nav_lines(numbered_lines(spark, path, pattern), wide, constellations)
+
+
+def _elements(d: DataFrame, wide: bool) -> DataFrame:
     numbers = F.flatten(F.transform(F.slice("lines", 2, 7), parse_orbit_line))
-    d = _records(files, constellations).withColumn("v", numbers).where(F.size("v") >= 26)
+    d = d.withColumn("v", numbers).where(F.size("v") >= 26)
     d = d.withColumns({n: F.get("v", F.lit(k)) for k, n in enumerate(ORBIT_FIELDS) if n != "-"})
     d = d.withColumns({"a": F.col("sqrt_a") * F.col("sqrt_a"), "epoch": F.col("timestamp")})
     if not wide:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ephemera.functions.scalars import epoch_timestamp
 from ephemera.operators.filters import drop_bad_clock
+from ephemera.sources.splits import numbered_lines, with_heads
 from ephemera.sources.text import parts, read_files
 
 
@@ -25,7 +26,19 @@ def parse_sp3(files: DataFrame, keep_file: bool = False) -> tuple[DataFrame, Dat
     file = ["file"] if keep_file else []
     blocks = files.select(*file, F.split("value", "(?m)^\\*").alias("epochs")).select(*file, F.explode(F.slice(F.col("epochs"), F.lit(2), F.size("epochs"))).alias("block"))
     lines = blocks.select(*file, F.split("block", "\n").alias("lines"))
-    head = lines.select(*file, parts(F.col("lines")[0]).alias("t"), F.explode(F.filter("lines", lambda x: x.startswith("P"))).alias("line"))
+    return _tables(lines.select(*file, parts(F.col("lines")[0]).alias("t"), F.explode(F.filter("lines", lambda x: x.startswith("P"))).alias("line")), file)
+
+
+def parse_sp3_lines(lines: DataFrame, keep_file: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``parse_sp3`` of ``splits.numbered_lines``: files of any size, read in splits of any size."""
+    used = lines.where(F.col("value").startswith("*") | F.col("value").startswith("P"))
+    found = with_heads(used, F.col("value").startswith("*")).where(F.col("value").startswith("P"))
+    file = ["file"] if keep_file else []
+    return _tables(found.select(*([F.col("unit.file").alias("file")] if keep_file else []), parts(_from("head", 2)).alias("t"), F.col("value").alias("line")), file)
+
+
+def _tables(head: DataFrame, file: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Orbit and clock rows of position lines with the parts of their epoch."""
     p = parts(_from("line", 5))
     num = lambda k: F.get(p, F.lit(k)).try_cast("double")
     rows = head.select(
@@ -58,5 +71,10 @@ def read_sp3(spark: SparkSession, path: str | list[str], pattern: str = "*.SP3")
     return parse_sp3(read_files(spark, path, pattern))
 
 
+def read_large_sp3(spark: SparkSession, path: str | list[str], pattern: str = "*.SP3") -> tuple[DataFrame, DataFrame]:
+    """``read_sp3`` for files of any size."""
+    return parse_sp3_lines(numbered_lines(spark, path, pattern))
+
+
 def read_sp3_header(spark: SparkSession, path: str | list[str], pattern: str = "*.SP3") -> DataFrame:
     return parse_sp3_header(read_files(spark, path, pattern))
