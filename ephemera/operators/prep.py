@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ephemera.functions.names import quoted
+from ephemera.functions.names import free_name, quoted
 from ephemera.operators.order import global_rank
 from ephemera.operators.profile import long_form, percentiles
 
@@ -133,6 +133,16 @@ def hashed_unit(*parts: Column | str | int) -> Column:
     return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
+def shuffled(df: DataFrame, keys: list[str], seed: int = 42, place: str = "place") -> DataFrame:
+    """``df`` with ``place``, from 1, in an order that a hash of ``keys`` and ``seed`` decides: the same at any partitioning.
+
+    Ranges of the hash are dealt out and sorted (see ``order.global_rank``), so no task holds the whole table; rows
+    that repeat all keys follow each other.  ``order.write_ordered`` by ``place`` gives files in that order.
+    """
+    at = free_name(df, "at")
+    return global_rank(df.withColumn(at, hashed_unit(seed, *keys)), [at, *keys], place).drop(at)
+
+
 def split_random(df: DataFrame, keys: list[str], test_share: float = 0.2, seed: int = 42) -> DataFrame:
     """``df`` with ``split``, decided by a hash of the key: the same at any partitioning."""
     return df.withColumn("split", F.when(hashed_unit(seed, *keys) < test_share, "test").otherwise("train"))

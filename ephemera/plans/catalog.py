@@ -244,9 +244,9 @@ def _(spark, sf_dir):
     return d.select("l_orderkey", "l_linenumber", *(F.round(c, 5).alias(n) for c, n in ((E.orbit_error(b, p), "orbit_error"), (E.radial_error(b, p), "radial"), (along, "along"), (across, "across"))))
 
 
-@query("clock_error_join", "SELECT l_orderkey, l_linenumber, round((l_discount - o_totalprice / 1e6) * 1e9, 3) AS clock_error_ns, round(l_tax, 6) AS tax FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'F') ON l_orderkey = o_orderkey")
+@query("clock_error_join", "SELECT l_orderkey, l_linenumber, round((l_discount - o_totalprice / 1e6) * 1e9, 3) AS clock_error_ns, round(l_tax, 6) AS tax FROM lineitem LEFT JOIN orders ON l_orderkey = 2 * o_orderkey")
 def _(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("l_orderkey"), "o_totalprice")
+    o = table(spark, sf_dir, "orders").select((F.col("o_orderkey") * 2).alias("l_orderkey"), "o_totalprice")  # lines of odd orders have no partner
     d = table(spark, sf_dir, "lineitem").join(o, "l_orderkey", "left")
     return d.select("l_orderkey", "l_linenumber", F.round(E.clock_error_ns(F.col("l_discount"), F.col("o_totalprice") / 1e6), 3).alias("clock_error_ns"), F.round("l_tax", 6).alias("tax"))
 
@@ -520,10 +520,9 @@ def _(spark, sf_dir):
     return d.select("analysis_center", "version", "leap_seconds", "num_data_types", F.array_join("data_types", ",").alias("data_types"))
 
 
-@query("read_many_clk", "SELECT concat('U', lpad(CAST(user_id AS VARCHAR), 3, '0')) AS id, date_trunc('second', ts) AS timestamp, round(value * 1e-6 * 1e9, 1) AS bias_ns FROM events WHERE event_type IN ('click', 'view')")
+@query("read_many_clk", "SELECT concat('U', lpad(CAST(user_id AS VARCHAR), 3, '0')) AS id, date_trunc('second', ts) AS timestamp, round(value * 1e-6 * 1e9, 1) AS bias_ns FROM events")
 def _(spark, sf_dir):
-    folder = _written(spark, _clk_texts(spark, sf_dir), "")
-    d = clk.read_clk(spark, [f"{folder}/name=click", f"{folder}/name=view"], "*.txt")
+    d = clk.read_clk(spark, [_written(spark, _clk_texts(spark, sf_dir), "")], "*.txt")
     return d.select("id", "timestamp", F.round(F.col("clock_bias") * 1e9, 1).alias("bias_ns"))
 
 
@@ -536,8 +535,8 @@ def _(spark, sf_dir):
 
 
 def _nav_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A navigation product for each order of the first line numbers: one record each, without a semi-major axis for line 2."""
-    d = _elements(spark, sf_dir).where("l_linenumber <= 3")
+    """A navigation product for each line of an order: one record each, without a semi-major axis for line 2."""
+    d = _elements(spark, sf_dir)
     num = lambda c: F.regexp_replace(F.format_string("%19.12e", c.cast("double")), "e", "D")
     c, zero = F.col, F.lit(0.0)
     a = F.when(c("l_linenumber") == 2, zero).otherwise(F.sqrt("a"))
@@ -547,12 +546,12 @@ def _nav_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.lit("f").alias("file"), F.concat(F.lit("header END OF HEADER\n"), record, F.lit("\n")).alias("value"))
 
 
-@query("parse_nav_wide", f"SELECT satellite, timestamp, CAST(l_linenumber AS DOUBLE) AS week, 0e0 AS health, 4e0 AS fit_interval, ((epoch_us(timestamp) - epoch_us(TIMESTAMP '1980-01-06 00:00:00')) / 1e6) % 604800.0 AS toc FROM (SELECT l_linenumber, l_shipdate AS timestamp, {_E_SQL} FROM lineitem) WHERE l_linenumber IN (1, 3)")
+@query("parse_nav_wide", f"SELECT satellite, timestamp, CAST(l_linenumber AS DOUBLE) AS week, 0e0 AS health, 4e0 AS fit_interval, ((epoch_us(timestamp) - epoch_us(TIMESTAMP '1980-01-06 00:00:00')) / 1e6) % 604800.0 AS toc FROM (SELECT l_linenumber, l_shipdate AS timestamp, {_E_SQL} FROM lineitem) WHERE l_linenumber <> 2")
 def _(spark, sf_dir):
     return nav.parse_nav(_nav_texts(spark, sf_dir), wide=True).select("satellite", "timestamp", "week", "health", "fit_interval", "toc")
 
 
-@query("parse_nav_clock", f"SELECT satellite, l_shipdate AS timestamp, round(af0 * 1e9, 6) AS af0_ns, round(af1 * 1e15, 6) AS af1_fs FROM (SELECT l_linenumber, l_shipdate, {_E_SQL} FROM lineitem) WHERE l_linenumber <= 3")
+@query("parse_nav_clock", f"SELECT satellite, l_shipdate AS timestamp, round(af0 * 1e9, 6) AS af0_ns, round(af1 * 1e15, 6) AS af1_fs FROM (SELECT l_linenumber, l_shipdate, {_E_SQL} FROM lineitem)")
 def _(spark, sf_dir):
     d = nav.parse_nav_clock(_nav_texts(spark, sf_dir))
     return d.select("satellite", "timestamp", F.round(F.col("af0") * 1e9, 6).alias("af0_ns"), F.round(F.col("af1") * 1e15, 6).alias("af1_fs"))
@@ -599,10 +598,10 @@ def _(spark, sf_dir):
 
 @query("observations_json", _ERROR_TABLE)
 def _(spark, sf_dir):
-    """Request bodies, one for each satellite, written as lines and read back."""
+    """Request bodies, one for each satellite and day, written as lines and read back."""
     path = f"{scratch(spark)}/bodies-{uuid.uuid4().hex}"
     d = _error_table(spark, sf_dir)
-    d.groupBy("satellite_id").agg(F.collect_list(F.struct(*d.columns)).alias("data")).select(F.to_json(F.struct("data")).alias("value")).write.text(path)
+    d.groupBy("satellite_id", F.to_date("timestamp")).agg(F.collect_list(F.struct(*d.columns)).alias("data")).select(F.to_json(F.struct("data")).alias("value")).write.text(path)
     return tables.read_observations_json(spark, path)
 
 
@@ -724,11 +723,12 @@ def _(spark, sf_dir):
     return rounded(profile.utilisation(events(spark, sf_dir), "user_id", "ts"), "rows_per_day", "rows_per_key_day", "pct_of_expected")
 
 
-@query("coverage", """WITH w AS (SELECT * FROM (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events), (SELECT DISTINCT event_type AS product FROM events))
-SELECT day, product, EXISTS (SELECT 1 FROM events e WHERE CAST(e.ts AS DATE) = w.day AND e.event_type = w.product AND e.value > 190) AS present FROM w""")
+@query("coverage", """WITH w AS (SELECT * FROM (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events), (SELECT DISTINCT concat('U', user_id) AS product FROM events)),
+h AS (SELECT DISTINCT CAST(ts AS DATE) AS day, concat('U', user_id) AS product, true AS present FROM events)
+SELECT day, product, coalesce(present, false) AS present FROM w LEFT JOIN h USING (day, product)""")
 def _(spark, sf_dir):
-    e = events(spark, sf_dir).select(F.to_date("ts").alias("day"), F.col("event_type").alias("product"), "value")
-    return profile.coverage(e.where("value > 190"), asof.cross_times(e, e, "day", "product"))
+    e = events(spark, sf_dir).select(F.to_date("ts").alias("day"), F.concat(F.lit("U"), "user_id").alias("product"))
+    return profile.coverage(e, asof.cross_times(e, e, "day", "product"))
 
 
 @query("quality_report", f"SELECT count(*) AS n_rows, CAST(7 AS INT) AS n_columns, count(DISTINCT user_id) AS n_keys, count(x) = count(*) AS critical_complete, count(DISTINCT (user_id, ts)) = count(*) AS monotonic FROM {GAPPY}")
@@ -736,10 +736,14 @@ def _(spark, sf_dir):
     return profile.quality_report(gappy(spark, sf_dir), "user_id", "ts", ["x"])
 
 
-@query("same_keys", "WITH v AS (SELECT user_id FROM events WHERE event_type = 'view' AND value > 150), e AS (SELECT user_id FROM events WHERE event_type = 'error' AND value > 150) SELECT user_id, 'left' AS side FROM (SELECT * FROM v EXCEPT SELECT * FROM e) UNION ALL SELECT user_id, 'right' FROM (SELECT * FROM e EXCEPT SELECT * FROM v)")
+_DAYS = "concat(user_id, ' ', CAST(ts AS DATE)) AS k"
+
+
+@query("same_keys", f"WITH v AS (SELECT DISTINCT {_DAYS} FROM events WHERE event_type = 'view'), e AS (SELECT DISTINCT {_DAYS} FROM events WHERE event_type <> 'view') SELECT k, 'left' AS side FROM (SELECT * FROM v EXCEPT SELECT * FROM e) UNION ALL SELECT k, 'right' FROM (SELECT * FROM e EXCEPT SELECT * FROM v)")
 def _(spark, sf_dir):
-    e = events(spark, sf_dir).where("value > 150")
-    return profile.same_keys(e.where("event_type = 'view'"), e.where("event_type = 'error'"), "user_id")
+    """Days of a satellite with views only, and with other events only."""
+    e = events(spark, sf_dir).select("event_type", F.concat_ws(" ", "user_id", F.to_date("ts")).alias("k"))
+    return profile.same_keys(e.where("event_type = 'view'"), e.where("event_type <> 'view'"), "k")
 
 
 @query("no_overlap", "SELECT max(ts) FILTER (CAST(ts AS DATE) < d) AS train_end, min(ts) FILTER (CAST(ts AS DATE) >= d) AS test_start, max(ts) FILTER (CAST(ts AS DATE) < d) < min(ts) FILTER (CAST(ts AS DATE) >= d) AS disjoint FROM events, (SELECT max(CAST(ts AS DATE)) AS d FROM events)")
@@ -914,6 +918,12 @@ def _unit_sql(text: str) -> str:
     return f"(('0x' || substr(md5({text}), 1, 12))::BIGINT + 0.5) / 281474976710656.0"
 
 
+@query("shuffled_order", f"SELECT event_id, row_number() OVER (ORDER BY u, event_id) AS place FROM (SELECT event_id, {_unit_sql("concat_ws('|', '7', event_id)")} AS u FROM events)")
+def _(spark, sf_dir):
+    """The order in which a training run would meet the rows."""
+    return prep.shuffled(events(spark, sf_dir).select("event_id", "value"), ["event_id"], seed=7).select("event_id", "place")
+
+
 @query("split_random", f"SELECT event_id, CASE WHEN {_unit_sql("concat_ws('|', 42, event_id)")} < 0.2 THEN 'test' ELSE 'train' END AS split FROM events")
 def _(spark, sf_dir):
     return prep.split_random(events(spark, sf_dir), ["event_id"], 0.2, 42).select("event_id", "split")

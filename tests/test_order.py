@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from ephemera.operators import prep
 from ephemera.operators.order import by_ranges, global_rank, read_ordered, write_ordered
 from ephemera.sources.tables import write_errors
 
@@ -57,3 +58,11 @@ def test_error_tables_are_in_order(spark, tmp_path):
     for day in glob.glob(f"{tmp_path}/pq/date=*"):
         got = [(x.timestamp, x.satellite_id) for x in read_ordered(spark, day).orderBy("rank").collect()]
         assert got == sorted(got) and got
+
+
+def test_shuffles_do_not_depend_on_partitioning(spark, rows):
+    a, b = (prep.shuffled(d, ["id"], 3) for d in (rows, rows.repartition(11, "v")))
+    got = {r[2]: r[-1] for r in a.collect()}
+    assert got == {r[2]: r[-1] for r in b.collect()} and sorted(got.values()) == list(range(1, 3001))
+    other = {r[2]: r[-1] for r in prep.shuffled(rows, ["id"], 4).collect()}
+    assert sum(got[k] == other[k] for k in got) < 30 and [got[k] for k in range(50)] != sorted(got[k] for k in range(50))
