@@ -391,4 +391,4 @@ def test_licenses(spark):
 def test_schema_of_queries():
     from ephemera.llm.queries import QUERIES
 
-    assert [n.split("_")[0] for n in QUERIES if n.startswith("op")] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES if n.startswith("op")] == [f"op{k}" for k in range(1, 14)]
