@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ephemera.functions.names import free_name, quoted
-from ephemera.operators.profile import with_percentiles
+from ephemera.operators.profile import BRACKET_ACCURACY, Groups, with_percentiles
 
 #: Steps of 15 minutes ahead.
 HORIZONS = {"15min": 1, "30min": 2, "1hr": 4, "2hr": 8, "24hr": 96}
@@ -104,30 +104,45 @@ def log_normal_cdf(z: Column) -> Column:
     return F.when(z < 0, tails["below"]).otherwise(tails["above"])
 
 
-def anderson_darling(df: DataFrame, by: list[str], value: str = "r", slots: int = 4096) -> DataFrame:
-    """Per group: n, a2, critical (5 %, mean and deviation estimated) and normal.
+def in_ranges(d: DataFrame, levels: int, most: int | None = None) -> DataFrame:
+    """(g, n, z, slot, c) of (g, r) rows: standardised distinct values, how many rows have each, and their range in the group."""
+    ranges = 1 << levels
+    d = d.where("r is not null")
+    cuts = F.percentile_approx("r", [i / ranges for i in range(1, ranges)], BRACKET_ACCURACY)
+    stats = d.groupBy("g").agg(F.count("*").alias("n"), F.avg("r").alias("m"), F.stddev_samp("r").alias("s"), cuts.alias("cuts")).where("n > 1 and s > 0")
+    groups = Groups(stats, most)
+    counted = groups.attach(d.groupBy("g", "r").agg(F.count("*").alias("c")), groups.table)
+    # how many cuts lie below the value, by halving steps
+    halves = F.array(*(F.lit(ranges >> i) for i in range(1, levels + 1)))
+    slot = F.aggregate(halves, F.lit(0), lambda at, step: F.when(F.get("cuts", at + step - 1) < F.col("r"), at + step).otherwise(at))
+    return counted.select("g", "n", ((F.col("r") - F.col("m")) / F.col("s")).alias("z"), slot.alias("slot"), "c")
 
-    A group is never sorted whole: equal residuals are counted, ``slots`` ranges of the standardised residual are
-    summed up (the only window over a group, of ``slots`` rows at most), and ranks are found within (group, range).
+
+def anderson_darling(df: DataFrame, by: list[str], value: str = "r", levels: int = 10, most: int | None = None) -> DataFrame:
+    """Per group: n, a2, critical (5 %, mean and deviation estimated) and normal; nulls are left out, a null key is a group.
+
+    A group is never sorted whole: equal residuals are counted, a sketch cuts each group into ``2 ** levels`` ranges of
+    about as many rows each, however its values lie (a few far outliers stretch no range), counts of ranges are summed
+    up (the only window over a group, with a row for each range), and ranks are found within (group, range).  Groups
+    of one value or without spread are left out.  ``most``: see ``profile.Groups``.
     """
-    d = df.select(*map(quoted, by), quoted(value).cast("double").alias("__r")).where("__r is not null")
-    stats = d.groupBy(*by).agg(F.count("*").alias("__n"), F.avg("__r").alias("__m"), F.stddev_samp("__r").alias("__s")).where("__n > 1 and __s > 0")
-    z = (F.col("__r") - F.col("__m")) / F.col("__s")
-    # ranges of equal width within 4 deviations, where nearly all rows are, and one beyond on each side
-    spread = F.least(F.lit(slots - 1), F.greatest(F.lit(0), F.floor((z + 4) * (slots / 8))))
-    counted = d.groupBy(*by, "__r").agg(F.count("*").alias("__c")).join(stats, by).select(*by, "__n", z.alias("__z"), spread.alias("__slot"), "__c")
-    per = counted.groupBy(*by, "__slot").agg(F.sum("__c").alias("__in"))
-    per = per.withColumn("__upto", F.coalesce(F.sum("__in").over(Window.partitionBy(*by).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = Window.partitionBy(*by, "__slot").orderBy("__z").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("__k", F.sum("__c").over(inside)).join(per.select(*by, "__slot", "__upto"), [*by, "__slot"])
+    keys = [f"k{i}" for i in range(len(by))]
+    g = F.struct(*(quoted(c).alias(k) for c, k in zip(by, keys, strict=True)))
+    counted = in_ranges(df.select(g.alias("g"), quoted(value).cast("double").alias("r")), levels, most)
+    per = counted.groupBy("g", "slot").agg(F.sum("c").alias("in"))
+    before = Window.partitionBy("g").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("g", "slot", F.coalesce(F.sum("in").over(before), F.lit(0)).alias("upto"))
+    inside = Window.partitionBy("g", "slot").orderBy("z").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumn("k", F.sum("c").over(inside)).join(per, ["g", "slot"])
     # ranks a + 1 .. b have the weights 2 i - 1, which sum to b^2 - a^2, and 2 (n - i) + 1
-    n, b, c = F.col("__n").cast("double"), (F.col("__upto") + F.col("__k")).cast("double"), F.col("__c").cast("double")
+    n, b, c = F.col("n").cast("double"), (F.col("upto") + F.col("k")).cast("double"), F.col("c").cast("double")
     low = b * b - (b - c) * (b - c)
-    ranked = ranked.select(*by, "__n", "__z", low.alias("__low"), (2 * n * c - low).alias("__high"), log_normal_tails(F.abs("__z")).alias("__t"))
-    below, above = F.col("__t.below"), F.col("__t.above")
-    term = F.when(F.col("__z") < 0, F.col("__low") * below + F.col("__high") * above).otherwise(F.col("__low") * above + F.col("__high") * below)
-    out = ranked.select(*by, "__n", term.alias("__t")).groupBy(*by, "__n").agg(F.sum("__t").alias("__s"))
-    out = out.select(*by, F.col("__n").alias("n"), (-n - F.col("__s") / n).alias("a2"), (F.lit(0.787) / (1 + 4 / n - 25 / (n * n))).alias("critical"))
+    ranked = ranked.select("g", "n", "z", low.alias("low"), (2 * n * c - low).alias("high"), log_normal_tails(F.abs("z")).alias("t"))
+    below, above = F.col("t.below"), F.col("t.above")
+    term = F.when(F.col("z") < 0, F.col("low") * below + F.col("high") * above).otherwise(F.col("low") * above + F.col("high") * below)
+    out = ranked.select("g", "n", term.alias("t")).groupBy("g", "n").agg(F.sum("t").alias("s"))
+    names = [F.col(f"g.{k}").alias(c) for c, k in zip(by, keys, strict=True)]
+    out = out.select(*names, F.col("n"), (-n - F.col("s") / n).alias("a2"), (F.lit(0.787) / (1 + 4 / n - 25 / (n * n))).alias("critical"))
     return out.withColumn("normal", F.col("a2") < F.col("critical"))
 
 
