@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ephemera.functions.names import quoted
 from ephemera.functions.scalars import finite_or
 
 #: Clock value of SP3 files for "no clock": 999999.999999 microseconds, in seconds.
@@ -55,6 +56,18 @@ def retention_report(df: DataFrame, cols: list[str]) -> DataFrame:
     )
 
 
+def first_of_repeats(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """One row for each key (a null is a key of its own): the first in ``order``, of ties there the one with the least values.
+
+    Repeats are thinned out before the exchange, so a key that repeats without end is no hot task.
+    """
+    rest = [c for c in df.columns if c not in (*by, *order)]
+    row = F.struct(*(quoted(c).alias(f"o{i}") for i, c in enumerate(order)), *(quoted(c).alias(f"v{i}") for i, c in enumerate(rest)))
+    d = df.select(F.struct(*(quoted(c).alias(f"k{i}") for i, c in enumerate(by))).alias("g"), row.alias("row")).groupBy("g").agg(F.min("row").alias("row"))
+    found = {c: f"{place}{i}" for place, names in (("g.k", by), ("row.o", order), ("row.v", rest)) for i, c in enumerate(names)}
+    return d.select(*(F.col(found[c]).alias(c) for c in df.columns))
+
+
 def keep_keys(df: DataFrame, by: str, keys: Iterable) -> DataFrame:
     return df.where(F.col(by).isin(list(keys)))
 

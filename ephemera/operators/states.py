@@ -10,14 +10,27 @@ from pyspark.sql import functions as F
 from ephemera.functions import errors as E
 from ephemera.functions.orbit import with_clock_correction, with_position
 from ephemera.operators.asof import cross_times, interpolate_asof, nearest_asof, nearest_on_grid
+from ephemera.operators.filters import first_of_repeats
+from ephemera.sources.nav import SOURCE
+
+
+def first_ephemerides(nav: DataFrame) -> DataFrame:
+    """One ephemeris for each satellite and time: the first of the first file, by name, where ``nav`` tells file and record (``read_nav(source=True)``).
+
+    Both columns are dropped; a table without them stays as it is.
+    """
+    if not set(SOURCE) <= set(nav.columns):
+        return nav
+    return first_of_repeats(nav, ["satellite", "timestamp"], SOURCE).drop(*SOURCE)
 
 
 def ephemeris_at(nav: DataFrame, targets: DataFrame, tolerance_h: float = 2.0, how: str = "inner", bucket: str | None = None) -> DataFrame:
     """(satellite, timestamp) rows with the nearest ephemeris within ``tolerance_h`` and its age in hours.
 
-    Daily files repeat ephemerides: of several for one satellite and time the one with the least values is taken.
+    Daily files repeat ephemerides: of several for one satellite and time the first file's is taken (see
+    ``first_ephemerides``), without ``file`` and ``record`` the one with the least values.
     """
-    found = nearest_asof(targets, nav.drop("epoch"), "satellite", "timestamp", tolerance_h * 3600, how, bucket=bucket)
+    found = nearest_asof(targets, first_ephemerides(nav).drop("epoch"), "satellite", "timestamp", tolerance_h * 3600, how, bucket=bucket)
     return found.withColumn("ephemeris_age", F.col("age_s") / 3600).drop("age_s", "timestamp_right")
 
 
@@ -31,7 +44,7 @@ def broadcast_states(nav: DataFrame, times: DataFrame, week_mode: str = "week",
 
 def broadcast_states_on_grid(nav: DataFrame, start: datetime, end: datetime, step_s: float, tolerance_h: float = 2.0, week_mode: str = "week") -> DataFrame:
     """``broadcast_states`` at the times of a grid: each ephemeris emits its own times, so only ephemerides are exchanged."""
-    gps = nav.where(F.col("satellite").startswith("G")).drop("epoch")
+    gps = first_ephemerides(nav.where(F.col("satellite").startswith("G"))).drop("epoch")
     at = nearest_on_grid(gps, "satellite", "timestamp", start, end, step_s, tolerance_h * 3600).withColumn("ephemeris_age", F.col("age_s") / 3600)
     full = with_clock_correction(with_position(at, week_mode=week_mode), week_mode=week_mode)
     return full.select("timestamp", "satellite", "x_broadcast", "y_broadcast", "z_broadcast", "clock_broadcast", "ephemeris_age")

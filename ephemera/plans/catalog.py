@@ -16,9 +16,10 @@ from ephemera.functions import errors as E
 from ephemera.functions.orbit import eccentric_anomaly, with_clock_correction, with_position
 from ephemera.functions.scalars import finite_or, gps_seconds
 from ephemera.operators import asof, evaluate, filters, forecast, order, prep, profile, regression, sequences, windows
-from ephemera.operators.states import broadcast_states, error_dataset, published
+from ephemera.operators.states import broadcast_states, error_dataset, first_ephemerides, published
 from ephemera.sources import clk, nav, sp3, tables
 from ephemera.sources.text import find_files, scratch
+from ephemera.streaming import latest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -534,7 +535,7 @@ def _(spark, sf_dir):
     return got.select("version", "pos_vel_flag", "num_epochs", "gps_week", "epoch_interval", F.array_join("satellites", ",").alias("satellites"))
 
 
-def _nav_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _nav_texts(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
     """A navigation product for each line of an order: one record each, without a semi-major axis for line 2."""
     d = _elements(spark, sf_dir)
     num = lambda c: F.regexp_replace(F.format_string("%19.12e", c.cast("double")), "e", "D")
@@ -543,7 +544,7 @@ def _nav_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [[c("l_orderkey"), c("crs"), c("delta_n"), c("m0")], [c("cuc"), c("e"), c("cus"), a], [c("toe"), c("cic"), c("omega0"), c("cis")], [c("i0"), c("crc"), c("omega"), c("omega_dot")], [c("idot"), zero, c("l_linenumber"), zero], [zero, zero, zero, zero], [zero, F.lit(4.0)]]
     head = F.concat(c("satellite"), F.date_format("timestamp", " yyyy MM dd HH mm ss"), *(num(c(f"af{k}")) for k in range(3)))
     record = F.concat_ws("\n", head, *(F.concat(F.lit("    "), *map(num, r)) for r in rows))
-    return d.select(F.lit("f").alias("file"), F.concat(F.lit("header END OF HEADER\n"), record, F.lit("\n")).alias("value"))
+    return d.select(F.lit("f").alias("file"), F.concat(F.lit("header END OF HEADER\n"), record, F.lit("\n")).alias("value"), *keep)
 
 
 @query("parse_nav_wide", f"SELECT satellite, timestamp, CAST(l_linenumber AS DOUBLE) AS week, 0e0 AS health, 4e0 AS fit_interval, ((epoch_us(timestamp) - epoch_us(TIMESTAMP '1980-01-06 00:00:00')) / 1e6) % 604800.0 AS toc FROM (SELECT l_linenumber, l_shipdate AS timestamp, {_E_SQL} FROM lineitem) WHERE l_linenumber <> 2")
@@ -557,6 +558,18 @@ def _(spark, sf_dir):
     return d.select("satellite", "timestamp", F.round(F.col("af0") * 1e9, 6).alias("af0_ns"), F.round(F.col("af1") * 1e15, 6).alias("af1_fs"))
 
 
+@query("first_ephemerides", f"""SELECT satellite, timestamp, iode, round(a, 0) AS a, round(af0 * 1e9, 6) AS af0_ns FROM (SELECT l_orderkey, l_linenumber, l_orderkey * 1e0 AS iode, l_shipdate AS timestamp, {_E_SQL} FROM lineitem)
+WHERE l_linenumber <> 2 QUALIFY row_number() OVER (PARTITION BY satellite, timestamp ORDER BY l_orderkey // 16, l_orderkey DESC) = 1""")
+def _(spark, sf_dir):
+    """Products of up to sixteen orders that repeat satellites and days, within a file and from file to file; the first file's first record stays."""
+    d = _nav_texts(spark, sf_dir, "l_orderkey", "l_linenumber")
+    record = F.struct((-F.col("l_orderkey")).alias("place"), "l_linenumber", F.regexp_replace("value", "^header END OF HEADER\n", "").alias("text"))
+    files = d.groupBy(F.format_string("%015d.rnx", F.floor(F.col("l_orderkey") / 16)).alias("file")).agg(F.array_sort(F.collect_list(record)).alias("r"))  # 112 records a file at most
+    text = F.concat(F.lit("header END OF HEADER\n"), F.array_join(F.transform("r", lambda x: x["text"]), ""))
+    got = first_ephemerides(nav.parse_nav(files.select("file", text.alias("value")), wide=True, source=True))
+    return got.select("satellite", "timestamp", "iode", F.round("a", 0).alias("a"), F.round(F.col("af0") * 1e9, 6).alias("af0_ns"))
+
+
 def _error_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("value")
     return gappy(spark, sf_dir).select(F.concat(F.lit("G"), "user_id").alias("satellite_id"), F.date_trunc("second", "ts").cast("timestamp_ntz").alias("timestamp"), F.col("x").alias("orbit_error_m"), v.alias("clock_error_ns"), v.alias("radial_error_m"), F.lit(2.0).alias("ephemeris_age_hours"))
@@ -700,6 +713,14 @@ def _(spark, sf_dir):
     return profile.flag_outliers(d, ["l_quantity", "l_extendedprice"], 0.4).select("l_orderkey", "l_linenumber", "has_outlier")
 
 
+@query("outlier_total", """WITH q AS (SELECT quantile_cont(l_quantity, 0.25) AS a, quantile_cont(l_quantity, 0.75) AS b, quantile_cont(l_extendedprice, 0.25) AS c, quantile_cont(l_extendedprice, 0.75) AS d FROM lineitem),
+f AS (SELECT l_quantity < a - 0.4 * (b - a) OR l_quantity > b + 0.4 * (b - a) OR l_extendedprice < c - 0.4 * (d - c) OR l_extendedprice > d + 0.4 * (d - c) AS o FROM lineitem, q)
+SELECT count(*) FILTER (o) AS n_outliers, round(100.0 * count(*) FILTER (o) / count(*), 6) AS pct FROM f""")
+def _(spark, sf_dir):
+    d = table(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice")
+    return rounded(profile.outlier_total(profile.flag_outliers(d, ["l_quantity", "l_extendedprice"], 0.4)), "pct")
+
+
 @query("bucket_share", """SELECT CASE WHEN l_tax = 0 THEN '0' WHEN l_tax <= 0.02 THEN '(0, 0.02]' WHEN l_tax <= 0.04 THEN '(0.02, 0.04]' WHEN l_tax <= 0.06 THEN '(0.04, 0.06]' ELSE '> 0.06' END AS bucket, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM lineitem GROUP BY 1""")
 def _(spark, sf_dir):
     return rounded(profile.bucket_share(table(spark, sf_dir, "lineitem"), "l_tax", [0.02, 0.04, 0.06]), "pct")
@@ -731,6 +752,17 @@ def _(spark, sf_dir):
     return profile.coverage(e, asof.cross_times(e, e, "day", "product"))
 
 
+_KINDS = ["click", "error", "purchase", "signup", "view"]
+
+
+@query("coverage_table", f"SELECT day, {', '.join(f"bool_or(event_type = '{k}' AND value > 100) AS {k}" for k in _KINDS)} FROM (SELECT user_id, CAST(ts AS DATE) AS d, concat(user_id, ' ', CAST(ts AS DATE)) AS day, event_type, value FROM events) GROUP BY day")
+def _(spark, sf_dir):
+    """For each satellite's day, which kinds have an event above 100."""
+    e = events(spark, sf_dir).select(F.concat_ws(" ", "user_id", F.to_date("ts")).alias("day"), F.col("event_type").alias("product"), "value")
+    expected = e.select("day").distinct().select("day", F.explode(F.array(*map(F.lit, _KINDS))).alias("product"))
+    return profile.coverage_table(e.where("value > 100"), expected, _KINDS)
+
+
 @query("quality_report", f"SELECT count(*) AS n_rows, CAST(7 AS INT) AS n_columns, count(DISTINCT user_id) AS n_keys, count(x) = count(*) AS critical_complete, count(DISTINCT (user_id, ts)) = count(*) AS monotonic FROM {GAPPY}")
 def _(spark, sf_dir):
     return profile.quality_report(gappy(spark, sf_dir), "user_id", "ts", ["x"])
@@ -812,6 +844,18 @@ def _(spark, sf_dir):
     return windows.tail(events(spark, sf_dir).select("event_id", "user_id", "ts", "value"), "user_id", ON, 5).select("event_id", "user_id", "value")
 
 
+@query("latest_rows", "SELECT event_type, event_id, user_id, ts, value FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= 36")
+def _(spark, sf_dir):
+    """The last 36 events of each type, kept by a stream that reads the whole table in batches, in no order of time."""
+    latest.state_store(spark)
+    root = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
+    d = events(spark, sf_dir).select("event_type", "event_id", "user_id", "ts", "value")
+    d.repartition(8, "event_id").write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 3).parquet(f"{root}/in")
+    latest.write_latest(latest.latest_rows(stream, "event_type", "ts", 36, ["event_id"]), f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return latest.read_latest(spark, f"{root}/out")
+
+
 @query("not_monotonic", "SELECT user_id, n FROM (SELECT user_id, count(*) FILTER (ts <= before) AS n FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY value, event_id) AS before FROM events) GROUP BY 1) WHERE n > 0")
 def _(spark, sf_dir):
     return windows.not_monotonic(events(spark, sf_dir), "user_id", "ts", ["value", "event_id"])
@@ -854,6 +898,15 @@ query("nested_windows", _NESTED_SQL)(_nested(None))
 query("nested_windows_bucketed", _NESTED_SQL)(_nested("week"))
 
 
+@query("long_rows", f"""WITH r AS (SELECT *, row_number() {_W}) - 1 AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+s AS (SELECT user_id, first_value(ts) OVER (PARTITION BY user_id, k // 4 ORDER BY k) AS window_start, CAST(k % 4 AS INT) AS step, value, event_id FROM r WHERE (k // 4) * 4 + 5 <= n)
+SELECT user_id, window_start, step, CAST(0 AS INT) AS feature, value FROM s UNION ALL SELECT user_id, window_start, step, CAST(1 AS INT), CAST(event_id AS DOUBLE) FROM s""")
+def _(spark, sf_dir):
+    """The numbers of windows that follow one another, one per row."""
+    w = sequences.make_windows(events(spark, sf_dir), "user_id", ON, ["value", "event_id"], ["value"], 4, 1, 4, "week")
+    return sequences.long_rows(w, ["user_id", "window_start"])
+
+
 @query("windows_complete", f"SELECT user_id, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM (SELECT user_id, count(*) {_W} ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS n_all, count(x) {_W} ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS n_x FROM {GAPPY}) WHERE n_all = 6 AND n_x = 6 GROUP BY 1")
 def _(spark, sf_dir):
     w = sequences.make_windows(gappy(spark, sf_dir), "user_id", ON, ["x"], ["x"], 5, 1)

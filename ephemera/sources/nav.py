@@ -20,6 +20,7 @@ NAV_COLUMNS = [
     "cic", "cis", "toe", "af0", "af1", "af2", "iode", "gps_week", "tgd", "iodc",
 ]
 RECORD = "^[A-Z][0-9 ][0-9] "  # how a record's first line begins
+SOURCE = ["file", "record"]  # where a record was read: its file, and its place (split, number) there
 REQUIRED = ["toe", "m0", "delta_n", "e", "a", "omega0", "i0", "omega", "omega_dot", "idot"]
 
 
@@ -32,50 +33,55 @@ def parse_orbit_line(line: Column) -> Column:
     return F.transform(F.when(good, fixed).otherwise(found), fortran_double)
 
 
-def _records(files: DataFrame, constellations: tuple[str, ...]) -> DataFrame:
+def _records(files: DataFrame, constellations: tuple[str, ...], source: bool) -> DataFrame:
     """One row per record: its lines, satellite, time and clock polynomial."""
-    blocks = files.select(F.explode(F.split(after_header(F.col("value")), f"(?m)(?={RECORD})")).alias("block"))
-    return _heads(blocks.select(F.split("block", "\n").alias("lines")), constellations)
+    named = ["file"] if source else []
+    blocks = files.select(*named, F.posexplode(F.split(after_header(F.col("value")), f"(?m)(?={RECORD})")).alias("number", "block"))
+    record = F.struct(F.lit(0).cast("long").alias("block"), F.col("number").cast("long").alias("number"))
+    return _heads(blocks.select(*named, record.alias("record"), F.split("block", "\n").alias("lines")), constellations, source)
 
 
-def _heads(records: DataFrame, constellations: tuple[str, ...]) -> DataFrame:
-    d = records.select(F.filter("lines", lambda x: F.trim(x) != "").alias("lines"))
+def _heads(records: DataFrame, constellations: tuple[str, ...], source: bool) -> DataFrame:
+    d = records.select(*(SOURCE if source else []), F.filter("lines", lambda x: F.trim(x) != "").alias("lines"))
     d = d.where(F.substring(F.get("lines", F.lit(0)), 1, 1).isin(*constellations) & (F.size("lines") >= 8))
     first = F.get("lines", F.lit(0))
     when = epoch_timestamp(field(first, 4, 8), field(first, 9, 11), field(first, 12, 14), field(first, 15, 17), field(first, 18, 20), F.floor(field(first, 21, 23).try_cast("double")).cast("string"))
-    d = d.select(F.trim(F.substring(first, 1, 3)).alias("satellite"), when.alias("timestamp"), *(fortran_double(field(first, 23 + 19 * k, 42 + 19 * k)).alias(f"af{k}") for k in range(3)), "lines")
+    clock = (fortran_double(field(first, 23 + 19 * k, 42 + 19 * k)).alias(f"af{k}") for k in range(3))
+    d = d.select(*(SOURCE if source else []), F.trim(F.substring(first, 1, 3)).alias("satellite"), when.alias("timestamp"), *clock, "lines")
     return d.dropna(subset=["timestamp"])
 
 
-def parse_nav(files: DataFrame, wide: bool = False, constellations: tuple[str, ...] = ("G",)) -> DataFrame:
+def parse_nav(files: DataFrame, wide: bool = False, constellations: tuple[str, ...] = ("G",), source: bool = False) -> DataFrame:
     """Ephemerides of (file, value) rows; with ``wide`` also toc, week, health and fit_interval, and no row without a required element.
 
-    A record is a header line and seven orbit lines with 26 numbers at least; shorter ones are left out.
+    A record is a header line and seven orbit lines with 26 numbers at least; shorter ones are left out.  With
+    ``source`` also ``file`` and ``record``, a place that rises within the file.
     """
-    return _elements(_records(files, constellations), wide)
+    return _elements(_records(files, constellations, source), wide, source)
 
 
-def parse_nav_lines(lines: DataFrame, wide: bool = False, constellations: tuple[str, ...] = ("G",)) -> DataFrame:
+def parse_nav_lines(lines: DataFrame, wide: bool = False, constellations: tuple[str, ...] = ("G",), source: bool = False) -> DataFrame:
     """``parse_nav`` of ``splits.numbered_lines``: files of any size, read in splits of any size."""
-    return _elements(_heads(records(behind_header(lines), RECORD), constellations), wide)
+    return _elements(_heads(records(behind_header(lines), RECORD), constellations, source), wide, source)
 
 
-def read_large_nav(spark: SparkSession, path: str | list[str], pattern: str = "*.rnx", wide: bool = False, constellations: tuple[str, ...] = ("G",)) -> DataFrame:
+def read_large_nav(spark: SparkSession, path: str | list[str], pattern: str = "*.rnx", wide: bool = False, constellations: tuple[str, ...] = ("G",), source: bool = False) -> DataFrame:
     """``read_nav`` for files of any size."""
-    return parse_nav_lines(numbered_lines(spark, path, pattern), wide, constellations)
+    return parse_nav_lines(numbered_lines(spark, path, pattern), wide, constellations, source)
 
 
-def _elements(d: DataFrame, wide: bool) -> DataFrame:
+def _elements(d: DataFrame, wide: bool, source: bool) -> DataFrame:
+    columns = [*NAV_COLUMNS, *(SOURCE if source else [])]
     numbers = F.flatten(F.transform(F.slice("lines", 2, 7), parse_orbit_line))
     d = d.withColumn("v", numbers).where(F.size("v") >= 26)
     d = d.withColumns({n: F.get("v", F.lit(k)) for k, n in enumerate(ORBIT_FIELDS) if n != "-"})
     d = d.withColumns({"a": F.col("sqrt_a") * F.col("sqrt_a"), "epoch": F.col("timestamp")})
     if not wide:
-        return d.select(*NAV_COLUMNS)
+        return d.select(*columns)
     from ephemera.functions.scalars import WEEK_S, gps_seconds
 
     d = d.withColumns({"toc": F.pmod(gps_seconds(F.col("timestamp")), F.lit(WEEK_S)), "week": F.col("gps_week")})
-    return d.where("a > 0").dropna(subset=REQUIRED).select(*NAV_COLUMNS, "toc", "week", "health", "fit_interval")
+    return d.where("a > 0").dropna(subset=REQUIRED).select(*columns, "toc", "week", "health", "fit_interval")
 
 
 def parse_nav_clock(files: DataFrame, constellations: tuple[str, ...] = ("G", "R", "E", "C", "J")) -> DataFrame:
@@ -92,8 +98,8 @@ def _records_any(files: DataFrame, constellations: tuple[str, ...]) -> DataFrame
     return d.dropna(subset=["timestamp"])
 
 
-def read_nav(spark: SparkSession, path: str | list[str], pattern: str = "*.rnx", wide: bool = False, constellations: tuple[str, ...] = ("G",)) -> DataFrame:
-    return parse_nav(read_files(spark, path, pattern), wide, constellations)
+def read_nav(spark: SparkSession, path: str | list[str], pattern: str = "*.rnx", wide: bool = False, constellations: tuple[str, ...] = ("G",), source: bool = False) -> DataFrame:
+    return parse_nav(read_files(spark, path, pattern), wide, constellations, source)
 
 
 def read_nav_clock(spark: SparkSession, path: str | list[str], pattern: str = "*.rnx", constellations: tuple[str, ...] = ("G", "R", "E", "C", "J")) -> DataFrame:

@@ -54,8 +54,8 @@ def behind_header(lines: DataFrame) -> DataFrame:
 
 
 def records(lines: DataFrame, head: str) -> DataFrame:
-    """(file, lines): the lines from each one that fits ``head`` up to the next, in order."""
+    """(file, record, lines): the lines from each one that fits ``head`` up to the next, in order."""
     d = with_heads(lines, F.col("value").rlike(head))
     line = F.struct(F.col("unit.block").alias("block"), "place", "value")
     d = d.groupBy(F.col("unit.file").alias("file"), "record").agg(F.array_sort(F.collect_list(line)).alias("l"))
-    return d.select("file", F.transform("l", lambda x: x["value"]).alias("lines"))
+    return d.select("file", "record", F.transform("l", lambda x: x["value"]).alias("lines"))

@@ -5,6 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from ephemera.operators.filters import first_of_repeats
+from ephemera.operators.states import broadcast_states, first_ephemerides
 from ephemera.sources import nav, sp3
 from ephemera.sources.splits import numbered_lines, with_heads
 
@@ -59,6 +61,31 @@ def test_ephemerides(spark, tmp_path, split, wide):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.columns == want.columns and want.count() > (5 if wide else 20)
 
 
+@pytest.mark.parametrize("split", [200, 10**8], indirect=True)
+def test_the_first_file_wins(spark, tmp_path, split):
+    """Files that repeat satellites and times, within and between them: the first record of the first file by name stays."""
+    texts = {f"{name}.rnx": nav_text(40, seed) + nav_text(12, seed + 50, header=False) for name, seed in (("b", 1), ("a", 2), ("c", 3))}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    every = nav.read_nav(spark, str(tmp_path), source=True)
+    want = {}
+    for r in sorted(every.collect(), key=lambda r: (r.file, r.record.number)):
+        want.setdefault((r.satellite, r.timestamp), r.af0)
+    assert every.count() > len(want) > 30
+    for d in (every, nav.read_large_nav(spark, str(tmp_path), source=True)):
+        got = first_ephemerides(d)
+        assert got.columns == nav.NAV_COLUMNS and {(r.satellite, r.timestamp): r.af0 for r in got.collect()} == want and got.count() == len(want)
+        at = broadcast_states(d, got.select("timestamp"))
+        assert at.count() == broadcast_states(got, got.select("timestamp")).count() and at.exceptAll(broadcast_states(got, got.select("timestamp"))).count() == 0
+    assert first_ephemerides(got) is got and first_ephemerides(every.limit(0)).count() == 0
+
+
+def test_first_of_repeats_with_nulls_and_clashing_names(spark):
+    rows = [(None, 1, 2.0), (None, 1, 1.0), (None, 3, 0.0), ("a", None, 5.0), ("a", 0, 4.0), ("b", 7, None)]
+    d = spark.createDataFrame(rows, "k0 string, g int, row double")
+    assert sorted(map(str, (tuple(r) for r in first_of_repeats(d, ["k0"], ["g"]).collect()))) == sorted(map(str, [(None, 1, 1.0), ("a", None, 5.0), ("b", 7, None)]))
+
+
 @pytest.mark.parametrize("split", [64], indirect=True)
 def test_heads_are_carried_over_many_splits(spark, tmp_path, split):
     (tmp_path / "a.txt").write_text("before\nH1\n" + "".join(f"line {k}\n" for k in range(200)) + "H2\nH3\nlast\n")
