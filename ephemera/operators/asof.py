@@ -9,6 +9,7 @@ and targets their interval within (key, period), and the interval that is open w
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
@@ -250,3 +251,77 @@ def snap_to_grid(df: DataFrame, by: str, on: str, every_min: int = 15, tolerance
     grid = bounds.select("k", "start", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("to") - F.col("from")) / step))).alias("n"))
     grid = grid.select(F.col("k").alias(by), at.alias(on))
     return nearest_asof(grid, df, by, on, tolerance_s).select(*map(quoted, [by, on, *values]))
+
+
+@dataclass(frozen=True)
+class Samples:
+    """One right side of ``interpolate_many``; the fields mean what they mean in ``interpolate_asof``, ``min_points`` up to 2."""
+
+    df: DataFrame
+    values: list[str]
+    edge: str = "drop"
+    skip_null: bool = False
+    min_points: int = 1
+
+
+def interpolate_many(left: DataFrame, rights: list[Samples], by: str | list[str], on: str, bucket: str | None = None, times: DataFrame | None = None) -> DataFrame:
+    """``interpolate_asof`` with each of ``rights`` in turn, but ``left`` and all samples are exchanged and put in order once.
+
+    Rows of all tables stand in one order by time; each row of ``left`` takes each side's last sample at or before it
+    and, in the reverse order, its next one.  With ``bucket`` one table of periods for all sides hands on the samples
+    on either side of each (key, period).  ``bucket`` and ``times``: see ``bracket``.  Values of different sides need
+    different names and replace columns of ``left`` of the same name; of samples with one key and time the least values are taken.
+    """
+    if any(r.min_points > 2 for r in rights):
+        raise ValueError("min_points is 1 or 2 here")
+    by = [by] if isinstance(by, str) else by
+    size = None if bucket is None else _BUCKETS[bucket]
+    ks, sides = _names(by), range(len(rights))
+    samples = []
+    for r in rights:
+        d = r.df.dropna(subset=r.values) if r.skip_null else r.df
+        d = d.select(*_keys(by), micros(quoted(on)).alias("t"), F.struct(*map(quoted, r.values)).alias("v")).dropna(subset=[*ks, "t"])
+        samples.append(d.groupBy(*ks, _period(size).alias("p"), "t").agg(F.min("v").alias("v")).select(*ks, "p", "t", F.struct("t", "v").alias("s")))
+    kinds = [d.schema["s"].dataType for d in samples]
+    asked = left.select(*_keys(by), micros(quoted(on)).alias("t"), F.struct(*map(quoted, left.columns)).alias("row"))
+    none = [F.lit(None).cast(k).alias(f"s{i}") for i, k in enumerate(kinds)]
+    both = asked.select(*ks, _period(size).alias("p"), "t", "row", *none)
+    for i, d in enumerate(samples):
+        both = both.unionByName(d.select(*ks, "p", "t", F.lit(None).cast(asked.schema["row"].dataType).alias("row"), *(F.col("s").alias("s" + str(j)) if i == j else none[j] for j in sides)))
+    # at one time samples stand before rows, so the last one so far is at or before a row, and in reverse behind it
+    unit, is_row = Window.partitionBy(*ks, "p"), F.col("row").isNotNull()
+    so_far = (unit.orderBy(*o).rowsBetween(Window.unboundedPreceding, 0) for o in ((F.col("t").asc(), is_row.asc()), (F.col("t").desc(), is_row.desc())))
+    for name, w in zip("ab", so_far, strict=True):
+        both = both.withColumns({f"{name}{i}": F.last(f"s{i}", ignorenulls=True).over(w) for i in sides})
+    if size is None:
+        both = both.withColumns({f"many{i}": F.min(f"s{i}.t").over(unit) < F.max(f"s{i}.t").over(unit) for i in sides if rights[i].min_points > 1})
+    d = both.where(is_row).select(*ks, "p", "t", "row", *(f"{n}{i}" for n in "ab" for i in sides), *(f"many{i}" for i in sides if size is None and rights[i].min_points > 1))
+    if size is not None:
+        asked_at = (left if times is None else times).select(*_keys(by), micros(quoted(on)).alias("t")).select(*ks, _period(size).alias("p")).dropna().distinct()
+        ends = [F.lit(None).cast(k).alias(f"{n}{i}") for i, k in enumerate(kinds) for n in ("first", "last")]
+        per = asked_at.select(*ks, "p", *ends)
+        for i, x in enumerate(samples):
+            own = x.groupBy(*ks, "p").agg(F.min_by("s", "t").alias(f"first{i}"), F.max_by("s", "t").alias(f"last{i}"))
+            per = per.unionByName(own, allowMissingColumns=True)
+        per = per.groupBy(*ks, "p").agg(*(F.first(f"{n}{i}", ignorenulls=True).alias(f"{n}{i}") for i in sides for n in ("first", "last")))
+        key = Window.partitionBy(*ks)
+        up, down = (key.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.col("p").asc(), F.col("p").desc()))  # a row for each period
+        lent = [c for i in sides for c in (F.last(f"last{i}", ignorenulls=True).over(up).alias(f"before{i}"), F.last(f"first{i}", ignorenulls=True).over(down).alias(f"behind{i}"))]
+        many = [(F.min(f"first{i}.t").over(key) < F.max(f"last{i}.t").over(key)).alias(f"many{i}") for i in sides if rights[i].min_points > 1]
+        d = d.join(per.select(*ks, "p", *lent, *many), [*ks, "p"], "left")
+        d = d.withColumns({f"{n}{i}": F.coalesce(f"{n}{i}", f"{m}{i}") for i in sides for n, m in (("a", "before"), ("b", "behind"))})
+    keep, found = F.lit(True), []
+    for i, r in enumerate(rights):
+        a, b, t = F.col(f"a{i}"), F.col(f"b{i}"), F.col("t")
+        ok = F.coalesce(F.col(f"many{i}"), F.lit(False)) if r.min_points > 1 else F.lit(True)
+        exact, inside = a["t"] == t, a.isNotNull() & b.isNotNull()
+        if r.edge == "drop":
+            keep = keep & (F.coalesce(exact, F.lit(False)) | inside)
+        for c in r.values:
+            p, q = a["v"].getField(c), b["v"].getField(c)
+            value = F.when(exact, p).when(inside, p + (q - p) * (t - a["t"]) / (b["t"] - a["t"]))
+            if r.edge == "clamp":
+                value = value.when(t.isNotNull(), F.when(a.isNull(), q).otherwise(p))
+            found.append(F.when(ok, value).alias(c))
+    taken = {c for r in rights for c in r.values}
+    return d.where(keep).select(*(_of("row", c).alias(c) for c in left.columns if c not in taken), *found)

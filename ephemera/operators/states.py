@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ephemera.functions import errors as E
 from ephemera.functions.orbit import with_clock_correction, with_position
-from ephemera.operators.asof import cross_times, interpolate_asof, nearest_asof, nearest_on_grid
+from ephemera.operators.asof import Samples, cross_times, interpolate_many, nearest_asof, nearest_on_grid
 from ephemera.operators.filters import first_of_repeats
 from ephemera.sources.nav import SOURCE
 
@@ -58,12 +58,10 @@ def error_dataset(broadcast: DataFrame, orbit: DataFrame, clock: DataFrame, velo
     differences give along-track and cross-track errors, else they are null.  With ``bucket``, ``times`` may give the
     (satellite, timestamp) rows that ``broadcast`` was computed for, so that it is computed once.
     """
-    if times is None:
-        times = broadcast.select("satellite", "timestamp")
     precise = E.with_velocity(orbit) if velocity else orbit
     axes = ["x", "y", "z", *(["vx", "vy", "vz"] if velocity else [])]
-    d = interpolate_asof(broadcast, precise, "satellite", "timestamp", axes, "drop", bucket=bucket, times=times).dropna(subset=["x", "y", "z"])
-    d = interpolate_asof(d, clock, "satellite", "timestamp", ["clock_bias"], "null", skip_null=True, min_points=2, bucket=bucket, times=times)
+    products = [Samples(precise, axes), Samples(clock, ["clock_bias"], "null", skip_null=True, min_points=2)]
+    d = interpolate_many(broadcast, products, "satellite", "timestamp", bucket, times).dropna(subset=["x", "y", "z"])
     b, p = tuple(F.col(f"{c}_broadcast") for c in "xyz"), tuple(F.col(c) for c in "xyz")
     along, across = E.along_cross_errors(b, p, tuple(F.col(f"v{c}") for c in "xyz")) if velocity else (F.lit(None).cast("double"),) * 2
     return d.select(
