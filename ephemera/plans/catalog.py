@@ -559,12 +559,13 @@ def _(spark, sf_dir):
 
 
 @query("first_ephemerides", f"""SELECT satellite, timestamp, iode, round(a, 0) AS a, round(af0 * 1e9, 6) AS af0_ns FROM (SELECT l_orderkey, l_linenumber, l_orderkey * 1e0 AS iode, l_shipdate AS timestamp, {_E_SQL} FROM lineitem)
-WHERE l_linenumber <> 2 QUALIFY row_number() OVER (PARTITION BY satellite, timestamp ORDER BY l_orderkey // 16, l_orderkey DESC) = 1""")
+WHERE l_linenumber <> 2 QUALIFY row_number() OVER (PARTITION BY satellite, timestamp ORDER BY l_orderkey // 16, l_orderkey DESC, {_ORDERED}) = 1""")
 def _(spark, sf_dir):
     """Products of up to sixteen orders that repeat satellites and days, within a file and from file to file; the first file's first record stays."""
-    d = _nav_texts(spark, sf_dir, "l_orderkey", "l_linenumber")
-    record = F.struct((-F.col("l_orderkey")).alias("place"), "l_linenumber", F.regexp_replace("value", "^header END OF HEADER\n", "").alias("text"))
-    files = d.groupBy(F.format_string("%015d.rnx", F.floor(F.col("l_orderkey") / 16)).alias("file")).agg(F.array_sort(F.collect_list(record)).alias("r"))  # 112 records a file at most
+    elements = [c for c in _ELEMENTS if c != "satellite"]
+    d = _nav_texts(spark, sf_dir, "l_orderkey", *elements)
+    record = F.struct((-F.col("l_orderkey")).alias("place"), *elements, F.regexp_replace("value", "^header END OF HEADER\n", "").alias("text"))
+    files = d.groupBy(F.format_string("%015d.rnx", F.floor(F.col("l_orderkey") / 16)).alias("file")).agg(F.array_sort(F.collect_list(record)).alias("r"))  # the records of sixteen orders
     text = F.concat(F.lit("header END OF HEADER\n"), F.array_join(F.transform("r", lambda x: x["text"]), ""))
     got = first_ephemerides(nav.parse_nav(files.select("file", text.alias("value")), wide=True, source=True))
     return got.select("satellite", "timestamp", "iode", F.round("a", 0).alias("a"), F.round(F.col("af0") * 1e9, 6).alias("af0_ns"))
