@@ -6,6 +6,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,7 @@ class Encoder:
     ``limit`` of them and ``limit_size`` characters and ids; whole texts and long pre-tokens never are.
     """
 
-    limit, limit_size = 200_000, 12_000_000
+    limit, limit_size = 600_000, 16_000_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -64,7 +65,7 @@ class Encoder:
 
     def clear(self) -> None:
         self.units = _Units()
-        self.flat, self.start = np.empty(0, np.uint32), np.zeros(1, np.int64)
+        self.flat, self.start, self.uses = np.empty(0, np.uint32), np.zeros(1, np.int64), np.empty(0, np.int64)
 
     def _split(self, raw: bytes) -> list[str]:
         text = raw.decode("utf-8", "replace")
@@ -72,10 +73,12 @@ class Encoder:
             return [text[a:b] for _, (a, b) in self.splitter.pre_tokenize_str(text)]
         return _SPLIT.findall(text)
 
-    def _ids(self, unit: str | list[int]) -> list[int]:
-        if isinstance(unit, list):
-            return unit
-        return [t.id for t in self.model.tokenize(unit.encode().decode("latin-1").translate(self.alphabet))]
+    def _ids(self, units: list[str | list[int]]) -> list[list[int]]:
+        """Ids of each unit; texts that were encoded whole have them already."""
+        # no UTF-8 text holds the byte 0xFF, which the alphabet keeps
+        names = b"\xff".join([b"" if isinstance(u, list) else u.encode() for u in units]).decode("latin-1").translate(self.alphabet).split("\xff")
+        tokenize = self.model.tokenize
+        return [u if isinstance(u, list) else [t.id for t in tokenize(x)] for u, x in zip(units, names, strict=True)]
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, joined, and the number of ids of each text."""
@@ -88,33 +91,39 @@ class Encoder:
                 ids = self.tokenizer.encode(raw.decode("utf-8", "replace"), add_special_tokens=False).ids
                 parts.append(np.array([self.units.add(ids)], np.int64))
         if self.units.fresh:
-            ids = [self._ids(u) for u in self.units.fresh]
+            ids = self._ids(self.units.fresh)
             counts = np.fromiter(map(len, ids), np.int64, len(ids))
             self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(counts.sum()))])
             self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(counts)])
             self.units.fresh = []
         keys = np.concatenate(parts) if parts else np.empty(0, np.int64)
+        uses = np.bincount(keys, minlength=self.units.total)
+        uses[: len(self.uses)] += self.uses
+        self.uses = uses
         counts = self.start[keys + 1] - self.start[keys]
         of_text = offsets_of(np.fromiter(map(len, parts), np.int64, len(parts)))
         before = np.concatenate([[0], np.cumsum(counts)])
         out = self.flat[ragged(self.start[keys], counts)], before[of_text[1:]] - before[of_text[:-1]]
         if self.units.total > self.limit or self.units.size + len(self.flat) > self.limit_size:
-            self._forget(keys)
+            self._forget()
         return out
 
-    def _forget(self, keys: np.ndarray) -> None:
-        """Keep the pre-tokens that the texts at hand have twice or more, as far as a quarter of the limits goes."""
-        used, times = np.unique(keys, return_counts=True)
-        names = {k: u for u, k in self.units.items()}
-        stay = [k for k in used[times > 1].tolist() if k in names][: self.limit // 4]
-        size = np.cumsum([len(names[k]) + int(self.start[k + 1] - self.start[k]) for k in stay])
-        stay = np.array(stay[: int(np.searchsorted(size, self.limit_size // 4))], np.int64)
-        counts = self.start[stay + 1] - self.start[stay]
-        self.flat, self.start = self.flat[ragged(self.start[stay], counts)], offsets_of(counts)
-        self.units = _Units()
-        for k in stay.tolist():
-            self.units[names[k]] = self.units.add(names[k])
-        self.units.fresh = []
+    def _forget(self) -> None:
+        """Keep the pre-tokens with most uses, twice or more, as far as half of the limits goes; uses so far count half from now on."""
+        keys = np.fromiter(self.units.values(), np.int64, len(self.units))
+        size = np.fromiter(map(len, self.units), np.int64, len(keys)) + self.start[keys + 1] - self.start[keys]
+        most = np.argsort(-self.uses[keys], kind="stable")[: self.limit // 2]
+        most = most[(np.cumsum(size[most]) <= self.limit_size // 2) & (self.uses[keys[most]] > 1)]
+        stays = np.zeros(len(keys), bool)
+        stays[most] = True
+        keys = keys[stays]
+        counts = self.start[keys + 1] - self.start[keys]
+        self.flat, self.start, self.uses = self.flat[ragged(self.start[keys], counts)], offsets_of(counts), self.uses[keys] // 2
+        kept = _Units()
+        for u in compress(self.units, stays.tolist()):
+            kept[u] = kept.add(u)
+        kept.fresh = []
+        self.units = kept
 
     def sentence_ends(self) -> np.ndarray:
         """Flags of the ids whose text ends with a full stop, question or exclamation mark or a line break."""

@@ -48,6 +48,20 @@ def test_memory_of_the_encoder_is_bounded(monkeypatch):
         assert encoder.units.size + len(encoder.flat) <= 4000 and len(encoder.start) == encoder.units.total + 1
 
 
+def test_frequent_pre_tokens_stay_when_memory_is_full(monkeypatch):
+    """The model is asked once for each pre-token that comes again and again, however many rare ones come between."""
+    monkeypatch.setattr(Encoder, "limit", 400)
+    encoder, asked = Encoder(str(public_tokenizers.path("byte_bpe_50k.json"))), []
+
+    class Counted:
+        tokenize = staticmethod(lambda unit, model=encoder.model: asked.append(unit) or model.tokenize(unit))
+
+    encoder.model = Counted
+    for k in range(30):
+        encoder.encode([" ".join(f"{c}{d}often" for c in "abcde" for d in "fghijklmnopqrst").encode(), "".join(f" rare{'xyz'[j % 3] * (j + 1)}q{'uvw'[k % 3] * (k + 1)}" for j in range(100)).encode()])
+    assert len(asked) == len(set(asked)) == 75 + 30 * 100
+
+
 def plain_costs(places, penalties, size, truncation):
     cost = [0.0]
     for j in range(1, len(places)):
