@@ -11,14 +11,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ephemera.llm.common import free_name
 
-SAMPLE_DOCS = 20_000  # documents, about, whose candidates train the trees
-SAMPLE_ROWS = 40_000  # candidates at most
+GRID = 32  # shares and entropies are multiples of 1 / GRID, so that like candidates have equal features and are counted together
+TASK_ROWS = 100_000  # distinct training rows in a task of the trees, about
 PRECISION = 0.95  # asked for on the held-out part, by kind
 KINDS = ("email", "ip", "card", "phone", "secret", "number")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -142,6 +142,10 @@ def _entropy(t: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(t).values())
 
 
+def _grid(x: float) -> float:
+    return round(x * GRID) / GRID
+
+
 def features(text: str, a: int, b: int, kind: str) -> list[float]:
     """FORMAT, then CONTEXT; of long spans the first CLIP characters count."""
     t, left = text[a : min(b, a + CLIP)], _left(text, a)
@@ -149,7 +153,7 @@ def features(text: str, a: int, b: int, kind: str) -> list[float]:
     upper, lower = sum(c.isupper() for c in t), sum(c.islower() for c in t)
     n = max(1, len(t))
     return [
-        float(KINDS.index(kind)), float(b - a), digits / n, upper / n, lower / n, (n - digits - upper - lower) / n, len(set(t)) / n, _entropy(t),
+        float(KINDS.index(kind)), float(b - a), *map(_grid, (digits / n, upper / n, lower / n, (n - digits - upper - lower) / n, len(set(t)) / n, _entropy(t))),
         float(len(re.split(r"[^A-Za-z0-9]+", t))), float(not t.strip("0123456789abcdefABCDEF")), float(len(re.findall(r"[0-9]+|[A-Z]+|[a-z]+", t))), float(_FORMATTED.fullmatch(t) is not None),
         float(text[a - 1 : a] in tuple("\"'`") if a else 0), float(left[-1:].isalnum()), float(text[b : b + 1].isalnum()), float(a == 0 or text[a - 1] == "\n"),
         float(left.rstrip(" \"'`")[-1:] in tuple("=:")), float(sum(w in left for w in _WORDS)), float(len(_NEAR.findall(left))),
@@ -212,46 +216,65 @@ class Model(NamedTuple):
     report: dict[str, tuple[int, float, float]]  # by kind: held-out candidates, precision and recall at the cut without context
 
 
-def fit(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOCS, precision: float = PRECISION) -> Model | None:
-    """Boosted trees and a cut-off for each kind, from labelled candidates of about ``sample_docs`` documents (SAMPLE_ROWS at most, by hash).
+def _scores(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.array(b.column(0).to_pylist()).reshape(b.num_rows, -1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x[:, 0].astype(np.int32)), pa.array(shared.value.probability(x)), b.column(1), b.column(2)], names=["kind", "score", "label", "weight"]
+            )
+
+    return run
+
+
+def fit(docs: DataFrame, text_col: str = "text", precision: float = PRECISION) -> Model | None:
+    """Boosted trees and a cut-off for each kind, from the labelled candidates of all documents.
+
+    Labels are weak (see ``candidates``; an ordinary word of each document is a negative too).  Candidates of equal
+    features and label are one row whose weight is their number, so the tables grow with the distinct ones.  The trees
+    see each training row twice, with its context and without, so they cannot rest on what made the label; three
+    tenths of the candidates, by hash, are held out, and the cut-off of a kind is the least that gives ``precision``
+    there on formats alone (0.9 where fewer than 20 are held out, none passes if there is no such cut-off).  None if
+    the labels have one class only.
 
-    Labels are weak (see ``candidates``; an ordinary word of each document is a negative too).  The trees see each
-    training row twice, with its context and without, so they cannot rest on what made the label; a tenth to a third
-    of the candidates, by hash, is held out, and the cut-off of a kind is the least that gives ``precision`` there on
-    formats alone (0.9 where fewer than 20 are held out, none passes if there is no such cut-off).  None if the labels
-    have one class only.
+    Up to TASK_ROWS distinct rows the trees do not depend on partitioning; of more, sums are added in the order in
+    which tasks end, so equally good splits may change places.
     """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
-    total = docs.count()
     text = docs.select(F.col(text_col).alias("text")).where("text is not null")
-    share = min(1.0, sample_docs / max(1, total))
-    text = text.where(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else text
-    rows = text.mapInArrow(_training_rows, "x array<double>, label double, key string").withColumn("h", F.xxhash64("key"))
-    rows = rows.orderBy("h", "key", "label", "x").limit(SAMPLE_ROWS).withColumn("fold", F.pmod("h", F.lit(10))).select("x", "label", "fold").toPandas()
-    train, held = rows[rows.fold >= 3], rows[rows.fold < 3]
-    if train.label.nunique() < 2:
-        return None
-    seen = [(list(map(float, x)), float(y)) for x, y in zip(train.x, train.label, strict=True)]
-    seen += [(x[: len(FORMAT)] + [0.0] * len(CONTEXT), y) for x, y in seen]
-    frame = docs.sparkSession.createDataFrame(seen, "x array<double>, label double").coalesce(1).select(array_to_vector("x").alias("features"), "label")
-    trees = Trees(GBTClassifier(maxIter=12, maxDepth=4, stepSize=0.3, seed=1).fit(frame))
+    found = text.mapInArrow(_training_rows, "x array<double>, label double, key string")
+    is_held = F.pmod(F.xxhash64("key"), F.lit(10)) < 3
+    rows = found.groupBy("x", "label", is_held.alias("held")).agg(F.count("*").cast("double").alias("weight")).persist()
+    try:
+        alone = F.concat(F.slice("x", 1, len(FORMAT)), F.array_repeat(F.lit(0.0), len(CONTEXT)))
+        train = rows.where("not held").select(F.explode(F.array("x", alone)).alias("x"), "label", "weight")
+        train = train.groupBy("x", "label").agg(F.sum("weight").alias("weight"))
+        n, classes = train.agg(F.count("*"), F.countDistinct("label")).first()
+        if classes < 2:
+            return None
+        frame = train.repartition(-(-n // TASK_ROWS)).sortWithinPartitions("x", "label").select(array_to_vector("x").alias("features"), "label", "weight")
+        # MLlib sets its split points from all rows if their number is at most the square of maxBins, else from a sample
+        bins = max(32, math.isqrt(n) + 1)
+        trees = Trees(GBTClassifier(maxIter=12, maxDepth=4, stepSize=0.3, seed=1, maxBins=bins, weightCol="weight").fit(frame))
+        shared = docs.sparkSession.sparkContext.broadcast(trees)
+        held = rows.where("held").select(alone.alias("x"), "label", "weight").mapInArrow(_scores(shared), "kind int, score double, label double, weight double")
+        held = held.groupBy("kind", "score").agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("label")).alias("hits"))
+        kind = Window.partitionBy("kind")
+        above = kind.orderBy(F.desc("score"))  # equal scores pass together
+        held = held.withColumn("enough", F.sum("hits").over(above) >= precision * F.sum("n").over(above))
+        least = F.min(F.when(F.col("enough"), F.col("score"))).over(kind)
+        held = held.withColumn("cut", F.when(least.isNull(), 1.1).otherwise(F.greatest(F.lit(0.5), least)))
+        passed = lambda c: F.coalesce(F.sum(F.when(F.col("score") >= F.col("cut"), F.col(c))), F.lit(0.0)).alias(f"passed_{c}")
+        totals = held.groupBy("kind", "cut").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"), passed("n"), passed("hits")).collect()
+    finally:
+        rows.unpersist()
     cuts, report = {k: 0.9 for k in KINDS}, {}
-    x, y = np.array(held.x.tolist()).reshape(len(held), -1), held.label.to_numpy()
-    for k, kind in enumerate(KINDS):
-        own = x[:, 0] == k if len(held) else np.zeros(0, bool)
-        if own.sum() >= 20:
-            alone = x[own].copy()
-            alone[:, len(FORMAT) :] = 0.0
-            p, hit = trees.probability(alone), y[own]
-            order = np.argsort(-p, kind="stable")
-            hits = np.cumsum(hit[order])
-            last = np.append(p[order][1:] < p[order][:-1], True)  # equal scores pass together
-            ok = np.flatnonzero(last & (hits >= precision * np.arange(1, len(order) + 1)))
-            cuts[kind] = max(0.5, float(p[order][ok[-1]])) if len(ok) else 1.1
-            passed = p >= cuts[kind]
-            report[kind] = (int(own.sum()), float(hit[passed].mean()) if passed.any() else 1.0, float(hit[passed].sum() / max(1, hit.sum())))
+    for r in sorted(totals):
+        if r.n >= 20:
+            cuts[KINDS[r.kind]] = r.cut
+            report[KINDS[r.kind]] = (int(r.n), r.passed_hits / r.passed_n if r.passed_n else 1.0, r.passed_hits / max(1, r.hits))
     return Model(trees, cuts, report)
 
 
@@ -318,17 +341,18 @@ def redacted(text: str | None, spans: list[Span]) -> str | None:
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
-def find_pii(docs: DataFrame, text_col: str = "text", redact: bool = False, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def find_pii(docs: DataFrame, text_col: str = "text", redact: bool = False) -> DataFrame:
     """``docs`` with base_spans and spans: arrays of (kind, start, end) in code points, by start, then kind.
 
     base_spans come from the fixed patterns; spans has them all and those candidates whose score passes the cut-off
-    of their kind and that lie within no other such span; spans may overlap, and have any length.  With ``redact`` each span of the text becomes <KIND>.  Training
-    uses a bounded sample (see ``fit``); every document is searched whole, in one pass without a shuffle.
+    of their kind and that lie within no other such span; spans may overlap, and have any length.  With ``redact`` each span of the text becomes <KIND>.
+    Trees and cut-offs come from the candidates of all documents (see ``fit``), counted by a shuffle of distinct ones;
+    every document is then searched whole, in one pass without a shuffle.
 
     Null text has no spans and stays null; repeated rows are treated alike; an empty table gives an empty result and
     no model; result columns whose names are taken get a trailing '_'.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, text_col, sample_docs))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, text_col))
     span = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     names = [free_name(docs, x) for x in ("base_spans", "spans")]
     schema = T.StructType([*docs.schema.fields, *(T.StructField(x, span) for x in names)])

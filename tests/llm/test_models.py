@@ -122,6 +122,31 @@ def test_fit_does_not_depend_on_partitioning_and_is_calibrated(spark):
     assert pii.fit(d.where("text like 'the part%'")) is None
 
 
+def test_fit_counts_the_candidates_of_all_documents(spark):
+    """Held-out numbers, cut-offs, precision and recall equal those of a plain loop over every document of a larger table."""
+    texts = labelled_texts(4000) + ["look [at] that [dot] org now"] * 500
+    model = pii.fit(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    found = []
+    for t in texts:
+        for a, z, kind, label in pii.candidates(t, *pii.base_spans(t)) + pii.background(t):
+            if label is not None:
+                x = pii.features(t, a, z, kind)
+                found.append((t[max(0, a - 24) : min(z, a + pii.CLIP) + 24], kind, label, x[: len(pii.FORMAT)] + [0.0] * len(pii.CONTEXT)))
+    rows = spark.createDataFrame(found, "key string, kind string, label int, x array<double>").where("pmod(xxhash64(key), 10) < 3").collect()
+    assert set(model.report) == {r.kind for r in rows}
+    for kind, (n, precision, recall) in model.report.items():
+        own = [r for r in rows if r.kind == kind]
+        scored = list(zip(model.trees.probability(np.array([r.x for r in own])).tolist(), (r.label for r in own)))
+        total, hits = dict.fromkeys(p for p, _ in scored), {}
+        for cut in total:
+            total[cut] = sum(p >= cut for p, _ in scored)
+            hits[cut] = sum(y for p, y in scored if p >= cut)
+        cut = min((max(0.5, p) for p in total if hits[p] >= pii.PRECISION * total[p]), default=1.1)
+        passed = [y for p, y in scored if p >= cut]
+        assert (n, model.cuts[kind]) == (len(own), cut)
+        assert (precision, recall) == pytest.approx((sum(passed) / len(passed) if passed else 1.0, sum(passed) / max(1, sum(y for _, y in scored))))
+
+
 def test_spans_have_any_length(spark):
     r = random.Random(1)
     random_text = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
