@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ephemera.llm.common import checkpointed
 
 
 HOT = 1_000  # a node with more than this part of all rows is joined by broadcast; there are fewer than HOT such nodes
+PART_ROWS = 4_000  # edges in a partition, at least: rounds shrink the table, and each task of a round leaves files
 
 
 def _stars(pairs: DataFrame, most: float | None = None) -> DataFrame:
@@ -36,8 +39,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     a, b = edges.columns[:2]
     edges = checkpointed(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())
     for _ in range(max_rounds):
+        n = edges.count()
+        edges = edges.coalesce(max(1, math.ceil(n / PART_ROWS)))
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _stars(both, 2 * edges.count() / HOT).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = _stars(both, 2 * n / HOT).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # now a node's smaller neighbours are few: what was a hub is the end of their edges
         small = _stars(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))

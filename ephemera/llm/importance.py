@@ -44,7 +44,7 @@ def _count(target, id_col: str, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, chosen = WordHash(), target.value
         raw, good = np.zeros(2 * BUCKETS, np.int64), np.zeros(2 * BUCKETS, np.int64)
-        for table in flushes(batches, text_col, FLUSH_BYTES):
+        for table in flushes(batches, text_col, FLUSH_BYTES, None):
             words, marks = feature_ids(texts_of(table[text_col]), cache)
             ids = table[id_col].to_pylist()
             for kind in (words, marks):
@@ -63,7 +63,7 @@ def _score(ratios, text_col: str, seed: int, names: list[str], at_id: int, carry
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, table_of = WordHash(), ratios.value
-        for table in flushes(batches, text_col, FLUSH_BYTES):
+        for table in flushes(batches, text_col, FLUSH_BYTES, None):
             weight, texts = np.zeros(table.num_rows), texts_of(table[text_col])
             for kind in feature_ids(texts, cache):
                 total = np.concatenate([[0], np.cumsum(table_of[np.concatenate(kind)])])

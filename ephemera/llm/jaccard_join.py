@@ -35,6 +35,7 @@ from ephemera.llm.common import (
     mix,
     offsets_of,
     ragged,
+    release_memory,
     shingle_sets,
     shuffle_partitions,
     stored,
@@ -42,7 +43,7 @@ from ephemera.llm.common import (
 )
 from ephemera.llm.components import connected_components
 
-FLUSH_BYTES = 8 << 20
+FLUSH_BYTES = 4 << 20
 PREFIX_SHARE = 10  # l(n) = n // PREFIX_SHARE, at least 1
 BLOCK = 5_000  # classes in a block of a tile
 BLOCK_SHINGLES = 4_000_000  # shingles in a block, about
@@ -62,7 +63,7 @@ def _class_of(s: np.ndarray) -> int:
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHash()
-        for table in flushes(batches, "text", FLUSH_BYTES):
+        for table in flushes(batches, "text", FLUSH_BYTES, None):
             sets = shingle_sets(texts_of(table["text"]), n, cache)
             yield pa.RecordBatch.from_arrays(
                 [table["doc_id"].combine_chunks(), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_of(s) for s in sets], pa.int64())],
@@ -77,7 +78,7 @@ def _prefixes(n: int, num: int, den: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHash()
-        for table in flushes(batches, "text", FLUSH_BYTES):
+        for table in flushes(batches, "text", FLUSH_BYTES, None):
             classes = {}
             for s in shingle_sets(texts_of(table["text"]), n, cache):
                 if len(s):
@@ -174,7 +175,8 @@ def tile_links(sets: list[np.ndarray], num: int, den: int, side: np.ndarray | No
     label, linked = np.arange(n), np.zeros(n, np.int64)
     bits = bitmaps(sets)
     # sorted arrays of places in the tile's own sorted vocabulary
-    own, every = np.unique(np.concatenate(sets), return_inverse=True)
+    own = np.unique(np.concatenate(sets))
+    every = np.concatenate([np.searchsorted(own, s).astype(np.int32) for s in sets])
     start, marks = offsets_of(size), np.zeros(len(own), bool)
     last = np.searchsorted(size, size * den // num, side="right")
     for i in range(n - 1):
@@ -212,9 +214,12 @@ def _verify(n: int, num: int, den: int, count: bool):
 
     def settle(rows: list[tuple[int, int, int, bytes]], cache: WordHash) -> list[list[int]]:
         found = {}
-        for row, s in zip(rows, shingle_sets([r[3] for r in rows], n, cache), strict=True):
-            if _class_of(s) == row[0]:  # a repeated id may carry another text
-                found.setdefault(row[0], (s, row[1], row[2]))
+        while rows:  # texts are given up as their sets are made
+            part = rows[-1000:]
+            del rows[-1000:]
+            for row, s in zip(part, shingle_sets([r[3] for r in part], n, cache), strict=True):
+                if _class_of(s) == row[0]:  # a repeated id may carry another text
+                    found.setdefault(row[0], (s, row[1], row[2]))
         items = sorted(found.items(), key=lambda x: len(x[1][0]))
         if len(items) < 2:
             return [[], [], []]
@@ -238,6 +243,8 @@ def _verify(n: int, num: int, den: int, count: bool):
                 held.append((cls, side, size, text))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["u", "v", "linked"])
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in settle(held, cache)], names=["u", "v", "linked"])
+        del cache, held
+        release_memory()
 
     return run
 

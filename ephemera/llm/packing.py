@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ephemera.llm.common import flushes, offsets_of, ragged, texts_of
+from ephemera.llm.common import flushes, kept, offsets_of, ragged, texts_of
 
 FLUSH_BYTES = 4 << 20
 SENTENCE = 1.0  # cost of a cut after a sentence inside a document, in padded tokens
@@ -136,15 +136,6 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}  # by path, kept while a worker process lives, so that its tasks share the cache
-
-
-def encoder_of(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
-
-
 class _Units(dict):
     """Key of each unit; those that are met for the first time wait in ``fresh``."""
 
@@ -249,7 +240,7 @@ def cut_stream(ends: np.ndarray, sentences: np.ndarray, total: int, size: int, l
 
 def _pack(path: str, size: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(path)
+        encoder = kept(path, Encoder)  # so that the tasks of a worker process share the cache
         closes = encoder.sentence_ends()
         number = TaskContext.get().partitionId() << 36
         held = np.empty(0, np.uint32)
@@ -294,7 +285,7 @@ def _pack(path: str, size: int, end_id: int):
             held, rows, names = held[done:], rest, names[k:]
             return out
 
-        for table in flushes(batches, "text", FLUSH_BYTES):
+        for table in flushes(batches, "text", FLUSH_BYTES, None, keep=path):
             ids, counts = encoder.encode(texts_of(table["text"]))
             ends = np.cumsum(counts)
             full = np.insert(ids, ends, np.uint32(end_id))
