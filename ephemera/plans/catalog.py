@@ -521,7 +521,7 @@ def _(spark, sf_dir):
     return d.select("analysis_center", "version", "leap_seconds", "num_data_types", F.array_join("data_types", ",").alias("data_types"))
 
 
-@query("read_many_clk", "SELECT concat('U', lpad(CAST(user_id AS VARCHAR), 3, '0')) AS id, date_trunc('second', ts) AS timestamp, round(value * 1e-6 * 1e9, 1) AS bias_ns FROM events")
+@query("read_many_clk", "SELECT printf('U%03d', user_id) AS id, date_trunc('second', ts) AS timestamp, round(value * 1e-6 * 1e9, 1) AS bias_ns FROM events")
 def _(spark, sf_dir):
     d = clk.read_clk(spark, [_written(spark, _clk_texts(spark, sf_dir), "")], "*.txt")
     return d.select("id", "timestamp", F.round(F.col("clock_bias") * 1e9, 1).alias("bias_ns"))
