@@ -6,6 +6,7 @@ expression that both engines share.  Doubles are rounded to six places in both.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -167,6 +168,9 @@ _ELEMENTS = {
 }
 
 
+_CONSTANTS = {k: float(v) for k, v in _ELEMENTS.items() if re.fullmatch("[0-9.e-]+", v)}
+
+
 def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = {k: F.expr(v) for k, v in _ELEMENTS.items()}
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_shipdate").alias("timestamp"), *(F.coalesce(c.cast("string" if k == "satellite" else "double")).alias(k) for k, c in e.items()))
@@ -357,18 +361,30 @@ def _(spark, sf_dir):
     return orbit.select("timestamp", "satellite", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
+def _nav_record(rows: list[list[str | float | Column]], of: Callable[[str], Column] = F.col) -> Column:
+    """The lines of a record: satellite, time, clock polynomial, and rows of columns or constants.  One format writes all numbers; constants stand in it."""
+    numbers: list[Column] = []
+
+    def field(c: str | float | Column) -> str:
+        c = _CONSTANTS.get(c, c) if isinstance(c, str) else c
+        if isinstance(c, float):
+            return f"{c:19.12e}"
+        numbers.append((of(c) if isinstance(c, str) else c).cast("double"))
+        return "%19.12e"
+
+    lines = ["".join(map(field, ["af0", "af1", "af2"])), *("    " + "".join(map(field, r)) for r in rows)]
+    return F.replace(F.format_string("%s%s" + "\n".join(lines), of("satellite"), F.date_format(of("timestamp"), " yyyy MM dd HH mm ss"), *numbers), F.lit("e"), F.lit("D"))
+
+
 @query("parse_nav", f"SELECT satellite, date_trunc('second', l_shipdate) AS timestamp, l_orderkey * 1e0 AS iode, round(a, 0) AS a, round(e, 9) AS e, round(m0, 9) AS m0, toe, round(af0 * 1e9, 6) AS af0_ns, l_linenumber * 1e0 AS iodc FROM (SELECT l_orderkey, l_linenumber, l_shipdate, {_E_SQL} FROM lineitem) WHERE l_linenumber <> 3")
 def _(spark, sf_dir):
     d = _elements(spark, sf_dir)
-    num = lambda c: F.regexp_replace(F.format_string("%19.12e", c.cast("double")), "e", "D")
-    c, zero = F.col, F.lit(0.0)
     rows = [
-        [c("l_orderkey"), c("crs"), c("delta_n"), c("m0")], [c("cuc"), c("e"), c("cus"), F.sqrt("a")], [c("toe"), c("cic"), c("omega0"), c("cis")], [c("i0"), c("crc"), c("omega"), c("omega_dot")],
-        [c("idot"), zero, zero, zero], [zero, zero, zero, c("l_linenumber")], [zero, zero],
+        ["l_orderkey", "crs", "delta_n", "m0"], ["cuc", "e", "cus", F.sqrt("a")], ["toe", "cic", "omega0", "cis"], ["i0", "crc", "omega", "omega_dot"],
+        ["idot", 0.0, 0.0, 0.0], [0.0, 0.0, 0.0, "l_linenumber"], [0.0, 0.0],
     ]
-    head = F.concat(c("satellite"), F.date_format("timestamp", " yyyy MM dd HH mm ss"), *(num(c(f"af{k}")) for k in range(3)))
-    lines = [head, *(F.concat(F.lit("    "), *map(num, r)) for r in rows)]
-    short = F.when(c("l_linenumber") == 3, F.concat_ws("\n", *lines[:5])).otherwise(F.concat_ws("\n", *lines))
+    whole = _nav_record(rows)
+    short = F.when(F.col("l_linenumber") == 3, F.substring_index(whole, "\n", 5)).otherwise(whole)
     text = F.concat(F.lit("header END OF HEADER\n"), short, F.lit("\n"))
     got = nav.parse_nav(d.select(F.lit("f").alias("file"), text.alias("value")))
     return got.select("satellite", "timestamp", "iode", F.round("a", 0).alias("a"), F.round("e", 9).alias("e"), F.round("m0", 9).alias("m0"), "toe", F.round(F.col("af0") * 1e9, 6).alias("af0_ns"), "iodc")
@@ -535,16 +551,16 @@ def _(spark, sf_dir):
     return got.select("version", "pos_vel_flag", "num_epochs", "gps_week", "epoch_interval", F.array_join("satellites", ",").alias("satellites"))
 
 
-def _nav_texts(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
-    """A navigation product for each line of an order: one record each, without a semi-major axis for line 2."""
-    d = _elements(spark, sf_dir)
-    num = lambda c: F.regexp_replace(F.format_string("%19.12e", c.cast("double")), "e", "D")
-    c, zero = F.col, F.lit(0.0)
-    a = F.when(c("l_linenumber") == 2, zero).otherwise(F.sqrt("a"))
-    rows = [[c("l_orderkey"), c("crs"), c("delta_n"), c("m0")], [c("cuc"), c("e"), c("cus"), a], [c("toe"), c("cic"), c("omega0"), c("cis")], [c("i0"), c("crc"), c("omega"), c("omega_dot")], [c("idot"), zero, c("l_linenumber"), zero], [zero, zero, zero, zero], [zero, F.lit(4.0)]]
-    head = F.concat(c("satellite"), F.date_format("timestamp", " yyyy MM dd HH mm ss"), *(num(c(f"af{k}")) for k in range(3)))
-    record = F.concat_ws("\n", head, *(F.concat(F.lit("    "), *map(num, r)) for r in rows))
-    return d.select(F.lit("f").alias("file"), F.concat(F.lit("header END OF HEADER\n"), record, F.lit("\n")).alias("value"), *keep)
+def _nav_of_line(of: Callable[[str], Column] = F.col) -> Column:
+    """A record for each line of an order, without a semi-major axis for line 2."""
+    a = F.when(of("l_linenumber") == 2, 0.0).otherwise(F.sqrt(of("a")))
+    rows = [["l_orderkey", "crs", "delta_n", "m0"], ["cuc", "e", "cus", a], ["toe", "cic", "omega0", "cis"], ["i0", "crc", "omega", "omega_dot"], ["idot", 0.0, "l_linenumber", 0.0], [0.0] * 4, [0.0, 4.0]]
+    return F.concat(_nav_record(rows, of), F.lit("\n"))
+
+
+def _nav_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A navigation product for each line of an order: one record each."""
+    return _elements(spark, sf_dir).select(F.lit("f").alias("file"), F.concat(F.lit("header END OF HEADER\n"), _nav_of_line()).alias("value"))
 
 
 @query("parse_nav_wide", f"SELECT satellite, timestamp, CAST(l_linenumber AS DOUBLE) AS week, 0e0 AS health, 4e0 AS fit_interval, ((epoch_us(timestamp) - epoch_us(TIMESTAMP '1980-01-06 00:00:00')) / 1e6) % 604800.0 AS toc FROM (SELECT l_linenumber, l_shipdate AS timestamp, {_E_SQL} FROM lineitem) WHERE l_linenumber <> 2")
@@ -562,12 +578,13 @@ def _(spark, sf_dir):
 WHERE l_linenumber <> 2 QUALIFY row_number() OVER (PARTITION BY satellite, timestamp ORDER BY l_orderkey // 16, l_orderkey DESC, {_ORDERED}) = 1""")
 def _(spark, sf_dir):
     """Products of up to sixteen orders that repeat satellites and days, within a file and from file to file; the first file's first record stays."""
-    elements = [c for c in _ELEMENTS if c != "satellite"]
-    d = _nav_texts(spark, sf_dir, "l_orderkey", *elements)
-    record = F.struct((-F.col("l_orderkey")).alias("place"), *elements, F.regexp_replace("value", "^header END OF HEADER\n", "").alias("text"))
-    files = d.groupBy(F.format_string("%015d.rnx", F.floor(F.col("l_orderkey") / 16)).alias("file")).agg(F.array_sort(F.collect_list(record)).alias("r"))  # the records of sixteen orders
-    text = F.concat(F.lit("header END OF HEADER\n"), F.array_join(F.transform("r", lambda x: x["text"]), ""))
-    got = first_ephemerides(nav.parse_nav(files.select("file", text.alias("value")), wide=True, source=True))
+    elements = [c for c in _ELEMENTS if c not in ("satellite", *_CONSTANTS)]
+    record = F.struct((-F.col("l_orderkey")).alias("place"), *elements, "satellite", "timestamp", "l_linenumber", "l_orderkey")
+    of = _elements(spark, sf_dir).groupBy(F.floor(F.col("l_orderkey") / 16).alias("sixteen")).agg(F.array_sort(F.collect_list(record)).alias("r"))  # elements are exchanged, their text is written behind
+    text = F.concat(F.lit("header END OF HEADER\n"), F.array_join(F.transform("r", lambda x: _nav_of_line(lambda c: x[c])), ""))
+    files = of.select(F.format_string("%015d.rnx", "sixteen").alias("file"), text.alias("value"))
+    records = nav.parse_nav(files, wide=True, source=True)
+    got = first_ephemerides(records.select("satellite", "timestamp", "iode", "a", "af0", *nav.SOURCE))  # columns are cut here: the aggregation takes rows whole
     return got.select("satellite", "timestamp", "iode", F.round("a", 0).alias("a"), F.round(F.col("af0") * 1e9, 6).alias("af0_ns"))
 
 
