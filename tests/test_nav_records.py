@@ -1,10 +1,12 @@
 """Records of navigation files: regular fields by position, all others by rule, each computed once."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from ephemera.plans import catalog
 from ephemera.sources import nav
 
 ODD = [" " * 19, "NaN", "1.5f", "1.5d", "0x1p3", ".", "E5", "1 2", " -.12D-04 ", "abc 12 d", "1e999", "--1", "+1.5E+05", "7", "1.0E", "\t1.0"]
@@ -54,3 +56,9 @@ def test_what_costs_most_is_computed_once(spark, wide):
     """Filters on a record's numbers repeated all that they are made from."""
     p = plan(nav.parse_nav(spark.createDataFrame([("f", "x")], "file string, value string"), wide=wide))
     assert p.count("regexp_extract_all(") == 1 and p.count("split(") == 1
+
+
+def test_elements_are_exchanged_without_their_text(spark):
+    p = plan(catalog.QUERIES["first_ephemerides"](spark, "/root/testdata/sf0.001"))
+    below = re.split("\n *\\+- ", p[p.index("collect_list") :])[1:]
+    assert len(below) >= 2 and not any("format_string" in node for node in below)
