@@ -513,15 +513,32 @@ def _written(spark: SparkSession, texts: DataFrame, suffix: str) -> str:
     return folder
 
 
+def _clk_head(name: Column, n: Column) -> Column:
+    return F.concat(
+        F.lit("     3.00           C                                       RINEX VERSION / TYPE\n"), F.format_string("%6d", n), F.lit(" " * 54 + "LEAP SECONDS\n"),
+        F.lit("     2    AS    AR                                          # / TYPES OF DATA\n"), F.rpad(F.upper(name), 60, " "), F.lit("ANALYSIS CENTER\n"), F.lit(" " * 60 + "END OF HEADER"),
+    )
+
+
+def _clk_line() -> Column:
+    return F.format_string("AS U%03d  %s %f  2   %.9e", "user_id", F.date_format("ts", "yyyy MM dd HH mm"), F.second("ts").cast("double"), F.col("value") * 1e-6)
+
+
 def _clk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A CLK product for each event type, with its events in order of id."""
-    line = F.format_string("AS U%03d  %s %f  2   %.9e", "user_id", F.date_format("ts", "yyyy MM dd HH mm"), F.second("ts").cast("double"), F.col("value") * 1e-6)
-    d = events(spark, sf_dir).groupBy(F.col("event_type").alias("name")).agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", line.alias("l")))), lambda x: x["l"]), "\n").alias("body"))
-    head = F.concat(
-        F.lit("     3.00           C                                       RINEX VERSION / TYPE\n"), F.format_string("%6d", "n"), F.lit(" " * 54 + "LEAP SECONDS\n"),
-        F.lit("     2    AS    AR                                          # / TYPES OF DATA\n"), F.rpad(F.upper("name"), 60, " "), F.lit("ANALYSIS CENTER\n"), F.lit(" " * 60 + "END OF HEADER\n"),
-    )
-    return d.select("name", F.concat(head, "body", F.lit("\n")).alias("value"))
+    d = events(spark, sf_dir).groupBy(F.col("event_type").alias("name")).agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", _clk_line().alias("l")))), lambda x: x["l"]), "\n").alias("body"))
+    return d.select("name", F.concat(_clk_head(F.col("name"), F.col("n")), F.lit("\n"), "body", F.lit("\n")).alias("value"))
+
+
+def _clk_files(spark: SparkSession, sf_dir: str) -> str:
+    """A new folder with a CLK product for each event type and day, written line by line in order of id."""
+    folder = f"{scratch(spark)}/products-{uuid.uuid4().hex}"
+    e = events(spark, sf_dir).select(F.col("event_type").alias("name"), F.to_date("ts").alias("day"), "event_id", _clk_line().alias("line"))
+    head = F.posexplode(F.split(_clk_head(F.col("name"), F.col("n")), "\n")).alias("event_id", "line")
+    heads = e.groupBy("name", "day").agg(F.count("*").alias("n")).select("name", "day", head)
+    d = heads.withColumn("body", F.lit(False)).unionByName(e.withColumn("body", F.lit(True)))
+    d.repartition("name", "day").sortWithinPartitions("name", "day", "body", "event_id", "line").select("line", "name", "day").write.partitionBy("name", "day").text(folder)
+    return folder
 
 
 @query("find_files", "SELECT event_type AS name, true AS has_bytes FROM events GROUP BY 1")
@@ -539,7 +556,7 @@ def _(spark, sf_dir):
 
 @query("read_many_clk", "SELECT printf('U%03d', user_id) AS id, date_trunc('second', ts) AS timestamp, round(value * 1e-6 * 1e9, 1) AS bias_ns FROM events")
 def _(spark, sf_dir):
-    d = clk.read_clk(spark, [_written(spark, _clk_texts(spark, sf_dir), "")], "*.txt")
+    d = clk.read_clk(spark, [_clk_files(spark, sf_dir)], "*.txt")
     return d.select("id", "timestamp", F.round(F.col("clock_bias") * 1e9, 1).alias("bias_ns"))
 
 

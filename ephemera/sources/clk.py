@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ephemera.functions.scalars import epoch_timestamp
-from ephemera.sources.text import after_header, field, header_lines, labelled, parts, read_files
+from ephemera.sources.splits import behind_header, numbered_lines
+from ephemera.sources.text import END_OF_HEADER, after_header, field, header_lines, labelled, parts, read_files
 
 
 def parse_clk_lines(lines: DataFrame) -> DataFrame:
@@ -50,7 +51,10 @@ def parse_clk_header(files: DataFrame) -> DataFrame:
 
 
 def read_clk(spark: SparkSession, path: str | list[str], pattern: str = "*.CLK") -> DataFrame:
-    return parse_clk(read_files(spark, path, pattern))
+    """Clock records of files of any size: lines stand alone, so files are read by splits, and only the end of each header is looked for."""
+    lines = numbered_lines(spark, path, pattern)
+    used = lines.where(F.col("value").startswith("AS ") | F.col("value").startswith("AR ") | F.col("value").contains(END_OF_HEADER))
+    return parse_clk_lines(behind_header(used).select("value"))
 
 
 def read_clk_header(spark: SparkSession, path: str | list[str], pattern: str = "*.CLK") -> DataFrame:
